@@ -211,9 +211,8 @@ def _code_points(text: str, folded: bytes, start: int, end: int) -> tuple[int, i
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int, n_segments int"
 
 
-def _scan(sent):
+def _scan(seg: Segments):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = sent.value
         for b in batches:
             ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
             group: list[tuple[int, bytes]] = []
@@ -275,7 +274,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in _blocks(benchmark, item_col, item_text):
-        found = docs.mapInArrow(_scan(spark.sparkContext.broadcast(build(block))), SCHEMA)
+        found = docs.mapInArrow(_scan(build(block)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 

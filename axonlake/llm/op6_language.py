@@ -187,14 +187,11 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns named in keep, then lang_pred and score (calibrated probability of lang_pred)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)  # DIM x languages doubles
+    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
         for b in batches:
-            got = [m.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            got = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
 
     taken = docs.select(*keep, F.col(text_col).alias("_text_in"))
