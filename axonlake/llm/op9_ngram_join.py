@@ -7,11 +7,14 @@ of these. The product over these columns is formed in blocks (hash partitions of
 sizes, or whose positions of a shared column, bound the overlap below what t asks for are discarded in
 the block; what is left gets its overlap from the full rows, exactly.
 
-Only pairs that can still change a class are formed. In each round every column names a few pivots of its
-rows; a pivot is compared with the column's other rows and then leaves the column; linked rows merge, and a
-column whose rows are all of one class has nothing left to say. Columns with few rows are compared out in
-the second round. So a group of g near copies costs about g comparisons, not g * g, and no link between
-different classes is lost.
+A row also has a parity sketch: PARITY bits, each the parity of the number of its n-grams that hash there. Two
+sketches differ in no more bits than the sets differ in n-grams, so sketches that differ more than t allows
+discard a pair exactly, inside the join.
+
+Only pairs that can still change a class are formed. In a round every column names a few pivots of its rows;
+a pivot is compared with the column's other rows and then leaves the column; linked rows merge, and a column
+whose rows are all of one class has nothing left to say. Columns with few rows are compared out. So a group
+of g near copies costs about g comparisons, not g * g, and no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +34,10 @@ from .common import components, drop, kept, saved, small_batches, table
 SKETCH_BITS, SLICES = 20, 16
 #: Bits of the filter that tells which rows are still of interest.
 FILTER_BITS = 24
-#: Columns with so many rows at most are compared out; others go on with pivots.
-SMALL = 48
+#: Words of the parity sketch.
+PARITY = 4
+#: By round: pivots of a column, and rows up to which a column is compared out instead. Later rounds double the pivots.
+PIVOTS, SMALL = (1, 8, 16), (0, 32, 4096)
 WORD_CACHE = 500_000
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -73,6 +78,12 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63)
 
 
+def parity(grams: np.ndarray) -> list[int]:
+    """The parity sketch as PARITY signed 64-bit words."""
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
+
+
 def need(size: int, percent: int) -> int:
     """Least overlap with any partner."""
     return -(-percent * size // 100)
@@ -85,17 +96,17 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, sketch, seen = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32), False
-        names = ["doc_id", "n", "node", "slice", "counts"]
+        names = ["doc_id", "n", "node", "bits", "slice", "counts"]
         for b in batches:
             sets = [ngram_set(t, n, words) for t in b.column(1).to_pylist()]
             k, every = len(sets), np.concatenate(sets) if sets else np.empty(0, np.uint64)
             if len(every):
                 seen = True
                 sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if seen:
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -154,9 +165,10 @@ def _full_rows(n: int, sent):
         bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
         for b in batches:
             nodes, rows = [], []
-            for t in b.column(0).to_pylist():
+            wanted = bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)]
+            for t in b.column(1).filter(pa.array(wanted)).to_pylist():
                 s = ngram_set(t, n, words)
-                if not len(s) or not bits[(key := set_key(s)) & ((1 << FILTER_BITS) - 1)] or key in done:
+                if not len(s) or (key := set_key(s)) in done:
                     continue
                 if len(done) >= WORD_CACHE:
                     done.clear()
@@ -178,10 +190,12 @@ def _or_bits(parts: list[bytes]) -> bytes:
 
 
 def _may_link(percent: int) -> Column:
-    """Bounds from the sizes of a and b, and from the positions of one shared column."""
+    """Bounds from the sizes of a and b, the positions of one shared column, and the parity sketches."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     most = F.least("a.at", "b.at") + 1 + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)
-    return (100 * small >= percent * large) & (most * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n")))
+    differ = sum(F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(PARITY))
+    total = F.col("a.n") + F.col("b.n")
+    return (100 * small >= percent * large) & (most * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
 
 
 def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -203,19 +217,25 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = saved(docs.mapInArrow(_profile(n), "doc_id long, n long, node long, slice int, counts binary"), "ngram-profile")
+    profile = saved(docs.mapInArrow(_profile(n), "doc_id long, n long, node long, bits array<long>, slice int, counts binary"), "ngram-profile")
     slices = profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     docs_n = kept(profile.where("slice is null").select("doc_id", "n", "node"), "ngram-docs")
-    drop(profile)
     if not slices:
+        drop(profile)
         return docs_n.select("doc_id", F.col("n").alias("n_ngrams"), F.col("doc_id").alias("component_id"))
     sketch = np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint32) for r in sorted(slices, key=lambda r: r["slice"])])
     sent = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the input
     entries = saved(docs.select("text").mapInArrow(_prefixes(n, percent, sent), "gram long, node long, n int, at int"), "ngram-entries")
     shared = entries.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
-    active = saved(entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at")), "ngram-active")
-    drop(entries)
-    links = classes_of(active, docs.select("text"), n, percent)
+    both = entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+    parities = profile.where("node is not null").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)])
+    several = saved(both.join(parities, "node"), "ngram-several")
+    drop(entries, profile)
+    a, b = several.alias("a"), several.alias("b")
+    cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent)
+    active = saved(a.join(b, cond, "left_semi"), "ngram-active")
+    drop(several)
+    links = classes_of(active, docs, docs_n, n, percent)
     drop(active)
     sent.unpersist()
     # From sets to documents.
@@ -227,34 +247,39 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     return out.select("doc_id", F.col("n").alias("n_ngrams"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def classes_of(active: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, root) for every node with a link. active: gram, node, n, at of the columns with two rows at least."""
+_FIELDS = ("node", "n", "at", *[f"p{k}" for k in range(PARITY)])
+
+
+def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, root) for every node with a link. active: gram, node, n, at, parity words of the entries that may link."""
     spark = active.sparkSession
     empty = spark.createDataFrame([], "node long, root long")
-    parts = active.select("node").distinct().mapInArrow(_bits, "bits binary").collect()
+    nodes = active.select("node").distinct()
+    # Of each set, one document tells its n-grams.
+    keys = docs_n.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
+    parts = keys.select("key").mapInArrow(_bits, "bits binary").collect()
     if not parts:
         return empty
     sent = spark.sparkContext.broadcast(_or_bits([bytes(r["bits"]) for r in parts]))
-    rows = saved(texts.mapInArrow(_full_rows(n, sent), "node long, grams array<long>").dropDuplicates(["node"]).join(active.select("node").distinct(), "node", "left_semi"), "ngram-rows")
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_full_rows(n, sent), "node long, grams array<long>")
+    rows = saved(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "ngram-rows")
     todo, roots, tested, turn = active, empty, None, 0
     while True:
-        rooted = todo.join(roots, "node", "left").select("gram", "node", "n", "at", F.coalesce("root", "node").alias("root"))
+        rooted = todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root"))
         open_ = rooted.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "m")
         now = saved(rooted.join(open_, "gram"), "ngram-open")
         if now.isEmpty():
             drop(now)
             break
-        whole = (F.col("m") <= SMALL) if turn else F.lit(False)
-        slots = 1 << max(0, turn - 1)
-        mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node", "n", "at", "root")
+        slots = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
+        whole = F.col("m") <= SMALL[min(turn, len(SMALL) - 1)]
+        mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), *_FIELDS, "root")
         pivots = now.where(~whole).groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(mine).alias("p"))
-        pivots = saved(pivots.select("gram", "p.node", "p.n", "p.at", "p.root"), "ngram-pivots")
-        a, b = pivots.alias("a"), now.where(~whole).alias("b")
+        pivots = saved(pivots.select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
         cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)
-        pairs = a.join(b, cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        pairs = pivots.alias("a").join(now.where(~whole).alias("b"), cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         if turn:
-            a, b = now.where(whole).alias("a"), now.where(whole).alias("b")
-            out = a.join(b, cond & (F.col("a.node") < F.col("b.node")))
+            out = now.where(whole).alias("a").join(now.where(whole).alias("b"), cond & (F.col("a.node") < F.col("b.node")))
             pairs = pairs.unionByName(out.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
         pairs = pairs.distinct()
         if tested is not None:
@@ -263,14 +288,12 @@ def classes_of(active: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
         edges = found.where("linked").select("a", "b")
         if turn:
             edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        old = roots
         roots = components(edges).withColumnRenamed("component", "root")
         failed = found.where("not linked").select("a", "b")
         was, tested = tested, saved(failed if tested is None else tested.unionByName(failed), "ngram-tested")
-        rest = now.where(~whole).join(pivots.select("gram", "node"), ["gram", "node"], "left_anti").select("gram", "node", "n", "at")
+        rest = now.where(~whole).join(pivots.select("gram", "node"), ["gram", "node"], "left_anti").select("gram", *_FIELDS)
         todo_was, todo = todo, saved(rest, "ngram-todo")
         drop(now, pivots, found, was, None if todo_was is active else todo_was)
-        del old
         turn += 1
     drop(rows, tested, None if todo is active else todo)
     return roots
