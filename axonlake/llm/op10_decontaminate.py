@@ -55,6 +55,7 @@ class Segments:
     owner: np.ndarray  # segment of each occurrence
     offset: np.ndarray  # position of each occurrence in its segment
     bitmap: np.ndarray
+    bound: np.ndarray  # least shared q-grams of each segment
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
@@ -96,7 +97,8 @@ def build(items: list[tuple[int, str | None]]) -> Segments:
     distinct, starts = np.unique(every[order], return_index=True)
     bitmap = np.zeros(1 << MAP_BITS, bool)
     bitmap[_slots(distinct)] = True
-    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap)
+    bound = np.array([max(1, len(t) - Q + 1 - k * Q) for t, k in zip(texts, edits, strict=True)], np.int64)
+    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound)
 
 
 def banded_distance(segment: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -141,7 +143,7 @@ def _regions(seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarr
     for at in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(owner)) + 1):
         s = int(owner[at[0]])
         k, length = seg.edits[s], len(seg.texts[s])
-        bound, width = max(1, length - Q + 1 - k * Q), 2 * (k + 1)
+        bound, width = int(seg.bound[s]), 2 * (k + 1)
         diagonal = pos[at] - offset[at]
         if len(at) < bound:
             continue
@@ -239,6 +241,10 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     pos, owner, offset = _look_up(_windows(joined), seg)
     which = np.searchsorted(starts, pos, side="right") - 1
     out = []
+    # Most documents share a few q-grams with many segments: only those that reach a segment's bound go on.
+    _, same, count = np.unique(which * len(seg.texts) + owner, return_inverse=True, return_counts=True)
+    enough = count[same] >= seg.bound[owner]
+    which, pos, owner, offset = which[enough], pos[enough], owner[enough], offset[enough]
     for g in np.unique(which):
         mine = which == g
         k, folded = group[g]
