@@ -185,17 +185,17 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     return LanguageModel(langs, idf, w, best_temperature(z, y[held]))
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns named in keep, then lang_pred and score (calibrated probability of lang_pred)."""
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, then lang_pred and score, under the names given (calibrated probability of lang_pred)."""
     small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
     taken = docs.select(*keep, F.col(text_col).alias("_text_in"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + f", {names[0]} string, {names[1]} double"
     return taken.mapInArrow(score, schema)
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .op1_secrets import op1_secrets
 from .op10_decontaminate import op10_decontaminate
 from .op2_pii import op2_pii
+from .op3_mixing import op3_mixing
 from .op4_sharding import op4_sharding
+from .op5_embedding_dedup import op5_embedding_dedup
 from .op6_language import op6_language
 from .op7_quality import op7_quality
 from .op8_licenses import op8_licenses
@@ -17,7 +19,7 @@ from .op9_ngram_join import op9_ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_pii, op4_sharding, op6_language, op7_quality, op8_licenses, op9_ngram_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_mixing, op4_sharding, op5_embedding_dedup, op6_language, op7_quality, op8_licenses, op9_ngram_join, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
