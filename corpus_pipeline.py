@@ -1,15 +1,70 @@
-"""Corpus pipeline: stages filled in as their operators land."""
+"""Corpus pipeline: from raw documents to sharded training data.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
+the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from axonlake.llm.common import saved, table
+from axonlake.llm.op3_mixing import mixed
+from axonlake.llm.op4_sharding import shard_by_bytes
+from axonlake.llm.op6_language import UNDETERMINED, fit, held_out, predict
+from axonlake.llm.op9_ngram_join import similar_classes
+from axonlake.llm.op10_decontaminate import without_leaks
+
+#: Documents whose language is less sure than this are rejected.
+LEAST_SURE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told with some certainty: those without letters go, as do null texts."""
+    model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
+    told = predict(docs, model, tuple(docs.columns), names=("_lang_pred", "_lang_score"))
+    return told.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SURE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each class of similar documents the one of smallest doc_id, and of repeated rows one. Rows without an id stay."""
+    dropped = similar_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    rest = docs.join(dropped, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
+    return rest.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that domain tokens meet the target weights."""
+    return mixed(docs, table(spark, sf_dir, "labels"))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts each document into one of 16 shards of near equal bytes."""
+    return shard_by_bytes(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shard", shard),
+]
 
-STAGES: list = []
+#: SQL can't express these stages; they are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
