@@ -7,9 +7,10 @@ of these. The product over these columns is formed in blocks (hash partitions of
 sizes, or whose positions of a shared column, bound the overlap below what t asks for are discarded in
 the block; what is left gets its overlap from the full rows, exactly.
 
-A row also has a parity sketch: PARITY bits, each the parity of the number of its n-grams that hash there. Two
+A row also has parity sketches: bits, each the parity of the number of its n-grams that hash there. Two
 sketches differ in no more bits than the sets differ in n-grams, so sketches that differ more than t allows
-discard a pair exactly, inside the join.
+discard a pair exactly: narrow ones inside the join, wide ones before full rows are fetched. Full rows lie
+in a table bucketed by row, so that fetching them moves the pairs, not the rows.
 
 Only pairs that can still change a class are formed. In a round every column names a few pivots of its rows;
 a pivot is compared with the column's other rows and then leaves the column; linked rows merge, and a column
@@ -19,6 +20,7 @@ of g near copies costs about g comparisons, not g * g, and no link between diffe
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -34,10 +36,10 @@ from .common import components, drop, kept, saved, small_batches, table
 SKETCH_BITS, SLICES = 20, 16
 #: Bits of the filter that tells which rows are still of interest.
 FILTER_BITS = 24
-#: Words of the parity sketch.
-PARITY = 4
+#: 64-bit words of the parity sketches: of the entries that are compared first, of those compared later, of rows.
+FIRST, PARITY, WIDE = 4, 8, 64
 #: By round: pivots of a column, and rows up to which a column is compared out instead. Later rounds double the pivots.
-PIVOTS, SMALL = (1, 8, 16), (0, 32, 4096)
+PIVOTS, SMALL = (1, 8, 32, 64), (0, 32, 32, 4096)
 WORD_CACHE = 500_000
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -78,9 +80,9 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63)
 
 
-def parity(grams: np.ndarray) -> list[int]:
-    """The parity sketch as PARITY signed 64-bit words."""
-    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+def parity(grams: np.ndarray, size: int) -> list[int]:
+    """A parity sketch as so many signed 64-bit words, a power of two; halves of one xored give the one of half the size."""
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (64 * size), minlength=64 * size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view("<i8").tolist()
 
 
@@ -103,7 +105,7 @@ def _profile(n: int):
             if len(every):
                 seen = True
                 sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s, PARITY) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if seen:
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
@@ -164,7 +166,7 @@ def _full_rows(n: int, sent):
         words, done = _Words(), set()
         bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
         for b in batches:
-            nodes, rows = [], []
+            nodes, rows, wide = [], [], []
             wanted = bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)]
             for t in b.column(1).filter(pa.array(wanted)).to_pylist():
                 s = ngram_set(t, n, words)
@@ -175,9 +177,10 @@ def _full_rows(n: int, sent):
                 done.add(key)
                 nodes.append(key)
                 rows.append(_signed(s))
+                wide.append(parity(s, WIDE))
             if nodes:
                 ends = np.cumsum([0, *map(len, rows)])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))], ["node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))], ["node", "wide", "grams"])
 
     return run
 
@@ -189,21 +192,31 @@ def _or_bits(parts: list[bytes]) -> bytes:
     return zlib.compress(total.tobytes(), 1)
 
 
-def _may_link(percent: int) -> Column:
+def _may_link(percent: int, words: int) -> Column:
     """Bounds from the sizes of a and b, the positions of one shared column, and the parity sketches."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     most = F.least("a.at", "b.at") + 1 + F.least(F.col("a.n") - F.col("a.at") - 1, F.col("b.n") - F.col("b.at") - 1)
-    differ = sum(F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(PARITY))
+    differ = sum(F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(words))
     total = F.col("a.n") + F.col("b.n")
     return (100 * small >= percent * large) & (most * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
 
 
 def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) whose full rows have the overlap asked for: the entries of the product that stay."""
-    left, right = rows.select(F.col("node").alias("a"), F.col("grams").alias("x")), rows.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    o = F.size(F.array_intersect("x", "y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", o.alias("o"), (F.size("x") + F.size("y")).alias("s"))
-    return both.select("a", "b", (100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).alias("linked"))
+    """(a, b, linked): entries of the product, exact for the pairs that the wide sketches leave."""
+
+    def sides(*names: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(rows.select(F.col("node").alias(k), *[F.col(n).alias(f"{n}_{k}") for n in names]) for k in "ab")
+
+    left, right = sides("wide", "n")
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).alias("near"))
+    near = saved(near, "ngram-near")
+    left, right = sides("grams")
+    both = near.where("near").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("o"), (F.size("grams_a") + F.size("grams_b")).alias("s"))
+    linked = both.select("a", "b", (100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).alias("linked"))
+    out = saved(linked.unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked"))), "ngram-found")
+    drop(near)
+    return out
 
 
 def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,13 +241,19 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     entries = saved(docs.select("text").mapInArrow(_prefixes(n, percent, sent), "gram long, node long, n int, at int"), "ngram-entries")
     shared = entries.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
     both = entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    parities = profile.where("node is not null").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)])
-    several = saved(both.join(parities, "node"), "ngram-several")
+    parities = saved(profile.where("node is not null").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)]), "ngram-parities")
+    folded = []
+    for k in range(FIRST):
+        word = F.col(f"p{k}")
+        for i in range(k + FIRST, PARITY, FIRST):
+            word = word.bitwiseXOR(F.col(f"p{i}"))
+        folded.append(word.alias(f"p{k}"))
+    several = saved(both.join(parities.select("node", *folded), "node"), "ngram-several")
     drop(entries, profile)
     a, b = several.alias("a"), several.alias("b")
-    cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent)
-    active = saved(a.join(b, cond, "left_semi"), "ngram-active")
-    drop(several)
+    cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent, FIRST)
+    active = saved(a.join(b, cond, "left_semi").select("gram", "node", "n", "at").join(parities, "node"), "ngram-active")
+    drop(several, parities)
     links = classes_of(active, docs, docs_n, n, percent)
     drop(active)
     sent.unpersist()
@@ -261,8 +280,11 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
     if not parts:
         return empty
     sent = spark.sparkContext.broadcast(_or_bits([bytes(r["bits"]) for r in parts]))
-    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_full_rows(n, sent), "node long, grams array<long>")
-    rows = saved(rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "ngram-rows")
+    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_full_rows(n, sent), "node long, wide array<long>, grams array<long>")
+    name = f"axonlake_rows_{uuid.uuid4().hex}"
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).withColumn("n", F.size("grams")).write.bucketBy(parts_n, "node").sortBy("node").saveAsTable(name)
+    rows = spark.table(name)
     todo, roots, tested, turn = active, empty, None, 0
     while True:
         rooted = todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root"))
@@ -276,7 +298,7 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
         mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), *_FIELDS, "root")
         pivots = now.where(~whole).groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(mine).alias("p"))
         pivots = saved(pivots.select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
-        cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent)
+        cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent, PARITY)
         pairs = pivots.alias("a").join(now.where(~whole).alias("b"), cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         if turn:
             out = now.where(whole).alias("a").join(now.where(whole).alias("b"), cond & (F.col("a.node") < F.col("b.node")))
@@ -284,7 +306,7 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = saved(_overlaps(pairs, rows, percent), "ngram-found")
+        found = _overlaps(pairs, rows, percent)
         edges = found.where("linked").select("a", "b")
         if turn:
             edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -295,7 +317,8 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
         todo_was, todo = todo, saved(rest, "ngram-todo")
         drop(now, pivots, found, was, None if todo_was is active else todo_was)
         turn += 1
-    drop(rows, tested, None if todo is active else todo)
+    drop(tested, None if todo is active else todo)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     return roots
 
 
