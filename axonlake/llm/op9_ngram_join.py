@@ -40,7 +40,7 @@ FILTER_BITS = 24
 FIRST, PARITY, WIDE = 4, 8, 64
 #: By round: pivots of a column, and rows up to which a column is compared out instead. Later rounds double the pivots.
 PIVOTS, SMALL = (1, 8, 32, 64), (0, 32, 32, 4096)
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
