@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, table
 
 Q = 8
 SEGMENT = 128
@@ -276,21 +276,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     columns are ignored. Rows with a null doc_id are looked at too.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for block in _blocks(benchmark, item_col, item_text):
-        found = docs.mapInArrow(_scan(build(block)), SCHEMA)
+        found = mapped(docs, _scan(build(block)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows of docs in which find_leaks() finds nothing, with all their columns: a filter in one pass, without a join."""
-    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
     for block in _blocks(benchmark, "item_id", "text"):
-        docs = docs.mapInArrow(_drop_hits(build(block), at), docs.schema)
+        docs = mapped(docs, _drop_hits(build(block), at), docs.schema)
     return docs.select(*names)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, table
 
 ROUNDS = 10
 DEFAULT_KEY = b"axonlake pseudonyms: replace with a secret key"
@@ -277,7 +277,6 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_i
     empty table gives no rows; other columns are ignored. Where kinds overlap, the one listed first in KINDS
     wins but dates and addresses before cards and phones. Numbers that fail validation stay as they are.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key)
@@ -287,7 +286,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_i
             spans = [[{"kind": k, "start": s, "end": e} for s, e, k in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array(spans, kind)], ["doc_id", "text", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, kept, saved, small_batches, table
+from .common import components, kept, mapped, saved, table
 
 BLOCK = 8
 CHUNK = 4096
@@ -156,7 +156,6 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     columns are ignored. component_id is the smallest id reachable by links.
     """
     spark = vectors.sparkSession
-    small_batches(spark)
     e = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
     # a float or a double compares with infinity as such; forall is null if a component is
@@ -165,7 +164,7 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     classes = rows.where("fit").groupBy("node", "k2", "label").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
     classes = classes.select("node", F.size("embedding").alias("dim"), "embedding", "label", "first", "mult")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", home array<int>, up array<boolean>"
-    placed = saved(classes.mapInArrow(_strips(cosine), schema), "vectors")
+    placed = saved(mapped(classes, _strips(cosine), schema, rows=4096), "vectors")
     own = placed.select("node", "mult", "embedding", "label", "dim", F.posexplode(F.arrays_zip("home", "up")).alias("block", "s"))
     own = own.select("node", "mult", "embedding", "label", "dim", "block", F.col("s.home").alias("strip"), F.col("s.up").alias("up"))
     group = ["label", "dim", "block", "strip"]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, saved, small_batches, table
+from .common import drop, mapped, saved, table
 
 BITS = 14
 DIM = 1 << BITS
@@ -129,7 +129,6 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     the sparse counts of the sampled rows: for each language those of smallest hash share, per_lang expected.
     """
     spark = train.sparkSession
-    small_batches(spark)
     train = train.where("lang is not null and text is not null")
     per = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
@@ -156,7 +155,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([float(docs)]), pa.array([None], pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["lang", "u", "ids", "counts"])
 
     u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    got = saved(train.select("text", "lang", u).mapInArrow(gather, "lang string, u double, ids binary, counts binary"), "lang-train")
+    got = saved(mapped(train.select("text", "lang", u), gather, "lang string, u double, ids binary, counts binary"), "lang-train")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(DIM, np.int64), 0.0
@@ -166,7 +165,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
                 docs += n
         yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([total.tobytes()], pa.binary())], ["u", "counts"])
 
-    parts = got.where("lang is null").select("u", "counts").coalesce(8).mapInArrow(added, "u double, counts binary").collect()
+    parts = mapped(got.where("lang is null").select("u", "counts").coalesce(8), added, "u double, counts binary").collect()
     sample = got.where("lang is not null").collect()
     drop(got)
     docs = sum(r["u"] for r in parts)
@@ -187,7 +186,6 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns named in keep, then lang_pred and score, under the names given (calibrated probability of lang_pred)."""
-    small_batches(docs.sparkSession)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,7 +194,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
 
     taken = docs.select(*keep, F.col(text_col).alias("_text_in"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + f", {names[0]} string, {names[1]} double"
-    return taken.mapInArrow(score, schema)
+    return mapped(taken, score, schema)
 
 
 def held_out():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, small_batches, table
+from .common import kept, mapped, table
 
 NAMES = ("log_words", "word_length", "word_spread", "upper", "digit", "comma_stop", "symbol", "high", "distinct_words", "adjacent_repeats", "distinct_lines", "line_length", "deflated", "top_word")
 D = len(NAMES)
@@ -113,8 +113,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of every row's whole text, in the order of NAMES."""
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_describe, "doc_id long, x array<double>")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _describe, "doc_id long, x array<double>")
 
 
 def train(described: DataFrame, labels: DataFrame) -> Discriminant | None:
@@ -153,7 +152,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.scores(x) if model is not None else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return described.select("doc_id", held_out().alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(described.select("doc_id", held_out().alias("held_out"), "x"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

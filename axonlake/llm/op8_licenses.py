@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import mapped, table
 
 #: Phrases of the base rule and their labels: fixed values.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -228,7 +228,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     score is 1 where a template accepts, 0.5 where only a base phrase stands, else 0. Null texts count as empty; whole
     texts are read; repeated rows come out alike; an empty table gives no rows; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrase = pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))
@@ -246,7 +245,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 scores.append(1.0 if m else 0.5 if p else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ps, phrase), pa.array(ts, stretch), pa.array(scores, pa.float64())], ["doc_id", "n_words", "phrases", "templates", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

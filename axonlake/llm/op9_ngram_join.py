@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, kept, saved, small_batches, table
+from .common import components, drop, kept, mapped, saved, table
 
 #: Counters of the sketch of column frequencies: a fixed size, 4 bytes each.
 SKETCH_BITS, SLICES = 20, 16
@@ -97,16 +97,25 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch, seen = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32), False
+        words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        waiting: list[np.ndarray] = []
+
+        def count() -> None:
+            every = (np.concatenate(waiting) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
+            sketch[:] += np.bincount(every, minlength=1 << SKETCH_BITS).astype(np.uint32)
+            waiting.clear()
+
         names = ["doc_id", "n", "node", "bits", "slice", "counts"]
         for b in batches:
             sets = [ngram_set(t, n, words) for t in b.column(1).to_pylist()]
-            k, every = len(sets), np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            if len(every):
-                seen = True
-                sketch += np.bincount((every & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            k = len(sets)
+            waiting += [s for s in sets if len(s)]
+            if sum(map(len, waiting)) >= 1 << SKETCH_BITS:
+                count()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s, PARITY) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if seen:
+        if waiting:
+            count()
+        if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
@@ -228,9 +237,8 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
     table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes of n-grams.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = saved(docs.mapInArrow(_profile(n), "doc_id long, n long, node long, bits array<long>, slice int, counts binary"), "ngram-profile")
+    profile = saved(mapped(docs, _profile(n), "doc_id long, n long, node long, bits array<long>, slice int, counts binary"), "ngram-profile")
     slices = profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
     docs_n = kept(profile.where("slice is null").select("doc_id", "n", "node"), "ngram-docs")
     if not slices:
@@ -238,7 +246,7 @@ def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str
         return docs_n.select("doc_id", F.col("n").alias("n_ngrams"), F.col("doc_id").alias("component_id"))
     sketch = np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint32) for r in sorted(slices, key=lambda r: r["slice"])])
     sent = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the input
-    entries = saved(docs.select("text").mapInArrow(_prefixes(n, percent, sent), "gram long, node long, n int, at int"), "ngram-entries")
+    entries = saved(mapped(docs.select("text"), _prefixes(n, percent, sent), "gram long, node long, n int, at int"), "ngram-entries")
     shared = entries.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
     both = entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
     parities = saved(profile.where("node is not null").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)]), "ngram-parities")
@@ -276,11 +284,11 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
     nodes = active.select("node").distinct()
     # Of each set, one document tells its n-grams.
     keys = docs_n.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
-    parts = keys.select("key").mapInArrow(_bits, "bits binary").collect()
+    parts = mapped(keys.select("key"), _bits, "bits binary", rows=4096).collect()
     if not parts:
         return empty
     sent = spark.sparkContext.broadcast(_or_bits([bytes(r["bits"]) for r in parts]))
-    rows = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(_full_rows(n, sent), "node long, wide array<long>, grams array<long>")
+    rows = mapped(docs.select(F.xxhash64("doc_id").alias("key"), "text"), _full_rows(n, sent), "node long, wide array<long>, grams array<long>")
     name = f"axonlake_rows_{uuid.uuid4().hex}"
     parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).withColumn("n", F.size("grams")).write.bucketBy(parts_n, "node").sortBy("node").saveAsTable(name)
