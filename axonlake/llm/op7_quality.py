@@ -26,6 +26,8 @@ D = len(NAMES)
 POOL, DIAGONAL = 0.1, 0.1
 #: Scores at or above this are predicted as 1.
 THRESHOLD = 0.7
+#: Words and bytes of usual text that each text is taken to have besides its own, so that short texts aren't odd by chance.
+PRIOR_WORDS, PRIOR_BYTES = 20, 120
 #: Bytes of a text given to the compressor at a time.
 BLOCK = 1 << 16
 
@@ -42,31 +44,37 @@ def statistics(text: str | None) -> np.ndarray:
     words = data.split()
     if not words:
         return out
-    n = len(words)
-    by = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=7) / len(data)
+    n, size = len(words), len(data)
+    by = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=7)
     lengths = np.fromiter(map(len, words), np.int64, n)
+    mean = (lengths.sum() + PRIOR_WORDS * 6) / (n + PRIOR_WORDS)
+    spread = np.sqrt((((lengths - mean) ** 2).sum() + PRIOR_WORDS * 9) / (n + PRIOR_WORDS))
     seen: dict[bytes, int] = {}
     for w in words:
         seen[w] = seen.get(w, 0) + 1
     lines = data.split(b"\n")
     packer = zlib.compressobj(1)
-    packed = sum(len(packer.compress(data[i : i + BLOCK])) for i in range(0, len(data), BLOCK)) + len(packer.flush())
+    packed = sum(len(packer.compress(data[i : i + BLOCK])) for i in range(0, size, BLOCK)) + len(packer.flush())
     repeats = sum(a == b for a, b in zip(words, words[1:], strict=False))
+
+    def share(count: int, usual: float = 0.0) -> float:
+        return np.sqrt((count + usual * PRIOR_BYTES) / (size + PRIOR_BYTES))
+
     out[:] = (
         np.log1p(n),
-        np.log(lengths.mean()),
-        np.log1p(lengths.std()),
-        np.sqrt(by[1]),
-        np.sqrt(by[2]),
-        np.sqrt(by[4]),
-        np.sqrt(by[5]),
-        np.sqrt(by[6]),
-        np.log(len(seen)) / np.log(n + 1),
-        np.sqrt(repeats / n),
-        len(set(lines)) / len(lines),
-        np.log1p(len(data) / len(lines)),
-        np.log(packed / (len(data) + 12)),
-        np.sqrt(max(seen.values()) / n),
+        np.log(mean),
+        np.log(spread),
+        share(by[1], 0.02),
+        share(by[2]),
+        share(by[4], 0.02),
+        share(by[5]),
+        share(by[6]),
+        np.log((len(seen) + PRIOR_WORDS) / (n + PRIOR_WORDS)),
+        np.sqrt(repeats / (n + PRIOR_WORDS)),
+        (len(set(lines)) + 3) / (len(lines) + 3),
+        np.log1p(size / len(lines)),
+        np.log((packed - 8 + 0.5 * 2 * PRIOR_BYTES) / (size + 2 * PRIOR_BYTES)),
+        np.sqrt(max(seen.values()) / (n + PRIOR_WORDS)),
     )
     return out
 
