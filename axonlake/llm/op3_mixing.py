@@ -24,8 +24,9 @@ from .common import drop, kept, saved, table
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 #: Bound of the labelled sample, in labels; and of the telling words.
-SAMPLE, VOCABULARY = 4096, 64
-LEAST_DOCS = 5
+SAMPLE, VOCABULARY = 4096, 160
+#: A telling word stands in so many sampled documents at least, and in this share at most: common words tell length.
+LEAST_DOCS, MOST_SHARE = 5, 0.1
 #: Posteriors are whole multiples of 1 / GRID.
 GRID = 1000
 MOST_STEPS, TOLERANCE = 200, 1e-5
@@ -46,7 +47,7 @@ class Model:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\s.,;:!?]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     n = {d: rows[d]["n"] for d in m.domains}
     total = sum(n.values())
     words = sample.select("_domain", F.explode(F.array_distinct("_words")).alias("w"))
-    by = words.groupBy("w").agg(F.count("*").alias("c"), *[F.count(F.when(F.col("_domain") == d, 1)).alias(f"c_{d}") for d in m.domains]).where(F.col("c") >= LEAST_DOCS)
+    by = words.groupBy("w").agg(F.count("*").alias("c"), *[F.count(F.when(F.col("_domain") == d, 1)).alias(f"c_{d}") for d in m.domains]).where((F.col("c") >= LEAST_DOCS) & (F.col("c") <= MOST_SHARE * total))
     unlike = sum(((F.col(f"c_{d}") - F.col("c") * (n[d] / total)) ** 2) / (F.col("c") * (n[d] / total)) for d in m.domains)
     telling = by.withColumn("unlike", unlike).orderBy(F.desc("unlike"), "w").limit(VOCABULARY).collect()
     drop(sample)
@@ -187,7 +188,7 @@ def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | No
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, tokens, p_<domain>..., rate, copies) for every row of docs(doc_id, text).
 
-    Tokens are runs between white space and .,;:!? marks. Null and empty texts have none, and a posterior and
+    Tokens are runs of letters and digits. Null and empty texts have none, and a posterior and
     rate like any other. Without labels every rate is 1 and posteriors are null; a domain without labels takes
     part with posterior 0, and its target is shared out among the others. Repeated rows each count; labels repeated
     for a document each teach; an empty table gives no rows; other columns are ignored.
