@@ -40,39 +40,90 @@ FILTER_BITS = 24
 FIRST, PARITY, WIDE = 4, 8, 64
 #: By round: pivots of a column, and rows up to which a column is compared out instead. Later rounds double the pivots.
 PIVOTS, SMALL = (1, 8, 32, 64), (0, 32, 32, 4096)
-WORD_CACHE = 200_000
+#: Sets that a task remembers, to send equal ones once.
+SEEN = 200_000
 
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-class _Words(dict):
-    """Hash of each word seen; forgets all when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def ngram_set(text: str | None, n: int, words: _Words) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the n-grams of a text, A-Z in lower case, words between ASCII white space.
-
-    A text of fewer words counts as one n-gram; no words or no text give none.
-    """
-    found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not found:
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(1).integers(0, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS = np.cumprod(np.full(1 << 10, _MULT[0]), dtype=np.uint64)
+#: Bytes hashed at a time, short texts together, long ones in pieces cut between words.
+PIECE = 1 << 18
+
+
+def _hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and first byte of each word: a polynomial in its bytes, mixed with its length."""
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(~_SPACE[b])
+    if not len(at):
+        return np.empty(0, np.uint64), at
+    first = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1))
+    lengths = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, lengths)
+    powers = _POWERS if lengths.max() <= len(_POWERS) else np.cumprod(np.full(lengths.max(), _MULT[0]), dtype=np.uint64)
+    h = np.add.reduceat(_BYTE[b[at]] * powers[place], first)
+    h = (h ^ (h >> np.uint64(29)) ^ lengths.astype(np.uint64)) * _MULT[1]
+    return h ^ (h >> np.uint64(32)), at[first]
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """Pieces of about PIECE bytes, cut at a space, so that a long text needs little memory at a time."""
+    start = 0
+    while start < len(data):
+        end = start + PIECE
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        yield data[start:end]
+        start = end
+
+
+def _from_words(h: np.ndarray, data: bytes, n: int) -> np.ndarray:
+    if not len(h):
         return np.empty(0, np.uint64)
-    if len(found) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(found), seed=len(found))], np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
+    if len(h) < n:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(data.split()), seed=len(h))], np.uint64)
     m = len(h) - n + 1
     s = h[:m] * _MULT[0]
     for k in range(1, n):
         s ^= s >> np.uint64(29)
         s = (s + h[k : m + k]) * _MULT[k % len(_MULT)]
     s ^= s >> np.uint64(32)
-    return np.unique(s * _MULT[1])
+    s *= _MULT[1]
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+
+
+def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the n-grams of each text, A-Z in lower case, words between ASCII white space.
+
+    A text of fewer words counts as one n-gram; no words or no text give none.
+    """
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+
+    def flush() -> None:
+        if group:
+            ends = np.cumsum([len(d) + 1 for d in group])
+            h, at = _hash_words(b"\n".join(group))
+            cuts = np.searchsorted(at, ends)
+            for d, a, z in zip(group, (0, *cuts[:-1]), cuts, strict=True):
+                out.append(_from_words(h[a:z], d, n))
+            group.clear()
+
+    for t in texts:
+        data = t.encode("utf-8", "surrogatepass").lower() if t else b""
+        if len(data) > PIECE:
+            flush()
+            out.append(_from_words(np.concatenate([_hash_words(p)[0] for p in _pieces(data)]), data, n))
+            continue
+        group.append(data)
+        if sum(map(len, group)) >= PIECE:
+            flush()
+    flush()
+    return out
 
 
 def set_key(grams: np.ndarray) -> int:
@@ -97,7 +148,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         waiting: list[np.ndarray] = []
 
         def count() -> None:
@@ -107,7 +158,7 @@ def _profile(n: int):
 
         names = ["doc_id", "n", "node", "bits", "slice", "counts"]
         for b in batches:
-            sets = [ngram_set(t, n, words) for t in b.column(1).to_pylist()]
+            sets = ngram_sets(b.column(1).to_pylist(), n)
             k = len(sets)
             waiting += [s for s in sets if len(s)]
             if sum(map(len, waiting)) >= 1 << SKETCH_BITS:
@@ -142,14 +193,13 @@ def order_columns(grams: np.ndarray, sketch: np.ndarray, first: int) -> np.ndarr
 
 def _prefixes(n: int, percent: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done, sketch = _Words(), set(), sent.value
+        done, sketch = set(), sent.value
         for b in batches:
             cols, nodes, sizes, at = [], [], [], []
-            for t in b.column(0).to_pylist():
-                s = ngram_set(t, n, words)
+            for s in ngram_sets(b.column(0).to_pylist(), n):
                 if not len(s) or (key := set_key(s)) in done:
                     continue
-                if len(done) >= WORD_CACHE:
+                if len(done) >= SEEN:
                     done.clear()
                 done.add(key)
                 first = order_columns(s, sketch, len(s) - need(len(s), percent) + 1)
@@ -172,16 +222,15 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_rows(n: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, done = _Words(), set()
+        done = set()
         bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
         for b in batches:
             nodes, rows, wide = [], [], []
             wanted = bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)]
-            for t in b.column(1).filter(pa.array(wanted)).to_pylist():
-                s = ngram_set(t, n, words)
+            for s in ngram_sets(b.column(1).filter(pa.array(wanted)).to_pylist(), n):
                 if not len(s) or (key := set_key(s)) in done:
                     continue
-                if len(done) >= WORD_CACHE:
+                if len(done) >= SEEN:
                     done.clear()
                 done.add(key)
                 nodes.append(key)
