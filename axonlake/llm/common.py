@@ -22,8 +22,8 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def _give_back() -> None:
-    """Returns what a worker has freed to the system: workers live on between tasks, beside the executor's heap."""
+def give_back() -> None:
+    """Returns what this process has freed to the system: workers live on between tasks, beside the executor's heap."""
     import ctypes
 
     import pyarrow as pa
@@ -43,7 +43,7 @@ def mapped(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_ROW
         try:
             yield from function(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 

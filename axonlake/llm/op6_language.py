@@ -8,7 +8,7 @@ documents; a temperature, fitted on held-back rows of the sample, calibrates the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, mapped, saved, table
+from .common import drop, give_back, mapped, saved, table
 
 BITS = 14
 DIM = 1 << BITS
 #: Expected number of sampled training documents for each language: the bound of the sample.
-PER_LANG = 1000
+PER_LANG = 600
 UNDETERMINED = "und"
 #: Texts are counted in slices of about so many characters, so that a long text needs no more memory.
 SLICE = 1 << 20
@@ -89,8 +89,8 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> np.ndarray:
-    """FTRL-proximal over sparse rows (ids, values), in a fixed shuffled order; returns the dense weights, mostly zero."""
+def ftrl(rows: list[Callable[[], tuple[np.ndarray, np.ndarray]]], y: np.ndarray, classes: int, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 7) -> np.ndarray:
+    """FTRL-proximal over sparse rows, each a function that gives (ids, values), in a fixed shuffled order; returns the dense weights, mostly zero."""
     z, n = np.zeros((DIM + 1, classes)), np.zeros((DIM + 1, classes))
     penalty = np.full((DIM + 1, 1), l1)
     penalty[-1] = 0
@@ -102,7 +102,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for r in rng.permutation(len(rows)):
-            ids, values = rows[r]
+            ids, values = rows[r]()
             w = weights(ids)
             p = softmax(values @ w)
             p[y[r]] -= 1
@@ -148,7 +148,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
                 seen[ids] += 1
                 docs += 1
                 if u < share[lang]:
-                    out.append((lang, u, ids.astype("<i4").tobytes(), c[ids].astype("<i4").tobytes()))
+                    out.append((lang, u, ids.astype("<u2").tobytes(), np.log1p(c[ids]).astype("<f4").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["lang", "u", "ids", "counts"])
         if docs:
@@ -172,16 +172,22 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     df = sum((np.frombuffer(bytes(r["counts"]), "<i8") for r in parts), np.zeros(DIM, np.int64))
     idf = np.log((1 + docs) / (1 + df)) + 1
     sample.sort(key=lambda r: (r["lang"], r["u"], bytes(r["ids"])))
-    rows, y = [], np.array([langs.index(r["lang"]) for r in sample], int)
-    for r in sample:
-        ids = np.frombuffer(bytes(r["ids"]), "<i4").astype(np.int64)
-        x = weighted(ids, np.frombuffer(bytes(r["counts"]), "<i4"), idf)
-        rows.append((np.append(ids, DIM), np.append(x, 1.0)))
-    held = np.arange(len(rows)) % 5 == 4
+    y = np.array([langs.index(r["lang"]) for r in sample], int)
+
+    def row(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features of a sampled row, unpacked when they are used: the sample stays small on the driver."""
+        ids = np.frombuffer(sample[k]["ids"], "<u2").astype(np.int64)
+        x = np.frombuffer(sample[k]["counts"], "<f4") * idf[ids]
+        return np.append(ids, DIM), np.append(x / np.sqrt((x * x).sum()), 1.0)
+
+    held = np.arange(len(sample)) % 5 == 4
     learn = np.flatnonzero(~held)
-    w = ftrl([rows[i] for i in learn], y[learn], len(langs))
-    z = np.array([v @ w[i] for i, v in (rows[k] for k in np.flatnonzero(held))]).reshape(-1, len(langs))
-    return LanguageModel(langs, idf, w, best_temperature(z, y[held]))
+    w = ftrl([lambda k=k: row(k) for k in learn], y[learn], len(langs))
+    z = np.array([v @ w[i] for i, v in map(row, np.flatnonzero(held))]).reshape(-1, len(langs))
+    model = LanguageModel(langs, idf, w, best_temperature(z, y[held]))
+    del sample
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:

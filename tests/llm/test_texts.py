@@ -155,7 +155,7 @@ def test_ftrl_is_sparse_and_separates():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 200)
     rows = [(np.array([k, 2 + int(rng.integers(50)), op6.DIM]), np.array([1.0, 0.3, 1.0])) for k in y]
-    w = op6.ftrl(rows, y, 2)
+    w = op6.ftrl([lambda r=r: r for r in rows], y, 2)
     assert all(int((v @ w[i]).argmax()) == k for (i, v), k in zip(rows, y, strict=True))
     assert (w[:-1] == 0).mean() > 0.99
 
