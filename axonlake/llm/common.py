@@ -99,6 +99,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a narrow table that one task takes.
+ROWS_EACH = 50_000
+
+
+def fitted(df: DataFrame, rows: int) -> DataFrame:
+    """df in as many partitions as so many rows ask for: a small table's stages don't run the session's shuffle partitions."""
+    k = max(1, -(-rows // ROWS_EACH))
+    return df.coalesce(k) if k < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]
@@ -117,20 +127,21 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(e)
     while mark[0]:
+        size = mark[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = saved(small, "small-star")
+        low = fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), size)
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(fitted(fitted(large, size).distinct(), size), "large-star")
+        low = fitted(large.groupBy("u").agg(F.min("v").alias("m")), size)
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = fitted(small.unionByName(low.select("u", F.col("m").alias("v"))), size)
+        nxt = saved(fitted(small.distinct(), size), "small-star")
         drop(e, large)
         e, was, mark = nxt, mark, _mark(nxt)
         if was == mark:
             break
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = kept(roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    heads = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    out = kept(fitted(roots.unionByName(fitted(heads.distinct(), mark[0])), mark[0]), "components")
     drop(e)
     return out

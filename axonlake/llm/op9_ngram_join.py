@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, kept, mapped, saved, table
+from .common import components, drop, fitted, kept, mapped, saved, table
 
 #: Counters of the sketch of column frequencies: a fixed size, 4 bytes each.
 SKETCH_BITS, SLICES = 20, 16
@@ -259,7 +259,7 @@ def _may_link(percent: int, words: int) -> Column:
     return (100 * small >= percent * large) & (most * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int, size: int) -> DataFrame:
     """(a, b, linked): entries of the product, exact for the pairs that the wide sketches leave."""
 
     def sides(*names: str) -> tuple[DataFrame, DataFrame]:
@@ -268,11 +268,11 @@ def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     left, right = sides("wide", "n")
     differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(left, "a").join(right, "b").select("a", "b", (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).alias("near"))
-    near = saved(near, "ngram-near")
+    near = saved(fitted(near, size), "ngram-near")
     left, right = sides("grams")
     both = near.where("near").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("o"), (F.size("grams_a") + F.size("grams_b")).alias("s"))
     linked = both.select("a", "b", (100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).alias("linked"))
-    out = saved(linked.unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked"))), "ngram-found")
+    out = saved(fitted(fitted(linked, size).unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked"))), size), "ngram-found")
     drop(near)
     return out
 
@@ -344,34 +344,36 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
     rows = spark.table(name)
     todo, roots, tested, turn = active, empty, None, 0
     while True:
-        rooted = todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root"))
+        size = todo.count()
+        rooted = fitted(todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root")), size)
         open_ = rooted.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "m")
-        now = saved(rooted.join(open_, "gram"), "ngram-open")
-        if now.isEmpty():
+        now = saved(fitted(rooted.join(fitted(open_, size), "gram"), size), "ngram-open")
+        size = now.count()
+        if not size:
             drop(now)
             break
         slots = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
         whole = F.col("m") <= SMALL[min(turn, len(SMALL) - 1)]
         mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), *_FIELDS, "root")
         pivots = now.where(~whole).groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(mine).alias("p"))
-        pivots = saved(pivots.select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
+        pivots = saved(fitted(pivots, size).select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
         cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent, PARITY)
         pairs = pivots.alias("a").join(now.where(~whole).alias("b"), cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
         if turn:
             out = now.where(whole).alias("a").join(now.where(whole).alias("b"), cond & (F.col("a.node") < F.col("b.node")))
             pairs = pairs.unionByName(out.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-        pairs = pairs.distinct()
+        pairs = fitted(fitted(pairs, size).distinct(), size)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = _overlaps(pairs, rows, percent)
+            pairs = fitted(pairs.join(tested, ["a", "b"], "left_anti"), size)
+        found = _overlaps(pairs, rows, percent, size)
         edges = found.where("linked").select("a", "b")
         if turn:
             edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(edges).withColumnRenamed("component", "root")
         failed = found.where("not linked").select("a", "b")
-        was, tested = tested, saved(failed if tested is None else tested.unionByName(failed), "ngram-tested")
+        was, tested = tested, saved(fitted(failed if tested is None else tested.unionByName(failed), size), "ngram-tested")
         rest = now.where(~whole).join(pivots.select("gram", "node"), ["gram", "node"], "left_anti").select("gram", *_FIELDS)
-        todo_was, todo = todo, saved(rest, "ngram-todo")
+        todo_was, todo = todo, saved(fitted(rest, size), "ngram-todo")
         drop(now, pivots, found, was, None if todo_was is active else todo_was)
         turn += 1
     drop(tested, None if todo is active else todo)
