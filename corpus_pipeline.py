@@ -17,8 +17,8 @@ from axonlake.llm.op6_language import UNDETERMINED, fit, held_out, predict
 from axonlake.llm.op9_ngram_join import similar_classes
 from axonlake.llm.op10_decontaminate import without_leaks
 
-#: Documents whose language is less sure than this are rejected.
-LEAST_SURE = 0.5
+#: Documents whose language is less sure than this are rejected: texts in two languages are kept, noise goes.
+LEAST_SURE = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
