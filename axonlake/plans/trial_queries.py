@@ -522,7 +522,7 @@ def f0_worst_best(spark, d):
     from .views import log
 
     s = log(spark, d).select("worm", F.col("counter").alias("t"), "v")
-    f = kn.fitted_baselines(s, ["worm"]).select("worm", "model", "r2")
+    f = kn.fitted_baselines(s, ["worm"]).select("worm", "model", "r2").persist()  # one fit for both ends
     worst = f.orderBy("r2", "worm").limit(5).withColumn("which", F.lit("worst"))
     best = f.orderBy(F.desc("r2"), "worm").limit(5).withColumn("which", F.lit("best"))
     return worst.unionByName(best).select("which", "worm", "model", r6(F.col("r2"), "r2"))
