@@ -159,3 +159,9 @@ def marginals(tensor: DataFrame, v: str = "v") -> DataFrame:
     return m.select(
         "neuron", "stimulus", "t", (F.col("_t") - F.col("_m")).alias("m_t"), (F.col("_s") - F.col("_m")).alias("m_s"), (F.col(v) - F.col("_t") - F.col("_s") + F.col("_m")).alias("m_st")
     )
+
+
+def feature_vectors(tensor: DataFrame, times: int, sample: str = "stimulus", v: str = "v") -> DataFrame:
+    """(sample, feature, v) of a dense neuron x sample x time table, features neuron-major by neuron name."""
+    names = tensor.groupBy().agg(F.array_sort(F.collect_set("neuron")).alias("x")).select(F.posexplode("x").alias("k", "neuron"))
+    return tensor.join(F.broadcast(names), "neuron").select(sample, (F.col("k").cast("long") * times + F.col("t")).alias("feature"), v)

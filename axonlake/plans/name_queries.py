@@ -240,3 +240,15 @@ def imputed_positions(spark, d):
     b = b.select("t", "neuron", *[F.when(~gone, F.col(c)).alias(c) for c in "xyz"])
     out = kn.imputed_positions(b, reference=0)
     return out.select("neuron", "t", *[r6(F.col(c), c) for c in "xyz"], "n")
+
+
+@query(
+    """WITH h AS (SELECT n_nationkey AS id, (n_nationkey * 0.6180339887498949::DOUBLE) % 1.0 * 6 AS h FROM nation), s AS (SELECT id, CAST(floor(h) AS INT) AS s, h - floor(h) AS f, 0.92::DOUBLE AS v, 0.92::DOUBLE * (1 - 0.55::DOUBLE) AS p FROM h),
+c AS (SELECT id, s, v, p, v * (1 - 0.55::DOUBLE * f) AS q, v * (1 - 0.55::DOUBLE * (1 - f)) AS t FROM s),
+g AS (SELECT id, CASE s WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END AS r, CASE s WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q ELSE p END AS g, CASE s WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END AS b FROM c)
+SELECT id, printf('#%02x%02x%02x', CAST(floor(r * 255) AS INT), CAST(floor(g * 255) AS INT), CAST(floor(b * 255) AS INT)) AS color FROM g"""
+)
+def hue_colors(spark, d):
+    """Hues by steps of the golden ratio."""
+    n = table(spark, d, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), nm.hue_colour(F.col("n_nationkey") * 0.6180339887498949).alias("color"))

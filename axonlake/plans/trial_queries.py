@@ -542,3 +542,22 @@ def region_repair_polynomial(spark, d):
 
     s = log(spark, d).select("worm", F.col("counter").alias("t"), "v")
     return kn.region_repaired(s, ["worm"], 10, 15, "polynomial").select("worm", "t", r6(F.col("repaired"), "repaired"))
+
+
+# ---------------------------------------------------------------- features, intervals of traces
+
+
+@query(
+    f"""WITH {LONG}, ids AS (SELECT DISTINCT stimulus FROM trials), m AS (SELECT stimulus, neuron, t, avg(v) AS v FROM long GROUP BY ALL), n AS (SELECT neuron, row_number() OVER (ORDER BY neuron) - 1 AS k FROM (SELECT DISTINCT neuron FROM trials))
+SELECT i.stimulus, CAST(n.k * 64 + u.t AS BIGINT) AS feature, round(coalesce(m.v, 0), 6) + 0 AS v FROM ids i CROSS JOIN n CROSS JOIN range(64) u(t) LEFT JOIN m ON m.stimulus = i.stimulus AND m.neuron = n.neuron AND m.t = u.t"""
+)
+def feature_vectors(spark, d):
+    """A sample for each stimulus, features neuron by neuron, zeros where a neuron has no trial."""
+    return rs.feature_vectors(_tensor(spark, d), 64).select("stimulus", "feature", r6(F.col("v"), "v"))
+
+
+@query(f"""WITH {LONG} SELECT trial, round(max(CASE WHEN t BETWEEN 10 AND 20 AND v > 0 THEN v END), 6) AS top, round(coalesce(sum(CASE WHEN t BETWEEN 10 AND 20 AND v > 0 THEN v END), 0), 6) AS total FROM long GROUP BY trial""")
+def interval_extremes(spark, d):
+    """Largest and summed value of an interval, from floor to ceiling, missing values left out."""
+    x = F.filter(tr.span(F.col("dff"), F.floor(F.lit(10.4)).cast("int"), F.ceil(F.lit(20.2)).cast("int")), lambda v: v > 0)
+    return trials(spark, d).select("trial", r6(F.array_max(x), "top"), r6(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), "total"))

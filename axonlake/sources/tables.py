@@ -138,3 +138,44 @@ def conversion_manifest(folders: DataFrame, volumes: DataFrame) -> DataFrame:
     j = classified_folders(folders).join(volumes, "folder")
     first = F.min("volume").over(W.partitionBy("folder"))
     return j.withColumn("_first", first).where((F.col("kind") == "ex") | (F.col("volume") == F.col("_first"))).drop("_first")
+
+
+def array_summaries(files: DataFrame, schema: str = "path string, shape array<int>, lowest double, highest double, mean double") -> DataFrame:
+    """Shape and range of .npy files (path, content), decoded on the executors."""
+
+    def decode(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                rows.append((path, list(x.shape), *((float(x.min()), float(x.max()), float(x.mean())) if x.size else (None,) * 3)))
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "shape", "lowest", "highest", "mean"])
+
+    return files.select("path", "content").mapInArrow(decode, schema)
+
+
+def thresholded_arrays(files: DataFrame, low: float) -> DataFrame:
+    """.npy files with values under low set to zero, compressed; (path, content)."""
+
+    def rewrite(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for content in b.column(1).to_pylist():
+                x = np.load(io.BytesIO(content), allow_pickle=False)
+                to = io.BytesIO()
+                np.savez_compressed(to, image=np.where(x < low, 0, x).astype(x.dtype))
+                out.append(to.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    return files.select("path", "content").mapInArrow(rewrite, "path string, content binary")

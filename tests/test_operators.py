@@ -391,3 +391,15 @@ def test_live_runs(spark, tmp_path):
         q = live_runs(spark.readStream.schema(schema).parquet(str(source))).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("state", "start", "end")) == [("A", 1, 3), ("B", 4, 4)]
+
+
+def test_arrays(spark, tmp_path):
+    import io
+
+    np.save(tmp_path / "f_7.npy", np.arange(6, dtype="uint16").reshape(2, 3))
+    files = st.images(spark, str(tmp_path), "*.npy")
+    assert files.select("frame_no").first()[0] == 7
+    r = st.array_summaries(files).first()
+    assert (r["shape"], r["lowest"], r["highest"], r["mean"]) == ([2, 3], 0, 5, 2.5)
+    got = np.load(io.BytesIO(st.thresholded_arrays(files, 3).first()["content"]))["image"]
+    assert got.tolist() == [[0, 0, 0], [3, 4, 5]] and got.dtype == np.uint16
