@@ -391,7 +391,9 @@ def fitted_baselines(samples: DataFrame, keys: list[str], t: str = "t", v: str =
         row = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**row, "model": [model], "r2": [r2], "params": [params], "t": [pdf[t].astype("int64").tolist()], "v": [y.tolist()], "f0": [f0.tolist()]})
 
-    return samples.select(*cols).groupBy(*keys).applyInPandas(fit, schema)
+    # Fits are slow for their bytes: without a number of partitions of its own, adaptive execution would merge them into few tasks.
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return samples.select(*cols).repartition(n, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def fit_quality(fits: DataFrame, poor: float = 0.8) -> DataFrame:
