@@ -382,4 +382,4 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_ngrams").alias("n_shingles"), "component_id")
+    return similar_classes(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", F.col("n_ngrams").alias("n_shingles"), "component_id")

@@ -19,6 +19,8 @@ from axonlake.llm.op10_decontaminate import without_leaks
 
 #: Documents whose language is less sure than this are rejected: texts in two languages are kept, noise goes.
 LEAST_SURE = 0.35
+#: Words of a shingle and least similarity in per cent of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of similar documents the one of smallest doc_id, and of repeated rows one. Rows without an id stay."""
-    dropped = similar_classes(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = similar_classes(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
     rest = docs.join(dropped, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
     same = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
     return rest.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)

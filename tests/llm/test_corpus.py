@@ -297,3 +297,21 @@ def test_pipeline(spark):
     assert sorted(r["doc_id"] for r in out3.collect()) == clean
     final = cp.run(spark, SF)
     assert {"doc_id", "shard", "slot"} <= set(final.columns) and set(r[0] for r in final.select("doc_id").collect()) <= set(clean)
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    rows = []
+    for k, grown in enumerate((16, 18, 20, 22, 24, 27, 30)):  # words appended to 100: similarity 0.86 to 0.76
+        base = [f"v{rng.randrange(9999)}" for _ in range(100)]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + [f"u{rng.randrange(9999)}" for _ in range(grown)]))]
+    for k, every in enumerate((44, 47, 52)):  # one word changed in so many
+        base = [f"v{rng.randrange(9999)}" for _ in range(every * 8)]
+        rows += [(100 + 10 * k, " ".join(base)), (101 + 10 * k, " ".join("changed" + str(i) if i % every == every // 2 else w for i, w in enumerate(base)))]
+    sets = [shingles(t, 5) for _, t in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    root = classes(len(rows), links)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert 5 < len(links) < 10 and sorted(r["doc_id"] for r in cp.near_duplicates(spark, docs, SF).collect()) == sorted({rows[r][0] for r in root})
