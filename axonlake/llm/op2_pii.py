@@ -205,24 +205,48 @@ def parse_date(value: str):
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: A run that starts at a digit (or +, or an opening bracket before one) and goes on with digits and single separators.
-NUMBER = re.compile(r"(?<![A-Za-z0-9.+_/-])(?:\+ ?)?\(?[0-9](?:[0-9]|[ .()/-]{1,2}(?=[0-9(]))*[0-9](?![A-Za-z0-9_])")
+NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?\(?[0-9](?:[0-9]|[ .()/-]{1,2}(?=[0-9(]))*[0-9](?![A-Za-z0-9])")
+#: Groups of digits that single blanks or hyphens join.
+_JOINED, _DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*"), re.compile(r"[0-9]+")
 DATE_WORDS = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {{1,3}}(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{4}}|(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{1,2}}(?:, {{0,3}}| {{1,3}})[0-9]{{4}})(?![A-Za-z0-9])", re.IGNORECASE)
 #: What a part of a number run may be, tried in this order; a longer kind first.
 _PARTS = (
-    ("date", re.compile(r"(?<![0-9.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[.-][0-9])"), lambda v: parse_date(v) is not None),
-    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), lambda v: all(int(p) < 256 for p in v.split("."))),
-    ("card", re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"), lambda v: valid_card(digits(v))),
-    ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), lambda v: valid_ssn(digits(v))),
+    ("date", re.compile(r"(?<![0-9])(?<![0-9][.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[.-][0-9])"), lambda v: parse_date(v) is not None),
+    ("ip", re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), lambda v: all(int(p) < 256 for p in v.split("."))),
+    ("card", None, lambda v: valid_card(digits(v))),  # by cards()
+    ("ssn", re.compile(r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), lambda v: valid_ssn(digits(v))),
     ("phone", re.compile(r"(?<![0-9])(?:\+ ?[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9])"), valid_phone),
 )
 
 
+def cards(text: str, a: int, b: int, free: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Cards among the groups of digits in text[a:b]: from each group on the longest valid run of whole groups that is free."""
+    for m in _JOINED.finditer(text, a, b):
+        groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+        i = 0
+        while i < len(groups):
+            s, d, best = groups[i][0], "", None
+            for j in range(i, len(groups)):
+                d += text[groups[j][0] : groups[j][1]]
+                if len(d) > 19:
+                    break
+                if valid_card(d) and free(s, groups[j][1]):
+                    best = j
+            if best is not None:
+                yield s, groups[best][1]
+                i = best
+            i += 1
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Ordered, non-overlapping (start, end, kind)."""
     got: list[tuple[int, int, str]] = []
 
+    def free(start: int, end: int) -> bool:
+        return all(end <= s or start >= e for s, e, _ in got)
+
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= s or start >= e for s, e, _ in got):
+        if free(start, end):
             got.append((start, end, kind))
 
     if "@" in text:
@@ -252,6 +276,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
             continue
         a, b = run.span()
         for kind, pattern, valid in _PARTS:
+            if pattern is None:
+                for s, e in cards(text, a, b, free):
+                    add(s, e, kind)
+                continue
             for m in pattern.finditer(text, a, b):
                 if valid(m[0]):
                     add(m.start(), m.end(), kind)

@@ -98,6 +98,34 @@ def test_invalid_numbers_stay():
     assert op2.replace(text, op2.Pseudonyms(b"k"))[0] == text
 
 
+@pytest.mark.parametrize(
+    "text,value,kind",
+    [
+        ("card 4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+        ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"),
+        ("4111111111111111 123", "4111111111111111", "card"),
+        ("order 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("7 4111-1111-1111-1111", "4111-1111-1111-1111", "card"),
+        ("No.4111111111111111", "4111111111111111", "card"),
+        ("pay-4111111111111111", "4111111111111111", "card"),
+        ("a/4111111111111111 b_", "4111111111111111", "card"),
+        ("card_4111111111111111_x", "4111111111111111", "card"),
+        ("id-123-45-6789", "123-45-6789", "ssn"),
+        ("No.123-45-6789", "123-45-6789", "ssn"),
+        ("tel/(649) 555-1648", "(649) 555-1648", "phone"),
+        ("born.2024-02-29", "2024-02-29", "date"),
+        ("host-39.153.147.39", "39.153.147.39", "ip"),
+    ],
+)
+def test_numbers_beside_other_digits_and_marks(text, value, kind):
+    assert [(text[s:e], k) for s, e, k in op2.find(text)] == [(value, kind)]
+
+
+def test_cards_after_a_date():
+    text = "2024-02-29 4111 1111 1111 1111 5500 0000 0000 0004"
+    assert [(text[s:e], k) for s, e, k in op2.find(text)] == [("2024-02-29", "date"), ("4111 1111 1111 1111", "card"), ("5500 0000 0000 0004", "card")]
+
+
 def test_pii_links_documents(spark):
     rows = ODD + [(20, f"call {PRIVATE['phone']}, born {PRIVATE['date']}"), (21, f"{PRIVATE['phone']} again; {PRIVATE['email']}")]
     got = op2.pseudonymise(frame(spark, rows)).collect()
