@@ -27,9 +27,11 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 #: Words after which a string may be secret, in lower case.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "authorization")
+_WORDS = {w: re.compile(re.escape(w), re.IGNORECASE) for w in SENSITIVE}
 #: A candidate starts at most so many characters after such a word.
 REACH = 48
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Characters before a candidate that prime the compressor, besides the dictionary.
 CONTEXT = 256
 #: Least marginal compressed bytes for each character of a candidate.
@@ -76,13 +78,16 @@ def scan_text(text: str, novelty: Novelty) -> list[dict]:
     base = base_spans(text)
     spans = list(base)
     low = text.lower()
-    if len(low) == len(text) and any(w in low for w in SENSITIVE):
+    words = [w for w in SENSITIVE if w in low]
+    if words:
         covered = {i for s, _, e in base for i in range(s, e)}
-        ends = sorted({m for w in SENSITIVE for m in _ends(low, w)})
+        ends = sorted({m.end() for w in words for m in _WORDS[w].finditer(text)})  # in the text itself: lower() may move positions
         seen = set()
         for at in ends:
-            for m in CANDIDATE.finditer(text, at, min(len(text), at + REACH)):
-                full = CANDIDATE.match(text, m.start())  # the run isn't cut at the end of the reach
+            for m in CANDIDATE.finditer(text, at, min(len(text), at + REACH + LEAST)):
+                if m.start() > at + REACH:
+                    break
+                full = CANDIDATE.match(text, m.start())  # the run isn't cut at the end of the window
                 s, e = full.span()
                 v = full[0]
                 if s in seen or s in covered or not re.search(r"\d", v) or not re.search(r"[A-Za-z]", v) or len(set(v)) < 8:
@@ -97,20 +102,12 @@ def scan_text(text: str, novelty: Novelty) -> list[dict]:
     return out
 
 
-def _ends(low: str, word: str) -> Iterator[int]:
-    at = low.find(word)
-    while at >= 0:
-        yield at + len(word)
-        at = low.find(word, at + 1)
-
-
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) for every row: kind, start and end in code points, value, marginal bytes, novelty.
 
     A null or empty text has no spans; whole texts are read, however long; repeated rows are scanned each; an
     empty table gives no rows; other columns are ignored. Spans are ordered by start, then kind. A candidate
-    inside a pattern hit is not reported twice. The length check on the lower-cased text skips the
-    added spans (not the base ones) where lower-casing changes positions.
+    inside a pattern hit is not reported twice.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

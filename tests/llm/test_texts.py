@@ -60,6 +60,21 @@ def test_novelty_tells_keys_from_names():
     assert not op1.scan_text("the credential your_api_key_here0 or configuration_environment1 follows", n)
 
 
+NOVEL = "Zk39sLq0PzW81nVbX7tR2mJd"
+
+
+@pytest.mark.parametrize("text", [f"İstanbul: my private_key is {NOVEL} here", f"my PRIVATE_KEY is {NOVEL} here, İİ", f"Token then {NOVEL}"])
+def test_secrets_beside_letters_that_grow_in_lower_case(text):
+    spans = op1.scan_text(text, op1.Novelty())
+    assert [(s["kind"], s["value"], text[s["start"] : s["end"]]) for s in spans] == [("novel", NOVEL, NOVEL)]
+
+
+@pytest.mark.parametrize("gap", [1, 32, 33, 40, 47, 48, 49])
+def test_secrets_up_to_the_reach(gap):
+    spans = op1.scan_text("token" + " " * gap + NOVEL, op1.Novelty())
+    assert [s["value"] for s in spans] == ([NOVEL] if gap <= op1.REACH else [])
+
+
 def test_secrets_empty_table(spark):
     assert op1.scan_secrets(frame(spark, [])).count() == 0
 
