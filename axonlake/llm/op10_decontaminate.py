@@ -5,6 +5,7 @@ SEGMENT bytes, overlapping by half. A segment of length L within k edits of a st
 at least L - q + 1 - k q of its q-grams with it, on diagonals that differ by k at most. So shared q-grams are
 counted by segment and diagonal band (bands overlap by half their width, so that one holds all of a stretch's
 diagonals); bands that reach the bound are retained and verified by an edit distance restricted to the band.
+Short items are looked for as they are, between word boundaries; those of less than a q-gram by windows of their length.
 
 A q-gram is 8 bytes, so it is one machine word: documents are looked up in a bitmap of the benchmark's q-grams,
 and the few that pass in the sorted table. The benchmark is sent in blocks of bounded size, each run against
@@ -30,8 +31,8 @@ SEGMENT = 128
 EDIT_RATE = 0.08
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
-#: Items with fewer words than this are too general to tell a leak from common wording.
-LEAST_WORDS = 5
+#: Items with fewer words and fewer characters than these are found only as they are, between word boundaries.
+LEAST_WORDS, LEAST_CHARS = 5, 24
 MAP_BITS = 22
 #: Documents are looked up in batches of about so many bytes.
 BATCH_BYTES = 1 << 20
@@ -56,6 +57,8 @@ class Segments:
     offset: np.ndarray  # position of each occurrence in its segment
     bitmap: np.ndarray
     bound: np.ndarray  # least shared q-grams of each segment
+    whole: list[bool]  # segments that are found only as they are, between word boundaries
+    tiny: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length under Q: sorted texts as words, items of each
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
@@ -79,16 +82,22 @@ def cut_segments(text: bytes) -> list[bytes]:
 
 
 def build(items: list[tuple[int, str | None]]) -> Segments:
-    """Null items, and items of fewer than LEAST_WORDS words, give no segments."""
-    owner_items, texts, edits = [], [], []
+    """Null items, and items without words, give no segments."""
+    owner_items, texts, edits, whole = [], [], [], []
+    short: dict[int, dict[int, list[int]]] = {}
     for item, text in items:
         folded = fold(text) if text else b""
-        if folded.count(b" ") + 1 < LEAST_WORDS or len(folded) < Q:
+        if 0 < len(folded) < Q:
+            short.setdefault(len(folded), {}).setdefault(int.from_bytes(folded, "little"), []).append(item)
+        if len(folded) < Q:
             continue
+        exact = folded.count(b" ") + 1 < LEAST_WORDS and len(folded.decode()) < LEAST_CHARS
         for s in cut_segments(folded):
             owner_items.append(item)
             texts.append(s)
-            edits.append(min(int(EDIT_RATE * len(s)), max(0, (len(s) - Q) // Q)))
+            edits.append(0 if exact else min(int(EDIT_RATE * len(s)), max(0, (len(s) - Q) // Q)))
+            whole.append(exact)
+    tiny = {n: (np.array(sorted(found), np.uint64), [found[k] for k in sorted(found)]) for n, found in short.items()}
     grams = [_windows(t) for t in texts]
     every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(len(texts)), [len(g) for g in grams])
@@ -98,7 +107,24 @@ def build(items: list[tuple[int, str | None]]) -> Segments:
     bitmap = np.zeros(1 << MAP_BITS, bool)
     bitmap[_slots(distinct)] = True
     bound = np.array([max(1, len(t) - Q + 1 - k * Q) for t, k in zip(texts, edits, strict=True)], np.int64)
-    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound)
+    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound, whole, tiny)
+
+
+#: Characters that stand beside a word without being of it: marks, and letters of scripts without blanks.
+_FREE = re.compile("[\0\x20\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\u0e00-\u109f\u1780-\u17ff\u2000-\u206f\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff]")
+
+
+def boundaries(text: bytes) -> np.ndarray:
+    """For each byte of folded text, and its end: whether a word, or a character of a script without blanks, may start or end there."""
+    s = text.decode()
+    c = np.frombuffer(s.encode("utf-32-le"), "<u4")
+    starts = np.concatenate(([0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
+    free = np.zeros(len(c) + 2, bool)
+    free[[0, -1]] = True
+    free[[m.start() + 1 for m in _FREE.finditer(s)]] = True
+    out = np.zeros(len(text) + 1, bool)
+    out[starts[free[:-1] | free[1:]]] = True
+    return out
 
 
 def banded_distance(segment: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
@@ -166,8 +192,33 @@ def _regions(seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarr
 
 def match_folded(text: bytes, seg: Segments, windows: np.ndarray | None = None) -> dict[int, tuple[int, int, int, int]]:
     """item: (fewest edits of a segment, segments found, first start, last end) in bytes of the folded text."""
-    grams = _windows(text) if windows is None else windows
-    return _verify(text, seg, *_look_up(grams, seg))
+    grams = _windows(text + b"\0" * (Q - 1)) if windows is None else windows
+    out = _verify(text, seg, *_look_up(grams, seg))
+    for _, item, a, b in _tiny(text, grams, seg, np.array([0])):
+        _add(out, item, 0, a, b)
+    return out
+
+
+def _add(out: dict[int, tuple[int, int, int, int]], item: int, edits: int, a: int, b: int) -> None:
+    was = out.get(item, (edits, 0, a, b))
+    out[item] = (min(edits, was[0]), was[1] + 1, min(a, was[2]), max(b, was[3]))
+
+
+def _tiny(text: bytes, grams: np.ndarray, seg: Segments, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, start, end) of items shorter than a q-gram, from first to last place; grams has a window for each byte of text."""
+    edge = boundaries(text) if seg.tiny else None
+    for n, (keys, items) in seg.tiny.items():
+        w = grams & np.uint64((1 << 8 * n) - 1)
+        k = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+        pos = np.flatnonzero(keys[k] == w)
+        pos = pos[edge[pos] & edge[pos + n]]
+        which = np.searchsorted(starts, pos, side="right") - 1
+        group = which * len(keys) + k[pos]
+        order = np.argsort(group, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(order) else ():
+            g, first, last = int(which[at[0]]), int(pos[at[0]]), int(pos[at[-1]])
+            for item in items[int(k[first])]:
+                yield g, item, first - int(starts[g]), last + n - int(starts[g])
 
 
 def _look_up(grams: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,19 +236,29 @@ def _look_up(grams: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray,
 
 def _verify(text: bytes, seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
     out: dict[int, tuple[int, int, int, int]] = {}
+    edge = None
     for s, lo, hi in _regions(seg, pos, owner, offset) if len(pos) else ():
         want, region = seg.texts[s], text[lo:hi]
         at = region.find(want)
+        if seg.whole[s]:
+            edge = boundaries(text) if edge is None else edge
+            places = []
+            while at >= 0:
+                if edge[lo + at] and edge[lo + at + len(want)]:
+                    places.append(lo + at)
+                at = region.find(want, at + 1)
+            if places:
+                _add(out, seg.items[s], 0, places[0], places[-1] + len(want))
+            continue
         got = (0, at, at + len(want)) if at >= 0 else banded_distance(want, region, seg.edits[s])
         if got is not None:
             e, a, b = got
-            was = out.get(seg.items[s], (e, 0, lo + a, lo + b))
-            out[seg.items[s]] = (min(e, was[0]), was[1] + 1, min(lo + a, was[2]), max(lo + b, was[3]))
+            _add(out, seg.items[s], e, lo + a, lo + b)
     return out
 
 
 def _code_points(text: str, folded: bytes, start: int, end: int) -> tuple[int, int]:
-    """Span in the text of the words that [start, end) of the folded text touches."""
+    """Span in the text of the words that [start, end) of the folded text touches; a word of a script without blanks goes up to the next blank or ASCII mark."""
     first, last = folded.count(b" ", 0, start + 1) if start < len(folded) else 0, folded.count(b" ", 0, max(start, end - 1))
     a = b = 0
     for i, m in enumerate(WORD.finditer(text)):
@@ -238,17 +299,24 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     gap = b"\0" * Q  # no q-gram of an item holds this byte
     joined = gap.join(f for _, f in group)
     starts = np.cumsum([0, *(len(f) + Q for _, f in group)])
-    pos, owner, offset = _look_up(_windows(joined), seg)
+    grams = _windows(joined + b"\0" * (Q - 1))
+    pos, owner, offset = _look_up(grams, seg)
     which = np.searchsorted(starts, pos, side="right") - 1
     out = []
     # Most documents share a few q-grams with many segments: only those that reach a segment's bound go on.
     _, same, count = np.unique(which * len(seg.texts) + owner, return_inverse=True, return_counts=True)
     enough = count[same] >= seg.bound[owner]
     which, pos, owner, offset = which[enough], pos[enough], owner[enough], offset[enough]
-    for g in np.unique(which):
+    tiny: dict[int, list[tuple[int, int, int]]] = {}
+    for g, *hit in _tiny(joined, grams, seg, starts):
+        tiny.setdefault(g, []).append(hit)
+    for g in sorted({*which.tolist(), *tiny}):
         mine = which == g
         k, folded = group[g]
-        for item, (e, n, a, b) in sorted(_verify(folded, seg, pos[mine] - starts[g], owner[mine], offset[mine]).items()):
+        found = _verify(folded, seg, pos[mine] - starts[g], owner[mine], offset[mine])
+        for item, a, b in tiny.get(g, ()):
+            _add(found, item, 0, a, b)
+        for item, (e, n, a, b) in sorted(found.items()):
             s, t = _code_points(texts[k], folded, a, b)
             out.append((ids[k], item, s, t, e, n))
     return out
@@ -271,8 +339,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, item_id, start, end, edits, n_segments): one row for each document and item found in it.
 
     start and end are code points of the stretch from the first to the last segment found; edits are those of
-    the best segment. Null or empty texts and items find nothing; items under LEAST_WORDS words are not looked for;
-    whole texts are read; repeated documents give a row each, repeated items one; empty tables give no rows; other
+    the best segment. Null or empty texts and items find nothing; items of fewer than LEAST_WORDS words and LEAST_CHARS
+    characters are found only as they are, between word boundaries, so one of a common word is found wherever that stands; whole texts are read; repeated documents give a row each, repeated items one; empty tables give no rows; other
     columns are ignored. Rows with a null doc_id are looked at too.
     """
     spark = docs.sparkSession

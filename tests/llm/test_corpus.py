@@ -273,6 +273,40 @@ def test_leaks(spark):
     assert op10.find_leaks(d, b.limit(0)).count() == 0 and op10.find_leaks(d.limit(0), b).count() == 0
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    zh = "什么是光合作用以及植物如何利用阳光把二氧化碳和水转化为葡萄糖和氧气请简要说明其过程并举出两个影响它的因素谢谢"
+    th = "พืชใช้แสงแดดเพื่อเปลี่ยนคาร์บอนไดออกไซด์อย่างไร"
+    items = [(1, zh), (2, th), (3, "Photosynthesis transforms sunlight efficiently"), (4, "Who wrote Ulysses?"), (5, "too bad"), (6, "光合作用"), (7, "42"), (8, "葡萄"), (9, "?!"), (10, "Naïve"), (11, "two words"), (11, "x9"), (12, "a b c d e")]
+    docs = [
+        (1, f"前文。{zh}后文", {1, 6, 8}),
+        (2, f"ก{th}ข", {2}),
+        (3, "So PHOTOSYNTHESIS transforms, sunlight efficiently indeed", {3}),
+        (4, "asked: who wrote ulysses, and when", {4}),
+        (5, "prewho wrote ulysses", set()),
+        (6, "who wrote ulyssesx then who wrote ulysses", {4}),
+        (7, "Too bad!", {5}),
+        (8, "too badly stupid 421 142", set()),
+        (9, "is it 42 or “naïve”", {7, 10}),
+        (10, "两个葡萄干", {8}),
+        (11, "two words and x9", {11}),
+        (12, "two wordsy x99 a b c d f", set()),
+        (13, "xx a b c d e", {12}),
+        (14, zh[:30] + "错" + zh[31:], {1, 6, 8}),
+        (15, "", set()),
+    ]
+    d = spark.createDataFrame([r[:2] for r in docs], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = op10.find_leaks(d, b).collect()
+    assert {r: {g["item_id"] for g in got if g["doc_id"] == r} for r, _, _ in docs} == {r: w for r, _, w in docs}
+    spans = {(g["doc_id"], g["item_id"]): docs[g["doc_id"] - 1][1][g["start"] : g["end"]] for g in got}
+    assert len(spans) == len(got) and spans[6, 4] == "who wrote ulysses" and spans[7, 5] == "Too bad" and spans[9, 7] == "42" and spans[11, 11] == "two words and x9"
+    assert [r["doc_id"] for r in op10.without_leaks(d, b).orderBy("doc_id").collect()] == [r for r, _, w in docs if not w]
+    only = spark.createDataFrame([(7, "42")], "item_id long, text string")
+    assert [r["doc_id"] for r in op10.find_leaks(d, only).collect()] == [9]
+    seg = op10.build(items)
+    assert all(set(op10.match_folded(op10.fold(t), seg)) == w for _, t, w in docs)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
