@@ -5,7 +5,8 @@ SEGMENT bytes, overlapping by half. A segment of length L within k edits of a st
 at least L - q + 1 - k q of its q-grams with it, on diagonals that differ by k at most. So shared q-grams are
 counted by segment and diagonal band (bands overlap by half their width, so that one holds all of a stretch's
 diagonals); bands that reach the bound are retained and verified by an edit distance restricted to the band.
-Short items are looked for as they are, between word boundaries; those of less than a q-gram by windows of their length.
+Short items are looked for as they are, between word boundaries; those of less than a q-gram by windows of their length. Verbatim excerpts of long items are
+found by their first q-gram and compared at once.
 
 A q-gram is 8 bytes, so it is one machine word: documents are looked up in a bitmap of the benchmark's q-grams,
 and the few that pass in the sorted table. The benchmark is sent in blocks of bounded size, each run against
@@ -29,6 +30,8 @@ Q = 8
 SEGMENT = 128
 #: Edits allowed for each byte of a segment.
 EDIT_RATE = 0.08
+#: Excerpts of items over SEGMENT bytes are told by so many bytes as they are, from every STRIDE-th byte of the item on.
+EXCERPT, STRIDE = 8 * Q, 16
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 4 << 20
 #: Items with fewer words and fewer characters than these are found only as they are, between word boundaries.
@@ -58,6 +61,7 @@ class Segments:
     bitmap: np.ndarray
     bound: np.ndarray  # least shared q-grams of each segment
     whole: list[bool]  # segments that are found only as they are, between word boundaries
+    excerpts: tuple[np.ndarray, np.ndarray, list[int]]  # starts by first q-gram, the q-grams end to end of each, item of each
     tiny: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length under Q: sorted texts as words, items of each
 
 
@@ -81,9 +85,16 @@ def cut_segments(text: bytes) -> list[bytes]:
     return [text[s : s + SEGMENT] for s in starts]
 
 
+def cut_excerpts(text: bytes) -> list[bytes]:
+    if len(text) <= SEGMENT:
+        return []
+    starts = list(range(0, len(text) - EXCERPT, STRIDE)) + [len(text) - EXCERPT]
+    return [text[s : s + EXCERPT] for s in starts]
+
+
 def build(items: list[tuple[int, str | None]]) -> Segments:
     """Null items, and items without words, give no segments."""
-    owner_items, texts, edits, whole = [], [], [], []
+    owner_items, texts, edits, whole, parts = [], [], [], [], []
     short: dict[int, dict[int, list[int]]] = {}
     for item, text in items:
         folded = fold(text) if text else b""
@@ -97,6 +108,7 @@ def build(items: list[tuple[int, str | None]]) -> Segments:
             texts.append(s)
             edits.append(0 if exact else min(int(EDIT_RATE * len(s)), max(0, (len(s) - Q) // Q)))
             whole.append(exact)
+        parts += [(item, s) for s in cut_excerpts(folded)]
     tiny = {n: (np.array(sorted(found), np.uint64), [found[k] for k in sorted(found)]) for n, found in short.items()}
     grams = [_windows(t) for t in texts]
     every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
@@ -107,7 +119,11 @@ def build(items: list[tuple[int, str | None]]) -> Segments:
     bitmap = np.zeros(1 << MAP_BITS, bool)
     bitmap[_slots(distinct)] = True
     bound = np.array([max(1, len(t) - Q + 1 - k * Q) for t, k in zip(texts, edits, strict=True)], np.int64)
-    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound, whole, tiny)
+    firsts = np.searchsorted(distinct, np.array([np.frombuffer(s, "<u8", 1)[0] for _, s in parts], np.uint64))
+    by = np.argsort(firsts, kind="stable")
+    ends_on = np.array([np.frombuffer(parts[j][1], "<u8") for j in by], np.uint64).reshape(-1, EXCERPT // Q)
+    excerpts = np.searchsorted(firsts[by], np.arange(len(distinct) + 1)), ends_on, [parts[j][0] for j in by]
+    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound, whole, excerpts, tiny)
 
 
 #: Characters that stand beside a word without being of it: marks, and letters of scripts without blanks.
@@ -193,7 +209,9 @@ def _regions(seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarr
 def match_folded(text: bytes, seg: Segments, windows: np.ndarray | None = None) -> dict[int, tuple[int, int, int, int]]:
     """item: (fewest edits of a segment, segments found, first start, last end) in bytes of the folded text."""
     grams = _windows(text + b"\0" * (Q - 1)) if windows is None else windows
-    out = _verify(text, seg, *_look_up(grams, seg))
+    hits = _hits(grams, seg)
+    out = _verify(text, seg, *_look_up(*hits, seg))
+    _add_excerpts(out, [e[1:] for e in _excerpts(*hits, grams, seg, np.array([0]))])
     for _, item, a, b in _tiny(text, grams, seg, np.array([0])):
         _add(out, item, 0, a, b)
     return out
@@ -221,17 +239,51 @@ def _tiny(text: bytes, grams: np.ndarray, seg: Segments, starts: np.ndarray) ->
                 yield g, item, first - int(starts[g]), last + n - int(starts[g])
 
 
-def _look_up(grams: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hits(grams: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
+    """Positions that hold a q-gram of an item, and which."""
     pos = np.flatnonzero(seg.bitmap[_slots(grams)]) if len(seg.grams) else np.empty(0, np.int64)
-    if len(pos):
-        i = np.minimum(np.searchsorted(seg.grams, grams[pos]), len(seg.grams) - 1)
-        real = seg.grams[i] == grams[pos]
-        pos, i = pos[real], i[real]
+    if not len(pos):
+        return pos, pos
+    i = np.minimum(np.searchsorted(seg.grams, grams[pos]), len(seg.grams) - 1)
+    real = seg.grams[i] == grams[pos]
+    return pos[real], i[real]
+
+
+def _spread(pos: np.ndarray, i: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position with each occurrence of its q-gram."""
+    n = starts[i + 1] - starts[i]
+    return np.repeat(pos, n), np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _look_up(pos: np.ndarray, i: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(pos):
         return (np.empty(0, np.int64),) * 3
-    n = seg.starts[i + 1] - seg.starts[i]
-    occ = np.repeat(seg.starts[i] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    return np.repeat(pos, n), seg.owner[occ], seg.offset[occ]
+    pos, occ = _spread(pos, i, seg.starts)
+    return pos, seg.owner[occ], seg.offset[occ]
+
+
+def _excerpts(pos: np.ndarray, i: np.ndarray, grams: np.ndarray, seg: Segments, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, start, end) of each place that holds an excerpt as it is."""
+    first, grams_of, items = seg.excerpts
+    if not len(pos) or not items:
+        return
+    pos, e = _spread(pos, i, first)
+    inside = pos + EXCERPT - Q < len(grams)
+    pos, e = pos[inside], e[inside]
+    for k in range(1, EXCERPT // Q):
+        same = grams[pos + k * Q] == grams_of[e, k]
+        pos, e = pos[same], e[same]
+    which = np.searchsorted(starts, pos, side="right") - 1
+    for g, a, k in zip(which.tolist(), (pos - starts[which]).tolist(), e.tolist(), strict=True):
+        yield g, items[k], a, a + EXCERPT
+
+
+def _add_excerpts(out: dict[int, tuple[int, int, int, int]], excerpts: list[tuple[int, int, int]]) -> None:
+    """Excerpts count only where nothing longer of their item is found."""
+    found = set(out)
+    for item, a, b in excerpts:
+        if item not in found:
+            _add(out, item, 0, a, b)
 
 
 def _verify(text: bytes, seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
@@ -300,7 +352,8 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     joined = gap.join(f for _, f in group)
     starts = np.cumsum([0, *(len(f) + Q for _, f in group)])
     grams = _windows(joined + b"\0" * (Q - 1))
-    pos, owner, offset = _look_up(grams, seg)
+    hits = _hits(grams, seg)
+    pos, owner, offset = _look_up(*hits, seg)
     which = np.searchsorted(starts, pos, side="right") - 1
     out = []
     # Most documents share a few q-grams with many segments: only those that reach a segment's bound go on.
@@ -310,10 +363,14 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     tiny: dict[int, list[tuple[int, int, int]]] = {}
     for g, *hit in _tiny(joined, grams, seg, starts):
         tiny.setdefault(g, []).append(hit)
-    for g in sorted({*which.tolist(), *tiny}):
+    excerpts: dict[int, list[tuple[int, int, int]]] = {}
+    for g, *hit in _excerpts(*hits, grams, seg, starts):
+        excerpts.setdefault(g, []).append(hit)
+    for g in sorted({*which.tolist(), *tiny, *excerpts}):
         mine = which == g
         k, folded = group[g]
         found = _verify(folded, seg, pos[mine] - starts[g], owner[mine], offset[mine])
+        _add_excerpts(found, excerpts.get(g, []))
         for item, a, b in tiny.get(g, ()):
             _add(found, item, 0, a, b)
         for item, (e, n, a, b) in sorted(found.items()):

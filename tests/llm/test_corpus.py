@@ -307,6 +307,17 @@ def test_short_items_and_scripts_without_blanks(spark):
     assert all(set(op10.match_folded(op10.fold(t), seg)) == w for _, t, w in docs)
 
 
+def test_excerpts_of_long_items():
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(3, 9))) for _ in range(500)]
+    item = " ".join(rng.choices(words, k=60))
+    other = " ".join(rng.choices(words, k=40))
+    seg, n = op10.build([(1, item)]), op10.EXCERPT + op10.STRIDE - 1
+    for s in range(len(item) - n + 1):
+        assert set(op10.match_folded(f"{other} {item[s : s + n]} {other}".encode(), seg)) == {1}
+    assert not op10.match_folded(other.encode(), seg) and not op10.match_folded(f"{other} {item[:40]} {other}".encode(), seg)
+
+
 # ---------------------------------------------------------------- pipeline
 
 
