@@ -290,7 +290,7 @@ _SHAPES = {
 LEAST_RATE = 1e-9
 
 
-def robust_fit(t: np.ndarray, y: np.ndarray, model: str, steps: int = 120) -> np.ndarray | None:
+def robust_fit(t: np.ndarray, y: np.ndarray, model: str, steps: int = 10_000) -> np.ndarray | None:
     """Levenberg-Marquardt for the soft L1 loss 2 (sqrt(1 + r^2) - 1), rates kept positive by projection; None if it diverges."""
     f, start, rates = _SHAPES[model]
     p = np.array(start(y.min(), y.max(), y.mean()), float)
@@ -324,7 +324,7 @@ def robust_fit(t: np.ndarray, y: np.ndarray, model: str, steps: int = 120) -> np
                 p, now, damp = q, new, max(damp / 5, 1e-12)
                 break
             damp *= 4
-        if not moved or gain <= 1e-7 * max(now, 1e-10):
+        if not moved or gain <= 1e-10 * max(now, 1e-10):
             break
     return p
 

@@ -279,6 +279,15 @@ def test_baseline_fit(model):
     assert kn.fit_f0(t[:1], y[:1], t[:3])[1] == "constant" and kn.fit_f0(t[:0], y[:0], t[:3])[0].tolist() == [0, 0, 0]
 
 
+@pytest.mark.parametrize("case", [15, 37])
+def test_baseline_fit_runs_to_its_end(case):
+    rng, t = np.random.default_rng(3), np.arange(400.0)
+    for n in [64] * 60 + [400] * (case + 1):
+        x = np.arange(float(n))
+        y = rng.uniform(0.2, 3) * np.exp(-rng.uniform(0.005, 0.05) * x) + rng.uniform(0.2, 3) * np.exp(-rng.uniform(0.0002, 0.004) * x) + rng.uniform(0, 2) + rng.normal(0, 0.03, n)
+    assert kn.fit_f0(t, y, t)[1] == "double_exp"
+
+
 def test_principal_components(spark):
     x = np.random.default_rng(3).normal(size=(40, 5)) @ np.diag([5, 3, 1, 0.5, 0.1])
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "trial long, dff array<double>")
