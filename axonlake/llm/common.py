@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in an Arrow batch, so that a batch of long texts stays small in a Python worker.
+#: Rows and bytes that a Python worker takes at a time, so that long texts stay small in its memory.
 BATCH_ROWS, BATCH_BYTES = 64, 8 << 20
 
 
@@ -16,18 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the Arrow batches that Python operators get."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The session's Arrow batches cut to so many rows, fewer where rows are long. The session's settings stay as they are."""
+    for b in batches:
+        each = max(1, min(rows, BATCH_BYTES * b.num_rows // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, each):
+            yield b.slice(at, each)
 
 
 def give_back() -> None:
     """Returns what this process has freed to the system: workers live on between tasks, beside the executor's heap."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -37,22 +39,35 @@ def give_back() -> None:
 
 def mapped(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in small batches; the worker's memory is given back when a task ends."""
-    small_batches(df.sparkSession, rows)
 
     def run(batches: Iterator) -> Iterator:
         try:
-            yield from function(batches)
+            yield from function(pieces(batches, rows))
         finally:
             give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """df's columns as one struct `row`, so that none clashes with a name of ours, and more columns beside it."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.struct(F.lit(None).alias("none"))
+    return df.select(whole.alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The caller's columns again."""
+    return df.select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share. On one machine, where none is named, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="axonlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -87,14 +102,36 @@ def drop(*tables: DataFrame | None) -> None:
             _remove(sc._jvm, sc._jsc.hadoopConfiguration(), path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+class Scratch:
+    """Scratch tables of one operator; as a context, deletes what is left of them at its end, also after a failure."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(saved(df, name))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        drop(*tables)
+        self.tables = [t for t in self.tables if all(t is not x for x in tables)]
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        drop(*self.tables)
+        self.tables = []
+
+
+def kept(df: DataFrame, name: str, cell: str | None = None) -> DataFrame:
     """saved(), for what a lazy result still reads: a checkpoint, whose files Spark's cleaner removes with the last plan that uses them.
 
-    Written as Parquet first, as checkpoint() computes its input twice.
+    Written as Parquet first, as checkpoint() computes its input twice. cell names a column with the number of the task that read a row.
     """
     shared_dir(df.sparkSession)
     first = saved(df, name)
-    out = first.checkpoint()
+    out = (first.withColumn(cell, F.spark_partition_id()) if cell else first).checkpoint()
     drop(first)
     return out
 

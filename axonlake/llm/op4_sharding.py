@@ -1,9 +1,11 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
 Groups are equal texts, ordered by a 128-bit hash of the text. The smallest shard capacity for which a greedy
-walk over the ordered group sizes needs at most n shards is found by binary search, and the cuts of that walk
-are taken. The walk runs on the driver over bounded histograms only: a level splits each range of keys that
-can still hold a cut, and the next level zooms into these, until the ranges are single groups or few.
+walk over the ordered group sizes needs at most n shards is found by binary search. The search runs on the driver
+over a bounded histogram of key ranges: a walk that may stop anywhere in a range bounds the capacity from below,
+one that stops between ranges bounds it from above, and only ranges in which a walk between both bounds can stop
+are split further, a bounded number at a time, until the bounds meet. The cuts keep to the capacity found, as near to equal
+sizes as it allows.
 
 Plan: one pass over the texts keeps (id, size, crc, two hashes); everything later reads that narrow table.
 """
@@ -11,158 +13,170 @@ Plan: one pass over the texts keeps (id, size, crc, two hashes); everything late
 from __future__ import annotations
 
 from bisect import bisect_right
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import drop, kept, saved, table
 
-#: Bits by which a level splits a range of keys: the first level has at most 2**LEVEL_BITS ranges.
+#: Bits by which a level splits ranges of keys: a level gives about 2**LEVEL_BITS ranges at most.
 LEVEL_BITS = 14
 #: Ranges whose groups number fewer than this in all are read group by group.
-LEAF_GROUPS = 50_000
-#: For slots: rows of a shard are counted in cells of so many key ranges times so many salts.
-CELL_BITS, SALTS = 8, 16
+LEAF_GROUPS = 1 << LEVEL_BITS
 
 
-def _greedy(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
-    """Index of the first item of each shard but the first, or None if capacity doesn't suffice."""
-    cuts, used = [], 0
-    for i, s in enumerate(sizes):
-        if s > capacity:
-            return None
-        if used + s > capacity:
-            cuts.append(i)
-            used = 0
-            if len(cuts) >= shards:
-                return None
-        used += s
-    return cuts
+def _unsigned(c: Column) -> Column:
+    """Orders the 64-bit hash from 0: the sign bit is flipped away by a shift to 63 bits."""
+    return F.shiftrightunsigned(c, 1)
 
 
-def smallest_capacity(sizes: list[int], shards: int) -> int:
-    """Smallest capacity for which the greedy walk needs at most that many shards (0 for no items)."""
-    if not sizes:
-        return 0
-    low, high = max(max(sizes), -(-sum(sizes) // shards)), sum(sizes)
-    while low < high:
-        mid = (low + high) // 2
-        if _greedy(sizes, mid, shards) is None:
-            low = mid + 1
-        else:
-            high = mid
-    return low
+class Atom(NamedTuple):
+    """A range of keys: k1 from start on, its lower `shift` bits free. Of one group alone, it can't be cut; k2 tells groups of equal k1 apart."""
+
+    start: int
+    k2: int | None
+    shift: int
+    size: int
+    groups: int
 
 
-def _fits(prefix: list[int], capacity: int, shards: int) -> list[int] | None:
-    """_greedy by bisection over prefix sums: shards steps instead of one for each item."""
-    cuts, start, n = [], 0, len(prefix) - 1
+def _walk(prefix: list[int], atoms: list[Atom], capacity: int, shards: int, inside: bool, at: int = 0) -> list[int] | None:
+    """Where the greedy walk ends each shard, in size units, or None if it needs more shards.
+
+    inside: it may stop anywhere in a range of several groups, so no real walk gets further; else only between ranges.
+    """
+    ends, total = [], prefix[-1]
     for _ in range(shards):
-        end = bisect_right(prefix, prefix[start] + capacity) - 1
-        if end >= n:
-            return cuts
-        if end == start:
+        if at + capacity >= total:
+            return [*ends, total]
+        i = bisect_right(prefix, at + capacity) - 1
+        end = at + capacity if inside and atoms[i].groups > 1 else prefix[i]
+        if end <= at:
             return None
-        cuts.append(end)
-        start = end
+        ends.append(end)
+        at = end
     return None
 
 
-def _search(sizes: list[int], shards: int, low: int = 0) -> tuple[int, list[int]]:
-    prefix = [0]
-    for s in sizes:
-        prefix.append(prefix[-1] + s)
-    low, high = max(low, max(sizes), -(-prefix[-1] // shards)), prefix[-1]
+def _least(prefix: list[int], atoms: list[Atom], shards: int, inside: bool, low: int) -> int:
+    """Smallest capacity of low or more for which the walk suffices."""
+    high = prefix[-1]
     while low < high:
         mid = (low + high) // 2
-        if _fits(prefix, mid, shards) is None:
+        if _walk(prefix, atoms, mid, shards, inside) is None:
             low = mid + 1
         else:
             high = mid
-    return low, _fits(prefix, low, shards) or []
+    return low
 
 
-def _unsigned(c: Column) -> Column:
-    """Orders the 64-bit hash from 0: the sign bit is flipped away by a shift to 63 bits."""
-    return F.shiftrightunsigned(c, 1)
+def _prefix(atoms: list[Atom]) -> list[int]:
+    prefix = [0]
+    for a in atoms:
+        prefix.append(prefix[-1] + a.size)
+    return prefix
+
+
+def _to_split(atoms: list[Atom], prefix: list[int], shards: int, low: int, high: int) -> list[int]:
+    """Ranges of several groups in which a walk with a capacity from low to high may stop; first those larger than low."""
+    large = [i for i, a in enumerate(atoms) if a.size > low and a.groups > 1]
+    if large:  # fewer than shards
+        return large
+    near: set[int] = set()
+    first = last = 0
+    for _ in range(shards):
+        first = prefix[bisect_right(prefix, first + low) - 1]  # no range is larger than low, so this goes on
+        last = min(prefix[-1], last + high)
+        near.update(range(bisect_right(prefix, first) - 1, min(bisect_right(prefix, last), len(atoms))))
+    several = [i for i in near if i < len(atoms) and atoms[i].groups > 1]
+    return sorted(several, key=lambda i: -atoms[i].size)[: 1 << LEVEL_BITS - 1]
+
+
+def _heavy(sizes: list[int], shards: int) -> list[int]:
+    """Items larger than a fair part of what the larger ones leave: each gets a shard to itself. Fewer than shards."""
+    order, total, n = sorted(range(len(sizes)), key=lambda i: -sizes[i]), sum(sizes), 0
+    while n < min(len(sizes), shards - 1) and sizes[order[n]] * (shards - n) > total:
+        total -= sizes[order[n]]
+        n += 1
+    return sorted(order[:n])
+
+
+def _balanced(prefix: list[int], atoms: list[Atom], capacity: int, shards: int) -> list[int]:
+    """First atom of each shard but the first: a shard takes its part of what is left, up to the capacity, and so much that the rest fits."""
+    cuts, at, total = [], 0, prefix[-1]
+    heavy = _heavy([a.size for a in atoms], shards)
+    for left in range(shards, 1, -1):
+        most = bisect_right(prefix, prefix[at] + capacity) - 1
+        alone = [i for i in heavy if i >= at]
+        part = (total - prefix[at] - sum(atoms[i].size for i in alone)) // max(1, left - len(alone))
+        end = bisect_right(prefix, prefix[at] + part) - 1
+        if end < len(atoms) and prefix[end + 1] - prefix[at] - part < prefix[at] + part - prefix[end]:
+            end += 1  # nearer
+        if alone:
+            end = at + 1 if alone[0] == at else min(end, alone[0])
+        end = min(max(end, at + 1), most)
+
+        def fits(i: int, left: int = left) -> bool:
+            return _walk(prefix, atoms, capacity, left - 1, False, prefix[i]) is not None
+
+        if not fits(end):
+            low, high = end + 1, most  # the further a shard reaches, the less is left: the nearest end that fits
+            while low < high:
+                mid = (low + high) // 2
+                if fits(mid):
+                    high = mid
+                else:
+                    low = mid + 1
+            end = low
+        at = end
+        if at >= len(atoms):
+            break
+        cuts.append(at)
+    return cuts
 
 
-def minimax_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int]]:
-    """First key (k1, k2) of each shard but the first. groups: k1 long (63 bits), k2 long, size long.
+def minimax_cuts(groups: DataFrame, shards: int) -> list[tuple[int, int | None]]:
+    """First key (k1, k2) of each shard but the first. groups: k1 long (63 bits), k2 long, size long; k2 is null where k1 suffices.
 
-    The lower bound of the capacity is max(largest group, total / shards). With ranges of keys as atoms, the
-    search gives an upper bound; the j-th cut of any feasible greedy walk between both bounds lies between
-    the walks' positions at the two bounds, so only ranges there are split further. All other ranges stay
-    whole, as a walk can't stop inside them.
+    A level brings about 2**LEVEL_BITS rows at most to the driver, whatever the groups; each splits every range chosen at
+    least in two, so there are 63 levels at most, and about log(groups) of them in practice.
     """
-    top = groups.agg(F.sum("size"), F.max("size"), F.count("*")).first()
+    top = groups.agg(F.sum("size"), F.max("size")).first()
     if not top[0]:
         return []
-    least = max(top[1], -(-top[0] // shards))
-    # A leaf is (key k1 from, bits below, size, groups, k2 or None); ordered by key.
-    shift = 63 - LEVEL_BITS
-    rows = groups.groupBy(F.shiftright("k1", shift).alias("c")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    atoms = sorted((r["c"] << shift, shift, r["s"], r["n"], None) for r in rows)
+    atoms = _split(groups, [Atom(0, None, 63, top[0], 2)], LEVEL_BITS)
+    low = max(top[1], -(-top[0] // shards))
     while True:
-        sizes = [a[2] for a in atoms]
-        best, cuts = _search(sizes, shards)
-        prefix = [0]
-        for s in sizes:
-            prefix.append(prefix[-1] + s)
-        near: set[int] = set()
-        low_at = high_at = 0  # positions of the j-th cut, in size units: no later than at the upper bound
-        for _ in range(shards):
-            high_at = min(prefix[-1], high_at + best)
-            low_at = _walk_back(prefix, low_at, least)
-            first, last = bisect_right(prefix, low_at) - 1, bisect_right(prefix, high_at) - 1
-            near.update(i for i in range(max(0, first), min(last, len(atoms) - 1) + 1) if atoms[i][3] > 1)
-        if not near:
-            return [(atoms[i][0], atoms[i][4]) if atoms[i][4] is not None else (atoms[i][0], None) for i in cuts]
-        total = sum(atoms[i][3] for i in near)
-        split = [atoms[i] for i in sorted(near)]
-        keep = [a for i, a in enumerate(atoms) if i not in near]
-        if total <= LEAF_GROUPS or min(a[1] for a in split) == 0:
-            keep += _read(groups, split)
-        else:
-            keep += _zoom(groups, split)
-        atoms = sorted(keep, key=lambda a: (a[0], a[4] is not None, a[4] or 0))
+        prefix = _prefix(atoms)
+        high = _least(prefix, atoms, shards, False, low)
+        low = _least(prefix, atoms, shards, True, low)
+        if low == high:
+            return [(atoms[i].start, atoms[i].k2) for i in _balanced(prefix, atoms, high, shards)]
+        chosen = set(_to_split(atoms, prefix, shards, low, high))
+        split = [atoms[i] for i in chosen]
+        bits = max(1, LEVEL_BITS - (len(split) - 1).bit_length())
+        atoms = sorted([a for i, a in enumerate(atoms) if i not in chosen] + _split(groups, split, bits), key=lambda a: (a.start, a.k2 is not None, a.k2 or 0))
 
 
-def _walk_back(prefix: list[int], start: int, least: int) -> int:
-    """Where a greedy walk with the lower bound is certain to have got: the atom that it stops in may be split at its start."""
-    end = bisect_right(prefix, start + least) - 1
-    return prefix[end] if prefix[end] > start else start
-
-
-def _ranges(split: list[tuple]) -> list[tuple[int, int]]:
-    """Merged [from, to) of the key ranges that are read again."""
-    out: list[list[int]] = []
-    for a in split:
-        lo, hi = a[0], a[0] + (1 << a[1])
-        if out and out[-1][1] == lo:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
+def _split(groups: DataFrame, split: list[Atom], bits: int) -> list[Atom]:
+    """The ranges as smaller ones; as single groups where these are few, or where equal k1 leave nothing else.
 
-def _within(split: list[tuple]) -> Column:
-    cond = F.lit(False)
-    for lo, hi in _ranges(split):
-        cond = cond | ((F.col("k1") >= lo) & (F.col("k1") <= hi - 1))
-    return cond
-
-
-def _read(groups: DataFrame, split: list[tuple]) -> list[tuple]:
-    return [(r["k1"], 0, r["size"], 1, r["k2"]) for r in groups.where(_within(split)).select("k1", "k2", "size").collect()]
-
-
-def _zoom(groups: DataFrame, split: list[tuple]) -> list[tuple]:
-    shift = max(0, max(a[1] for a in split) - 6)
-    rows = groups.where(_within(split)).groupBy(F.shiftright("k1", shift).alias("c")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
-    return [(r["c"] << shift, shift, r["s"], r["n"], None) for r in rows]
+    Rows find their range by an equality with its shift and prefix, a join with a table of bounded size for each shift.
+    """
+    spark, out = groups.sparkSession, []
+    alone = sum(a.groups for a in split) <= LEAF_GROUPS
+    for shift in sorted({a.shift for a in split}):
+        mine = [(a.start >> shift,) for a in split if a.shift == shift]
+        rows = groups.withColumn("c", F.shiftright("k1", shift)).join(F.broadcast(spark.createDataFrame(mine, "c long")), "c") if shift < 63 else groups
+        if shift == 0 or (alone and shift < 63):
+            out += [Atom(r["k1"], r["k2"], 0, r["size"], 1) for r in rows.select("k1", "k2", "size").collect()]
+            continue
+        to = max(0, shift - bits)
+        parts = rows.groupBy(F.shiftright("k1", to).alias("part")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+        out += [Atom(r["part"] << to, None, to, r["s"], r["n"]) for r in parts]
+    return out
 
 
 def shard_of(cuts: list[tuple[int, int]]) -> Column:
@@ -178,39 +192,33 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """Puts every row into a shard so that the largest shard's bytes are as few as contiguous groups allow.
 
     Returns the id, size, text_crc32, shard and slot (0, 1, ... in each shard). Rows of equal text share a
-    shard. A null text has no bytes: size 1, crc 0, and is one group with the empty text's rows kept apart
-    (null and empty are different groups). Repeated rows each get a slot of their own; an empty table gives
-    no rows; other columns are ignored. Ties: equal hashes of 126 bits count as equal texts.
+    shard, so one of more than its part of all bytes sets the capacity; the other shards stay near equal. A null text has no bytes:
+    size 1, crc 0, and is a group of its own beside that of empty texts. Repeated rows each get a slot of their own; an empty table
+    gives no rows; other columns are ignored. Ties: equal hashes of 126 bits count as equal texts; rows of equal text and id are
+    numbered in any order. Slots count the rows of a shard within the tasks that read the narrow table, and then over tasks, so no
+    task sorts more rows than it read, however many are alike.
     """
     text = F.col(text_col)
-    rows = kept(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-            _unsigned(F.xxhash64(F.lit(17), text)).alias("k1"),
-            _unsigned(F.xxhash64(text, F.lit(71))).alias("k2"),
-        ),
-        "shard-rows",
+    narrow = docs.select(
+        F.col(id_col).alias("doc_id"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+        _unsigned(F.xxhash64(F.lit(17), text)).alias("k1"),
+        _unsigned(F.xxhash64(text, F.lit(71))).alias("k2"),
     )
+    rows = kept(narrow, "shard-rows", cell="cell")
     groups = saved(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size")), "shard-groups")
-    cuts = minimax_cuts(groups, shards)
-    drop(groups)
-    placed = rows.withColumn("shard", shard_of(cuts)).withColumn(
-        "cell", F.shiftright("k1", 63 - CELL_BITS) * SALTS + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    )
-    counts = placed.groupBy("shard", "cell").count().collect()  # at most (2**CELL_BITS + shards) * SALTS rows
-    seen: dict[int, int] = {}
-    offsets = []
-    for r in sorted(counts, key=lambda r: (r["shard"], r["cell"])):
-        offsets.append((r["shard"], r["cell"], seen.get(r["shard"], 0)))
-        seen[r["shard"]] = seen.get(r["shard"], 0) + r["count"]
-    kind = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("cell", T.LongType()), T.StructField("before", T.LongType())])
-    before = docs.sparkSession.createDataFrame(offsets, kind)
+    try:
+        cuts = minimax_cuts(groups, shards)
+    finally:
+        drop(groups)
+    placed = rows.withColumn("shard", shard_of(cuts))
+    earlier = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("shard", "cell").count()  # a row for each task and shard
+    before = counts.select("shard", "cell", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
     order = Window.partitionBy("shard", "cell").orderBy("k1", "k2", "doc_id")
-    out = placed.withColumn("at", F.row_number().over(order)).join(F.broadcast(before), ["shard", "cell"])
-    out = out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
-    return out
+    out = placed.withColumn("at", F.row_number().over(order)).join(before, ["shard", "cell"])
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("at") - 1).alias("slot"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,13 +89,82 @@ def test_mixing_without_labels_or_rows(spark):
 # ---------------------------------------------------------------- 4
 
 
+def _greedy(sizes: list[int], capacity: int, shards: int) -> list[int] | None:
+    """Index of the first item of each shard but the first, or None if capacity doesn't suffice."""
+    cuts, used = [], 0
+    for i, s in enumerate(sizes):
+        if s > capacity:
+            return None
+        if used + s > capacity:
+            cuts.append(i)
+            used = 0
+            if len(cuts) >= shards:
+                return None
+        used += s
+    return cuts
+
+
+def smallest_capacity(sizes: list[int], shards: int) -> int:
+    """Smallest capacity for which the greedy walk needs at most that many shards (0 for no items)."""
+    if not sizes:
+        return 0
+    low, high = max(max(sizes), -(-sum(sizes) // shards)), sum(sizes)
+    while low < high:
+        mid = (low + high) // 2
+        if _greedy(sizes, mid, shards) is None:
+            low = mid + 1
+        else:
+            high = mid
+    return low
+
+
 def test_smallest_capacity_by_trial():
     rng = random.Random(4)
     for _ in range(200):
         sizes, k = [rng.randrange(1, 30) for _ in range(rng.randrange(1, 12))], rng.randrange(1, 6)
         cuts = itertools.chain.from_iterable(itertools.combinations(range(1, len(sizes)), j) for j in range(min(k, len(sizes))))
         best = min(max(sum(sizes[a:b]) for a, b in zip((0, *c), (*c, len(sizes)), strict=True)) for c in cuts)
-        assert op4.smallest_capacity(sizes, k) == best and op4._search(sizes, k)[0] == best
+        atoms = [op4.Atom(i, None, 0, s, 1) for i, s in enumerate(sizes)]
+        prefix = op4._prefix(atoms)
+        assert smallest_capacity(sizes, k) == best == op4._least(prefix, atoms, k, False, max(sizes))
+        cuts = op4._balanced(prefix, atoms, best, k)
+        assert len(cuts) < k and max(sum(sizes[a:b]) for a, b in zip((0, *cuts), (*cuts, len(sizes)), strict=True)) == best
+
+
+@pytest.mark.parametrize("heavy", [0, 0.05, 0.5])
+def test_cuts_bring_few_ranges_to_the_driver(spark, monkeypatch, heavy):
+    """50,000 groups, one of which may hold half of all bytes: few rows come to the driver, and the capacity is the least there is."""
+    rng = np.random.default_rng(7)
+    n, came = 50_000, []
+    keys, sizes = rng.choice(1 << 62, n, replace=False), rng.integers(1, 9000, n)
+    sizes[123] = max(sizes[123], int(sizes.sum() * heavy / (1 - heavy)))
+    groups = spark.createDataFrame(list(zip(keys.tolist(), range(n), sizes.tolist(), strict=True)), "k1 long, k2 long, size long").cache()
+    split = op4._split
+    monkeypatch.setattr(op4, "_split", lambda *a: (came.append(len(got := split(*a))), got)[1])
+    cuts = op4.minimax_cuts(groups, 16)
+    order = np.argsort(keys)
+    bounds = [0, *np.searchsorted(keys[order], [k for k, _ in cuts]).tolist(), n]
+    shards = [int(sizes[order][a:b].sum()) for a, b in itertools.pairwise(bounds)]
+    assert max(shards) == smallest_capacity(sizes[order].tolist(), 16)
+    assert max(came) <= 2 << op4.LEVEL_BITS and len(came) <= 8
+    if heavy < 0.5:
+        assert min(shards) > 0.9 * max(shards)
+    else:
+        others = sorted(shards)[:-1]
+        assert len(shards) >= 15 and others[-1] < 1.5 * others[1]
+    groups.unpersist()
+
+
+@pytest.mark.parametrize("bits", [3, 1])
+def test_equal_first_keys_are_told_by_the_second(spark, monkeypatch, bits):
+    monkeypatch.setattr(op4, "LEVEL_BITS", bits)
+    monkeypatch.setattr(op4, "LEAF_GROUPS", 0)
+    rows = [(5 + i // 40, i, 1 + i % 7) for i in range(200)]
+    cuts = op4.minimax_cuts(spark.createDataFrame(rows, "k1 long, k2 long, size long"), 6)
+    shards = [0] * 6
+    for k1, k2, s in rows:
+        shards[sum(k1 > a or (k1 == a and (b is None or k2 >= b)) for a, b in cuts)] += s
+    assert max(shards) == smallest_capacity([s for _, _, s in rows], 6)
 
 
 @pytest.mark.parametrize("leaf", [50_000, 0])
@@ -120,7 +189,7 @@ def test_shards(spark, monkeypatch, leaf):
     keyed = docs.select(op4._unsigned(F.xxhash64(F.lit(17), "text")).alias("k1"), op4._unsigned(F.xxhash64("text", F.lit(71))).alias("k2"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("s"))
     order = [r["s"] for r in keyed.groupBy("k1", "k2").agg(F.sum("s").alias("s")).orderBy("k1", "k2").collect()]
     most = max(sum(r["size"] for r in got if r["shard"] == s) for s in range(16))
-    assert most == op4.smallest_capacity(order, 16)
+    assert most == smallest_capacity(order, 16)
 
 
 def test_shards_of_nothing(spark):
