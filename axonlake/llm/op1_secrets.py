@@ -1,15 +1,16 @@
 """Secret scan: pattern spans plus dictionary-primed zstandard novelty.
 
 A candidate is a long run of secret-like characters that follows a sensitive word closely. Its novelty is the
-number of bytes that it adds to the compressed size of the text around it, divided by its length; the
-compressor is primed with a dictionary of common identifiers and with the text before. A name or a
-repeated word adds a few bytes, a key adds nearly all of its entropy. Pattern hits are measured alike and
-always reported.
+number of bytes that it adds to the compressed size of the text around it, before and after, divided by its
+length; the compressor is primed with a dictionary of common identifiers and word parts. A name or a
+repeated word adds a few bytes, a key adds nearly all of its own. Every candidate is measured, and nothing but its novelty decides.
+Pattern hits are measured alike and always reported.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,15 +28,15 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 
 #: Words after which a string may be secret, in lower case.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "authorization")
-_WORDS = {w: re.compile(re.escape(w), re.IGNORECASE) for w in SENSITIVE}
+_WORDS = {w: re.compile(re.escape(w), re.IGNORECASE | re.ASCII) for w in SENSITIVE}
 #: A candidate starts at most so many characters after such a word.
 REACH = 48
 LEAST = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
-#: Characters before a candidate that prime the compressor, besides the dictionary.
+#: Characters before a candidate, and after it, that prime the compressor besides the dictionary.
 CONTEXT = 256
 #: Least marginal compressed bytes for each character of a candidate.
-NOVELTY = 0.6
+NOVELTY = 0.75
 
 #: Identifiers and code that the compressor knows beforehand.
 IDENTIFIERS = (
@@ -44,7 +45,12 @@ IDENTIFIERS = (
     "function return class import public private static void string boolean integer default null undefined true false "
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef xxxxxxxxxxxxxxxx 0000000000000000 "
     'your_api_key_here your-secret-here changeme placeholder = "" : "" \' \' os.environ getenv process.env config.get settings '
-    "the of and to in is that for with this from application service account request response header session"
+    "the of and to in is that for with this from application service account request response header session "
+    "characteristically responsibility internationalization communication representation administration implementation transformation "
+    "understanding organization experience government particularly individual difference consideration establishment environmental "
+    "professional relationship investigation interpretation recommendation unfortunately extraordinary circumstances straightforward "
+    "counter-productive self-explanatory well-established time-consuming state-of-the-art hexadecimal certificate fingerprint identifier "
+    "/usr/local/share/lib/python/site-packages/include/src/main/resources/ https://www.example.com/index.html ================ ---------------- ________________"
 )
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int,value:string,marginal:int,novelty:double>>"
@@ -57,9 +63,11 @@ class Novelty:
         words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.packer = zstandard.ZstdCompressor(level=6, dict_data=words, write_content_size=False, write_checksum=False)
 
-    def marginal(self, before: str, value: str) -> int:
-        prefix = before.encode("utf-8", "replace")
-        return len(self.packer.compress(prefix + value.encode("utf-8", "replace"))) - len(self.packer.compress(prefix))
+    def marginal(self, text: str, start: int, end: int) -> int:
+        """Bytes that text[start:end] adds to what stands around it; its own repetition after it doesn't make it known."""
+        value = text[start:end]
+        around = (text[max(0, start - CONTEXT) : start] + text[end : end + CONTEXT].replace(value, "")).encode("utf-8", "replace")
+        return len(self.packer.compress(around + value.encode("utf-8", "replace"))) - len(self.packer.compress(around))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -74,31 +82,31 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs that start within REACH after a sensitive word and outside of pattern hits, ordered."""
+    low = text.lower()  # tells only which words to look for: positions in it may differ from those in the text
+    ends = sorted({m.end() for w in SENSITIVE if w in low for m in _WORDS[w].finditer(text)})
+    starts, found, done = [s for s, _, _ in base], {}, 0
+    far = [0]  # the furthest end of the pattern hits up to each
+    for _, _, e in base:
+        far.append(max(far[-1], e))
+    for at in ends:
+        at = max(at, done)  # a run that starts where an earlier word looked is found already
+        for m in CANDIDATE.finditer(text, at, len(text)):
+            if m.start() > at + REACH:
+                break
+            if far[bisect_right(starts, m.start())] <= m.start():
+                found[m.start()] = m.end()
+    return sorted(found.items())
+
+
 def scan_text(text: str, novelty: Novelty) -> list[dict]:
     base = base_spans(text)
-    spans = list(base)
-    low = text.lower()
-    words = [w for w in SENSITIVE if w in low]
-    if words:
-        covered = {i for s, _, e in base for i in range(s, e)}
-        ends = sorted({m.end() for w in words for m in _WORDS[w].finditer(text)})  # in the text itself: lower() may move positions
-        seen = set()
-        for at in ends:
-            for m in CANDIDATE.finditer(text, at, min(len(text), at + REACH + LEAST)):
-                if m.start() > at + REACH:
-                    break
-                full = CANDIDATE.match(text, m.start())  # the run isn't cut at the end of the window
-                s, e = full.span()
-                v = full[0]
-                if s in seen or s in covered or not re.search(r"\d", v) or not re.search(r"[A-Za-z]", v) or len(set(v)) < 8:
-                    continue
-                seen.add(s)
-                if novelty.marginal(text[max(0, s - CONTEXT) : s], v) >= NOVELTY * len(v):
-                    spans.append((s, 3, e))
     out = []
-    for s, k, e in sorted(spans):
-        more = novelty.marginal(text[max(0, s - CONTEXT) : s], text[s:e])
-        out.append({"kind": KINDS[k], "start": s, "end": e, "value": text[s:e], "marginal": more, "novelty": more / (e - s)})
+    for s, k, e in sorted([*base, *((s, 3, e) for s, e in candidates(text, base))]):
+        more = novelty.marginal(text, s, e)
+        if k < 3 or more >= NOVELTY * (e - s):
+            out.append({"kind": KINDS[k], "start": s, "end": e, "value": text[s:e], "marginal": more, "novelty": more / (e - s)})
     return out
 
 
