@@ -1,9 +1,10 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Validated numbers and dates (payment cards by Luhn, IBANs by mod 97, social security numbers by their rules, phone
-numbers, IPv4 addresses, calendar dates) and the local parts of mail addresses are replaced by a keyed
-permutation of the values of the same format: digits stay digits, separators stay, check digits hold. Equal
-values get equal pseudonyms in every document, and the key's holder can invert them.
+numbers, IPv4 addresses, calendar dates) and mail addresses are replaced by a keyed
+permutation of the values of the same format: digits stay digits, separators, widths and letter case stay, check digits hold. Equal
+values get equal pseudonyms in every document, and the key's holder can invert them. The key is an argument; nothing in
+the source undoes a pseudonym.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import mapped, table
 
 ROUNDS = 10
-DEFAULT_KEY = b"axonlake pseudonyms: replace with a secret key"
+#: Setting with the key, in hexadecimal digits. Where it is unset, a key is drawn at random for the application and forgotten with it.
+KEY_SETTING = "spark.axonlake.pseudonymKey"
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -96,11 +100,18 @@ class Pseudonyms:
         return self._digits(value, d[:keep] + str(self._step("phone", 10 ** len(body), int(body))).zfill(len(body)))
 
     def ip(self, value: str) -> str:
-        x = 0
-        for part in value.split("."):
-            x = x * 256 + int(part)
-        x = self._step("ip", 1 << 32, x)
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
+        """An address whose parts are as wide as they were."""
+        parts = value.split(".")
+        low = [10 ** (len(p) - 1) if len(p) > 1 and p[0] != "0" else 0 for p in parts]
+        base = [min(256, 10 ** len(p) if p[0] != "0" or len(p) == 1 else 10 ** (len(p) - 1)) - a for p, a in zip(parts, low, strict=True)]
+        size, x = 1, 0
+        for p, a, n in zip(parts, low, base, strict=True):
+            size, x = size * n, x * n + int(p) - a
+        x, out = self._step(f"ip{low}{base}", size, x), []
+        for p, a, n in zip(reversed(parts), reversed(low), reversed(base), strict=True):
+            x, at = divmod(x, n)
+            out.append(str(a + at).zfill(len(p)))
+        return ".".join(reversed(out))
 
     def iban(self, value: str) -> str:
         plain = re.sub(r"\s", "", value)
@@ -112,32 +123,41 @@ class Pseudonyms:
         return "".join(c if c.isspace() else next(it) for c in value)
 
     def email(self, value: str) -> str:
+        """Letters and digits of the local part, and of the domain but its last label; addresses that differ in case alone stay so."""
         local, _, domain = value.rpartition("@")
+        name, dot, top = domain.rpartition(".")
+        return f"{self._letters('email', local)}@{self._letters('domain', name)}{dot}{top}"
+
+    def _letters(self, tweak: str, value: str) -> str:
         size, x = 1, 0
-        for c in local:
+        for c in value:
             base, at = _alphabet(c)
             size, x = size * base, x * base + at
-        x = self._step("email" + "".join(_class(c) for c in local), size, x) if size > 1 else x
+        form = "".join(_class(c) for c in value)
+        x = self._step(tweak + form, size, x) if size > 1 else x
         out = []
-        for c in reversed(local):
+        for c, k in zip(reversed(value), reversed(form), strict=True):
             base, _ = _alphabet(c)
             x, at = divmod(x, base)
-            out.append(c if base == 1 else chr(ord(_class(c)) + at))
-        return "".join(reversed(out)) + "@" + domain
+            new = c if base == 1 else chr(ord(k) + at)
+            out.append(new.upper() if "A" <= c <= "Z" else new)
+        return "".join(reversed(out))
 
     def date(self, value: str) -> str:
-        y, m, d, form = parse_date(value)
-        new = date.fromordinal(FIRST_DAY + self._step("date", LAST_DAY - FIRST_DAY + 1, date(y, m, d).toordinal() - FIRST_DAY))
-        return form(new)
+        """A date among those that can be written in the same form, so that the pseudonym reads as the original does."""
+        day, form = parse_date(value)
+        n = LAST_DAY - FIRST_DAY + 1
+        new = self._step("date", n, day.toordinal() - FIRST_DAY, lambda x: form(date.fromordinal(FIRST_DAY + x)) is not None)
+        return form(date.fromordinal(FIRST_DAY + new))
 
 
 def _class(c: str) -> str:
-    return "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
+    return "a" if "a" <= c <= "z" or "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c
 
 
 def _alphabet(c: str) -> tuple[int, int]:
     k = _class(c)
-    return (10, ord(c) - 48) if k == "0" else (26, ord(c) - ord(k)) if k in "aA" else (1, 0)
+    return (10, ord(c) - 48) if k == "0" else (26, ord(c.lower()) - 97) if k == "a" else (1, 0)
 
 
 def digits(value: str) -> str:
@@ -171,33 +191,48 @@ def valid_phone(value: str) -> bool:
     return 7 <= len(d) <= 15 and (value.lstrip().startswith("+") or len(d) == 10 or (len(d) == 11 and d[0] == "1"))
 
 
-def parse_date(value: str):
-    """(year, month, day, formatter) of a calendar date from 1900 to 2099, or None. Slashed dates read day first if only that is valid, else month first."""
-    if m := re.fullmatch(r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", value):
-        y, mo, d, w1, w2, sep = int(m[1]), int(m[3]), int(m[4]), len(m[3]), len(m[4]), m[2]
-        form = lambda x: f"{x.year}{sep}{str(x.month).zfill(w1)}{sep}{str(x.day).zfill(w2)}"
-    elif m := re.fullmatch(r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4})", value):
-        a, b, y, sep, w1, w2 = int(m[1]), int(m[3]), int(m[4]), m[2], len(m[1]), len(m[3])
-        # The order is that of the separator, so that it can be told again after the permutation.
-        day_first = sep != "/"
-        mo, d = (b, a) if day_first else (a, b)
-        if day_first:
-            form = lambda x: f"{str(x.day).zfill(w1)}{sep}{str(x.month).zfill(w2)}{sep}{x.year}"
+def _number(x: int, old: str) -> str | None:
+    """x as wide as the old number was written, or None if it takes more."""
+    new = str(x).zfill(len(old))
+    return new if len(new) == len(old) else None
+
+
+def _month(x: int, old: str) -> str | None:
+    """The month's name in the old one's case; where that is mixed, only a name of the same length can take it."""
+    new = MONTHS[x - 1]
+    for case in (str.lower, str.upper, str.capitalize):
+        if old == case(old):
+            return case(new)
+    return "".join(c.upper() if o.isupper() else c for c, o in zip(new, old, strict=True)) if len(new) == len(old) else None
+
+
+def parse_date(value: str) -> tuple[date, Callable[[date], str | None]] | None:
+    """A calendar date from 1900 to 2099 and what writes another date in its form (None where that form can't), or None.
+
+    With blanks, points and hyphens the day comes first, with slashes the month, unless that is over 12: such a form
+    only takes days over 12, so that what is written is read again in the same order.
+    """
+    if m := re.fullmatch(r"([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})", value):
+        y, mo, d, parts = m[1], m[3], m[4], (lambda x, y, mo, d: (y, m[2], mo, m[2], d))
+    elif m := re.fullmatch(r"([0-9]{1,2})([-/.])([0-9]{1,2})\2([0-9]{4})", value):
+        if m[2] == "/" and int(m[1]) <= 12:
+            y, mo, d, parts = m[4], m[1], m[3], (lambda x, y, mo, d: (mo, m[2], d, m[2], y))
         else:
-            form = lambda x: f"{str(x.month).zfill(w1)}{sep}{str(x.day).zfill(w2)}{sep}{x.year}"
-            if mo > 12:  # 25/12/2001 is day first
-                mo, d = d, mo
-                form = lambda x: f"{str(x.day).zfill(w1)}{sep}{str(x.month).zfill(w2)}{sep}{x.year}"
-    elif (m := re.fullmatch(r"(\d{1,2})( +)([A-Za-z]+)( +)(\d{4})", value)) and m[3].lower() in MONTHS:
-        y, mo, d, s1, s2 = int(m[5]), MONTHS.index(m[3].lower()) + 1, int(m[1]), m[2], m[4]
-        form = lambda x: f"{x.day}{s1}{MONTHS[x.month - 1].capitalize()}{s2}{x.year}"
-    elif (m := re.fullmatch(r"([A-Za-z]+)( +)(\d{1,2})(, *| +)(\d{4})", value)) and m[1].lower() in MONTHS:
-        y, mo, d, s1, s2 = int(m[5]), MONTHS.index(m[1].lower()) + 1, int(m[3]), m[2], m[4]
-        form = lambda x: f"{MONTHS[x.month - 1].capitalize()}{s1}{x.day}{s2}{x.year}"
+            y, mo, d, parts = m[4], m[3], m[1], (lambda x, y, mo, d: (d if m[2] != "/" or x.day > 12 else None, m[2], mo, m[2], y))
+    elif (m := re.fullmatch(r"([0-9]{1,2})( +)([A-Za-z]+)( +)([0-9]{4})", value)) and m[3].lower() in MONTHS:
+        y, mo, d, parts = m[5], m[3], m[1], (lambda x, y, mo, d: (d, m[2], mo, m[4], y))
+    elif (m := re.fullmatch(r"([A-Za-z]+)( +)([0-9]{1,2})(, *| +)([0-9]{4})", value)) and m[1].lower() in MONTHS:
+        y, mo, d, parts = m[5], m[1], m[3], (lambda x, y, mo, d: (mo, m[2], d, m[4], y))
     else:
         return None
+    month = int(mo) if mo.isdigit() else MONTHS.index(mo.lower()) + 1
+
+    def form(x: date) -> str | None:
+        out = parts(x, _number(x.year, y), _number(x.month, mo) if mo.isdigit() else _month(x.month, mo), _number(x.day, d))
+        return None if None in out else "".join(out)
+
     try:
-        return (y, mo, d, form) if 1900 <= y <= 2099 and date(y, mo, d) else None
+        return (date(int(y), month, int(d)), form) if 1900 <= int(y) <= 2099 else None
     except ValueError:
         return None
 
@@ -208,7 +243,7 @@ IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Z
 NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?\(?[0-9](?:[0-9]|[ .()/-]{1,2}(?=[0-9(]))*[0-9](?![A-Za-z0-9])")
 #: Groups of digits that single blanks or hyphens join.
 _JOINED, _DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*"), re.compile(r"[0-9]+")
-DATE_WORDS = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {{1,3}}(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{4}}|(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{1,2}}(?:, {{0,3}}| {{1,3}})[0-9]{{4}})(?![A-Za-z0-9])", re.IGNORECASE)
+DATE_WORDS = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {{1,3}}(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{4}}|(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{1,2}}(?:, {{0,3}}| {{1,3}})[0-9]{{4}})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 #: What a part of a number run may be, tried in this order; a longer kind first.
 _PARTS = (
     ("date", re.compile(r"(?<![0-9])(?<![0-9][.-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[.-][0-9])"), lambda v: parse_date(v) is not None),
@@ -243,11 +278,12 @@ def find(text: str) -> list[tuple[int, int, str]]:
     got: list[tuple[int, int, str]] = []
 
     def free(start: int, end: int) -> bool:
-        return all(end <= s or start >= e for s, e, _ in got)
+        i = bisect_left(got, (start,))
+        return (i == 0 or got[i - 1][1] <= start) and (i == len(got) or got[i][0] >= end)
 
     def add(start: int, end: int, kind: str) -> None:
         if free(start, end):
-            got.append((start, end, kind))
+            insort(got, (start, end, kind))
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -259,15 +295,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
         if e - s >= 15:
             add(s, e, "iban")
     low = text.lower()
-    if len(low) == len(text):
-        for month in MONTHS:
-            at = low.find(month)
-            while at >= 0:
-                m = DATE_WORDS.search(text, max(0, at - 5), at + 40)
-                if m and parse_date(m[0]):
-                    add(m.start(), m.end(), "date")
-                at = low.find(month, at + 1)
-    else:
+    if any(month in low for month in MONTHS):
         for m in DATE_WORDS.finditer(text):
             if parse_date(m[0]):
                 add(m.start(), m.end(), "date")
@@ -283,7 +311,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text, a, b):
                 if valid(m[0]):
                     add(m.start(), m.end(), kind)
-    return sorted(got)
+    return got
 
 
 def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[int, int, str]]]:
@@ -298,7 +326,21 @@ def replace(text: str, names: Pseudonyms) -> tuple[str, list[tuple[int, int, str
 SCHEMA = "doc_id long, text string, spans array<struct<kind:string,start:int,end:int>>"
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the session's setting names, or one drawn at random, the same for the whole application."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return bytes.fromhex(named)
+    application = spark.sparkContext.applicationId
+    if application not in _DRAWN:
+        _DRAWN[application] = secrets.token_bytes(32)
+    return _DRAWN[application]
+
+
+_DRAWN: dict[str, bytes] = {}
+
+
+def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, spans) for every row: the text with pseudonyms, and the spans replaced (code points of the input).
 
     Null stays null, empty stays empty, without spans; whole texts are read; repeated rows come out alike; an
@@ -318,7 +360,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, id_col: str = "doc_i
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonymise(table(spark, sf_dir, "documents"))
+    found = pseudonymise(table(spark, sf_dir, "documents"), key_of(spark))
 
     def count(kind):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
