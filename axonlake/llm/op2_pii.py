@@ -241,8 +241,8 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: A run that starts at a digit (or +, or an opening bracket before one) and goes on with digits and single separators.
 NUMBER = re.compile(r"(?<![A-Za-z0-9])(?:\+ ?)?\(?[0-9](?:[0-9]|[ .()/-]{1,2}(?=[0-9(]))*[0-9](?![A-Za-z0-9])")
-#: Groups of digits that single blanks or hyphens join.
-_JOINED, _DIGITS = re.compile(r"[0-9]+(?:[ -][0-9]+)*"), re.compile(r"[0-9]+")
+#: Groups of digits that single hyphens join, or blanks, or both: a card is looked for in this order.
+_JOINED, _DIGITS = [re.compile(rf"[0-9]+(?:{sep}[0-9]+)*") for sep in ("-", " ", "[ -]")], re.compile(r"[0-9]+")
 DATE_WORDS = re.compile(rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {{1,3}}(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{4}}|(?:{'|'.join(MONTHS)}) {{1,3}}[0-9]{{1,2}}(?:, {{0,3}}| {{1,3}})[0-9]{{4}})(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 #: What a part of a number run may be, tried in this order; a longer kind first.
 _PARTS = (
@@ -256,7 +256,7 @@ _PARTS = (
 
 def cards(text: str, a: int, b: int, free: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
     """Cards among the groups of digits in text[a:b]: from each group on the longest valid run of whole groups that is free."""
-    for m in _JOINED.finditer(text, a, b):
+    for m in (m for joined in _JOINED for m in joined.finditer(text, a, b)):
         groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
         i = 0
         while i < len(groups):

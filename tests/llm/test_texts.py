@@ -196,7 +196,7 @@ def test_private_values_by_trial(spark):
     rng = random.Random(3)
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r["text"]]
     for _ in range(200):
-        texts.append(" ".join(rng.choice([*PRIVATE.values(), "word", "12", "4111111111111112", "1999-02-29", "1.2.3.4.5", "x@y"]) for _ in range(30)))
+        texts.append(" and ".join(rng.choice([*PRIVATE.values(), "word", "12", "4111111111111112", "1999-02-29", "1.2.3.4.5", "x@y"]) for _ in range(30)))
     n = 0
     for t in texts:
         found = op2.find(t)
