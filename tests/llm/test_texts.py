@@ -407,10 +407,51 @@ def test_template_regions():
 
 @pytest.mark.parametrize("label,markup", op8.TEMPLATES)
 def test_templates_accept_their_own_wording(label, markup):
-    text = re.sub(r"<<any:\d+>>", "Some Holder", re.sub("<<optional>>|<<end>>", " ", markup))
+    text = re.sub(r"<<any:\d+>>", "Some Holder", re.sub("<<any:1>>", "1", re.sub("<<optional>>|<<end>>", " ", markup)))
     found = op8.find_templates(op8.words("Before. " + text.upper().replace(" ", ", ") + " after"))
     assert label in {x for _, _, x in found}
     broken = text.split()
     broken.insert(len(broken) // 2, "not")
     if "<<" not in markup:
         assert label not in {x for _, _, x in op8.find_templates(op8.words(" ".join(broken)))}
+
+
+def filled(markup):
+    """The template's wording without optional regions, and with one word for each replaceable region."""
+    return re.sub(r"<<any:\d+>>", "x", re.sub(r"<<optional>>.*?<<end>>", "", markup)).split()
+
+
+@pytest.mark.parametrize("label,markup", op8.TEXTS)
+def test_each_mandatory_word_is_asked_for(label, markup):
+    mine = [a for a in op8.AUTOMATA if a.label == label]
+    whole = filled(markup)
+    assert len(whole) > 12 or label.startswith("cc-by")
+    tokens = [w.encode() for w in whole]
+    assert [x for _, _, x in op8.find_templates(tokens, mine)] == [label]
+    for i, w in enumerate(tokens):
+        if w == b"x" and (b"<<any" in markup.encode()):
+            continue
+        assert not op8.find_templates(tokens[:i] + tokens[i + 1 :], mine), (label, i, w)
+        assert not op8.find_templates([*tokens[:i], b"zzz", *tokens[i + 1 :]], mine), (label, i, w)
+        if 0 < i and tokens[i - 1] != b"x" and w != b"x" and f"{whole[i - 1]} {whole[i]}" in markup:
+            assert not op8.find_templates([*tokens[:i], b"zzz", *tokens[i:]], mine), (label, i, w)
+
+
+def test_licenses_that_only_look_alike():
+    def labels(text):
+        return [x for _, _, x in op8.find_templates(op8.words(text))]
+
+    assert labels("under the GNU Affero General Public License version 1") == ["agpl-notice"]
+    assert labels("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.") == []
+    bsd = dict(op8.TEXTS)["bsd-2-clause"]
+    for marks in ("1 2", "a b", "i ii", "* -"):
+        text = bsd
+        for mark in marks.split():
+            text = text.replace("<<any:1>>", mark, 1)
+        assert labels(re.sub(r"<<any:\d+>>", "THE AUTHORS", text)) == ["bsd-2-clause"]
+
+
+def test_licenses_empty_table(spark):
+    assert op8.scan_licenses(frame(spark, [])).count() == 0
+    got = {r["doc_id"]: r["score"] for r in op8.scan_licenses(frame(spark, [(1, " ".join(filled(dict(op8.TEXTS)["mit"]))), (2, "under the MIT license"), (3, "apache license version 2"), (4, None)])).collect()}
+    assert got == {1: 1.0, 2: 0.75, 3: 0.5, 4: 0.0}
