@@ -1,11 +1,12 @@
 """Soft-membership mixing, with DataFrame functions only.
 
 A naive Bayes classifier, fitted on a bounded sample of the labelled table (normal densities of four document
-statistics, presence of the most telling words), gives each document's posterior over the domains, rounded to
-GRID steps. Documents of equal posterior share a rate, so tokens are summed by posterior first. Projected
-gradient least squares then fits nonnegative rates whose expected domain token totals match the targets: a step
+statistics, presence of the most telling words), gives each document's posterior over the domains. Projected
+gradient least squares then fits nonnegative document rates whose expected domain token totals match the targets: a step
 moves a rate along the sum over domains of posterior times weighted residual and cuts at zero. A
-step is one grouped sum; the driver sees one number for each domain.
+step is one sum over a narrow table (tokens, posterior, rate), whose rates are written every CHUNK steps; the driver sees one
+number for each domain. Steps go on until every domain's share is within TOLERANCE of its target, or until no step can bring
+them closer; which of the two it was is part of the result.
 
 A document's rate is a fold of the steps over its posterior, an expression on its own row: no join brings it back.
 """
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, kept, saved, table
+from .common import Scratch, drop, kept, packed, saved, table, unpacked
 
 #: Domains of a labelled document, in this order: toxic, else low quality, else clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -27,9 +28,10 @@ TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 SAMPLE, VOCABULARY = 4096, 160
 #: A telling word stands in so many sampled documents at least, and in this share at most: common words tell length.
 LEAST_DOCS, MOST_SHARE = 5, 0.1
-#: Posteriors are whole multiples of 1 / GRID.
-GRID = 1000
-MOST_STEPS, TOLERANCE = 200, 1e-5
+#: Greatest distance of a domain's share of all tokens from its target, and of two steps when no step can bring them closer.
+TOLERANCE, STILL = 1e-5, 1e-9
+#: Steps in one expression; then the rates are written.
+CHUNK = 12
 #: Weight of staying near a rate of 1.
 RIDGE = 1e-6
 STATS = 4
@@ -46,6 +48,16 @@ class Model:
     absent: list[float] = field(default_factory=list)  # by domain, all words absent
 
 
+@dataclass
+class Fitted:
+    """A narrow table (doc_id, tokens, p), the classifier, the steps of the gradient, and whether these met the targets."""
+
+    narrow: DataFrame
+    model: Model
+    steps: list[list[float]]
+    met: bool
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -55,32 +67,33 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
-def described(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with _words, _tokens and _x, the statistics. A null text has no words."""
-    out = _once(docs, "_words", F.coalesce(_words(text), F.array().cast("array<string>"))).withColumn("_tokens", F.size("_words").cast("long"))
-    n = F.greatest(F.col("_tokens"), F.lit(1))
+def described(df: DataFrame) -> DataFrame:
+    """df with words, tokens and x, the statistics, of its column text. A null text has no words."""
+    text = F.col("text")
+    out = _once(df, "words", F.coalesce(_words(text), F.array().cast("array<string>"))).withColumn("tokens", F.size("words").cast("long"))
+    n = F.greatest(F.col("tokens"), F.lit(1))
     size = F.coalesce(F.length(text), F.lit(0))
     symbols = F.coalesce(F.regexp_count(text, F.lit(r"[#$%&*|<>{}\[\]@=_/^~\\]")), F.lit(0))
-    x = [F.log1p("_tokens"), F.log1p(size / n), F.sqrt(symbols / F.greatest(size, F.lit(1))), F.size(F.array_distinct("_words")) / n]
-    return _once(out, "_x", F.array(*[c.cast("double") for c in x]))
+    x = [F.log1p("tokens"), F.log1p(size / n), F.sqrt(symbols / F.greatest(size, F.lit(1))), F.size(F.array_distinct("words")) / n]
+    return _once(out, "x", F.array(*[c.cast("double") for c in x]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled documents whose labels hash lowest, SAMPLE labels at most."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
-    chosen = labels.select("doc_id", domain.alias("_domain")).where("_domain is not null and doc_id is not null")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_domain").limit(SAMPLE)
-    sample = saved(described(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), F.col("text")).select("_domain", "_words", "_x"), "mix-sample")
-    x = [F.col("_x")[i] for i in range(STATS)]
-    rows = {r["_domain"]: r for r in sample.groupBy("_domain").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(x)]).collect()}
+    chosen = labels.select("doc_id", domain.alias("domain")).where("domain is not null and doc_id is not null")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(SAMPLE)
+    sample = saved(described(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("domain", "words", "x"), "mix-sample")
+    x = [F.col("x")[i] for i in range(STATS)]
+    rows = {r["domain"]: r for r in sample.groupBy("domain").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)], *[F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(x)]).collect()}
     m = Model([d for d in DOMAINS if d in rows])
     if not m.domains:
         drop(sample)
         return m
     n = {d: rows[d]["n"] for d in m.domains}
     total = sum(n.values())
-    words = sample.select("_domain", F.explode(F.array_distinct("_words")).alias("w"))
-    by = words.groupBy("w").agg(F.count("*").alias("c"), *[F.count(F.when(F.col("_domain") == d, 1)).alias(f"c_{d}") for d in m.domains]).where((F.col("c") >= LEAST_DOCS) & (F.col("c") <= MOST_SHARE * total))
+    words = sample.select("domain", F.explode(F.array_distinct("words")).alias("w"))
+    by = words.groupBy("w").agg(F.count("*").alias("c"), *[F.count(F.when(F.col("domain") == d, 1)).alias(f"c_{d}") for d in m.domains]).where((F.col("c") >= LEAST_DOCS) & (F.col("c") <= MOST_SHARE * total))
     unlike = sum(((F.col(f"c_{d}") - F.col("c") * (n[d] / total)) ** 2) / (F.col("c") * (n[d] / total)) for d in m.domains)
     telling = by.withColumn("unlike", unlike).orderBy(F.desc("unlike"), "w").limit(VOCABULARY).collect()
     drop(sample)
@@ -96,32 +109,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return m
 
 
-def with_posteriors(docs: DataFrame, m: Model, text: Column) -> DataFrame:
-    """docs with _tokens and _p, the posterior over m.domains, rounded so that the largest takes what rounding leaves."""
-    out = described(docs, text)
+def with_posteriors(df: DataFrame, m: Model) -> DataFrame:
+    """df, which has no column of ours but text, with tokens and p, the posterior over m.domains."""
+    names = df.columns
+    out = described(df)
     known = F.array(*[F.lit(w) for w in m.words]).cast("array<string>")
-    out = _once(out, "_hits", F.array_intersect("_words", known))
+    out = _once(out, "hits", F.array_intersect("words", known))
     logs = []
     for k in range(len(m.domains)):
         s = F.lit(m.prior[k] + m.absent[k])
         for i in range(STATS):
-            s = s - F.lit(float(np.log(m.spread[k][i]))) - 0.5 * ((F.col("_x")[i] - m.mean[k][i]) / m.spread[k][i]) ** 2
+            s = s - F.lit(float(np.log(m.spread[k][i]))) - 0.5 * ((F.col("x")[i] - m.mean[k][i]) / m.spread[k][i]) ** 2
         if m.words:
             odds = F.create_map(*[v for w, o in zip(m.words, m.present[k], strict=True) for v in (F.lit(w), F.lit(o))])
             s = s + _sum_of(odds)
         logs.append(s)
-    out = _once(out, "_l", F.array(*logs)).withColumn("_top", F.array_max("_l"))
-    out = _once(out, "_e", F.transform("_l", _less(F.col("_top")))).withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, v: a + v))
-    out = _once(out, "_r", F.transform("_e", _share(F.col("_sum"))))
-    rest = F.lit(GRID) - F.aggregate("_r", F.lit(0).cast("long"), lambda a, v: a + v)
-    first = F.array_position("_r", F.array_max("_r"))
-    out = out.withColumn("_rest", rest).withColumn("_at", first)
-    p = F.transform("_r", lambda v, i: (v + F.when(i + 1 == F.col("_at"), F.col("_rest")).otherwise(F.lit(0))) / float(GRID))
-    return _once(out, "_p", p).drop("_words", "_x", "_hits", "_l", "_top", "_e", "_sum", "_r", "_rest", "_at")
+    out = _once(out, "l", F.array(*logs)).withColumn("top", F.array_max("l"))
+    out = _once(out, "e", F.transform("l", _less(F.col("top")))).withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
+    return _once(out, "p", F.transform("e", _share(F.col("sum")))).select(*names, "tokens", "p")
 
 
 def _sum_of(odds: Column) -> Column:
-    return F.aggregate("_hits", F.lit(0.0), lambda a, w: a + F.element_at(odds, w))
+    return F.aggregate("hits", F.lit(0.0), lambda a, w: a + F.element_at(odds, w))
 
 
 def _less(top: Column):
@@ -129,7 +138,14 @@ def _less(top: Column):
 
 
 def _share(total: Column):
-    return lambda v: F.round(v / total * GRID).cast("long")
+    return lambda v: v / total
+
+
+def stepped(rate: Column, p: Column, steps: list[list[float]]) -> Column:
+    """Rate after more steps, as one flat expression."""
+    for *moves, pull in steps:
+        rate = F.greatest(F.lit(0.0), rate * (1 - pull) + pull - sum(p[i] * v for i, v in enumerate(moves)))
+    return rate
 
 
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
@@ -138,33 +154,38 @@ def rate_of(p: Column, steps: list[list[float]]) -> Column:
         return F.lit(1.0)
     k = len(steps[0]) - 1
     all_steps = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    return F.aggregate(all_steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum(p[i] * s[i] for i in range(k)) - s[k] * (r - 1)))
+    return F.aggregate(all_steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r * (1 - s[k]) + s[k] - sum(p[i] * s[i] for i in range(k))))
 
 
-def solve(grouped: DataFrame, domains: list[str], targets: dict[str, float]) -> list[list[float]]:
-    """Steps of the projected gradient over grouped(_p, _t). Targets are shares of all tokens, scaled to sum to 1."""
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[list[float]], bool]:
+    """Steps of the projected gradient over narrow(tokens, p), and whether they met the targets: shares of all tokens, scaled to sum to 1."""
     k = len(domains)
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
-    p = [F.col("_p")[i] for i in range(k)]
-    r = grouped.agg(F.sum("_t").alias("all"), *[F.sum(F.col("_t") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
+    p = [F.col("p")[i] for i in range(k)]
+    r = narrow.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
     if not r["all"] or not want.sum():
-        return []
+        return [], False
     want, total = want / want.sum(), float(r["all"])
     gram = np.array([[r[f"g{i}_{j}"] / total for j in range(k)] for i in range(k)])
     weight = 1 / np.maximum(np.diag(gram), 1e-12)  # brings the domains to one scale
     root = np.sqrt(weight)
     step = 1 / (np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max() + RIDGE)
     steps: list[list[float]] = []
-    while len(steps) < MOST_STEPS:
-        rated = grouped.select("_p", (F.col("_t") * rate_of(F.col("_p"), steps)).alias("rt"))
-        got = rated.agg(*[F.sum(F.col("rt") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        residual = np.array([got[f"s{i}"] / total for i in range(k)]) - want
-        if np.abs(residual).max() < TOLERANCE:
-            break
-        steps.append([*(step * weight * residual), step * RIDGE])
-        if len(steps) > 1 and np.abs(np.array(steps[-1]) - np.array(steps[-2])).max() < 1e-9 * step:
-            break  # the targets can't be met any closer
-    return steps
+    with Scratch() as scratch:
+        rated, written = narrow.select("tokens", "p", F.lit(1.0).alias("rate")), 0
+        while True:
+            if len(steps) - written == CHUNK:
+                was, rated = rated, scratch.saved(rated.select("tokens", "p", stepped(F.col("rate"), F.col("p"), steps[written:]).alias("rate")), "mix-rates")
+                scratch.drop(was)
+                written = len(steps)
+            now = rated.select("p", (F.col("tokens") * stepped(F.col("rate"), F.col("p"), steps[written:])).alias("rt"))
+            got = now.agg(*[F.sum(F.col("rt") * p[i]).alias(f"s{i}") for i in range(k)]).first()
+            residual = np.array([got[f"s{i}"] / total for i in range(k)]) - want
+            if np.abs(residual).max() < TOLERANCE:
+                return steps, True
+            steps.append([*(step * weight * residual), step * RIDGE])
+            if len(steps) > 1 and np.abs(np.array(steps[-1]) - np.array(steps[-2])).max() < STILL * step:
+                return steps, False  # the targets can't be met any closer
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
@@ -173,42 +194,43 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
     return (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[DataFrame, Model, list[list[float]]]:
-    """A narrow table (doc_id, _tokens, _p), the classifier and the steps."""
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Fitted:
+    """The rates of docs(doc_id, text)."""
     m = fit(docs, labels)
+    own = docs.select("doc_id", "text")
     if not m.domains:
-        return described(docs.select("doc_id", "text"), F.col("text")).select("doc_id", "_tokens"), m, []
-    narrow = kept(with_posteriors(docs.select("doc_id", "text"), m, F.col("text")).select("doc_id", "_tokens", "_p"), "mix")
-    grouped = saved(narrow.groupBy("_p").agg(F.sum("_tokens").alias("_t")), "mix-grouped")
-    steps = solve(grouped, m.domains, targets or TARGETS)
-    drop(grouped)
-    return narrow, m, steps
+        return Fitted(described(own).select("doc_id", "tokens"), m, [], False)
+    narrow = kept(with_posteriors(own, m).select("doc_id", "tokens", "p"), "mix")
+    return Fitted(narrow, m, *solve(narrow, m.domains, targets or TARGETS))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """(doc_id, tokens, p_<domain>..., rate, copies) for every row of docs(doc_id, text).
+    """(doc_id, tokens, p_<domain>..., rate, copies, met) for every row of docs(doc_id, text).
 
     Tokens are runs of letters and digits. Null and empty texts have none, and a posterior and
     rate like any other. Without labels every rate is 1 and posteriors are null; a domain without labels takes
     part with posterior 0, and its target is shared out among the others. Repeated rows each count; labels repeated
-    for a document each teach; an empty table gives no rows; other columns are ignored.
+    for a document each teach; an empty table gives no rows; other columns are ignored. met tells whether the expected domain
+    totals are within TOLERANCE of the targets; if not, the rates come as close as rates of 0 or more can.
     """
-    narrow, m, steps = fit_rates(docs, labels, targets)
-    rate = rate_of(F.col("_p"), steps) if m.domains else F.lit(1.0)
-    ps = [F.col("_p")[m.domains.index(d)] if d in m.domains else F.lit(0.0 if m.domains else None).cast("double") for d in DOMAINS]
-    out = narrow.select("doc_id", F.col("_tokens").alias("tokens"), *[p.alias(f"p_{d}") for p, d in zip(ps, DOMAINS, strict=True)], rate.alias("rate"))
-    return out.withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
+    f = fit_rates(docs, labels, targets)
+    rate = rate_of(F.col("p"), f.steps) if f.model.domains else F.lit(1.0)
+    ps = [F.col("p")[f.model.domains.index(d)] if d in f.model.domains else F.lit(0.0 if f.model.domains else None).cast("double") for d in DOMAINS]
+    out = f.narrow.select("doc_id", "tokens", *[p.alias(f"p_{d}") for p, d in zip(ps, DOMAINS, strict=True)], rate.alias("rate"))
+    return out.withColumns({"copies": copies_of(F.col("rate"), F.col("doc_id")), "met": F.lit(f.met)})
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """docs with each row repeated as often as its copies say; the columns stay."""
-    narrow, m, steps = fit_rates(docs, labels, targets)
-    if not m.domains:
+    """docs with each row repeated as often as its copies say; all columns stay, whatever their names.
+
+    Null and empty texts, repeated rows and missing labels as in mixing_rates(); an empty table gives no rows.
+    """
+    f = fit_rates(docs, labels, targets)
+    if not f.model.domains:
         return docs
-    rated = with_posteriors(docs, m, F.col("text"))
-    n = copies_of(rate_of(F.col("_p"), steps), F.col("doc_id"))
-    rated = _once(rated, "_n", n)
-    return rated.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_copy")).drop("_copy")
+    rated = with_posteriors(packed(docs, text=F.col("text")), f.model)
+    copies = _once(rated, "n", copies_of(rate_of(F.col("p"), f.steps), F.col("row")["doc_id"]))
+    return unpacked(copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")), docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
