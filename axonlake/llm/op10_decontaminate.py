@@ -9,8 +9,9 @@ Short items are looked for as they are, between word boundaries; those of less t
 found by their first q-gram and compared at once.
 
 A q-gram is 8 bytes, so it is one machine word: documents are looked up in a bitmap of the benchmark's q-grams,
-and the few that pass in the sorted table. The benchmark is sent in blocks of bounded size, each run against
-all documents, whose text is read once for each block.
+and the few that pass in the sorted table. The benchmark goes to the workers in blocks of BLOCK_BYTES, broadcast one by one and kept on
+disk there; a worker holds one block's tables at a time and runs it against the documents that it has read, so their text is read once.
+A benchmark of more than PASS_BYTES takes a further reading of the documents for each such part.
 """
 
 from __future__ import annotations
@@ -32,13 +33,13 @@ SEGMENT = 128
 EDIT_RATE = 0.08
 #: Excerpts of items over SEGMENT bytes are told by so many bytes as they are, from every STRIDE-th byte of the item on.
 EXCERPT, STRIDE = 8 * Q, 16
-#: Bytes of benchmark text in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text in a block, whose tables take some 50 times as much, and in all blocks of a reading of the documents.
+BLOCK_BYTES, PASS_BYTES = 1 << 20, 256 << 20
 #: Items with fewer words and fewer characters than these are found only as they are, between word boundaries.
 LEAST_WORDS, LEAST_CHARS = 5, 24
 MAP_BITS = 22
-#: Documents are looked up in batches of about so many bytes.
-BATCH_BYTES = 1 << 20
+#: Documents are looked up in batches of about so many bytes; with several blocks, so many bytes wait for a block's tables.
+BATCH_BYTES, WAITING_BYTES = 1 << 20, 32 << 20
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -326,19 +327,53 @@ def _code_points(text: str, folded: bytes, start: int, end: int) -> tuple[int, i
 SCHEMA = "doc_id long, item_id long, start int, end int, edits int, n_segments int"
 
 
-def _scan(seg: Segments):
+class Blocks:
+    """The blocks of one reading, on a worker: the tables of the last one used stay, so those of a single block are built once."""
+
+    def __init__(self, sent: list) -> None:
+        self.sent, self.last, self.seg = sent, -1, None
+
+    def __iter__(self) -> Iterator[Segments]:
+        for i, block in enumerate(self.sent):
+            if i != self.last:
+                self.seg = None  # one at a time
+                self.seg, self.last = build(block.value), i
+            yield self.seg
+
+
+def _found(blocks: Blocks, ids: list, texts: list) -> list[tuple]:
+    """Rows of all blocks for these documents."""
+    rows = []
+    folded = [(k, fold(t)) for k, t in enumerate(texts) if t]
+    for seg in blocks:
+        group, size = [], 0
+        for i, (k, f) in enumerate(folded):
+            group.append((k, f))
+            size += len(f)
+            if size >= BATCH_BYTES or i + 1 == len(folded):
+                rows += _group(seg, group, ids, texts)
+                group, size = [], 0
+    return rows
+
+
+def _waiting(batches: Iterator[pa.RecordBatch], several: bool) -> Iterator[pa.Table]:
+    """Batches as they come, or with several blocks many together."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if not several or size >= WAITING_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _scan(sent: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts, rows = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            group: list[tuple[int, bytes]] = []
-            size = 0
-            for k, t in enumerate([*texts, None]):
-                if t:
-                    group.append((k, fold(t)))
-                    size += len(group[-1][1])
-                if group and (size >= BATCH_BYTES or k == len(texts)):
-                    rows += _group(seg, group, ids, texts)
-                    group, size = [], 0
+        blocks = Blocks(sent)
+        for t in _waiting(batches, len(sent) > 1):
+            rows = _found(blocks, t.column(0).to_pylist(), t.column(1).to_pylist())
             if rows:
                 cols = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
@@ -379,17 +414,23 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     return out
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded bytes, streamed partition by partition."""
-    block, size = [], 0
+def _passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
+    """The broadcast blocks of each reading of the documents. Items are streamed through the driver; one that is larger than a block is one by itself."""
+    send = benchmark.sparkSession.sparkContext.broadcast
+    sent, block, size = [], [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").toLocalIterator():
         block.append((r["i"], r["t"]))
         size += len(r["t"])
         if size >= BLOCK_BYTES:
-            yield block
+            sent.append(send(block))
             block, size = [], 0
+            if len(sent) * BLOCK_BYTES >= PASS_BYTES:
+                yield sent
+                sent = []
     if block:
-        yield block
+        sent.append(send(block))
+    if sent:
+        yield sent
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -403,27 +444,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
-    for block in _blocks(benchmark, item_col, item_text):
-        found = mapped(docs, _scan(build(block)), SCHEMA)
+    for sent in _passes(benchmark, item_col, item_text):
+        found = mapped(docs, _scan(sent), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of docs in which find_leaks() finds nothing, with all their columns: a filter in one pass, without a join."""
+    """Rows of docs in which find_leaks() finds nothing, with all their columns: a filter in one reading, without a join.
+
+    Rows of null or empty text stay; repeated rows stay or go alike; an empty table gives none; other columns, whatever their names, stay.
+    """
     names, at = docs.columns, docs.columns.index(text_col)
-    for block in _blocks(benchmark, "item_id", "text"):
-        docs = mapped(docs, _drop_hits(build(block), at), docs.schema)
-    return docs.select(*names)
+    for sent in _passes(benchmark, "item_id", "text"):
+        docs = mapped(docs, _drop_hits(sent, at), docs.schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names])
 
 
-def _drop_hits(seg: Segments, at: int):
+def _drop_hits(sent: list, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = pa.array(range(b.num_rows), pa.int64())
-            pair = pa.RecordBatch.from_arrays([rows, b.column(at)], ["doc_id", "text"])
-            hit = {i for out in _scan(seg)(iter([pair])) for i in out.column(0).to_pylist()}
-            yield b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_())) if hit else b
+        blocks = Blocks(sent)
+        for t in _waiting(batches, len(sent) > 1):
+            hit = {row[0] for row in _found(blocks, range(t.num_rows), t.column(at).to_pylist())}
+            yield from t.filter(pa.array([i not in hit for i in range(t.num_rows)], pa.bool_())).to_batches()
 
     return run
 

@@ -48,19 +48,59 @@ def test_components(spark, seed):
 # ---------------------------------------------------------------- 3
 
 
-def test_rates_meet_targets(spark):
-    rng = np.random.default_rng(0)
+def least_squares(p, t, want):
+    """The optimum by another way: Newton's method on the dual of the nearest nonnegative rates to 1 that meet the targets."""
+    lam = np.zeros(p.shape[1])
+    for _ in range(200):
+        r = np.maximum(0, 1 - p @ lam)
+        gap = (r * t) @ p / t.sum() - want
+        on = r > 0
+        hess = (p[on] * t[on, None]).T @ p[on] / t.sum()
+        lam += np.linalg.lstsq(hess + 1e-12 * np.eye(len(want)), gap, rcond=None)[0]
+        if np.abs(gap).max() < 1e-12:
+            break
+    return np.maximum(0, 1 - p @ lam), gap
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_meet_targets(spark, seed):
+    rng = np.random.default_rng(seed)
     p = rng.dirichlet([0.3, 0.3, 0.3], 400)
     t = rng.integers(1, 500, 400)
-    grouped = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(p, t, strict=True)], "_p array<double>, _t long")
-    steps = op3.solve(grouped, ["a", "b", "c"], {"a": 0.5, "b": 0.3, "c": 0.2})
-    r = np.array([x[0] for x in grouped.select(op3.rate_of(F.col("_p"), steps)).collect()])
-    assert (r >= 0).all() and np.allclose((r * t) @ p / t.sum(), [0.5, 0.3, 0.2], atol=2e-5)
-    # the same steps by numpy
-    want = np.ones(400)
-    for s in steps:
-        want = np.maximum(0, want - p @ np.array(s[:3]) - s[3] * (want - 1))
-    assert np.allclose(r, want)
+    narrow = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(p, t, strict=True)], "p array<double>, tokens long")
+    steps, met = op3.solve(narrow, ["a", "b", "c"], {"a": 0.5, "b": 0.3, "c": 0.2})
+    r = np.array([x[0] for x in narrow.select(op3.rate_of(F.col("p"), steps)).collect()])
+    assert met and (r >= 0).all() and np.allclose((r * t) @ p / t.sum(), [0.5, 0.3, 0.2], atol=op3.TOLERANCE)
+    # an optimum of the least squares is one with no residual, as the independent solution has
+    _, gap = least_squares(p, t, np.array([0.5, 0.3, 0.2]))
+    assert np.abs(gap).max() < 1e-9
+
+
+def test_targets_that_no_rates_meet(spark):
+    """Both domains always stand half and half: 90 to 10 can't be had, and the result says so and comes as close as can be."""
+    narrow = spark.createDataFrame([([0.5, 0.5], 10), ([0.4, 0.6], 10)], "p array<double>, tokens long")
+    steps, met = op3.solve(narrow, ["a", "b"], {"a": 0.9, "b": 0.1})
+    r = np.array([x[0] for x in narrow.select(op3.rate_of(F.col("p"), steps)).collect()])
+    assert not met and r[1] == 0
+
+    def loss(x, p=np.array([[0.5, 0.5], [0.4, 0.6]]), want=np.array([0.9, 0.1])):
+        w = 1 / np.diag(p.T @ p / 2)
+        return (w * ((x @ p) / 2 - want) ** 2).sum()
+
+    assert all(loss(r) <= loss(np.maximum(0, r + d)) + 1e-6 for d in np.random.default_rng(0).normal(0, 0.05, (300, 2)))
+
+
+def test_posteriors_by_hand(spark):
+    m = op3.Model(["clean", "low"], [-0.5, -1.0], [[1.0, 2.0, 0.1, 0.9], [2.0, 1.0, 0.3, 0.5]], [[0.5, 1.0, 0.2, 0.1], [1.0, 0.5, 0.1, 0.4]], ["buy", "now"], [[-2.0, 0.3], [1.5, 0.2]], [-0.1, -0.4])
+    texts = ["Buy it, now! now", "plain words", "", None, "# a_b @ 9"]
+    got = op3.with_posteriors(spark.createDataFrame([(t,) for t in texts], "text string"), m).collect()
+    for r, text in zip(got, texts, strict=True):
+        w = [x for x in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split() if x]
+        size, n = len(text or ""), max(1, len(w))
+        x = [np.log1p(len(w)), np.log1p(size / n), np.sqrt(sum(c in "#$%&*|<>{}[]@=_/^~\\" for c in text or "") / max(1, size)), len(set(w)) / n]
+        logs = [m.prior[k] + m.absent[k] + sum(m.present[k][i] for i, v in enumerate(m.words) if v in w) - sum(np.log(m.spread[k][i]) + 0.5 * ((x[i] - m.mean[k][i]) / m.spread[k][i]) ** 2 for i in range(4)) for k in range(2)]
+        e = np.exp(np.array(logs) - max(logs))
+        assert r["tokens"] == len(w) and np.allclose(r["p"], e / e.sum(), atol=1e-12)
 
 
 def test_mixing_table(spark):
@@ -68,14 +108,17 @@ def test_mixing_table(spark):
     odd = spark.createDataFrame([(9001, None), (9002, ""), (None, "a b"), (9003, "x y"), (9003, "x y")], "doc_id long, text string")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     labels = labels.unionByName(spark.createDataFrame([(None, 1, 0), (9003, None, None)], "doc_id long, quality int, toxic int"))
-    both = docs.select("doc_id", "text").unionByName(odd).withColumn("rate", F.lit("clash"))
+    clash = ("rate", "_x", "x", "p", "tokens", "n", "l", "copy", "row", "_words", "hits", "e", "top", "sum", "words", "_p")
+    both = docs.select("doc_id", "text").unionByName(odd).withColumns({c: F.lit(c) for c in clash})
     got = op3.mixing_rates(both, labels).toPandas()
     assert len(got) == docs.count() + 5 and (got["rate"] >= 0).all() and np.allclose(got[["p_clean", "p_low", "p_toxic"]].sum(axis=1), 1)
     share = {d: (got["rate"] * got["tokens"] * got[f"p_{d}"]).sum() / got["tokens"].sum() for d in op3.DOMAINS}
     assert all(abs(share[d] - w) < 1e-3 for d, w in op3.TARGETS.items())
     assert set(got["copies"] - np.floor(got["rate"])) <= {0, 1}
     assert op3.mixed(both, labels).columns == both.columns
-    assert op3.mixed(both, labels).count() == got["copies"].sum()
+    assert got["met"].all()
+    again = op3.mixed(both, labels).collect()
+    assert len(again) == got["copies"].sum() and all(r[c] == c for r in again for c in clash)
 
 
 def test_mixing_without_labels_or_rows(spark):
@@ -342,6 +385,44 @@ def test_leaks(spark):
     assert op10.find_leaks(d, b.limit(0)).count() == 0 and op10.find_leaks(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_leaks_by_trial_of_all_pairs(spark, monkeypatch, block):
+    """Every document with every item: a segment within its edits anywhere, an excerpt as it is, or a short item between blanks."""
+    monkeypatch.setattr(op10, "BLOCK_BYTES", block)
+    monkeypatch.setattr(op10, "PASS_BYTES", 5 * block)
+    rng = random.Random(15)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 8))) for _ in range(60)]
+
+    def text(n):
+        return " ".join(rng.choices(words, k=n))
+
+    items = [(i, text(rng.choice([1, 2, 4, 6, 12, 25, 60]))) for i in range(24)]
+    docs = []
+    for i in range(50):
+        x = list(rng.choice(items)[1])
+        for _ in range(rng.choice([0, 0, 1, 2, 4, 8])):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", "z", "y"])
+        a = rng.randrange(len(x) + 1) if i % 5 == 0 else 0
+        docs.append((i, f"{text(rng.randrange(12))} {''.join(x)[a:]} {text(rng.randrange(12))}"))
+    want = set()
+    for i, t in docs:
+        folded = op10.fold(t)
+        for j, item in items:
+            f = op10.fold(item)
+            if len(f) < op10.Q or (f.count(b" ") < 4 and len(f) < 24):
+                hit = f" {f.decode()} " in f" {folded.decode()} "
+            else:
+                hit = any(e in folded for e in op10.cut_excerpts(f))
+                hit = hit or any(best_distance(g, folded) <= min(int(op10.EDIT_RATE * len(g)), max(0, (len(g) - op10.Q) // op10.Q)) for g in op10.cut_segments(f))
+            want |= {(i, j)} if hit else set()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op10.find_leaks(d, b).collect()}
+    assert got == want and len(want) > 40
+    assert {r["doc_id"] for r in op10.without_leaks(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_short_items_and_scripts_without_blanks(spark):
     zh = "什么是光合作用以及植物如何利用阳光把二氧化碳和水转化为葡萄糖和氧气请简要说明其过程并举出两个影响它的因素谢谢"
     th = "พืชใช้แสงแดดเพื่อเปลี่ยนคาร์บอนไดออกไซด์อย่างไร"
