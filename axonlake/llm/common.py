@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,10 +73,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _remove(jvm, conf, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
     try:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may have ended; the folder is scratch space
         pass
 
@@ -98,8 +100,7 @@ def drop(*tables: DataFrame | None) -> None:
     for t in tables:
         path = getattr(t, "_axonlake_path", None)
         if path:
-            sc = t.sparkSession.sparkContext
-            _remove(sc._jvm, sc._jsc.hadoopConfiguration(), path)
+            remove(t.sparkSession, path)
 
 
 class Scratch:
@@ -146,6 +147,46 @@ def fitted(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(k) if k < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
+#: Edges from which one task builds a forest.
+EDGES_EACH = 1 << 20
+
+
+def merge_roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merges the groups of a[i] and b[i]: hooks larger roots under smaller ones until nothing changes."""
+    while True:
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        x, y = parent[a], parent[b]
+        open_ = x != y
+        if not open_.any():
+            return
+        a, b = a[open_], b[open_]
+        np.minimum.at(parent, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as (node, smallest node of its group); what is held is at most an edge for each node, and EDGES_EACH more."""
+    u, v, held = [], [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        nodes, at = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+        half, parent = sum(map(len, u)), np.arange(len(nodes))
+        merge_roots(parent, at[:half], at[half:])
+        child = np.flatnonzero(parent != np.arange(len(nodes)))
+        return nodes[child], nodes[parent[child]]
+
+    for b in batches:
+        u.append(b.column(0).to_numpy())
+        v.append(b.column(1).to_numpy())
+        held += b.num_rows
+        if held > EDGES_EACH:
+            x, y = joined()
+            u, v, held = [x], [y], 0
+    if u:
+        x, y = joined()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["u", "v"])
+
+
 def _mark(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]
@@ -154,31 +195,34 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) as joins and grouped minima; each round
-    is written to the shared folder. A hub is a grouped minimum (combined before the shuffle) and a join that
-    adaptive execution can split, never a list of neighbours. Self loops and null ends are ignored.
+    Each task turns its edges into a forest; where one task can take them all, that is the result. Else alternating large-star
+    and small-star steps (Kiveris et al., 2014) follow as joins and grouped minima, each written to the shared folder, until it can or nothing
+    changes. A hub is a grouped minimum (combined before the shuffle) and a join that adaptive execution can split, never a list of
+    neighbours. Self loops and null ends are ignored; an empty table gives no rows; repeated edges count once.
     """
-    e = saved(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
-        "edges",
-    )
-    mark = _mark(e)
-    while mark[0]:
-        size = mark[0]
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = fitted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), size)
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(fitted(fitted(large, size).distinct(), size), "large-star")
-        low = fitted(large.groupBy("u").agg(F.min("v").alias("m")), size)
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = fitted(small.unionByName(low.select("u", F.col("m").alias("v"))), size)
-        nxt = saved(fitted(small.distinct(), size), "small-star")
-        drop(e, large)
-        e, was, mark = nxt, mark, _mark(nxt)
-        if was == mark:
-            break
-    roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    heads = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    out = kept(fitted(roots.unionByName(fitted(heads.distinct(), mark[0])), mark[0]), "components")
-    drop(e)
-    return out
+    with Scratch() as scratch:
+        e = scratch.saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+        mark = _mark(e)
+        while mark[0]:
+            tasks = -(-mark[0] // EDGES_EACH)
+            forest = scratch.saved(mapped(e.coalesce(tasks), _forest, "u long, v long", rows=EDGES_EACH), "forest")
+            scratch.drop(e)
+            if tasks == 1:
+                e = forest
+                break
+            e, size = forest, mark[0]
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = scratch.saved(fitted(large.distinct(), size), "large-star")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = small.unionByName(low.select("u", F.col("m").alias("v")))
+            nxt = scratch.saved(fitted(small.distinct(), size), "small-star")
+            scratch.drop(e, large)
+            e, was, mark = nxt, mark, _mark(nxt)
+            if was == mark:
+                break
+        roots = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        heads = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
+        return kept(fitted(roots.unionByName(fitted(heads, mark[0]).distinct()), mark[0]), "components")
