@@ -1,18 +1,19 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
-Documents are the rows, distinct word n-grams the columns of a 0/1 incidence matrix. Rows with equal n-gram sets
-are folded into one. Columns are ordered from rare to frequent by a fixed-size count sketch; a row of n
-n-grams keeps only its first n - ceil(t n) + 1 columns, since a pair of similarity t or more shares one
-of these. The product over these columns is formed in blocks (hash partitions of the columns); pairs whose
-sizes, or whose positions of a shared column, bound the overlap below what t asks for are discarded in
-the block; what is left gets its overlap from the full rows, exactly.
-
-A row also has parity sketches: bits, each the parity of the number of its n-grams that hash there. Two
-sketches differ in no more bits than the sets differ in n-grams, so sketches that differ more than t allows
-discard a pair exactly: narrow ones inside the join, wide ones before full rows are fetched. Full rows lie
-in a table bucketed by row, so that fetching them moves the pairs, not the rows.
-
-Only pairs that can still change a class are formed. In a round every column names a few pivots of its rows;
+Documents are the rows, distinct word n-grams the columns of a 0/1 incidence matrix; the product of this matrix with its
+transpose holds the overlaps. Rows with equal n-gram sets are folded into one.
+
+Which entries of the product are formed: columns are ordered from rare to frequent by a fixed-size count sketch, and a row of n
+n-grams meets others in its first n - ceil(t n) + 1 columns only, since a pair of similarity t or more shares one
+of these. Where two rows meet, their sizes and the positions of the column bound the overlap from above; entries below
+what t asks for are discarded there. So do parity sketches: bits, each the parity of the number of a row's n-grams that hash there.
+Two sketches differ in no more bits than the sets differ in n-grams: narrow ones inside the join, wide ones before rows are read.
+
+What is left of the product is accumulated block by block: the columns are dealt to BLOCKS blocks by their hash, a row holds a list for each, and
+an entry adds up the overlaps of one block after the other; as soon as the sum and the most that the remaining blocks can add, by
+their sizes, stay below the bound, the entry is discarded. The rows lie in a table bucketed by row, so that reading them moves the entries, not the rows.
+
+Only entries that can still change a class are formed. In a round every column names a few pivots of its rows;
 a pivot is compared with the column's other rows and then leaves the column; linked rows merge, and a column
 whose rows are all of one class has nothing left to say. Columns with few rows are compared out. So a group
 of g near copies costs about g comparisons, not g * g, and no link between different classes is lost.
@@ -29,17 +30,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import components, drop, fitted, kept, mapped, saved, table
+from .common import Scratch, components, fitted, kept, mapped, packed, remove, shared_dir, table, unpacked
 
 #: Counters of the sketch of column frequencies: a fixed size, 4 bytes each.
 SKETCH_BITS, SLICES = 20, 16
 #: Bits of the filter that tells which rows are still of interest.
 FILTER_BITS = 24
+#: Bits of a set's first name; sets that share it go by their second.
+NAME_BITS = 64
+#: Blocks of columns that the overlap of a pair is accumulated over.
+BLOCKS = 8
 #: 64-bit words of the parity sketches: of the entries that are compared first, of those compared later, of rows.
 FIRST, PARITY, WIDE = 4, 8, 64
 #: By round: pivots of a column, and rows up to which a column is compared out instead. Later rounds double the pivots.
-PIVOTS, SMALL = (1, 8, 32, 64), (0, 32, 32, 4096)
+PIVOTS, SMALL = (1, 16, 64), (0, 64, 1024)
 #: Sets that a task remembers, to send equal ones once.
 SEEN = 200_000
 
@@ -126,9 +132,23 @@ def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(grams: np.ndarray) -> int:
-    """Signed 64-bit identity of a set."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=len(grams)) - (1 << 63)
+def set_key(grams: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit names of a set."""
+    data, n = grams.tobytes(), len(grams)
+    return (xxhash.xxh3_64_intdigest(data, seed=n) >> 64 - NAME_BITS) - (1 << NAME_BITS - 1), xxhash.xxh3_64_intdigest(data, seed=~n & (1 << 64) - 1) - (1 << 63)
+
+
+def name_of(grams: np.ndarray, shared: frozenset[int]) -> int:
+    """The first name, or the second where several sets share the first."""
+    first, second = set_key(grams)
+    return second if first in shared else first
+
+
+def in_blocks(grams: np.ndarray) -> list[np.ndarray]:
+    """A row's sorted columns by block: the upper bits of the hash."""
+    shift = np.uint64(64 - (BLOCKS - 1).bit_length())
+    cuts = np.searchsorted(grams, np.arange(1, BLOCKS, dtype=np.uint64) << shift)
+    return np.split(_signed(grams), cuts)
 
 
 def parity(grams: np.ndarray, size: int) -> list[int]:
@@ -156,19 +176,20 @@ def _profile(n: int):
             sketch[:] += np.bincount(every, minlength=1 << SKETCH_BITS).astype(np.uint32)
             waiting.clear()
 
-        names = ["doc_id", "n", "node", "bits", "slice", "counts"]
+        names = ["doc_id", "h1", "h2", "n", "node", "other", "bits", "slice", "counts"]
         for b in batches:
-            sets = ngram_sets(b.column(1).to_pylist(), n)
+            sets = ngram_sets(b.column(3).to_pylist(), n)
             k = len(sets)
+            keys = [set_key(s) if len(s) else (None, None) for s in sets]
             waiting += [s for s in sets if len(s)]
             if sum(map(len, waiting)) >= 1 << SKETCH_BITS:
                 count()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), pa.array([parity(s, PARITY) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array([parity(s, PARITY) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if waiting:
             count()
         if sketch.any():
             parts = [zlib.compress(p.tobytes(), 1) for p in np.split(sketch, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(SLICES, pa.int64())] * 6, pa.nulls(SLICES, pa.list_(pa.int64())), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
@@ -191,13 +212,13 @@ def order_columns(grams: np.ndarray, sketch: np.ndarray, first: int) -> np.ndarr
     return grams[np.argsort(c, kind="stable")]
 
 
-def _prefixes(n: int, percent: int, sent):
+def _prefixes(n: int, percent: int, sent, twice: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, sketch = set(), sent.value
         for b in batches:
             cols, nodes, sizes, at = [], [], [], []
             for s in ngram_sets(b.column(0).to_pylist(), n):
-                if not len(s) or (key := set_key(s)) in done:
+                if not len(s) or (key := name_of(s, twice)) in done:
                     continue
                 if len(done) >= SEEN:
                     done.clear()
@@ -217,39 +238,42 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(1 << FILTER_BITS, bool)
     for b in batches:
         bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = True
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+    parts = [zlib.compress(p.tobytes(), 1) for p in np.split(np.packbits(bits), SLICES)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "bits"])
+
 
+def _or_slices(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((1 << FILTER_BITS) // 8 // SLICES, np.uint8)
+    for b in batches:
+        for x in b.column(b.schema.get_field_index("bits")).to_pylist():
+            total |= np.frombuffer(zlib.decompress(x), np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "bits"])
 
-def _full_rows(n: int, sent):
+
+def _full_rows(n: int, sent, twice: frozenset[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = set()
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(sent.value), np.uint8)).astype(bool)
+        bits = np.unpackbits(np.frombuffer(b"".join(map(zlib.decompress, sent.value)), np.uint8)).astype(bool)
         for b in batches:
             nodes, rows, wide = [], [], []
             wanted = bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)]
             for s in ngram_sets(b.column(1).filter(pa.array(wanted)).to_pylist(), n):
-                if not len(s) or (key := set_key(s)) in done:
+                if not len(s) or (key := name_of(s, twice)) in done:
                     continue
                 if len(done) >= SEEN:
                     done.clear()
                 done.add(key)
                 nodes.append(key)
-                rows.append(_signed(s))
+                rows += in_blocks(s)
                 wide.append(parity(s, WIDE))
             if nodes:
-                ends = np.cumsum([0, *map(len, rows)])
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(wide, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))], ["node", "wide", "grams"])
+                blocks = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
+                blocks = pa.ListArray.from_arrays(pa.array(range(0, len(rows) + 1, BLOCKS), pa.int32()), blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([sum(map(len, rows[i : i + BLOCKS])) for i in range(0, len(rows), BLOCKS)], pa.int32()), pa.array(wide, pa.list_(pa.int64())), blocks], ["node", "n", "wide", "blocks"])
 
     return run
 
 
-def _or_bits(parts: list[bytes]) -> bytes:
-    total = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for p in parts:
-        total |= np.frombuffer(zlib.decompress(p), np.uint8)
-    return zlib.compress(total.tobytes(), 1)
-
-
 def _may_link(percent: int, words: int) -> Column:
     """Bounds from the sizes of a and b, the positions of one shared column, and the parity sketches."""
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
@@ -259,125 +283,173 @@ def _may_link(percent: int, words: int) -> Column:
     return (100 * small >= percent * large) & (most * (100 + percent) >= percent * total) & (differ * (100 + percent) <= (100 - percent) * total)
 
 
-def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int, size: int) -> DataFrame:
+def accumulated(percent: int) -> Column:
+    """Overlap of blocks_a and blocks_b, summed block by block; -1 as soon as what the blocks to come can add stays below the bound."""
+    total = F.col("n_a") + F.col("n_b")
+
+    def most(x: Column) -> Column:
+        return F.least(F.size(x["a"]), F.size(x["b"]))
+
+    def add(s: Column, x: Column) -> Column:
+        more = F.struct((s["o"] + F.size(F.array_intersect(x["a"], x["b"]))).alias("o"), (s["rest"] - most(x)).alias("rest"))
+        return F.when((s["o"] + s["rest"]) * (100 + percent) >= percent * total, more).otherwise(F.struct(F.lit(-1).alias("o"), F.lit(0).alias("rest")))
+
+    blocks = F.zip_with("blocks_a", "blocks_b", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rest = F.aggregate(blocks, F.lit(0), lambda s, x: s + most(x))
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("o"), rest.alias("rest")), add, lambda s: s["o"])
+
+
+def _overlaps(pairs: DataFrame, rows: DataFrame, percent: int, size: int, scratch: Scratch) -> DataFrame:
     """(a, b, linked): entries of the product, exact for the pairs that the wide sketches leave."""
 
     def sides(*names: str) -> tuple[DataFrame, DataFrame]:
         return tuple(rows.select(F.col("node").alias(k), *[F.col(n).alias(f"{n}_{k}") for n in names]) for k in "ab")
 
     left, right = sides("wide", "n")
+    total = F.col("n_a") + F.col("n_b")
     differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", (differ * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).alias("near"))
-    near = saved(fitted(near, size), "ngram-near")
-    left, right = sides("grams")
-    both = near.where("near").join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("grams_a", "grams_b")).alias("o"), (F.size("grams_a") + F.size("grams_b")).alias("s"))
-    linked = both.select("a", "b", (100 * F.col("o") >= percent * (F.col("s") - F.col("o"))).alias("linked"))
-    out = saved(fitted(fitted(linked, size).unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked"))), size), "ngram-found")
-    drop(near)
+    near = pairs.join(left, "a").join(right, "b").select("a", "b", (differ * (100 + percent) <= (100 - percent) * total).alias("near"))
+    near = scratch.saved(fitted(near, size), "ngram-near")
+    left, right = sides("blocks", "n")
+    both = near.where("near").join(left, "a").join(right, "b").select("a", "b", accumulated(percent).alias("o"), total.alias("total"))
+    linked = both.select("a", "b", ((F.col("o") >= 0) & (100 * F.col("o") >= percent * (F.col("total") - F.col("o")))).alias("linked"))
+    out = scratch.saved(fitted(fitted(linked, size).unionByName(near.where("not near").select("a", "b", F.lit(False).alias("linked"))), size), "ngram-found")
+    scratch.drop(near)
     return out
 
 
-def similar_classes(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ngrams, component_id): classes of documents linked at Jaccard similarity percent / 100 or more.
 
     component_id is the smallest doc_id reachable by links. Null texts and texts without words have no n-grams,
     link with nothing and stay alone; texts of fewer than n words count as one n-gram; equal sets link; repeated
     rows are each returned. A null doc_id takes part and gets its class's smallest id (null if it has no other). An empty
-    table gives no rows; other columns are ignored. Sets are compared by 64-bit hashes of n-grams.
+    table gives no rows; other columns are ignored. n-grams are compared by 64-bit hashes, sets named by two of them.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.col(text_col).alias("text"))
+    rows = _classed(docs, n, percent)
+    best = rows.groupBy("root").agg(F.min("doc_id").alias("first"))
+    out = rows.join(best, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_ngrams"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of similar_classes(), with all its columns: the one of smallest id, then of smallest text hash.
+
+    Rows are told by id and text, so of rows of one id and different texts each goes by its own text. Null ids come after all others.
+    Rows of null text or without words resemble nothing and all stay. Of repeated rows of one id and text one stays, any if other columns
+    differ. An empty table gives no rows; columns of any name stay.
     """
+    text = F.col(text_col)
+    wordless = text.isNull() | (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0)
+    keyed = packed(docs, text=text, doc_id=F.col(id_col).cast("long"), h1=F.xxhash64(text), h2=F.xxhash64(text, F.lit(5)), wordless=wordless)
+    rows = _classed(keyed.select("doc_id", "h1", "h2", "text"), n, percent).where("root is not null")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    chosen = rows.groupBy("root").agg(F.min(key).alias("k")).select("k.*")
+    chosen = chosen.select("none", F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2")
+    mine = keyed.where("not wordless").select("row", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "h1", "h2")
+    same = Window.partitionBy("none", "id", "h1", "h2").orderBy(F.lit(0))
+    first = mine.withColumn("at", F.row_number().over(same)).where("at = 1").join(chosen, ["none", "id", "h1", "h2"], "left_semi")
+    return unpacked(first.select("row").unionByName(keyed.where("wordless").select("row")), docs.columns)
+
+
+def _classed(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, h1, h2, n, root) for every row of docs(doc_id, h1, h2, text); root is null for rows without n-grams, else the same in a class."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = saved(mapped(docs, _profile(n), "doc_id long, n long, node long, bits array<long>, slice int, counts binary"), "ngram-profile")
-    slices = profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
-    docs_n = kept(profile.where("slice is null").select("doc_id", "n", "node"), "ngram-docs")
-    if not slices:
-        drop(profile)
-        return docs_n.select("doc_id", F.col("n").alias("n_ngrams"), F.col("doc_id").alias("component_id"))
-    sketch = np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint32) for r in sorted(slices, key=lambda r: r["slice"])])
-    sent = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the input
-    entries = saved(mapped(docs.select("text"), _prefixes(n, percent, sent), "gram long, node long, n int, at int"), "ngram-entries")
-    shared = entries.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
-    both = entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
-    parities = saved(profile.where("node is not null").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)]), "ngram-parities")
-    folded = []
-    for k in range(FIRST):
-        word = F.col(f"p{k}")
-        for i in range(k + FIRST, PARITY, FIRST):
-            word = word.bitwiseXOR(F.col(f"p{i}"))
-        folded.append(word.alias(f"p{k}"))
-    several = saved(both.join(parities.select("node", *folded), "node"), "ngram-several")
-    drop(entries, profile)
-    a, b = several.alias("a"), several.alias("b")
-    cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent, FIRST)
-    active = saved(a.join(b, cond, "left_semi").select("gram", "node", "n", "at").join(parities, "node"), "ngram-active")
-    drop(several, parities)
-    links = classes_of(active, docs, docs_n, n, percent)
-    drop(active)
-    sent.unpersist()
-    # From sets to documents.
-    ids = docs_n.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    roots = ids.join(links, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    best = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(best, "root").select("node", "component_id")
-    out = docs_n.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_ngrams"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    schema = "doc_id long, h1 long, h2 long, n long, node long, other long, bits array<long>, slice int, counts binary"
+    with Scratch() as scratch:
+        profile = scratch.saved(mapped(docs, _profile(n), schema), "ngram-profile")
+        slices = profile.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_add_slices, "slice int, counts binary").collect()
+        sets = profile.where("node is not null")
+        # About rows^2 / 2^65 sets share their first name: none in most tables, a few in the largest.
+        twice = frozenset(r["node"] for r in sets.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node").collect())
+        node = F.when(F.col("node").isin(*twice), F.col("other")).otherwise(F.col("node")) if twice else F.col("node")
+        docs_n = kept(profile.where("slice is null").select("doc_id", "h1", "h2", "n", node.alias("node")), "ngram-docs")
+        if not slices:
+            return docs_n.select("doc_id", "h1", "h2", "n", F.col("node").alias("root"))
+        sketch = np.concatenate([np.frombuffer(bytes(r["counts"]), np.uint32) for r in sorted(slices, key=lambda r: r["slice"])])
+        sent = spark.sparkContext.broadcast(sketch)  # 4 MB, whatever the input
+        entries = scratch.saved(mapped(docs.select("text"), _prefixes(n, percent, sent, twice), "gram long, node long, n int, at int"), "ngram-entries")
+        shared = entries.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
+        both = entries.join(shared.hint("shuffle_hash"), "gram", "left_semi").groupBy("gram", "node").agg(F.first("n").alias("n"), F.first("at").alias("at"))
+        parities = sets.select(node.alias("node"), "bits").groupBy("node").agg(*[F.first(F.col("bits")[k]).alias(f"p{k}") for k in range(PARITY)])
+        parities = scratch.saved(parities, "ngram-parities")
+        folded = []
+        for k in range(FIRST):
+            word = F.col(f"p{k}")
+            for i in range(k + FIRST, PARITY, FIRST):
+                word = word.bitwiseXOR(F.col(f"p{i}"))
+            folded.append(word.alias(f"p{k}"))
+        several = scratch.saved(both.join(parities.select("node", *folded), "node"), "ngram-several")
+        scratch.drop(entries, profile)
+        a, b = several.alias("a"), several.alias("b")
+        cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.node") != F.col("b.node")) & _may_link(percent, FIRST)
+        active = scratch.saved(a.join(b, cond, "left_semi").select("gram", "node", "n", "at").join(parities, "node"), "ngram-active")
+        scratch.drop(several, parities)
+        roots = classes_of(active, docs, docs_n, n, percent, twice)
+        sent.unpersist()
+        return docs_n.join(roots, "node", "left").select("doc_id", "h1", "h2", "n", F.coalesce("root", "node").alias("root"))
 
 
 _FIELDS = ("node", "n", "at", *[f"p{k}" for k in range(PARITY)])
 
 
-def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, percent: int) -> DataFrame:
+def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, percent: int, twice: frozenset[int] = frozenset()) -> DataFrame:
     """(node, root) for every node with a link. active: gram, node, n, at, parity words of the entries that may link."""
     spark = active.sparkSession
-    empty = spark.createDataFrame([], "node long, root long")
+    roots = spark.createDataFrame([], "node long, root long")
     nodes = active.select("node").distinct()
     # Of each set, one document tells its n-grams.
-    keys = docs_n.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key"))
-    parts = mapped(keys.select("key"), _bits, "bits binary", rows=4096).collect()
+    keys = docs_n.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key")).select("key")
+    parts = mapped(keys, _bits, "slice int, bits binary", rows=4096).groupBy("slice").applyInArrow(_or_slices, "slice int, bits binary").collect()
     if not parts:
-        return empty
-    sent = spark.sparkContext.broadcast(_or_bits([bytes(r["bits"]) for r in parts]))
-    rows = mapped(docs.select(F.xxhash64("doc_id").alias("key"), "text"), _full_rows(n, sent), "node long, wide array<long>, grams array<long>")
+        return roots
+    sent = spark.sparkContext.broadcast([bytes(r["bits"]) for r in sorted(parts, key=lambda r: r["slice"])])
+    rows = mapped(docs.select(F.xxhash64("doc_id").alias("key"), "text"), _full_rows(n, sent, twice), "node long, n int, wide array<long>, blocks array<array<long>>")
     name = f"axonlake_rows_{uuid.uuid4().hex}"
-    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).withColumn("n", F.size("grams")).write.bucketBy(parts_n, "node").sortBy("node").saveAsTable(name)
-    rows = spark.table(name)
-    todo, roots, tested, turn = active, empty, None, 0
-    while True:
-        size = todo.count()
-        rooted = fitted(todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root")), size)
-        open_ = rooted.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "m")
-        now = saved(fitted(rooted.join(fitted(open_, size), "gram"), size), "ngram-open")
-        size = now.count()
-        if not size:
-            drop(now)
-            break
-        slots = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
-        whole = F.col("m") <= SMALL[min(turn, len(SMALL) - 1)]
-        mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), *_FIELDS, "root")
-        pivots = now.where(~whole).groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(mine).alias("p"))
-        pivots = saved(fitted(pivots, size).select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
-        cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent, PARITY)
-        pairs = pivots.alias("a").join(now.where(~whole).alias("b"), cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-        if turn:
-            out = now.where(whole).alias("a").join(now.where(whole).alias("b"), cond & (F.col("a.node") < F.col("b.node")))
-            pairs = pairs.unionByName(out.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-        pairs = fitted(fitted(pairs, size).distinct(), size)
-        if tested is not None:
-            pairs = fitted(pairs.join(tested, ["a", "b"], "left_anti"), size)
-        found = _overlaps(pairs, rows, percent, size)
-        edges = found.where("linked").select("a", "b")
-        if turn:
-            edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(edges).withColumnRenamed("component", "root")
-        failed = found.where("not linked").select("a", "b")
-        was, tested = tested, saved(fitted(failed if tested is None else tested.unionByName(failed), size), "ngram-tested")
-        rest = now.where(~whole).join(pivots.select("gram", "node"), ["gram", "node"], "left_anti").select("gram", *_FIELDS)
-        todo_was, todo = todo, saved(fitted(rest, size), "ngram-todo")
-        drop(now, pivots, found, was, None if todo_was is active else todo_was)
-        turn += 1
-    drop(tested, None if todo is active else todo)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    path = f"{shared_dir(spark)}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        with Scratch() as scratch:
+            rows.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.option("path", path).bucketBy(buckets, "node").sortBy("node").saveAsTable(name)
+            rows = spark.table(name)
+            todo, tested, turn = active, None, 0
+            while True:
+                size = todo.count()
+                rooted = fitted(todo.join(roots, "node", "left").select("gram", *_FIELDS, F.coalesce("root", "node").alias("root")), size)
+                open_ = rooted.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "m")
+                now = scratch.saved(fitted(rooted.join(fitted(open_, size), "gram"), size), "ngram-open")
+                size = now.count()
+                if not size:
+                    break
+                slots = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] << (turn - len(PIVOTS) + 1)
+                whole = F.col("m") <= SMALL[min(turn, len(SMALL) - 1)]
+                mine = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), *_FIELDS, "root")
+                pivots = now.where(~whole).groupBy("gram", F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")).agg(F.min(mine).alias("p"))
+                pivots = scratch.saved(fitted(pivots, size).select("gram", *[f"p.{f}" for f in _FIELDS], "p.root"), "ngram-pivots")
+                cond = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.root") != F.col("b.root")) & _may_link(percent, PARITY)
+                pairs = pivots.alias("a").join(now.where(~whole).alias("b"), cond).select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+                if turn:
+                    out = now.where(whole).alias("a").join(now.where(whole).alias("b"), cond & (F.col("a.node") < F.col("b.node")))
+                    pairs = pairs.unionByName(out.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+                pairs = fitted(fitted(pairs, size).distinct(), size)
+                if tested is not None:
+                    pairs = fitted(pairs.join(tested, ["a", "b"], "left_anti"), size)
+                found = _overlaps(pairs, rows, percent, size, scratch)
+                edges = found.where("linked").select("a", "b")
+                if turn:
+                    edges = edges.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+                roots = components(edges).withColumnRenamed("component", "root")
+                failed = found.where("not linked").select("a", "b")
+                was, tested = tested, scratch.saved(fitted(failed if tested is None else tested.unionByName(failed), size), "ngram-tested")
+                rest = now.where(~whole).join(pivots.select("gram", "node"), ["gram", "node"], "left_anti").select("gram", *_FIELDS)
+                todo_was, todo = todo, scratch.saved(fitted(rest, size), "ngram-todo")
+                scratch.drop(now, pivots, found, was, None if todo_was is active else todo_was)
+                turn += 1
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+        sent.unpersist()
     return roots
 
 

@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from axonlake.llm.common import saved, table
+from axonlake.llm.common import Scratch, table
 from axonlake.llm.op3_mixing import mixed
 from axonlake.llm.op4_sharding import shard_by_bytes
 from axonlake.llm.op6_language import UNDETERMINED, fit, held_out, predict
-from axonlake.llm.op9_ngram_join import similar_classes
+from axonlake.llm.op9_ngram_join import one_of_each
 from axonlake.llm.op10_decontaminate import without_leaks
 
 #: Documents whose language is less sure than this are rejected: texts in two languages are kept, noise goes.
@@ -31,25 +30,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each class of similar documents the one of smallest doc_id, and of repeated rows one. Rows without an id stay."""
-    dropped = similar_classes(docs, NEAR_WORDS, NEAR_PERCENT).where("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(dropped, "doc_id", "left_anti").withColumn("_text_hash", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))
-    return rest.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select(*docs.columns)
+    """Keeps of each class of similar documents the one of smallest doc_id; see one_of_each() for repeated ids, nulls and texts without words."""
+    return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a passage of the benchmark."""
+    """Drops documents that hold a passage of the benchmark. Null and empty texts stay, repeated rows stay or go alike, an empty table gives none."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that domain tokens meet the target weights."""
+    """Repeats or leaves out documents so that domain tokens meet the target weights. Null and empty texts have a rate like any other, repeated
+
+    rows are alike, without labels every row stays once, an empty table gives none.
+    """
     return mixed(docs, table(spark, sf_dir, "labels"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts each document into one of 16 shards of near equal bytes."""
+    """Puts each document into one of 16 shards of near equal bytes. Null texts have no bytes, repeated rows share a shard, an empty table gives none."""
     return shard_by_bytes(docs)
 
 
@@ -66,7 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch() as scratch:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            was, docs = docs, scratch.saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            scratch.drop(was)
+        return STAGES[-1][1](spark, docs, sf_dir)  # what it still needs of docs is checkpointed
