@@ -2,12 +2,12 @@
 
 Unit vectors are rotated by a fixed random rotation and split into blocks of BLOCK dimensions. A pair of
 cosine c or more has a squared distance of 2 - 2c at most; so in some block its squared distance is at most that
-block's proportional share. Each block is range-joined under its share: vectors go to strips of the block's
-first coordinate (and to the next strip, if within reach), and in a strip, sorted along it, block distances
+block's proportional share. Each block is range-joined under its share: vectors go to cells of the block's
+first two coordinates (and, within reach of a border, to the next cells), and in a cell, sorted along the first, block distances
 are compared. Candidates are verified by the exact cosine of the vectors as given, in double precision; a
 pair counts in the first block that admits it, so the union of the blocks needs no deduplication.
 
-Equal vectors are folded first. A strip with more than CHUNK vectors is dealt out as pairs of chunks. A task
+Equal vectors are folded first. A cell with more than CHUNK vectors is dealt out as pairs of chunks, before its first shuffle. A task
 returns each vector's number of links and one edge to the root of its group within the task, never pairs.
 """
 
@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, kept, mapped, saved, table
+from .common import Scratch, components, kept, mapped, merge_roots, table
 
-BLOCK = 8
+BLOCK = 16
 CHUNK = 4096
-#: Strip width in units of the block's reach.
-WIDTH = 4
+#: Cell width in units of the block's reach, and the cells that a row of cells has room for.
+WIDTH, CELLS = 5, 1 << 20
+#: Crowded cells up to which their number of chunks is broadcast; beyond, vectors are joined with it by cell and one of SALTS salts.
+FEW_CELLS, SALTS = 50_000, 16
+#: Bits of a vector's first name; vectors that share it go by their second.
+NAME_BITS = 64
 #: Candidates verified at a time, and rows compared at a time.
 VERIFY, ROWS = 1 << 15, 256
 _EPS = 1e-9
@@ -57,40 +61,36 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _strips(cosine: float):
+def _cells(cosine: float):
     def run(batches):
         known: dict[int, np.ndarray] = {}
+        kind = pa.list_(pa.struct([("block", pa.int32()), ("cell", pa.int64()), ("guest", pa.bool_())]))
         for b in batches:
             dims = b.column(1).to_numpy()
-            home: list = [None] * len(dims)
-            up: list = [None] * len(dims)
+            cells: list = [None] * len(dims)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 q = known.setdefault(d, rotation(d))
-                first = (unit(_matrix(b.column(2).take(pa.array(at)), d)) @ q)[:, [a for a, _ in blocks_of(d)]]
-                reach = np.sqrt(shares(d, cosine)) + _EPS
-                s = np.floor(first / (WIDTH * reach))
-                more = first + reach >= (s + 1) * (WIDTH * reach)
+                r = unit(_matrix(b.column(2).take(pa.array(at)), d)) @ q
+                mine: list[list[dict]] = [[] for _ in at]
+                for block, (share, (lo, hi)) in enumerate(zip(shares(d, cosine), blocks_of(d), strict=True)):
+                    reach = np.sqrt(share) + _EPS
+                    x, y = r[:, lo], r[:, lo + 1] if hi - lo > 1 else np.zeros(len(r))
+                    w = WIDTH * reach
+                    s, t = np.floor(x / w), np.floor(y / w)
+                    right, up, down = x + reach >= (s + 1) * w, y + reach >= (t + 1) * w, y - reach < t * w
+                    home = (s * CELLS + t).astype(np.int64)
+                    # of two neighbouring cells, the one that comes first sends guests to the other
+                    for step, go in ((0, np.ones(len(r), bool)), (1, up), (CELLS, right), (CELLS + 1, right & up), (CELLS - 1, right & down)):
+                        for k in np.flatnonzero(go):
+                            mine[k].append({"block": block, "cell": int(home[k]) + step, "guest": step > 0})
                 for k, i in enumerate(at):
-                    home[i], up[i] = s[k].astype(int).tolist(), more[k].tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home, pa.list_(pa.int32())), pa.array(up, pa.list_(pa.bool_()))], [*b.schema.names, "home", "up"])
+                    cells[i] = mine[k]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, kind)], [*b.schema.names, "cells"])
 
     return run
 
 
-def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merges the groups of a[i] and b[i]: hooks larger roots under smaller ones until nothing changes."""
-    while True:
-        while (parent[parent] != parent).any():
-            parent[:] = parent[parent]
-        x, y = parent[a], parent[b]
-        open_ = x != y
-        if not open_.any():
-            return
-        a, b = a[open_], b[open_]
-        np.minimum.at(parent, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
-
-
 def block_links(left: np.ndarray, right: np.ndarray | None, block: int, cosine: float):
     """Yields (i, j) index arrays of linked pairs that this block is the first to admit. right None: pairs i < j within left."""
     dim = left.shape[1]
@@ -124,6 +124,8 @@ def block_links(left: np.ndarray, right: np.ndarray | None, block: int, cosine:
 
 
 def _join(cosine: float):
+    """Links of one chunk, or between two: side 0 is chunk i, side 1 is chunk j of the cell and the guests that meet chunk i."""
+
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
         i, j = key[4].as_py(), key[5].as_py()
         dim, block = key[1].as_py(), key[2].as_py()
@@ -140,7 +142,7 @@ def _join(cosine: float):
                 p, r = left[p], (left if right is None else right)[r]
                 np.add.at(links, p, mult[r])
                 np.add.at(links, r, mult[p])
-                _roots(parent, p, r)
+                merge_roots(parent, p, r)
         hit = np.flatnonzero(links > 0)
         return pa.table({"node": node[hit], "links": links[hit], "root": node[parent[hit]]}, schema=pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
@@ -155,37 +157,44 @@ def similar_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     Repeated rows are vectors of their own and link with each other. An empty table gives no rows; other
     columns are ignored. component_id is the smallest id reachable by links.
     """
-    spark = vectors.sparkSession
     e = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.col(label_col).cast("string").alias("label"))
     # a float or a double compares with infinity as such; forall is null if a component is
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    rows = rows.withColumns({"fit": fit, "node": F.xxhash64("label", "embedding"), "k2": F.xxhash64("embedding", F.lit(5), "label")})
-    classes = rows.where("fit").groupBy("node", "k2", "label").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
-    classes = classes.select("node", F.size("embedding").alias("dim"), "embedding", "label", "first", "mult")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", home array<int>, up array<boolean>"
-    placed = saved(mapped(classes, _strips(cosine), schema, rows=4096), "vectors")
-    own = placed.select("node", "mult", "embedding", "label", "dim", F.posexplode(F.arrays_zip("home", "up")).alias("block", "s"))
-    own = own.select("node", "mult", "embedding", "label", "dim", "block", F.col("s.home").alias("strip"), F.col("s.up").alias("up"))
-    group = ["label", "dim", "block", "strip"]
-    crowd = own.groupBy(*group).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    salt = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
-    homes = own.join(crowd, group).withColumn("chunk", salt)
-    # A home of chunk c is the left side of (c, j) for all j, and the right side of (i, c) for i < c.
-    left = homes.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j")).withColumns({"i": F.col("chunk"), "side": F.lit(0)})
-    right = homes.where("chunk > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("chunk") - 1)).alias("i")).withColumns({"j": F.col("chunk"), "side": F.lit(1)})
-    guests = own.where("up").withColumn("strip", F.col("strip") + 1).join(crowd, group).withColumn("chunk", salt)
-    guests = guests.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i")).withColumns({"j": F.col("chunk"), "side": F.lit(1)})
-    names = [*group, "i", "j", "side", "node", "mult", "embedding"]
-    dealt = left.select(*names).unionByName(right.select(*names)).unionByName(guests.select(*names))
-    found = saved(dealt.groupBy(*group, "i", "j").applyInArrow(_join(cosine), "node long, links long, root long"), "vector-links")
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = placed.select("node", "first", "mult").join(roots, "node", "left").join(counts, "node", "left")
-    known = known.select("node", "first", F.coalesce("component", "node").alias("root"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    best = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = kept(known.join(best, "root").select("node", "n_links", "component_id"), "vector-classes")
-    out = rows.select("vec_id", F.when(F.col("fit"), F.col("node")).alias("node")).join(named, "node", "left")
+    rows = rows.withColumns({"fit": fit, "k1": F.shiftright(F.xxhash64("label", "embedding"), 64 - NAME_BITS), "k2": F.xxhash64("embedding", F.lit(5), "label")})
+    with Scratch() as scratch:
+        classes = rows.where("fit").groupBy("k1", "k2", "label").agg(F.min("vec_id").alias("first"), F.count("*").alias("mult"), F.first("embedding").alias("embedding"))
+        classes = classes.select("k1", F.size("embedding").alias("dim"), "embedding", "label", "k2", "first", "mult")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields) + ", cells array<struct<block:int,cell:long,guest:boolean>>"
+        placed = scratch.saved(mapped(classes, _cells(cosine), schema, rows=1024), "vectors")
+        # About vectors^2 / 2^65 different ones share their first name: none in most tables, a few in the largest.
+        twice = [r["k1"] for r in placed.groupBy("k1").count().where("count > 1").select("k1").collect()]
+        node = F.when(F.col("k1").isin(*twice), F.col("k2")).otherwise(F.col("k1")) if twice else F.col("k1")
+        own = placed.select(node.alias("node"), "mult", "embedding", "label", "dim", F.explode("cells").alias("c")).select("node", "mult", "embedding", "label", "dim", "c.*")
+        group = ["label", "dim", "block", "cell"]
+        crowd = own.where("not guest").groupBy(*group).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+        crowd = scratch.saved(crowd, "vector-cells")
+        if crowd.count() <= FEW_CELLS:
+            counted = own.join(F.broadcast(crowd), group)
+        else:
+            salted = crowd.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            counted = own.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).cast("int")).join(salted, [*group, "salt"])
+        counted = counted.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int"))
+        # A home of chunk c is the left side of (c, j) for all j, and the right side of (i, c) for i < c; a guest of chunk c is the right side of (i, c) for all i.
+        every = F.sequence(F.lit(0), F.col("chunks") - 1)
+        left = F.transform(every, lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        right = F.transform(F.filter(every, lambda i: i < F.col("chunk")), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side")))
+        guest = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j"), F.lit(1).alias("side")))
+        dealt = counted.select(*group, "node", "mult", "embedding", F.explode(F.when(F.col("guest"), guest).otherwise(F.concat(left, right))).alias("d"))
+        dealt = dealt.select(*group, "d.i", "d.j", "d.side", "node", "mult", "embedding")
+        found = scratch.saved(dealt.groupBy(*group, "i", "j").applyInArrow(_join(cosine), "node long, links long, root long"), "vector-links")
+        counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+        roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        known = placed.select(node.alias("node"), "first", "mult").join(roots, "node", "left").join(counts, "node", "left")
+        known = known.select("node", "first", F.coalesce("component", "node").alias("root"), (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        best = known.groupBy("root").agg(F.min("first").alias("component_id"))
+        named = kept(known.join(best, "root").select("node", "n_links", "component_id"), "vector-classes")
+    out = rows.select("vec_id", F.when(F.col("fit"), node).alias("node")).join(named, "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -242,9 +242,11 @@ def test_shards_of_nothing(spark):
 # ---------------------------------------------------------------- 5
 
 
-@pytest.mark.parametrize("dim,chunk", [(64, 4096), (10, 7), (3, 4096)])
-def test_vectors(spark, monkeypatch, dim, chunk):
+@pytest.mark.parametrize("dim,chunk,few,bits", [(64, 4096, 50_000, 64), (64, 5, 0, 5), (20, 7, 50_000, 64), (3, 4096, 0, 64), (1, 4096, 50_000, 64)])
+def test_vectors(spark, monkeypatch, dim, chunk, few, bits):
     monkeypatch.setattr(op5, "CHUNK", chunk)
+    monkeypatch.setattr(op5, "FEW_CELLS", few)
+    monkeypatch.setattr(op5, "NAME_BITS", bits)
     rng = np.random.default_rng(dim)
     centres = rng.normal(size=(25, dim))
     x = [(centres[i % 25] + rng.normal(size=dim) * rng.choice([0.02, 0.12, 0.2])).astype("f4").tolist() for i in range(150)]
@@ -294,15 +296,19 @@ def ngram_rows():
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("small", [(0, 32, 32, 4096), (0, 0, 0, 2)])
-def test_ngram_classes(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,pivots,blocks,bits", [((0, 64, 1024), (1, 16, 64), 8, 64), ((0, 0, 0, 2), (1, 2), 2, 4), ((0, 2, 7), (2, 7), 1, 64)])
+def test_ngram_classes(spark, monkeypatch, small, pivots, blocks, bits):
+    """Few pivots, columns split small, other blocks, and names so short that most sets share theirs: the classes are the same."""
     monkeypatch.setattr(op9, "SMALL", small)
+    monkeypatch.setattr(op9, "PIVOTS", pivots)
+    monkeypatch.setattr(op9, "BLOCKS", blocks)
+    monkeypatch.setattr(op9, "NAME_BITS", bits)
     rows = ngram_rows()
     sets = [shingles(t) for _, t in rows]
     links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
     want = classes(len(rows), links)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, node string, n int").repartition(3)
-    got = {r["doc_id"]: (r["n_ngrams"], r["component_id"]) for r in op9.similar_classes(docs).collect()}
+    got = {r["doc_id"]: (r["n_ngrams"], r["component_id"]) for r in op9.similar_classes(docs, 4, 85).collect()}
     assert got == {i: (len(sets[i]), want[i]) for i in range(len(rows))}
 
 
@@ -314,6 +320,66 @@ def test_ngram_edges(spark):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == [("3", "3"), ("3", "3"), ("None", "3"), ("None", "None")]
 
 
+@pytest.mark.parametrize("percent", [50, 85])
+def test_overlaps_accumulate_over_blocks(spark, percent):
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for i in range(120):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(0, 20)).astype(np.uint64)]))
+        o = len(np.intersect1d(a, b))
+        rows.append((i, len(a), len(b), *[[x.tolist() for x in op9.in_blocks(s)] for s in (a, b)]))
+        want.append(o if 100 * o >= percent * (len(a) + len(b) - o) else None)
+        assert sorted(sum(rows[-1][3], [])) == sorted(a.view(np.int64).tolist())
+    got = spark.createDataFrame(rows, "i int, n_a int, n_b int, blocks_a array<array<long>>, blocks_b array<array<long>>").select("i", op9.accumulated(percent).alias("o")).collect()
+    assert any(w is None for w in want) and any(r["o"] == -1 for r in got)
+    for r in got:
+        if want[r["i"]] is not None:
+            assert r["o"] == want[r["i"]]
+        else:
+            a, b = rows[r["i"]][1:3]
+            assert r["o"] == -1 or 100 * r["o"] < percent * (a + b - r["o"])
+
+
+def test_one_of_each_by_row(spark):
+    t, u = "one two three four five six seven", "other words that have nothing to do with it"
+    rows = [(1, t, "a"), (2, t, "b"), (2, u, "c"), (2, u, "d"), (None, u, "e"), (None, "alone here it is by its own self", "f"), (None, "alone here it is by its own self", "g"), (3, None, "h"), (3, None, "i"), (None, " \n", "j"), (4, "", "k")]
+    docs = spark.createDataFrame([(*r, "x", 0, 0, "y") for r in rows], "doc_id long, text string, tag string, node string, h1 int, at int, wordless string")
+    got = op9.one_of_each(docs)
+    assert got.columns == docs.columns
+    tags = sorted(r["tag"] for r in got.collect())
+    assert len(tags) == 7 and "a" in tags and "b" not in tags and ("c" in tags) != ("d" in tags) and "e" not in tags and ("f" in tags) != ("g" in tags) and set("hijk") <= set(tags)
+    assert op9.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_scratch_is_deleted(spark):
+    import os
+
+    home = spark.conf.get("spark.checkpoint.dir")
+    docs = spark.createDataFrame(ngram_rows(), "doc_id long, text string")
+
+    def mine():
+        return {f for f in os.listdir(home.removeprefix("file://")) if f.startswith("axonlake")}
+
+    was = mine()
+    op9.similar_classes(docs).count()
+    op5.similar_vectors(spark.createDataFrame([(1, [1.0, 2.0], 3), (2, [1.0, 2.1], 3)], "vec_id long, embedding array<float>, label int")).count()
+    op4.shard_by_bytes(docs).count()
+    assert mine() == was and not [t.name for t in spark.catalog.listTables() if t.name.startswith("axonlake")]
+
+
+@pytest.mark.parametrize("each", [1 << 20, 20])
+def test_components_in_parts(spark, monkeypatch, each):
+    from axonlake.llm import common
+
+    monkeypatch.setattr(common, "EDGES_EACH", each)
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3)]
+    want = classes(600, [e for e in edges if None not in e])
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {i: want[i] for i in {x for e in edges if e[0] != e[1] and None not in e for x in e}}
+
+
 def test_parity_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for _ in range(50):
