@@ -328,7 +328,8 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), F.col(text_col).alias("text"))
     rows = _classed(docs, n, percent)
-    best = rows.groupBy("root").agg(F.min("doc_id").alias("first"))
+    # A table of its own, so that adaptive execution sees the join as one of two shuffles and splits the rows of a large class.
+    best = kept(rows.groupBy("root").agg(F.min("doc_id").alias("first")), "ngram-first")
     out = rows.join(best, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_ngrams"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
 
