@@ -342,7 +342,7 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     differ. An empty table gives no rows; columns of any name stay.
     """
     text = F.col(text_col)
-    wordless = text.isNull() | (F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0)
+    wordless = text.isNull() | ~text.rlike(r"[^ \t\n\x0B\f\r]")
     keyed = packed(docs, text=text, doc_id=F.col(id_col).cast("long"), h1=F.xxhash64(text), h2=F.xxhash64(text, F.lit(5)), wordless=wordless)
     rows = _classed(keyed.select("doc_id", "h1", "h2", "text"), n, percent).where("root is not null")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
@@ -401,7 +401,7 @@ def classes_of(active: DataFrame, docs: DataFrame, docs_n: DataFrame, n: int, pe
     roots = spark.createDataFrame([], "node long, root long")
     nodes = active.select("node").distinct()
     # Of each set, one document tells its n-grams.
-    keys = docs_n.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key")).select("key")
+    keys = docs_n.where("node is not null").groupBy("node").agg(F.min(F.xxhash64("doc_id")).alias("key")).join(nodes, "node", "left_semi").select("key")
     parts = mapped(keys, _bits, "slice int, bits binary", rows=4096).groupBy("slice").applyInArrow(_or_slices, "slice int, bits binary").collect()
     if not parts:
         return roots
