@@ -23,18 +23,22 @@ def with_default(df: DataFrame, dim: DataFrame, on: str, column: str, default: s
 
 
 def runs(log: DataFrame, keys: list[str], counter: str = "counter", state: str = "state") -> DataFrame:
-    """(keys, seq, state, start, end) of maximal runs of one state, by counter; start and end are counters."""
+    """(keys, seq, state, start, end) of maximal runs of one state, by counter; start and end are counters.
+
+    A missing state is a state of its own. Counters are expected once (R03 sees to it): of repeated ones the order is open. An empty
+    log gives no runs; other columns are ignored.
+    """
     by = W.partitionBy(*keys).orderBy(counter)
-    change = (F.lag(state).over(by).isNull() | (F.lag(state).over(by) != F.col(state))).cast("int")
+    change = ((F.row_number().over(by) == 1) | ~F.lag(state).over(by).eqNullSafe(F.col(state))).cast("int")
     numbered = log.withColumn("_change", change).withColumn("seq", F.sum("_change").over(by))
     out = numbered.groupBy(*keys, "seq").agg(F.first(state).alias("state"), F.min(counter).alias("start"), F.max(counter).alias("end"))
     return out.withColumn("seq", F.col("seq").cast("long"))
 
 
 def coalesced(found: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Runs of several files joined where the state stays and the counters go on."""
+    """Runs of several files joined where the state (or its lack) stays and the counters go on."""
     by = W.partitionBy(*keys).orderBy(*order)
-    same = (F.lag("state").over(by) == F.col("state")) & F.col("start").isin(F.lag("end").over(by), F.lag("end").over(by) + 1)
+    same = F.lag("state").over(by).eqNullSafe(F.col("state")) & F.col("start").isin(F.lag("end").over(by), F.lag("end").over(by) + 1)
     numbered = found.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_group", F.sum("_new").over(by))
     out = numbered.groupBy(*keys, "_group").agg(F.first("state").alias("state"), F.min("start").alias("start"), F.max("end").alias("end"))
     return out.withColumnRenamed("_group", "seq").withColumn("seq", F.col("seq").cast("long"))
@@ -101,14 +105,16 @@ def zipped(left: DataFrame, right: DataFrame, keys: list[str], left_order: list[
 def interval_join(samples: DataFrame, intervals: DataFrame, bucket: int = 256, default: str = "Unknown") -> DataFrame:
     """State of each sample (worm, t, ...), start <= t < end, the interval of lowest seq first, else the default.
 
-    Intervals are spread over buckets of time, so the join has an equality key besides the recording.
+    Intervals are spread over buckets of time and gathered by recording and bucket (as many as overlap there), so each sample meets one
+    row and its columns are shuffled once. Repeated samples each come back; samples without a worm or a time, and intervals without
+    a state, give the default; empty intervals cover nothing.
     """
     spans = intervals.where("end > start").select("worm", "seq", "state", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))).alias("_bucket"))
-    keyed = samples.withColumn("_bucket", F.floor(F.col("t") / bucket)).withColumn("_row", F.struct(*samples.columns))
-    s, i = keyed.alias("s"), spans.alias("i")
-    cond = (F.col("s.worm") == F.col("i.worm")) & (F.col("s._bucket") == F.col("i._bucket")) & (F.col("s.t") >= F.col("i.start")) & (F.col("s.t") < F.col("i.end"))
-    hit = s.join(i, cond, "left").groupBy("s._row").agg(F.min_by("i.state", "i.seq").alias("state"))
-    return hit.select("_row.*", F.coalesce("state", F.lit(default)).alias("state"))
+    listed = spans.groupBy("worm", "_bucket").agg(F.collect_list(F.struct("seq", "start", "end", "state")).alias("_spans"))
+    keyed = samples.withColumn("_bucket", F.floor(F.col("t") / bucket)).join(listed, ["worm", "_bucket"], "left")
+    t = F.col("t")
+    first = F.array_min(F.filter("_spans", lambda x: (x["start"] <= t) & (t < x["end"])))
+    return keyed.select(*samples.columns, F.coalesce(first["state"], F.lit(default)).alias("state"))
 
 
 def overlap_rebased(intervals: DataFrame, parts: DataFrame) -> DataFrame:

@@ -169,33 +169,58 @@ def members(z: np.ndarray, n: int) -> list[list[int]]:
 
 
 def optimal_order(z: np.ndarray, d: np.ndarray) -> list[int]:
-    """Leaf order of least summed distance of neighbours that the tree allows (Bar-Joseph et al., 2001)."""
+    """Leaf order of least summed distance of neighbours that the tree allows (Bar-Joseph et al., 2001), in O(n^3) by minima over rows.
+
+    best[u, w] is the least sum for the smallest subtree that holds both, from u at one end to w at the other.
+    """
     n = len(d)
     if n < 2:
         return list(range(n))
-    leaves = members(z, n)
-    best: list[dict] = [{(i, i): (0.0, None)} for i in range(n)]
+    leaves = [np.array(x) for x in members(z, n)]
+    best, via = np.full((n, n), np.inf), np.zeros((n, n, 2), int)
+    best[range(n), range(n)] = 0.0
+
+    def ends(node: int) -> np.ndarray:
+        """best among the node's leaves, infinite for two of one child: both can't be ends."""
+        own = leaves[node]
+        out = best[np.ix_(own, own)].copy()
+        if node >= n:
+            for child in z[node - n, :2].astype(int):
+                inside = np.isin(own, leaves[child])
+                out[np.ix_(inside, inside)] = np.inf
+        return out
+
     for a, b, _, _ in z:
         a, b = int(a), int(b)
-        table: dict = {}
-        for u in leaves[a]:
-            for w in leaves[b]:
-                options = ((best[a][u, m][0] + d[m, k] + best[b][k, w][0], m, k) for m in leaves[a] if (u, m) in best[a] for k in leaves[b] if (k, w) in best[b])
-                got = min(options, default=None)
-                if got is not None:
-                    table[u, w] = (got[0], (a, b, got[1], got[2]))
-                    table[w, u] = (got[0], (b, a, got[2], got[1]))
-        best.append(table)
+        left, right = leaves[a], leaves[b]
+        ea, eb, cross = ends(a), ends(b), d[np.ix_(left, right)]
+        step = ea[:, :, None] + cross[None, :, :] if len(left) ** 2 * len(right) <= 1 << 22 else None
+        if step is not None:
+            m, first = step.argmin(axis=1), step.min(axis=1)
+        else:  # a row at a time, for memory
+            rows = [ea[u][:, None] + cross for u in range(len(left))]
+            m, first = np.array([r.argmin(axis=0) for r in rows]), np.array([r.min(axis=0) for r in rows])
+        for u in range(len(left)):
+            total = first[u][:, None] + eb
+            k = total.argmin(axis=0)
+            at = np.arange(len(right))
+            best[left[u], right] = best[right, left[u]] = total[k, at]
+            via[left[u], right] = np.stack([left[m[u, k]], right[k]], axis=1)
 
     def walk(node: int, u: int, w: int) -> list[int]:
-        how = best[node][u, w][1]
-        if how is None:
+        if node < n:
             return [u]
-        first, second, m, k = how
-        return walk(first, u, m) + walk(second, k, w)
+        a, b = z[node - n, :2].astype(int)
+        if u not in leaves[a]:
+            return walk(node, w, u)[::-1]
+        m, k = via[u, w]
+        return walk(a, u, int(m)) + walk(b, int(k), w)
 
-    ends = min(best[-1], key=lambda e: (best[-1][e][0], e))
-    return walk(len(best) - 1, *ends)
+    top = len(leaves) - 1
+    own = leaves[top]
+    u, w = np.unravel_index(ends(top).argmin(), (len(own), len(own)))
+    u, w = sorted((int(own[u]), int(own[w])))
+    return walk(top, u, w)
 
 
 def cut(z: np.ndarray, n: int, height: float) -> np.ndarray:
@@ -218,23 +243,31 @@ def correlation_distance(x: np.ndarray) -> np.ndarray:
 
 
 def row_order(x: np.ndarray, method: str = "average") -> list[int]:
-    """Order of rows by linkage of their correlation distance; as they are where that isn't defined."""
-    if len(x) <= 2 or not np.isfinite(x).all() or (x.std(axis=1) <= 0).any():
-        return list(range(len(x)))
-    d = correlation_distance(x)
-    z = linkage(d, method)
-    return optimal_order(z, d) if method == "average" else members(z, len(x))[-1]
-
-
-def ordered_rows(matrix: DataFrame, row: str, column: str, value: str, keys: list[str], method: str = "average") -> DataFrame:
-    """(keys, row, place). A matrix (neurons by stimuli or times) is small by nature and meets in one task."""
+    """Order of rows by linkage of their correlation distance; rows without spread have none and come last, as they are."""
+    flat = ~(x.std(axis=1) > 0) if x.size else np.ones(len(x), bool)
+    rows = np.flatnonzero(~flat)
+    if len(rows) <= 2:
+        order = rows.tolist()
+    else:
+        d = correlation_distance(x[rows])
+        z = linkage(d, method)
+        order = rows[optimal_order(z, d) if method == "average" else members(z, len(rows))[-1]].tolist()
+    return order + np.flatnonzero(flat).tolist()
+
+
+def ordered_rows(matrix: DataFrame, row: str, column: str, value: str, keys: list[str], method: str = "average", last: str | None = None) -> DataFrame:
+    """(keys, row, place). A matrix (neurons by stimuli or times) is small by nature and meets in one task.
+
+    Missing values count as zero. Rows for which the column last holds come after all others, in order of their names.
+    """
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in matrix.select(*keys, row).schema.fields) + ", place int"
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=row, columns=column, values=value, aggfunc="mean", sort=True).fillna(0.0)
-        got = row_order(wide.to_numpy(float), method)
-        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(got) for k in keys})
-        return out.assign(**{row: wide.index.to_numpy()[got], "place": np.arange(len(got), dtype="int32")})[[*keys, row, "place"]]
+        put = sorted(pdf.loc[pdf[last], row].unique()) if last else []
+        wide = pdf[~pdf[row].isin(put)].pivot_table(index=row, columns=column, values=value, aggfunc="mean", sort=True).fillna(0.0)
+        names = [*(wide.index.to_numpy()[row_order(wide.to_numpy(float), method)] if len(wide) else []), *put]
+        out = pd.DataFrame({k: [pdf[k].iloc[0]] * len(names) for k in keys})
+        return out.assign(**{row: names, "place": np.arange(len(names), dtype="int32")})[[*keys, row, "place"]]
 
     return matrix.groupBy(*keys).applyInPandas(order, schema)
 
@@ -396,9 +429,9 @@ def fitted_baselines(samples: DataFrame, keys: list[str], t: str = "t", v: str =
     return samples.select(*cols).repartition(n, *keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
-def fit_quality(fits: DataFrame, poor: float = 0.8) -> DataFrame:
-    """Mean and median R squared, fits and poor fits of each model."""
-    return fits.groupBy("model").agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.count("*").alias("n"), F.count(F.when(F.col("r2") < poor, 1)).alias("n_poor"))
+def fit_quality(fits: DataFrame, by: tuple[str, ...] = ("model",), poor: float = 0.8) -> DataFrame:
+    """Mean and median R squared, fits and poor fits of each model, or of each sub-recording."""
+    return fits.groupBy(*by).agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.count("*").alias("n"), F.count(F.when(F.col("r2") < poor, 1)).alias("n_poor"))
 
 
 # ---------------------------------------------------------------- components

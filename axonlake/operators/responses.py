@@ -107,6 +107,24 @@ def mirror_filled(matrix: DataFrame, zero_is_missing: bool = False, v: str = "v"
     return j.withColumn("filled", F.coalesce(own, fallback, F.lit(0.0))).drop("_mirror", "_other")
 
 
+def traces_imputed(traces: DataFrame, v: str = "v") -> DataFrame:
+    """Every neuron of the table with a trace for every stimulus: its own, else the other side's, else zeros (missing holds).
+
+    traces: neuron, stimulus, t, v, one row for each time at most. Times that a trace lacks count as zero. The names, stimuli and
+    times are dimensions.
+    """
+    own = traces.select("neuron", "stimulus").distinct()
+    every = traces.select("neuron").distinct().crossJoin(traces.select("stimulus").distinct())
+    there = own.withColumn("_own", F.lit(True))
+    sides = every.join(there, ["neuron", "stimulus"], "left").withColumn("_mirror", mirrored(F.col("neuron")))
+    sides = sides.join(there.select(F.col("neuron").alias("_mirror"), "stimulus", F.col("_own").alias("_other")), ["_mirror", "stimulus"], "left")
+    source = F.when(F.col("_own"), F.col("neuron")).when(F.col("_other"), F.col("_mirror"))
+    grid = sides.select("neuron", "stimulus", source.alias("_source")).crossJoin(traces.select("t").distinct())
+    found = traces.select(F.col("neuron").alias("_source"), "stimulus", "t", F.col(v).alias(v))
+    out = grid.join(found, ["_source", "stimulus", "t"], "left")
+    return out.select("neuron", "stimulus", "t", F.coalesce(v, F.lit(0.0)).alias(v), F.col("_source").isNull().alias("missing"))
+
+
 def without(trials: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys are not listed."""
     return trials.join(listed.select(*keys).distinct(), keys, "left_anti")
@@ -161,7 +179,10 @@ def marginals(tensor: DataFrame, v: str = "v") -> DataFrame:
     )
 
 
-def feature_vectors(tensor: DataFrame, times: int, sample: str = "stimulus", v: str = "v") -> DataFrame:
-    """(sample, feature, v) of a dense neuron x sample x time table, features neuron-major by neuron name."""
+def feature_vectors(tensor: DataFrame, times: int, sample: tuple[str, ...] = ("stimulus",), v: str = "v") -> DataFrame:
+    """(sample, feature, v) of a neuron x sample x time table, features neuron-major by neuron name.
+
+    The names, a dimension, are listed in one row; how they are joined is left to the optimiser.
+    """
     names = tensor.groupBy().agg(F.array_sort(F.collect_set("neuron")).alias("x")).select(F.posexplode("x").alias("k", "neuron"))
-    return tensor.join(F.broadcast(names), "neuron").select(sample, (F.col("k").cast("long") * times + F.col("t")).alias("feature"), v)
+    return tensor.join(names, "neuron").select(*sample, (F.col("k").cast("long") * times + F.col("t")).alias("feature"), v)

@@ -15,11 +15,13 @@ def nan_to_null(c: Column) -> Column:
 
 
 def interpolated(df: DataFrame, keys: list[str], t: str = "t", v: str = "v", out: str = "filled") -> DataFrame:
-    """Linear between the neighbours that have values, the nearest value at the edges; null where all are."""
-    by = W.partitionBy(*keys).orderBy(t)
+    """Linear between the neighbours that have values, the nearest value at the edges; null where all are.
+
+    The neighbour after is the last one before in descending order: a frame that grows with the row is carried on, one that
+    shrinks would be read anew for each row. Times are expected once in a series.
+    """
     point = F.when(F.col(v).isNotNull(), F.struct(F.col(t).alias("t"), F.col(v).alias("v")))
-    lo = F.last(point, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    hi = F.first(point, ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
+    lo, hi = (F.last(point, ignorenulls=True).over(W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, 0)) for o in (F.asc(t), F.desc(t)))
     df = df.withColumn("_lo", lo).withColumn("_hi", hi)
     line = F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * (F.col(t) - F.col("_lo.t")) / F.nullif(F.col("_hi.t") - F.col("_lo.t"), F.lit(0))
     return df.withColumn(out, F.coalesce(F.col(v), line, F.col("_lo.v"), F.col("_hi.v"))).drop("_lo", "_hi")
@@ -93,6 +95,15 @@ def region_linear(df: DataFrame, keys: list[str], start: int, end: int, window:
     return df.withColumn("repaired", F.when((F.col(t) >= start) & (F.col(t) < end), line).otherwise(F.col(v))).drop("_a", "_b")
 
 
+def normal_draw(seed: int, columns: list[str]) -> Column:
+    """A standard normal number from a hash of the seed and the columns (Box-Muller)."""
+
+    def uniform(salt: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *columns), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
+
+
 def region_normal(df: DataFrame, keys: list[str], start: int, end: int, window: int, seed: int = 0, noise: float = 1.0, t: str = "t", v: str = "v") -> DataFrame:
     """[start, end) drawn from the normal distribution of the windows around it (deviation of the population).
 
@@ -102,11 +113,7 @@ def region_normal(df: DataFrame, keys: list[str], start: int, end: int, window:
     near = ((F.col(t) >= start - window) & (F.col(t) < start)) | ((F.col(t) >= end) & (F.col(t) < end + window))
     around = F.when(near, F.col(v))
 
-    def uniform(salt: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *keys, t), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-
-    z = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-    drawn = F.avg(around).over(by) + noise * z * F.stddev_pop(around).over(by)
+    drawn = F.avg(around).over(by) + noise * normal_draw(seed, [*keys, t]) * F.stddev_pop(around).over(by)
     return df.withColumn("repaired", F.when((F.col(t) >= start) & (F.col(t) < end), drawn).otherwise(F.col(v)))
 
 
@@ -117,6 +124,21 @@ def region_moving_average(df: DataFrame, keys: list[str], start: int, end: int,
     return df.withColumn("repaired", F.when((F.col(t) >= start) & (F.col(t) < end), F.coalesce(mean, F.col(v))).otherwise(F.col(v)))
 
 
+def region_weighted_average(df: DataFrame, keys: list[str], start: int, end: int, window: int, seed: int = 0, noise: float = 0.1, t: str = "t", v: str = "v") -> DataFrame:
+    """[start, end) replaced by the means of both windows, weighted by place, plus a normal draw of noise times their difference.
+
+    A side without values counts as 0; a single sample lies in the middle. Draws are hashes of seed, keys and time, as in region_normal().
+    """
+    by = W.partitionBy(*keys)
+    before = F.coalesce(F.avg(F.when((F.col(t) >= start - window) & (F.col(t) < start), F.col(v))).over(by), F.lit(0.0))
+    after = F.coalesce(F.avg(F.when((F.col(t) >= end) & (F.col(t) < end + window), F.col(v))).over(by), F.lit(0.0))
+    df = df.withColumn("_a", before).withColumn("_b", after)
+    right = (F.col(t) - start) / float(end - start - 1) if end - start > 1 else F.lit(0.5)
+    drawn = noise * F.abs(F.col("_b") - F.col("_a")) * normal_draw(seed, [*keys, t])
+    value = (1 - right) * F.col("_a") + right * F.col("_b") + drawn
+    return df.withColumn("repaired", F.when((F.col(t) >= start) & (F.col(t) < end), value).otherwise(F.col(v))).drop("_a", "_b")
+
+
 def waterfall(df: DataFrame, keys: list[str], rank: str, offset: float, v: str = "v") -> DataFrame:
     """Each trace lowered to zero and raised by offset times its rank."""
     return df.withColumn("shifted", F.col(v) - F.min(v).over(W.partitionBy(*keys)) + offset * F.col(rank))
@@ -125,13 +147,13 @@ def waterfall(df: DataFrame, keys: list[str], rank: str, offset: float, v: str =
 def nearest_in_time(missing: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     """For each missing (keys, t) the known time nearest to it, the earlier on ties. known: keys, t.
 
-    The last known time before and the first after are window look-ups over the union: no pairs are formed.
+    The last known time before and the first after (the last in descending order) are window look-ups over the union: no pairs
+    are formed. Without a known time it is null; repeated rows each come back.
     """
     both = missing.select(*keys, "t", F.lit(1).alias("_miss")).unionByName(known.select(*keys, "t", F.lit(0).alias("_miss")))
-    by = W.partitionBy(*keys).orderBy("t", "_miss")
     at = F.when(F.col("_miss") == 0, F.col("t"))
-    lo = F.last(at, ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0))
-    hi = F.first(at, ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing))
+    orders = (F.asc("t"), F.asc("_miss")), (F.desc("t"), F.asc("_miss"))
+    lo, hi = (F.last(at, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*o).rowsBetween(W.unboundedPreceding, 0)) for o in orders)
     found = both.withColumn("_lo", lo).withColumn("_hi", hi).where("_miss = 1")
     near = F.when(F.col("_hi").isNull() | (F.col("t") - F.col("_lo") <= F.col("_hi") - F.col("t")), F.col("_lo")).otherwise(F.col("_hi"))
     return found.select(*keys, "t", F.coalesce(near, "_hi").alias("nearest_t"))

@@ -95,25 +95,30 @@ def array_quantile(x: Column, q: float) -> Column:
     return a + (b - a) * (at - lo)
 
 
-def change_adaptive(df: DataFrame, column: str, v: int, out: str = "adaptive") -> DataFrame:
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def change_adaptive(x: Column, v: int) -> Column:
     """Block means; a block of three samples or more with a steep change (over the 75th percentile) leans to its farther extreme."""
-    g = F.transform(array_gradient(F.col(column)), lambda y: F.abs(y))
-    df = df.withColumn("_g", F.explode(F.array(g)))
-    df = df.withColumn("_thr", F.explode(F.array(array_quantile(F.col("_g"), 0.75))))
-    x, grad, thr = F.col(column), F.col("_g"), F.col("_thr")
     n = F.floor(F.size(x) / float(v)).cast("int")
 
-    def inner(i: Column) -> Column:
-        block, steep = F.slice(x, i * v + 1, F.lit(v)), F.array_max(F.slice(grad, i * v + 1, F.lit(v)))
-        m, hi, lo = mean_of(block), F.array_max(block), F.array_min(block)
-        w = F.least(F.when(thr > 0, steep / (2 * thr)).otherwise(F.lit(1.0)), F.lit(1.0))
-        far = F.when(F.abs(hi - m) > F.abs(lo - m), hi).otherwise(lo)
-        return F.when((steep > thr) & F.lit(v >= 3), m * (1 - w) + far * w).otherwise(m)
+    def blocks(grad: Column, thr: Column) -> Column:
+        def inner(i: Column) -> Column:
+            block, steep = F.slice(x, i * v + 1, F.lit(v)), F.array_max(F.slice(grad, i * v + 1, F.lit(v)))
+            m, hi, lo = mean_of(block), F.array_max(block), F.array_min(block)
+            w = F.least(F.when(thr > 0, steep / (2 * thr)).otherwise(F.lit(1.0)), F.lit(1.0))
+            far = F.when(F.abs(hi - m) > F.abs(lo - m), hi).otherwise(lo)
+            return F.when((steep > thr) & F.lit(v >= 3), m * (1 - w) + far * w).otherwise(m)
+
+        return _ends_kept(x, n, inner)
 
-    return df.withColumn(out, F.when(F.size(x) <= v, x).otherwise(_ends_kept(x, n, inner))).drop("_g", "_thr")
+    steep = F.transform(array_gradient(x), lambda y: F.abs(y))
+    return F.when(F.size(x) <= v, x).otherwise(_let(steep, lambda g: _let(array_quantile(g, 0.75), lambda q: blocks(g, q))))
 
 
-METHODS = {"original": block_means, "preserve": ends_preserved, "weighted": ends_weighted}
+METHODS = {"original": block_means, "preserve": ends_preserved, "weighted": ends_weighted, "adaptive": change_adaptive}
 
 
 def pieces_downsampled(pre: Column, during: Column, post: Column, v: int, method: str = "preserve") -> Column:

@@ -24,6 +24,34 @@ def interval_join_stats(spark, d):
     return out.select("worm", "state", r6(F.col("mean"), "mean"), r6(F.col("sem"), "sem"), "n")
 
 
+UNKNOWN = LOG.replace("event_type AS state", "CASE WHEN event_id % 5 < 2 THEN NULL ELSE event_type END AS state")
+
+
+def _unknown(spark, d):
+    """The log with states that are missing, several in a row too."""
+    return log(spark, d).withColumn("state", F.when(F.col("event_id") % 5 >= 2, F.col("state")))
+
+
+@query(f'WITH {UNKNOWN}, {RUNS} SELECT worm, seq, state, start, "end" FROM runs')
+def run_length_missing_states(spark, d):
+    return iv.runs(_unknown(spark, d), ["worm"])
+
+
+@query(
+    f"""WITH {UNKNOWN}, {RUNS}, twice AS (SELECT worm, counter, round(v, 1) AS v FROM log UNION ALL SELECT worm, counter, round(v, 1) FROM log WHERE event_id % 3 = 0
+UNION ALL SELECT NULL, 1, v FROM log WHERE event_id % 50 = 0), spans AS (SELECT worm, seq, state, start - 1 AS start, "end" + 2 AS "end" FROM runs),
+hits AS (SELECT i.worm, i.counter, arg_min(coalesce(s.state, 'Unknown'), s.seq) AS state FROM (SELECT DISTINCT worm, counter FROM twice) i JOIN spans s ON i.worm = s.worm AND i.counter >= s.start AND i.counter < s."end" GROUP BY ALL)
+SELECT t.worm, t.counter AS t, t.v, coalesce(h.state, 'Unknown') AS state, count(*) AS n FROM twice t LEFT JOIN hits h ON t.worm = h.worm AND t.counter = h.counter GROUP BY ALL"""
+)
+def interval_join_repeats(spark, d):
+    """J04 with repeated samples, samples without a recording, overlapping intervals and intervals without a state."""
+    s = _unknown(spark, d).select("worm", F.col("counter").alias("t"), F.round("v", 1).alias("v"), "event_id")
+    none = table(spark, d, "events").where("event_id % 50 = 0").select(F.lit(None).cast("long").alias("worm"), F.lit(1).cast("long").alias("t"), F.col("value").alias("v"), "event_id")
+    spans = iv.runs(_unknown(spark, d), ["worm"]).withColumn("start", F.col("start") - 1).withColumn("end", F.col("end") + 2)
+    samples = s.unionByName(s.where("event_id % 3 = 0")).unionByName(none).drop("event_id")
+    return iv.interval_join(samples, spans, 8).groupBy("worm", "t", "v", "state").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT user_id AS worm, date_trunc('hour', ts) AS hour, arg_max(event_type, event_id) AS state, max(event_id) AS event_id FROM events GROUP BY ALL""")
 def dedupe_keep_last(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("worm"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), F.col("event_type").alias("state"), "event_id")
@@ -45,7 +73,7 @@ def run_length_states(spark, d):
 
 
 @query(
-    f"""WITH {LOG}, files AS (SELECT *, counter // 16 AS file FROM log), marked AS (SELECT *, CASE WHEN lag(state) OVER w IS NULL OR lag(state) OVER w <> state THEN 1 ELSE 0 END AS change
+    f"""WITH {LOG}, files AS (SELECT *, counter // 16 AS file FROM log), marked AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(state) OVER w IS DISTINCT FROM state THEN 1 ELSE 0 END AS change
 FROM files WINDOW w AS (PARTITION BY worm, file ORDER BY counter)), numbered AS (SELECT *, sum(change) OVER (PARTITION BY worm, file ORDER BY counter) AS seq FROM marked),
 pieces AS (SELECT worm, file, seq, first(state) AS state, min(counter) AS start, max(counter) AS "end" FROM numbered GROUP BY worm, file, seq),
 joined AS (SELECT *, CASE WHEN lag(state) OVER w = state AND start IN (lag("end") OVER w, lag("end") OVER w + 1) THEN 0 ELSE 1 END AS fresh FROM pieces WINDOW w AS (PARTITION BY worm ORDER BY file, seq)),
@@ -302,6 +330,16 @@ def region_repair_moving(spark, d):
     return sr.region_moving_average(s, ["worm"], 10, 15, 5).select("worm", "t", r6(F.col("repaired"), "repaired"))
 
 
+@query(
+    f"""WITH {LOG}, a AS (SELECT *, coalesce(avg(CASE WHEN counter >= 5 AND counter < 10 THEN v END) OVER w, 0) AS p, coalesce(avg(CASE WHEN counter >= 15 AND counter < 20 THEN v END) OVER w, 0) AS q FROM log WINDOW w AS (PARTITION BY worm))
+SELECT worm, counter AS t, round(CASE WHEN counter >= 10 AND counter < 15 THEN p + (q - p) * (counter - 10) / 4.0 ELSE v END, 6) AS repaired FROM a"""
+)
+def region_repair_weighted(spark, d):
+    """Weighted means of both sides; without its draws, which a test checks."""
+    s = log(spark, d).select("worm", F.col("counter").alias("t"), "v")
+    return sr.region_weighted_average(s, ["worm"], 10, 15, 5, noise=0.0).select("worm", "t", r6(F.col("repaired"), "repaired"))
+
+
 @query()
 def region_repair_normal(spark, d):
     s = log(spark, d).select("worm", F.col("counter").alias("t"), "v")

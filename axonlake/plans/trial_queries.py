@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from axonlake.operators import intervals as iv
 from axonlake.operators import kernels as kn
+from axonlake.operators import recordings as rc
 from axonlake.operators import responses as rs
 from axonlake.operators import trials as tr
 
-from .views import LONG, PEAKS, TRIALS, long, peaks, query, r6, table, trials
+from .views import LOG, LONG, PEAKS, RUNS, TRIALS, long, peaks, query, r6, table, trials
 
 GROUP = ["neuron", "stimulus"]
 
@@ -47,9 +49,9 @@ def trials_long(spark, d):
     return long(spark, d).select("neuron", "stimulus", "worm", "date", "segment_index", "trial", "t", (F.col("t") - F.col("start_time")).alias("relative_t"), r6(F.col("v"), "v"))
 
 
-@query(f"""WITH {LONG} SELECT date, worm, segment_index, {', '.join(f'round(avg(CASE WHEN t = {t} THEN v END), 6) AS t{t}' for t in range(0, 64, 8))} FROM long GROUP BY ALL""")
+@query(f"""WITH {LONG} SELECT date, worm, segment_index, {', '.join(f'round(avg(CASE WHEN t = {t} THEN v END), 6) AS t{t}' for t in range(64))} FROM long GROUP BY ALL""")
 def trials_pivot(spark, d):
-    at = list(range(0, 64, 8))
+    at = list(range(64))
     p = long(spark, d).groupBy("date", "worm", "segment_index").pivot("t", at).agg(F.avg("v"))
     return p.select("date", "worm", "segment_index", *[r6(F.col(str(t)), f"t{t}") for t in at])
 
@@ -83,7 +85,7 @@ w AS (SELECT *, list_avg(blk) AS m, list_max(blk) AS hi, list_min(blk) AS lo, le
 SELECT trial, list(round(CASE WHEN i = 0 THEN head WHEN i = 11 THEN tail WHEN steep > thr THEN m * (1 - k) + k * CASE WHEN abs(hi - m) > abs(lo - m) THEN hi ELSE lo END ELSE m END, 6) + 0 ORDER BY i) AS dff FROM w GROUP BY trial"""
 )
 def downsample_adaptive(spark, d):
-    return tr.change_adaptive(trials(spark, d), "dff", 5).select("trial", _rounded(F.col("adaptive")).alias("dff"))
+    return trials(spark, d).select("trial", _rounded(tr.change_adaptive(F.col("dff"), 5)).alias("dff"))
 
 
 @query(
@@ -106,6 +108,22 @@ def resample_grid(spark, d):
     return trials(spark, d).select("trial", _rounded(tr.resampled(F.col("dff"), F.lit(40))).alias("dff"))
 
 
+@query(
+    f"""WITH {TRIALS}, p AS (SELECT trial, dff[1:5] AS a, dff[6:15] AS b, dff[16:64] AS c FROM trials),
+g AS (SELECT trial, a, b, c, list_transform(range(49), lambda i: abs(CASE WHEN i = 0 THEN c[2] - c[1] WHEN i = 48 THEN c[49] - c[48] ELSE (c[i + 2] - c[i]) / 2 END)) AS g FROM p),
+q AS (SELECT trial, quantile_cont(x, 0.75) AS thr FROM (SELECT trial, unnest(g) AS x FROM g) GROUP BY trial),
+k AS (SELECT trial, i, c[i * 5 + 1 : i * 5 + 5] AS blk, list_max(g[i * 5 + 1 : i * 5 + 5]) AS steep, thr, c[1] AS head, c[49] AS tail, a, b FROM g JOIN q USING (trial), range(9) r(i)),
+w AS (SELECT *, list_avg(blk) AS m, list_max(blk) AS hi, list_min(blk) AS lo, least(steep / (2 * thr), 1) AS part FROM k),
+o AS (SELECT trial, any_value(a) AS a, any_value(b) AS b, list(CASE WHEN i = 0 THEN head WHEN i = 8 THEN tail WHEN steep > thr THEN m * (1 - part) + part * CASE WHEN abs(hi - m) > abs(lo - m) THEN hi ELSE lo END ELSE m END ORDER BY i) AS c FROM w GROUP BY trial)
+SELECT trial, list_transform(list_concat(a, [b[1], b[10]], c), lambda v: round(v, 6) + 0) AS dff, 5 AS onset, 6 AS last FROM o"""
+)
+def downsample_pieces_adaptive(spark, d):
+    x = F.col("dff")
+    parts = [tr.span(x, F.lit(a), F.lit(b)) for a, b in ((0, 5), (5, 15), (15, 64))]
+    out = trials(spark, d).select("trial", tr.pieces_downsampled(*parts, 5, "adaptive").alias("p"))
+    return out.select("trial", _rounded(F.col("p.dff")).alias("dff"), F.col("p.onset").alias("onset"), F.col("p.last").alias("last"))
+
+
 ZSCORE = "round(avg(v) OVER w, 6) AS mu, round(coalesce(nullif(stddev_samp(v) OVER w, 0), 1), 6) AS sd, round((v - avg(v) OVER w) / coalesce(nullif(stddev_samp(v) OVER w, 0), 1), 5) + 0 AS z"
 
 
@@ -239,9 +257,9 @@ def averaged_responses(spark, d):
     return _stats(every.withColumn("mean", s / F.col("n")).withColumn("sem", sd / F.sqrt("n")), ["stimulus", "neuron", "t"])
 
 
-@query(f"WITH {LONG}, m AS (SELECT neuron, t, avg(v) AS v FROM long WHERE stimulus = 'c1_1' GROUP BY ALL) PIVOT m ON t IN ({', '.join(map(str, range(0, 64, 9)))}) USING round(avg(v), 6) GROUP BY neuron".replace("PIVOT m ON", "SELECT * FROM (PIVOT m ON") + ")")
+@query(f"WITH {LONG}, m AS (SELECT neuron, t, avg(v) AS v FROM long WHERE stimulus = 'c1_1' GROUP BY ALL) PIVOT m ON t IN ({', '.join(map(str, range(64)))}) USING round(avg(v), 6) GROUP BY neuron".replace("PIVOT m ON", "SELECT * FROM (PIVOT m ON") + ")")
 def pivot_mean(spark, d):
-    at = list(range(0, 64, 9))
+    at = list(range(64))
     p = long(spark, d).where("stimulus = 'c1_1'").groupBy("neuron").pivot("t", at).agg(F.avg("v"))
     return p.select("neuron", *[r6(F.col(str(t)), str(t)) for t in at])
 
@@ -447,10 +465,34 @@ def neuron_order_peaks(spark, d):
     return kn.ordered_rows(m, "neuron", "stimulus", "v", ["one"]).select("neuron", "place")
 
 
+SIDED = LONG.replace("FROM embeddings", "FROM embeddings WHERE NOT ((vec_id // 10) % 8 = 1 AND label < 5) AND NOT ((vec_id // 10) % 8 = 6 AND label > 6)")
+
+
+def _sided(spark, d):
+    """Mean traces, some of which a neuron lacks while the other side has them, and some of a neuron without sides."""
+    n, s = F.col("neuron"), F.col("stimulus")
+    e = table(spark, d, "embeddings").where("NOT (floor(vec_id / 10) % 8 = 1 AND label < 5) AND NOT (floor(vec_id / 10) % 8 = 6 AND label > 6)")
+    x = long(spark, d).join(e.select(F.col("vec_id").alias("trial")), "trial", "left_semi")
+    return x.groupBy(n, s, "t").agg(F.avg("v").alias("v"))
+
+
+@query(
+    f"""WITH {SIDED}, m AS (SELECT neuron, stimulus, t, avg(v) AS v FROM long GROUP BY ALL), own AS (SELECT DISTINCT neuron, stimulus FROM m),
+every AS (SELECT n.neuron, s.stimulus, CASE WHEN n.neuron LIKE '%L' THEN left(n.neuron, length(n.neuron) - 1) || 'R' WHEN n.neuron LIKE '%R' THEN left(n.neuron, length(n.neuron) - 1) || 'L' ELSE n.neuron END AS mirror
+FROM (SELECT DISTINCT neuron FROM m) n CROSS JOIN (SELECT DISTINCT stimulus FROM m) s),
+src AS (SELECT e.neuron, e.stimulus, CASE WHEN o.neuron IS NOT NULL THEN e.neuron WHEN p.neuron IS NOT NULL THEN e.mirror END AS source
+FROM every e LEFT JOIN own o ON o.neuron = e.neuron AND o.stimulus = e.stimulus LEFT JOIN own p ON p.neuron = e.mirror AND p.stimulus = e.stimulus)
+SELECT src.neuron, src.stimulus, CAST(u.t AS INT) AS t, round(coalesce(m.v, 0), 6) AS v, source IS NULL AS missing
+FROM src CROSS JOIN (SELECT DISTINCT t FROM m) u LEFT JOIN m ON m.neuron = src.source AND m.stimulus = src.stimulus AND m.t = u.t"""
+)
+def traces_imputed(spark, d):
+    return rs.traces_imputed(_sided(spark, d)).select("neuron", "stimulus", "t", r6(F.col("v"), "v"), "missing")
+
+
 @query()
 def neuron_order_traces(spark, d):
-    m = long(spark, d).groupBy("stimulus", "neuron", "t").agg(F.avg("v").alias("v"))
-    return kn.ordered_rows(m, "neuron", "t", "v", ["stimulus"], method="ward")
+    """Neurons of each stimulus by Ward's linkage of their traces, those without a trace on either side last."""
+    return kn.ordered_rows(rs.traces_imputed(_sided(spark, d)), "neuron", "t", "v", ["stimulus"], method="ward", last="missing")
 
 
 @query()
@@ -516,6 +558,44 @@ def f0_fit(spark, d):
     return kn.fit_quality(kn.fitted_baselines(s, ["worm"])).select("model", r6(F.col("mean_r2"), "mean_r2"), r6(F.col("median_r2"), "median_r2"), "n", "n_poor")
 
 
+def _recordings(spark, d):
+    """Samples, stimuli and sub-recordings of the log: a recording counts from 0, its parts are its first 40 samples and the rest."""
+    from .views import log, runs
+
+    s = log(spark, d).select("worm", F.lit("n").alias("neuron"), (F.col("counter") - 1).alias("t"), (F.col("v") + 200).alias("v"))
+    stimuli = runs(spark, d).where("state = 'purchase'").select("worm", "seq", "state", (F.col("start") - 1).alias("start"), F.col("end").alias("end"))
+    n = s.groupBy("worm").agg((F.max("t") + 1).alias("n"))
+    lengths = n.select("worm", F.array(F.least(F.lit(40), F.col("n")).cast("string"), (F.col("n") - 40).cast("string")).alias("n_seg"))
+    return s, stimuli, iv.sub_recordings(lengths)
+
+
+@query(
+    f"""WITH {LOG}, {RUNS}, n AS (SELECT worm, count(*) AS n FROM log GROUP BY worm), parts AS (SELECT worm, 0 AS part, 0 AS lo, least(40, n) AS hi FROM n UNION ALL SELECT worm, 1, 40, n FROM n WHERE n > 40),
+st AS (SELECT worm, part, seq, greatest(start - 1, lo) - lo AS a FROM runs JOIN parts USING (worm) WHERE state = 'purchase' AND start - 1 < hi AND "end" > lo),
+w AS (SELECT worm, part, CASE WHEN lag(a) OVER o IS NULL THEN a - 20 ELSE a - 5 END AS x, CASE WHEN lag(a) OVER o IS NULL THEN a - 3 ELSE a - 1 END AS y FROM st WINDOW o AS (PARTITION BY worm, part ORDER BY seq)
+UNION ALL SELECT worm, part, hi - lo - 20, hi - lo FROM parts)
+SELECT l.worm, p.part::INT AS part, l.counter - 1 AS t, coalesce(bool_or(l.counter - 1 - p.lo >= w.x AND l.counter - 1 - p.lo < w.y), false) AS used
+FROM log l JOIN parts p ON l.worm = p.worm AND l.counter - 1 >= p.lo AND l.counter - 1 < p.hi LEFT JOIN w ON w.worm = p.worm AND w.part = p.part GROUP BY ALL"""
+)
+def baseline_samples(spark, d):
+    """The samples that each sub-recording's baseline is fitted to."""
+    return rc.baseline_samples(*_recordings(spark, d)).select("worm", "part", "t", "used")
+
+
+@query()
+def recording_quality(spark, d):
+    """Fits over the baseline windows of each sub-recording."""
+    _, fits = rc.relative_change(rc.baseline_samples(*_recordings(spark, d)))
+    return kn.fit_quality(fits, ("part",)).select("part", r6(F.col("mean_r2"), "mean_r2"), r6(F.col("median_r2"), "median_r2"), "n", "n_poor")
+
+
+@query()
+def recording_trials(spark, d):
+    """A15 in one piece: recordings to z-scored trials."""
+    out = rc.recording_trials(*_recordings(spark, d), group_size=5)
+    return out.select("worm", "segment_index", "start", "onset", "offset", _rounded(F.col("dff")).alias("dff"), _rounded(F.col("z")).alias("z"))
+
+
 @query()
 def f0_worst_best(spark, d):
     """Five worst and five best fits."""
@@ -556,6 +636,17 @@ def feature_vectors(spark, d):
     return rs.feature_vectors(_tensor(spark, d), 64).select("stimulus", "feature", r6(F.col("v"), "v"))
 
 
+@query(
+    f"""WITH {LONG}, ids AS (SELECT DISTINCT stimulus, worm || '_' || segment_index || '_' || date AS id FROM trials), m AS (SELECT stimulus, worm || '_' || segment_index || '_' || date AS id, neuron, t, avg(v) AS v FROM long GROUP BY ALL),
+n AS (SELECT neuron, row_number() OVER (ORDER BY neuron) - 1 AS k FROM (SELECT DISTINCT neuron FROM trials))
+SELECT i.stimulus, i.id, CAST(n.k * 64 + m.t AS BIGINT) AS feature, round(m.v, 6) + 0 AS v FROM ids i JOIN m USING (stimulus, id) JOIN n USING (neuron)"""
+)
+def trial_feature_vectors(spark, d):
+    """A sample for each trial of a stimulus; what a neuron lacks is zero and left out (a sparse vector)."""
+    m = long(spark, d).withColumn("id", rs.trial_id()).groupBy("stimulus", "id", "neuron", "t").agg(F.avg("v").alias("v"))
+    return rs.feature_vectors(m, 64, ("stimulus", "id")).select("stimulus", "id", "feature", r6(F.col("v"), "v"))
+
+
 @query(f"""WITH {LONG} SELECT trial, round(max(CASE WHEN t BETWEEN 10 AND 20 AND v > 0 THEN v END), 6) AS top, round(coalesce(sum(CASE WHEN t BETWEEN 10 AND 20 AND v > 0 THEN v END), 0), 6) AS total FROM long GROUP BY trial""")
 def interval_extremes(spark, d):
     """Largest and summed value of an interval, from floor to ceiling, missing values left out."""

@@ -39,7 +39,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LOG = "log AS (SELECT user_id AS worm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS counter, event_type AS state, value AS v, event_id FROM events)"
-RUNS = """marked AS (SELECT *, CASE WHEN lag(state) OVER w IS NULL OR lag(state) OVER w <> state THEN 1 ELSE 0 END AS change FROM log WINDOW w AS (PARTITION BY worm ORDER BY counter)),
+RUNS = """marked AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(state) OVER w IS DISTINCT FROM state THEN 1 ELSE 0 END AS change FROM log WINDOW w AS (PARTITION BY worm ORDER BY counter)),
 numbered AS (SELECT *, sum(change) OVER (PARTITION BY worm ORDER BY counter) AS seq FROM marked),
 runs AS (SELECT worm, CAST(seq AS BIGINT) AS seq, first(state) AS state, min(counter) AS start, max(counter) AS "end" FROM numbered GROUP BY worm, seq)"""
 

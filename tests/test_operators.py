@@ -64,9 +64,23 @@ def test_interval_join(spark):
     i = spark.createDataFrame([("w", 0, "A", 0, 5), ("w", 1, "B", 5, 9), ("w", 2, "C", 0, 9), ("w", 3, "D", 3, 3)], "worm string, seq int, state string, start long, end long")
     for bucket in (1, 3, 256):
         assert {(r["t"], r["state"]) for r in iv.interval_join(s, i, bucket).collect()} == {(4, "A"), (5, "B"), (9, "Unknown")}
-    # numbering the samples keeps repeated ones apart
-    n = s.withColumn("row", F.monotonically_increasing_id())
-    assert iv.interval_join(n, i).count() == 4
+    # repeated samples each come back, as do those without a recording or a time
+    odd = s.unionByName(spark.createDataFrame([(None, 4), ("w", None), ("w", 4)], "worm string, t long"))
+    got = [tuple(r) for r in iv.interval_join(odd, i).collect()]
+    assert len(got) == 7 and got.count(("w", 4, "A")) == 3 and (None, 4, "Unknown") in got and ("w", None, "Unknown") in got
+    nameless = spark.createDataFrame([("w", 0, None, 0, 9)], i.schema)
+    assert {r["state"] for r in iv.interval_join(s, nameless).collect()} == {"Unknown"}
+    assert iv.interval_join(s.limit(0), i).count() == 0 and iv.interval_join(s, i.limit(0)).count() == 4
+
+
+def test_missing_states_are_runs(spark):
+    log = spark.createDataFrame([("w", i, x) for i, x in enumerate(["A", None, None, "B", None], 1)], "worm string, counter long, state string")
+    found = iv.runs(log, ["worm"])
+    assert [(r["state"], r["start"], r["end"]) for r in found.orderBy("seq").collect()] == [("A", 1, 1), (None, 2, 3), ("B", 4, 4), (None, 5, 5)]
+    first = iv.runs(log.where("counter between 2 and 3"), ["worm"])
+    assert [(r["seq"], r["state"], r["start"], r["end"]) for r in first.collect()] == [(1, None, 2, 3)]
+    parts = spark.createDataFrame([("w", 0, 1, None, 1, 3), ("w", 1, 1, None, 4, 6), ("w", 1, 2, "B", 7, 9)], "worm string, file int, seq int, state string, start long, end long")
+    assert rows(iv.coalesced(parts, ["worm"], ["file", "seq"]).select("state", "start", "end")) == [("B", 7, 9), (None, 1, 6)] or rows(iv.coalesced(parts, ["worm"], ["file", "seq"]).select("state", "start", "end")) == [(None, 1, 6), ("B", 7, 9)]
 
 
 @settings(max_examples=10, deadline=None)
@@ -144,6 +158,27 @@ def test_nearest(spark):
     assert rows(sr.nearest_in_time(m, k, ["worm"])) == [("w", 0, 3), ("w", 5, 3), ("x", 1, None)]
 
 
+def test_long_series_take_time_in_proportion(spark):
+    """200,000 samples in one series: seconds, as the look-ups carry on from row to row."""
+    import time
+
+    n = 200_000
+    s = spark.range(n).select(F.lit("w").alias("worm"), F.col("id").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("v"))
+    began = time.perf_counter()
+    assert sr.interpolated(s, ["worm"]).where("filled = t OR t > 199000").count() == n
+    assert sr.nearest_in_time(s.where("v is null"), s.where("v is not null"), ["worm"]).where("abs(nearest_t - t) > 1000").count() == 0
+    assert time.perf_counter() - began < 60
+
+
+def test_weighted_average_draws(spark):
+    s = series(spark, [1.0, 1.0, 0.0, 0.0, 0.0, 5.0, 5.0])
+    plain = column(sr.region_weighted_average(s, ["worm"], 2, 5, 2, noise=0.0), "repaired")
+    assert plain == [1.0, 1.0, 1.0, 3.0, 5.0, 5.0, 5.0]
+    drawn = column(sr.region_weighted_average(s, ["worm"], 2, 5, 2, seed=3), "repaired")
+    assert drawn == column(sr.region_weighted_average(s.repartition(3), ["worm"], 2, 5, 2, seed=3), "repaired") != plain
+    assert all(abs(a - b) < 0.4 * 6 for a, b in zip(drawn, plain, strict=True)) and drawn[:2] == plain[:2]
+
+
 def test_region_draws_are_seeded(spark):
     s = series(spark, [float(i % 3) for i in range(30)])
     a, b, c = (column(sr.region_normal(s.repartition(k), ["worm"], 10, 15, 5, seed=k % 2), "repaired") for k in (1, 3, 2))
@@ -267,6 +302,68 @@ def test_linkage_and_order():
     assert np.isclose(w[0, 2], 0.1) and np.isclose(w[1, 2], 0.2)
 
 
+@pytest.mark.parametrize("n", [3, 5, 7])
+def test_leaf_order_by_trial(n):
+    """The best of all orders that flips of the tree allow."""
+    rng = np.random.default_rng(n)
+    for _ in range(8):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        z = kn.linkage(d, "average")
+
+        def orders(node, z=z):
+            if node < n:
+                return [[node]]
+            a, b = z[node - n, :2].astype(int)
+            return [p + q for u in orders(a) for v in orders(b) for p, q in ((u, v), (v, u))]
+
+        def cost(o, d=d):
+            return sum(d[a, b] for a, b in zip(o, o[1:], strict=False))
+
+        got = kn.optimal_order(z, d)
+        assert got in orders(2 * n - 2) and np.isclose(cost(got), min(map(cost, orders(2 * n - 2))))
+
+
+def test_rows_without_spread_come_last(spark):
+    x = np.array([[1.0, 2, 3], [5, 5, 5], [1, 2, 4], [3, 2, 1], [0, 0, 0]])
+    for method in ("average", "ward"):
+        got = kn.row_order(x, method)
+        assert got[3:] == [1, 4] and sorted(got[:3]) == [0, 2, 3] and abs(got.index(0) - got.index(2)) == 1
+    many = np.random.default_rng(1).normal(size=(160, 40))
+    assert sorted(kn.row_order(many)) == list(range(160))
+    m = spark.createDataFrame([("s", n, t, v, n == "B") for n, row in zip("ABCDE", x, strict=True) for t, v in enumerate(row.tolist())], "stimulus string, neuron string, t int, v double, gone boolean")
+    names = [r["neuron"] for r in kn.ordered_rows(m, "neuron", "t", "v", ["stimulus"], "ward", "gone").orderBy("place").collect()]
+    assert names[3:] == ["E", "B"]
+
+
+def test_recordings_to_trials(spark):
+    """A known baseline in two parts, with a response after each stimulus: the fits find the one and leave the other."""
+    from axonlake.operators import recordings as rc
+
+    n, cut = 200, 120
+
+    def f0(t):
+        return 300 + 80 * np.exp(-0.01 * t) if t < cut else 250 + 0.2 * (t - cut)
+
+    starts = [40, 80, 150]
+    data = [("w", "AVA", t, float(f0(t)) + (60.0 if any(a <= t < a + 10 for a in starts) else 0.0)) for t in range(n)]
+    samples = spark.createDataFrame(data, "worm string, neuron string, t long, v double")
+    stimuli = spark.createDataFrame([("w", i, "odor", a, a + 10) for i, a in enumerate(starts)], "worm string, seq long, state string, start long, end long")
+    parts = iv.sub_recordings(spark.createDataFrame([("w", [str(cut), str(n - cut)])], "worm string, n_seg array<string>"))
+    placed = rc.baseline_samples(samples, stimuli, parts)
+    used = {r["t"] for r in placed.where("used").collect()}
+    assert used == {*range(20, 37), *range(75, 79), *range(100, 120), *range(130, 147), *range(180, 200)}
+    change, fits = rc.relative_change(placed, background=100.0)
+    assert all(abs(r["f0"] - f0(r["t"])) < 2 for r in change.collect()) and fits.count() == 2
+    assert kn.fit_quality(fits, ("part",)).where("mean_r2 > 0.9").count() == 2
+    got = rc.recording_trials(samples, stimuli, parts, background=100.0).orderBy("segment_index").collect()
+    assert [r["start"] for r in got] == starts and all(r["onset"] == 5 and r["offset"] == 15 and len(r["dff"]) == 45 for r in got)
+    for r in got:
+        top = r["dff"][5:15]
+        assert min(top) > 0.15 and max(abs(v) for v in r["dff"][:5] + r["dff"][16:25]) < 0.05
+    assert rc.recording_trials(samples, stimuli.limit(0), parts).count() == 0
+
+
 @pytest.mark.parametrize("model", ["exp", "linear"])
 def test_baseline_fit(model):
     t = np.arange(200.0)
