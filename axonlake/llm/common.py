@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows and bytes that a Python worker takes at a time, so that long texts stay small in its memory.
 BATCH_ROWS, BATCH_BYTES = 64, 8 << 20
@@ -38,7 +39,7 @@ def give_back() -> None:
         pass
 
 
-def mapped(df: DataFrame, function: Callable, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def mapped(df: DataFrame, function: Callable, schema: str | T.StructType, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in small batches; the worker's memory is given back when a task ends."""
 
     def run(batches: Iterator) -> Iterator:

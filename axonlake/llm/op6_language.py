@@ -15,11 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import drop, give_back, mapped, saved, table
 
 BITS = 14
 DIM = 1 << BITS
+#: Rows sampled in all, which the driver holds packed: 600 a language up to 40 languages, fewer each beyond.
+MOST_SAMPLED = 24_000
 #: Expected number of sampled training documents for each language: the bound of the sample.
 PER_LANG = 600
 UNDETERMINED = "und"
@@ -134,6 +137,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     if not per:
         return LanguageModel([], np.ones(DIM), np.zeros((DIM + 1, 0)), 1.0)
     langs = sorted(per)
+    per_lang = min(per_lang, MOST_SAMPLED // max(1, len(per)))  # many languages share one bound
     share = {k: per_lang / n for k, n in per.items()}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +202,8 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
             got = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*keep, *names])
 
-    taken = docs.select(*keep, F.col(text_col).alias("_text_in"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in taken.schema.fields[:-1]) + f", {names[0]} string, {names[1]} double"
+    taken = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col))  # the text comes last, whatever its name
+    schema = T.StructType([*taken.schema.fields[:-1], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return mapped(taken, score, schema)
 
 

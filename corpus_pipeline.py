@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonlake.llm.common import Scratch, table
+from axonlake.llm.common import Scratch, packed, table, unpacked
 from axonlake.llm.op3_mixing import mixed
 from axonlake.llm.op4_sharding import shard_by_bytes
 from axonlake.llm.op6_language import UNDETERMINED, fit, held_out, predict
@@ -32,11 +32,14 @@ def _small_batches(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told with some certainty: those without letters go, as do null texts."""
+    """Keeps documents whose language is told with some certainty: those without letters go, as do null and empty texts.
+
+    Repeated rows stay or go alike, columns of any name stay, an empty table gives none, and where no language is taught nothing is left.
+    """
     _small_batches(spark)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
-    told = predict(docs, model, tuple(docs.columns), names=("_lang_pred", "_lang_score"))
-    return told.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SURE)).select(*docs.columns)
+    told = predict(packed(docs, text=F.col("text")), model, ("row",))
+    return unpacked(told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SURE)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -543,6 +543,14 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(7001, None, None, "s", 0), (7002, "123 456", "en", "s", 7)], docs.schema)
     now = docs.unionByName(extra)
+    clash = ("row", "lang_pred", "score", "wordless", "h1", "p", "tokens", "copy", "k1", "size x")
+    empty = now.limit(0).withColumns({c: F.lit(c) for c in clash})
+    few = now.limit(40).withColumns({c: F.lit(c) for c in clash})
+    for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, empty, SF).count() == 0
+        some = stage(spark, few, SF)
+        assert some.columns == few.columns and all(r[c] == c for r in some.collect() for c in clash), name
+    assert cp.shard(spark, empty, SF).count() == 0 and cp.shard(spark, few, SF).count() == 40
     out = cp.language_id(spark, now, SF)
     assert out.columns == docs.columns and sorted(r[0] for r in out.select("doc_id").collect()) == sorted(r[0] for r in docs.select("doc_id").collect())
     ids = [(r["doc_id"], r["text"]) for r in out.collect()]
