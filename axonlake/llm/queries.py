@@ -32,7 +32,7 @@ WITH RECURSIVE fit AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0
     AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fit a JOIN fit b
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM fit a JOIN fit b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
 every AS (SELECT vec_id AS id FROM embeddings),{_CLASSES},
 n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
@@ -47,7 +47,7 @@ sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array
   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM words),
 entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 common AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS o FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT x, y FROM common WHERE 100 * o >= 85 * (total - o)),
+links AS MATERIALIZED (SELECT x, y FROM common WHERE 100 * o >= 85 * (total - o)),
 every AS (SELECT doc_id AS id FROM documents),{_CLASSES}
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s JOIN classes c ON c.id = s.doc_id
 """
