@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_secrets import op1_secrets
 from .op10_decontaminate import op10_decontaminate
+from .op11_runs import op11_runs
+from .op12_urls import LIMIT, RULES, VOCABULARY, op12_urls
 from .op2_pii import op2_pii
 from .op3_mixing import op3_mixing
 from .op4_sharding import op4_sharding
@@ -19,7 +21,7 @@ from .op9_ngram_join import op9_ngram_join
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_mixing, op4_sharding, op5_embedding_dedup, op6_language, op7_quality, op8_licenses, op9_ngram_join, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_mixing, op4_sharding, op5_embedding_dedup, op6_language, op7_quality, op8_licenses, op9_ngram_join, op10_decontaminate, op11_runs, op12_urls)}
 
 
 #: Smallest id reachable by links(x, y), which hold both directions, from the rows of `every`(id).
@@ -52,7 +54,20 @@ every AS (SELECT doc_id AS id FROM documents),{_CLASSES}
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id FROM sets s JOIN classes c ON c.id = s.doc_id
 """
 
+#: The rules and the vocabulary as rows; a term counts where no letter or digit touches it.
+URLS = f"""
+WITH rules(h, p, v) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in RULES)}),
+terms(t, w) AS (VALUES {", ".join(f"('{t}', {w})" for t, w in VOCABULARY.items())}),
+cut AS (SELECT page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h0, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+  translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM pages),
+parts AS (SELECT *, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM cut),
+every AS (SELECT page_id, host, path,
+  (SELECT max_by(h || p, length(h || p)) FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+  (SELECT coalesce(sum(w), 0) FROM terms WHERE regexp_matches(low, '(^|[^a-z0-9])' || t || '([^a-z0-9]|$)')) AS weight FROM parts)
+SELECT page_id, host, path, rule, coalesce((SELECT v FROM rules WHERE h || p = rule), CASE WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, weight::BIGINT AS weight FROM every
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL can't express the other operators: trained models, alignments, automata, compressors, keyed permutations, iterations."""
-    return {"op5_embedding_dedup": EMBEDDING_DEDUP, "op9_ngram_join": NGRAM_JOIN}
+    return {"op5_embedding_dedup": EMBEDDING_DEDUP, "op9_ngram_join": NGRAM_JOIN, "op12_urls": URLS}

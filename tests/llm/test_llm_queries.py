@@ -15,6 +15,8 @@ FORM = {
     "op7_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op8_licenses": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
     "op9_ngram_join": "doc_id bigint, n_shingles bigint, component_id bigint",
+    "op11_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op12_urls": "page_id bigint, host string, path string, rule string, verdict string",
 }
 
 
@@ -24,7 +26,7 @@ def test_query(spark, name):
     got = df.collect()
     if name in FORM:
         assert ", ".join(f"{c} {t}" for c, t in df.dtypes).startswith(FORM[name])
-    tables = {"op5_embedding_dedup": "embeddings", "op10_decontaminate": None}
+    tables = {"op5_embedding_dedup": "embeddings", "op10_decontaminate": None, "op12_urls": "pages"}
     if table := tables.get(name, "documents"):
         ids = sorted(r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").collect())
         assert sorted(r[0] for r in got) == ids
@@ -37,9 +39,9 @@ def test_query(spark, name):
 def test_sql(spark, name, sf):
     at = SF.replace("sf0.001", sf)
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
     df = llm.queries()[name](spark, at)
     want = duck.sql(llm.oracle_sql()[name])
     assert want.columns == df.columns
-    assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want.fetchall(), key=repr)
