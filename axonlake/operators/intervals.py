@@ -48,7 +48,7 @@ def to_volumes(found: DataFrame, slices: int, off: str = "All Off", last_end: Co
     """Frames to volumes, floor((x - adjust + 1) / slices), without the leading and the trailing off state.
 
     adjust is the end of a leading off run, else the first start. last_end, if given, replaces the last run's end
-    before the trim.
+    before the trim. A missing state is never the off state.
     """
     by = W.partitionBy("worm").orderBy("seq")
     whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -58,7 +58,7 @@ def to_volumes(found: DataFrame, slices: int, off: str = "All Off", last_end: Co
     if last_end is not None:
         df = df.withColumn("end", F.when(F.col("seq") == F.col("_last"), last_end).otherwise(F.col("end")))
     adjust = F.when(F.col("_first.state") == off, F.col("_first.end")).otherwise(F.col("_first.start"))
-    trimmed = df.withColumn("_adjust", adjust).where(~((F.col("state") == off) & ((F.col("seq") == F.col("_last")) | (F.col("seq") == F.col("_low")))))
+    trimmed = df.withColumn("_adjust", adjust).where(~(F.col("state").eqNullSafe(off) & ((F.col("seq") == F.col("_last")) | (F.col("seq") == F.col("_low")))))
 
     def volume(c: str) -> Column:
         return F.floor((F.col(c) - F.col("_adjust") + 1) / float(slices)).cast("long")

@@ -15,6 +15,16 @@ def mean_of(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(x), F.lit(0))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum_from(x: Column, lo: Column, n: int) -> Column:
+    """Sum of n elements from lo on, by place: a slice would copy the whole array first, once for each block of it."""
+    return F.aggregate(F.sequence(lo, lo + n - 1), F.lit(0.0), lambda a, j: a + F.get(x, j))
+
+
 def span(x: Column, start: Column, end: Column) -> Column:
     """Elements [start, end) counted from 0, clamped to the array; empty where nothing is left."""
     lo = F.greatest(F.lit(0), start)
@@ -34,13 +44,13 @@ def segment(trace: Column, start: Column, end: Column, pre: int = 5, post: int =
 def baseline_corrected(trace: Column, start: Column, pre: int = 5) -> Column:
     """Struct of the factor, the mean of up to pre samples before start, and the trace less it."""
     factor = F.coalesce(mean_of(span(trace, start - pre, start)), F.lit(0.0))
-    return F.struct(factor.alias("factor"), F.transform(trace, lambda v: v - factor).alias("corrected"))
+    return _let(factor, lambda f: F.struct(f.alias("factor"), F.transform(trace, lambda v: v - f).alias("corrected")))
 
 
 def block_means(x: Column, v: int) -> Column:
     """Means of whole blocks of v; an array of v samples or fewer stays."""
     n = F.floor(F.size(x) / float(v)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean_of(F.slice(x, i * v + 1, F.lit(v))))
+    blocks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _sum_from(x, i * v, v) / v)
     return F.when(F.size(x) <= v, x).otherwise(blocks)
 
 
@@ -70,9 +80,8 @@ def ends_weighted(x: Column, v: int, weight: float = 1.5) -> Column:
     total = v + 2 * (weight - 1)
 
     def inner(i: Column) -> Column:
-        block = F.slice(x, i * v + 1, F.lit(v))
-        plain = F.aggregate(block, F.lit(0.0), lambda a, y: a + y)
-        return plain if v == 1 else (plain + (weight - 1) * (F.element_at(block, 1) + F.element_at(block, -1))) / total
+        plain = _sum_from(x, i * v, v)
+        return plain if v == 1 else (plain + (weight - 1) * (F.get(x, i * v) + F.get(x, i * v + v - 1))) / total
 
     return F.when(F.size(x) <= v, x).otherwise(_ends_kept(x, n, inner))
 
@@ -95,11 +104,6 @@ def array_quantile(x: Column, q: float) -> Column:
     return a + (b - a) * (at - lo)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def change_adaptive(x: Column, v: int) -> Column:
     """Block means; a block of three samples or more with a steep change (over the 75th percentile) leans to its farther extreme."""
     n = F.floor(F.size(x) / float(v)).cast("int")
@@ -150,8 +154,11 @@ def resampled(x: Column, points: Column) -> Column:
 
 
 def long_view(trials: DataFrame, column: str = "dff", time: str = "time_point", value: str = "v") -> DataFrame:
-    """A row for each sample, times from 0; other columns stay."""
-    return trials.select(*[c for c in trials.columns if c != column], F.posexplode(column).alias(time, value))
+    """A row for each sample, times from 0; other columns stay. Empty and null arrays give none.
+
+    The plain generator would have its array tested for size below, which computes the array's expression again wherever that names it.
+    """
+    return trials.select(*[c for c in trials.columns if c != column], F.posexplode_outer(column).alias(time, value)).where(F.col(time).isNotNull())
 
 
 def zscored(trials: DataFrame, group_size: int | None = None, keys: tuple[str, ...] = ("worm", "neuron"), order: str = "segment_index", column: str = "dff") -> DataFrame:
