@@ -10,7 +10,7 @@ Pattern hits are measured alike and always reported.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,21 +83,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """(start, end) of the runs that start within REACH after a sensitive word and outside of pattern hits, ordered."""
+    """(start, end) of the runs that follow a sensitive word within REACH and start outside of pattern hits, ordered.
+
+    In a run that holds sensitive words itself a candidate may start behind each of them: the first and the last of these starts stand for all,
+    as a run of n words would else be measured n times. One scan over the text.
+    """
     low = text.lower()  # tells only which words to look for: positions in it may differ from those in the text
     ends = sorted({m.end() for w in SENSITIVE if w in low for m in _WORDS[w].finditer(text)})
-    starts, found, done = [s for s, _, _ in base], {}, 0
+    if not ends:
+        return []
+    starts, found = [s for s, _, _ in base], []
     far = [0]  # the furthest end of the pattern hits up to each
     for _, _, e in base:
         far.append(max(far[-1], e))
-    for at in ends:
-        at = max(at, done)  # a run that starts where an earlier word looked is found already
-        for m in CANDIDATE.finditer(text, at, len(text)):
-            if m.start() > at + REACH:
-                break
-            if far[bisect_right(starts, m.start())] <= m.start():
-                found[m.start()] = m.end()
-    return sorted(found.items())
+    for m in CANDIDATE.finditer(text):
+        lo, hi = m.start(), m.end() - LEAST
+        k = bisect_right(ends, hi)
+        if not k or ends[k - 1] + REACH < lo:
+            continue
+        first = bisect_left(ends, lo - REACH)
+        while first < k and (past := far[bisect_right(starts, at := max(lo, ends[first]))]) > at:
+            first = max(first + 1, bisect_left(ends, past))
+        if first < k:
+            last = max(lo, ends[k - 1])
+            found.append((at, m.end()))
+            if last > at and far[bisect_right(starts, last)] <= last:
+                found.append((last, m.end()))
+    return found
 
 
 def scan_text(text: str, novelty: Novelty) -> list[dict]:

@@ -53,6 +53,40 @@ def test_secrets_digest(spark, tmp_path):
         assert not want or set(want.split(",")) <= set(r["spans"].split(","))
 
 
+def test_secret_scan_takes_time_in_proportion():
+    import time
+
+    n, key = op1.Novelty(), "Zk39sLq0PzW81nVbX7tR2mJd"
+
+    def seconds(text):
+        at = time.perf_counter()
+        op1.scan_text(text, n)
+        return time.perf_counter() - at
+
+    for part in ("token ok ", "token", "secret=x ", "bearer " + key + "\n"):
+        small, large = seconds(part * 2_000), seconds(part * 20_000)
+        assert large < 40 * small + 0.5, part
+    assert seconds("token ok " * 10**6) < 30
+
+
+def test_candidates_by_brute_force():
+    """Runs of secret-like characters, from behind the first and the last sensitive word that is in it or before it within reach."""
+    rnd, cls = random.Random(2), re.compile("[A-Za-z0-9+/_=-]")
+    for _ in range(300):
+        text = "".join(rnd.choice(["token", "api_key", "secret", " ", ". ", "Zk39sLq0PzW8", "1nVbX7tR2mJd", "=", "x" * 50 + " "]) for _ in range(rnd.randint(1, 14)))
+        ends = [m.end() for w in op1.SENSITIVE for m in re.finditer(re.escape(w), text)]
+        want, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and cls.match(text[j]):
+                j += 1
+            fit = sorted({max(i, e) for e in ends if i - op1.REACH <= e <= j - op1.LEAST})
+            if j - i >= op1.LEAST and fit:
+                want += [(s, j) for s in sorted({fit[0], fit[-1]})]
+            i = max(j, i + 1)
+        assert op1.candidates(text, []) == want
+
+
 def test_novelty_tells_keys_from_names():
     n = op1.Novelty()
     spans = op1.scan_text("my private_key is Zk39sLq0PzW81nVbX7tR2mJd here", n)
