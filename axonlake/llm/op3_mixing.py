@@ -3,12 +3,14 @@
 A naive Bayes classifier, fitted on a bounded sample of the labelled table (normal densities of four document
 statistics, presence of the most telling words), gives each document's posterior over the domains. Projected
 gradient least squares then fits nonnegative document rates whose expected domain token totals match the targets: a step
-moves a rate along the sum over domains of posterior times weighted residual and cuts at zero. A
-step is one sum over a narrow table (tokens, posterior, rate), whose rates are written every CHUNK steps; the driver sees one
-number for each domain. Steps go on until every domain's share is within TOLERANCE of its target, or until no step can bring
-them closer; which of the two it was is part of the result.
-
-A document's rate is a fold of the steps over its posterior, an expression on its own row: no join brings it back.
+moves all rates along the sum over domains of posterior times residual, weighted by the inverse Gram matrix of the documents whose rate is
+above 0, and cuts at zero. The moves add up to one number for each domain, so a rate is max(0, 1 - posterior * moves), an expression on its own
+row: nothing is written between steps, no join brings rates back, and the plan doesn't grow with the steps.
+
+A step is one sum over a narrow table (tokens, posterior), for several step lengths at once; the one of least value of the least squares' dual,
+a convex piecewise quadratic function, is taken. So every step lowers it, and no step is left where it is least: there the residual is
+RIDGE times the moves, which is 0 to all purposes where rates can meet the targets, and else shows that none can. Which of the
+two it was is part of the result.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, drop, kept, packed, saved, table, unpacked
+from .common import drop, kept, packed, saved, table, unpacked
 
 #: Domains of a labelled document, in this order: toxic, else low quality, else clean.
 DOMAINS = ("clean", "low", "toxic")
@@ -28,12 +30,12 @@ TARGETS = {"clean": 0.85, "low": 0.10, "toxic": 0.05}
 SAMPLE, VOCABULARY = 4096, 160
 #: A telling word stands in so many sampled documents at least, and in this share at most: common words tell length.
 LEAST_DOCS, MOST_SHARE = 5, 0.1
-#: Greatest distance of a domain's share of all tokens from its target, and of two steps when no step can bring them closer.
-TOLERANCE, STILL = 1e-5, 1e-9
-#: Steps in one expression; then the rates are written.
-CHUNK = 12
-#: Weight of staying near a rate of 1.
-RIDGE = 1e-6
+#: Greatest distance of a domain's share of all tokens from its target; and of the dual's gradient from zero where they can't be met.
+TOLERANCE, STILL = 1e-5, 1e-10
+#: Weight of small moves; it decides only where the targets can't be met.
+RIDGE = 1e-10
+#: Step lengths that are tried at once, and the factor to shorter ones while none helps, down to the least.
+LENGTHS, SHORTER, LEAST_LENGTH = (1.0, 0.5, 0.125, 1 / 64), 1 / 512, 1e-8
 STATS = 4
 
 
@@ -50,11 +52,11 @@ class Model:
 
 @dataclass
 class Fitted:
-    """A narrow table (doc_id, tokens, p), the classifier, the steps of the gradient, and whether these met the targets."""
+    """A narrow table (doc_id, tokens, p), the classifier, the moves along the gradient, and whether these met the targets."""
 
     narrow: DataFrame
     model: Model
-    steps: list[list[float]]
+    moves: list[float]
     met: bool
 
 
@@ -141,51 +143,60 @@ def _share(total: Column):
     return lambda v: v / total
 
 
-def stepped(rate: Column, p: Column, steps: list[list[float]]) -> Column:
-    """Rate after more steps, as one flat expression."""
-    for *moves, pull in steps:
-        rate = F.greatest(F.lit(0.0), rate * (1 - pull) + pull - sum(p[i] * v for i, v in enumerate(moves)))
-    return rate
+def rate_of(p: Column, moves: list[float]) -> Column:
+    """Rate after the moves, from 1."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum(p[i] * float(v) for i, v in enumerate(moves))) if len(moves) else F.lit(1.0)
 
 
-def rate_of(p: Column, steps: list[list[float]]) -> Column:
-    """Rate after the steps, from 1. A step holds minus the move of a pure document of each domain, then the pull to 1."""
-    if not steps:
-        return F.lit(1.0)
-    k = len(steps[0]) - 1
-    all_steps = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    return F.aggregate(all_steps, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r * (1 - s[k]) + s[k] - sum(p[i] * s[i] for i in range(k))))
+def _sums(narrow: DataFrame, trials: list[np.ndarray], total: float) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each of the moves tried: the domains' shares, the Gram matrix of the rows whose rate is above 0, and half the squared rates. One job."""
+    k = len(trials[0])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    p, t = F.col("p"), F.col("tokens")
+    rated = narrow.select("tokens", "p", *[rate_of(p, m).alias(f"r{n}") for n, m in enumerate(trials)])
+    out = []
+    for n in range(len(trials)):
+        r = F.col(f"r{n}")
+        out += [F.sum(t * r * p[i]) for i in range(k)] + [F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs] + [F.sum(t * r * r) / 2]
+    got = np.array(rated.agg(*[c.alias(f"c{n}") for n, c in enumerate(out)]).first(), float).reshape(len(trials), -1) / total
+    grams = np.zeros((len(trials), k, k))
+    for n, (i, j) in enumerate(pairs):
+        grams[:, i, j] = grams[:, j, i] = got[:, k + n]
+    return [(got[n, :k], grams[n], float(got[n, -1])) for n in range(len(trials))]
 
 
-def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[list[float]], bool]:
-    """Steps of the projected gradient over narrow(tokens, p), and whether they met the targets: shares of all tokens, scaled to sum to 1."""
-    k = len(domains)
+def solve(narrow: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[float], bool]:
+    """Moves of the projected gradient over narrow(tokens, p), and whether they met the targets: shares of all tokens, scaled to sum to 1."""
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
-    p = [F.col("p")[i] for i in range(k)]
-    r = narrow.agg(F.sum("tokens").alias("all"), *[F.sum(F.col("tokens") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).first()
-    if not r["all"] or not want.sum():
+    total = narrow.agg(F.sum("tokens")).first()[0]
+    if not total or not want.sum():
         return [], False
-    want, total = want / want.sum(), float(r["all"])
-    gram = np.array([[r[f"g{i}_{j}"] / total for j in range(k)] for i in range(k)])
-    weight = 1 / np.maximum(np.diag(gram), 1e-12)  # brings the domains to one scale
-    root = np.sqrt(weight)
-    step = 1 / (np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max() + RIDGE)
-    steps: list[list[float]] = []
-    with Scratch() as scratch:
-        rated, written = narrow.select("tokens", "p", F.lit(1.0).alias("rate")), 0
-        while True:
-            if len(steps) - written == CHUNK:
-                was, rated = rated, scratch.saved(rated.select("tokens", "p", stepped(F.col("rate"), F.col("p"), steps[written:]).alias("rate")), "mix-rates")
-                scratch.drop(was)
-                written = len(steps)
-            now = rated.select("p", (F.col("tokens") * stepped(F.col("rate"), F.col("p"), steps[written:])).alias("rt"))
-            got = now.agg(*[F.sum(F.col("rt") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-            residual = np.array([got[f"s{i}"] / total for i in range(k)]) - want
-            if np.abs(residual).max() < TOLERANCE:
-                return steps, True
-            steps.append([*(step * weight * residual), step * RIDGE])
-            if len(steps) > 1 and np.abs(np.array(steps[-1]) - np.array(steps[-2])).max() < STILL * step:
-                return steps, False  # the targets can't be met any closer
+    want = want / want.sum()
+    moves = np.zeros(len(domains))
+    ((share, gram, half),) = _sums(narrow, [moves], float(total))
+    ridge = RIDGE * np.maximum(np.diag(gram), 1e-12)  # brings the domains to one scale
+
+    def dual(m: np.ndarray, half: float) -> float:
+        return half + want @ m + (ridge * m * m).sum() / 2
+
+    now, scale = dual(moves, half), 1.0
+    while scale >= LEAST_LENGTH:
+        residual = share - want
+        if np.abs(residual).max() < TOLERANCE:
+            return moves.tolist(), True
+        down = residual - ridge * moves
+        if np.abs(down).max() < STILL:
+            break
+        step = np.linalg.solve(gram + np.diag(ridge), down)
+        tried = [moves + scale * f * step for f in LENGTHS]
+        found = _sums(narrow, tried, float(total))
+        values = [dual(m, half) for m, (_, _, half) in zip(tried, found, strict=True)]
+        best = int(np.argmin(values))
+        if values[best] < now:
+            moves, (share, gram, _), now, scale = tried[best], found[best], values[best], 1.0
+        else:
+            scale *= SHORTER
+    return moves.tolist(), False  # the targets can't be met any closer
 
 
 def copies_of(rate: Column, doc_id: Column) -> Column:
@@ -214,7 +225,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     totals are within TOLERANCE of the targets; if not, the rates come as close as rates of 0 or more can.
     """
     f = fit_rates(docs, labels, targets)
-    rate = rate_of(F.col("p"), f.steps) if f.model.domains else F.lit(1.0)
+    rate = rate_of(F.col("p"), f.moves) if f.model.domains else F.lit(1.0)
     ps = [F.col("p")[f.model.domains.index(d)] if d in f.model.domains else F.lit(0.0 if f.model.domains else None).cast("double") for d in DOMAINS]
     out = f.narrow.select("doc_id", "tokens", *[p.alias(f"p_{d}") for p, d in zip(ps, DOMAINS, strict=True)], rate.alias("rate"))
     return out.withColumns({"copies": copies_of(F.col("rate"), F.col("doc_id")), "met": F.lit(f.met)})
@@ -229,7 +240,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     if not f.model.domains:
         return docs
     rated = with_posteriors(packed(docs, text=F.col("text")), f.model)
-    copies = _once(rated, "n", copies_of(rate_of(F.col("p"), f.steps), F.col("row")["doc_id"]))
+    copies = _once(rated, "n", copies_of(rate_of(F.col("p"), f.moves), F.col("row")["doc_id"]))
     return unpacked(copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy")), docs.columns)
 
 

@@ -76,6 +76,30 @@ def test_rates_meet_targets(spark, seed):
     assert np.abs(gap).max() < 1e-9
 
 
+@pytest.mark.parametrize("spread", [2, 1, 0.5, 0.3, 0.2, 0.1])
+def test_few_steps_however_alike_the_domains(spark, spread, monkeypatch):
+    """Targets that are known to be within reach are met, and those known not to be aren't, in few steps."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(0, spread, (500, 3))
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    t = rng.integers(1, 300, 500)
+    narrow = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(p, t, strict=True)], "p array<double>, tokens long").cache()
+    sums, jobs = op3._sums, []
+    monkeypatch.setattr(op3, "_sums", lambda *a: jobs.append(1) or sums(*a))
+    rates = rng.gamma(0.3, 1, 500)
+    inside = (rates * t) @ p / (rates * t).sum()
+    steps, met = op3.solve(narrow, ["a", "b", "c"], dict(zip("abc", inside.tolist(), strict=True)))
+    r = np.maximum(0, 1 - p @ np.array(steps))
+    assert met and len(jobs) < 50 and np.allclose((r * t) @ p / t.sum(), inside, atol=op3.TOLERANCE)
+    jobs.clear()
+    steps, met = op3.solve(narrow, ["a", "b", "c"], {"a": 1.0})  # every document has something of b
+    r = np.maximum(0, 1 - p @ np.array(steps))
+    residual = ((r * t) @ p / t.sum() - [1, 0, 0]) / np.diag((p * t[:, None]).T @ p / t.sum())
+    assert not met and len(jobs) < 50
+    assert np.abs((p @ residual)[r > 0]).max() < 1e-3 and (p @ residual)[r == 0].min() > -1e-3  # no rate above 0 has a way down, none at 0 has one up
+    narrow.unpersist()
+
+
 def test_targets_that_no_rates_meet(spark):
     """Both domains always stand half and half: 90 to 10 can't be had, and the result says so and comes as close as can be."""
     narrow = spark.createDataFrame([([0.5, 0.5], 10), ([0.4, 0.6], 10)], "p array<double>, tokens long")
