@@ -129,7 +129,8 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
     """train: doc_id, text, lang. Null languages and texts without letters teach nothing.
 
     One pass over all training texts sums document frequencies (a fixed DIM numbers for each task) and returns
-    the sparse counts of the sampled rows: for each language those of smallest hash share, per_lang expected.
+    the sparse counts of the sampled rows: for each language those whose id and text hash lowest, per_lang expected. Rows of one id
+    with other texts, and rows without an id, are drawn each by itself.
     """
     spark = train.sparkSession
     train = train.where("lang is not null and text is not null")
@@ -158,7 +159,7 @@ def fit(train: DataFrame, per_lang: int = PER_LANG) -> LanguageModel:
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([float(docs)]), pa.array([None], pa.binary()), pa.array([seen.astype("<i8").tobytes()], pa.binary())], ["lang", "u", "ids", "counts"])
 
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    u = (F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
     got = saved(mapped(train.select("text", "lang", u), gather, "lang string, u double, ids binary, counts binary"), "lang-train")
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
