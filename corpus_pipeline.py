@@ -21,22 +21,12 @@ LEAST_SURE = 0.35
 #: Words of a shingle and least similarity in per cent of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
-#: The session's setting for Arrow batches, its default, and what the pipeline runs with where nobody has set it: executors have little memory
-#: beside their heap. The operators cut batches themselves, so their results don't depend on it.
-ARROW_ROWS, ARROW_DEFAULT, ARROW_SMALL = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "128"
-
-
-def _small_batches(spark: SparkSession) -> None:
-    if spark.conf.get(ARROW_ROWS, ARROW_DEFAULT) == ARROW_DEFAULT:
-        spark.conf.set(ARROW_ROWS, ARROW_SMALL)
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with some certainty: those without letters go, as do null and empty texts.
 
     Repeated rows stay or go alike, columns of any name stay, an empty table gives none, and where no language is taught nothing is left.
     """
-    _small_batches(spark)
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     told = predict(packed(docs, text=F.col("text")), model, ("row",))
     return unpacked(told.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SURE)), docs.columns)
@@ -44,13 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each class of similar documents the one of smallest doc_id; see one_of_each() for repeated ids, nulls and texts without words."""
-    _small_batches(spark)
     return one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark. Null and empty texts stay, repeated rows stay or go alike, an empty table gives none."""
-    _small_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
