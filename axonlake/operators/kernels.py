@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .objects import imputed_positions  # noqa: F401  it was here first
+
 # ---------------------------------------------------------------- time warping
 
 
@@ -533,30 +535,3 @@ def region_repaired(samples: DataFrame, keys: list[str], start: int, end: int, m
         return pdf[[*keys, t, v]].assign(repaired=out)
 
     return samples.groupBy(*keys).applyInPandas(repair, schema)
-
-
-# ---------------------------------------------------------------- missing objects
-
-
-def imputed_positions(boxes: DataFrame, reference: int, k: int = 5, step: int = 5, most: int = 20) -> DataFrame:
-    """A27 over J15 and J16: (neuron, t, x, y, z, n) of objects missing at a time.
-
-    boxes: t, neuron, x, y, z, null where missing. An object's place is its place at the reference time plus the
-    mean move since then of its k nearest neighbours there that are seen at t; k grows by step up to most while
-    none is seen. Objects missing in the reference, or without neighbours seen, stay null with n = 0.
-    """
-    seen = boxes.where("x is not null")
-    ref = seen.where(F.col("t") == reference).select("neuron", F.struct("x", "y", "z").alias("p"))
-    other = ref.select(F.col("neuron").alias("near"), F.col("p").alias("q"))
-    d = F.sqrt(sum((F.col(f"p.{c}") - F.col(f"q.{c}")) ** 2 for c in "xyz"))
-    pairs = ref.join(other, F.col("neuron") != F.col("near")).withColumn("rank", F.row_number().over(W.partitionBy("neuron").orderBy(d, "near"))).where(F.col("rank") <= most)
-    gone = boxes.where("x is null").select("neuron", "t")
-    at = seen.select("t", F.col("neuron").alias("near"), F.struct("x", "y", "z").alias("s"))
-    found = gone.join(pairs, "neuron").join(at, ["t", "near"])
-    # The first of k, k + step, ... that reaches a neighbour that is seen.
-    first = F.min("rank").over(W.partitionBy("neuron", "t"))
-    limit = F.when(first <= k, F.lit(k)).otherwise(F.lit(k) + F.ceil((first - k) / float(step)) * step)
-    used = found.withColumn("_limit", limit).where(F.col("rank") <= F.col("_limit"))
-    moved = used.groupBy("neuron", "t").agg(*[F.avg(F.col(f"s.{c}") - F.col(f"q.{c}")).alias(f"d{c}") for c in "xyz"], F.count("*").alias("n"))
-    out = gone.join(ref, "neuron", "left").join(moved, ["neuron", "t"], "left")
-    return out.select("neuron", "t", *[(F.col(f"p.{c}") + F.col(f"d{c}")).alias(c) for c in "xyz"], F.coalesce("n", F.lit(0)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from axonlake.functions import names as nm
 from axonlake.functions import registry as rg
 from axonlake.operators import boxes as bx
-from axonlake.operators import kernels as kn
+from axonlake.operators import objects as ob
 from axonlake.sources import tables as st
 
 from .views import query, r6, table
@@ -232,14 +232,40 @@ def box_voxels(spark, d):
     return bx.voxels(bx.bounds(_boxes(spark, d), (48, 36, 10)))
 
 
-@query()
+GAPS = BOXES + """, means AS (SELECT t, neuron, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(w) AS w FROM boxes GROUP BY t, neuron),
+b AS (SELECT * FROM means WHERE (7 * t + 3 * neuron) % 9 <> 0 AND neuron <> 3), g AS (SELECT t, neuron FROM means EXCEPT SELECT t, neuron FROM b)"""
+
+
+def _gaps(spark, d):
+    """Boxes of which every ninth, and one object always, is missing."""
+    b = _boxes(spark, d).groupBy("t", "neuron").agg(*[F.avg(c).alias(c) for c in "xyzw"])
+    gone = ((7 * F.col("t") + 3 * F.col("neuron")) % 9 == 0) | (F.col("neuron") == 3)
+    return b.select("t", "neuron", *[F.when(~gone, F.col(c)).alias(c) for c in "xyzw"])
+
+
+@query(
+    f"""WITH {GAPS}, ref AS (SELECT g.neuron, g.t, b.t AS t_ref FROM g JOIN b USING (neuron) QUALIFY row_number() OVER (PARTITION BY g.neuron, g.t ORDER BY abs(b.t - g.t), b.t) = 1),
+near AS (SELECT r.neuron, r.t, q.neuron AS near, q.x, q.y, q.z, row_number() OVER (PARTITION BY r.neuron, r.t ORDER BY sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), q.neuron) AS rank
+FROM ref r JOIN b p ON p.t = r.t_ref AND p.neuron = r.neuron JOIN b q ON q.t = r.t_ref AND q.neuron <> r.neuron QUALIFY rank <= 20),
+found AS (SELECT n.*, s.x - n.x AS dx, s.y - n.y AS dy, s.z - n.z AS dz, min(rank) OVER (PARTITION BY n.neuron, n.t) AS first FROM near n JOIN b s ON s.t = n.t AND s.neuron = n.near),
+moved AS (SELECT neuron, t, avg(dx) AS dx, avg(dy) AS dy, avg(dz) AS dz, count(*) AS n FROM found WHERE rank <= CASE WHEN first <= 5 THEN 5 ELSE 5 + ceil((first - 5) / 5.0) * 5 END GROUP BY ALL)
+SELECT g.neuron, g.t, r.t_ref, round(p.x + dx, 6) + 0 AS x, round(p.y + dy, 6) + 0 AS y, round(p.z + dz, 6) + 0 AS z, coalesce(m.n, 0) AS n, CASE WHEN m.n > 0 THEN p.w END AS w
+FROM g LEFT JOIN ref r USING (neuron, t) LEFT JOIN b p ON p.t = r.t_ref AND p.neuron = g.neuron LEFT JOIN moved m ON m.neuron = g.neuron AND m.t = g.t"""
+)
 def imputed_positions(spark, d):
-    """Places of objects at the times at which every ninth box is missing."""
-    b = _boxes(spark, d).groupBy("t", "neuron").agg(*[F.avg(c).alias(c) for c in "xyz"])
-    gone = (F.col("t") > 0) & (F.pmod(F.xxhash64("t", "neuron"), F.lit(9)) == 0)
-    b = b.select("t", "neuron", *[F.when(~gone, F.col(c)).alias(c) for c in "xyz"])
-    out = kn.imputed_positions(b, reference=0)
-    return out.select("neuron", "t", *[r6(F.col(c), c) for c in "xyz"], "n")
+    """Places and sizes of missing objects from the nearest time at which each is seen."""
+    out = ob.imputed_positions(_gaps(spark, d), features=("w",))
+    return out.select("neuron", "t", "t_ref", *[r6(F.col(c), c) for c in "xyz"], "n", "w")
+
+
+@query(
+    f"""WITH {GAPS} SELECT p.t, p.neuron, q.neuron AS near, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 6) AS dist,
+CAST(row_number() OVER (PARTITION BY p.t, p.neuron ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2, q.neuron) AS INT) AS rank FROM b p JOIN b q ON p.t = q.t AND p.neuron <> q.neuron QUALIFY rank <= 4"""
+)
+def nearest_objects(spark, d):
+    """The four nearest neighbours of each object in each frame."""
+    b = _gaps(spark, d).where("x IS NOT NULL")
+    return ob.k_nearest(b, b, ["t"], "neuron", 4).select("t", "neuron", "near", r6(F.col("dist"), "dist"), "rank")
 
 
 @query(
