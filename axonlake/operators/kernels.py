@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .objects import imputed_positions  # noqa: F401  it was here first
+from .fits import MODELS, fit_f0, fit_quality, fitted_baselines  # noqa: F401  these were here first
+from .objects import imputed_positions  # noqa: F401
 
 # ---------------------------------------------------------------- time warping
 
@@ -297,145 +298,6 @@ def delay_clusters(corr: np.ndarray, lag: np.ndarray, strength: np.ndarray, refe
     return [(r, c, delay) for c, delay, r in out]
 
 
-# ---------------------------------------------------------------- baseline fit
-
-MODELS = ("exp", "linear", "double_exp")
-
-
-def _exp(t, p):
-    e = np.exp(-p[1] * t)
-    return p[0] * e + p[2], np.stack([e, -p[0] * t * e, np.ones_like(t)], axis=1)
-
-
-def _line(t, p):
-    return p[0] * t + p[1], np.stack([t, np.ones_like(t)], axis=1)
-
-
-def _double(t, p):
-    e, f = np.exp(-p[1] * t), np.exp(-p[3] * t)
-    return p[0] * e + p[2] * f + p[4], np.stack([e, -p[0] * t * e, f, -p[2] * t * f, np.ones_like(t)], axis=1)
-
-
-#: Model, start from (smallest, largest, mean) value, rates that stay positive.
-_SHAPES = {
-    "exp": (_exp, lambda lo, hi, mean: [hi, 0.001, lo], (1,)),
-    "linear": (_line, lambda lo, hi, mean: [0.0, mean], ()),
-    "double_exp": (_double, lambda lo, hi, mean: [hi * 0.5, 0.01, hi * 0.5, 0.001, lo], (1, 3)),
-}
-LEAST_RATE = 1e-9
-
-
-def robust_fit(t: np.ndarray, y: np.ndarray, model: str, steps: int = 10_000) -> np.ndarray | None:
-    """Levenberg-Marquardt for the soft L1 loss 2 (sqrt(1 + r^2) - 1), rates kept positive by projection; None if it diverges."""
-    f, start, rates = _SHAPES[model]
-    p = np.array(start(y.min(), y.max(), y.mean()), float)
-
-    def loss(q):
-        with np.errstate(over="ignore", invalid="ignore"):
-            r = f(t, q)[0] - y
-            return (2 * (np.sqrt(1 + r * r) - 1)).sum()
-
-    now, damp = loss(p), 1e-3
-    if not np.isfinite(now):
-        return None
-    for _ in range(steps):
-        v, jac = f(t, p)
-        r = v - y
-        w = 1 / np.sqrt(1 + r * r)
-        g, h = jac.T @ (w * r), (jac * w[:, None]).T @ jac
-        scale = np.maximum(np.diag(h), 1e-12)
-        moved = False
-        while damp < 1e12:
-            try:
-                q = p - np.linalg.solve(h + damp * np.diag(scale), g)
-            except np.linalg.LinAlgError:
-                damp *= 10
-                continue
-            for k in rates:
-                q[k] = max(q[k], LEAST_RATE)
-            new = loss(q)
-            if np.isfinite(new) and new < now:
-                moved, gain = True, now - new
-                p, now, damp = q, new, max(damp / 5, 1e-12)
-                break
-            damp *= 4
-        if not moved or gain <= 1e-10 * max(now, 1e-10):
-            break
-    return p
-
-
-def aicc(rss: float, n: int, k: int) -> float:
-    a = n * np.log(max(rss, 1e-10) / n) + 2 * k
-    return a + 2 * k * (k + 1) / (n - k - 1) if n > k + 1 else a
-
-
-def r_squared(y: np.ndarray, fitted: np.ndarray) -> float:
-    total = ((y - y.mean()) ** 2).sum()
-    rest = ((y - fitted) ** 2).sum()
-    return float(1 - rest / total) if total > 0 else float(rest == 0)
-
-
-def mad_mask(y: np.ndarray, limit: float = 3.0) -> np.ndarray:
-    dev = np.abs(y - np.median(y)) if len(y) else y
-    mad = np.median(dev) if len(y) else 0.0
-    return np.ones(len(y), bool) if not mad > 0 else dev / (1.4826 * mad) <= limit
-
-
-def fit_f0(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, str, float, list[float]]:
-    """Baseline at the times asked for, model, R squared, parameters; outliers by MAD are left out first.
-
-    Of the exponential, the line and the double exponential the one of least corrected Akaike criterion,
-    the first on ties; a model needs as many samples as parameters. One sample or none gives a constant.
-    """
-    keep = np.isfinite(y)
-    t, y = t[keep], y[keep]
-    keep = mad_mask(y)
-    t, y = t[keep].astype(float), y[keep].astype(float)
-    if len(y) < 2:
-        c = float(y[0]) if len(y) else 0.0
-        return np.full(len(at), c), "constant", 0.0, [c]
-    best: tuple | None = None
-    for name in MODELS:
-        f, start, _ = _SHAPES[name]
-        if len(y) < len(start(0.0, 0.0, 0.0)):
-            continue
-        p = robust_fit(t, y, name)
-        if p is None:
-            continue
-        fitted = f(t, p)[0]
-        score = aicc(float(((y - fitted) ** 2).sum()), len(y), len(p))
-        if np.isfinite(score) and (best is None or score < best[0]):
-            best = (score, name, p, r_squared(y, fitted))
-    if best is None:
-        c = float(y.mean())
-        return np.full(len(at), c), "constant", 0.0, [c]
-    _, name, p, r2 = best
-    return _SHAPES[name][0](at.astype(float), p)[0], name, r2, p.tolist()
-
-
-def fitted_baselines(samples: DataFrame, keys: list[str], t: str = "t", v: str = "v", used: str | None = None) -> DataFrame:
-    """(keys, model, r2, params, t, v, f0) with arrays over a series' samples, fitted to those where used holds (all if None)."""
-    cols = [*keys, t, v, *([used] if used else [])]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields) + ", model string, r2 double, params array<double>, t array<long>, v array<double>, f0 array<double>"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t)
-        x, y = pdf[t].to_numpy(float), pdf[v].to_numpy(float)
-        mask = pdf[used].to_numpy(bool) if used else np.ones(len(pdf), bool)
-        f0, model, r2, params = fit_f0(x[mask], y[mask], x)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "model": [model], "r2": [r2], "params": [params], "t": [pdf[t].astype("int64").tolist()], "v": [y.tolist()], "f0": [f0.tolist()]})
-
-    # Fits are slow for their bytes: without a number of partitions of its own, adaptive execution would merge them into few tasks.
-    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return samples.select(*cols).repartition(n, *keys).groupBy(*keys).applyInPandas(fit, schema)
-
-
-def fit_quality(fits: DataFrame, by: tuple[str, ...] = ("model",), poor: float = 0.8) -> DataFrame:
-    """Mean and median R squared, fits and poor fits of each model, or of each sub-recording."""
-    return fits.groupBy(*by).agg(F.avg("r2").alias("mean_r2"), F.median("r2").alias("median_r2"), F.count("*").alias("n"), F.count(F.when(F.col("r2") < poor, 1)).alias("n_poor"))
-
-
 # ---------------------------------------------------------------- components
 
 

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from axonlake.operators import fits as ft
 from axonlake.operators import intervals as iv
 from axonlake.operators import kernels as kn
+from axonlake.operators.objects import kept
 from axonlake.operators import recordings as rc
 from axonlake.operators import responses as rs
 from axonlake.operators import trials as tr
@@ -602,10 +604,35 @@ def f0_worst_best(spark, d):
     from .views import log
 
     s = log(spark, d).select("worm", F.col("counter").alias("t"), "v")
-    f = kn.fitted_baselines(s, ["worm"]).select("worm", "model", "r2").persist()  # one fit for both ends
-    worst = f.orderBy("r2", "worm").limit(5).withColumn("which", F.lit("worst"))
-    best = f.orderBy(F.desc("r2"), "worm").limit(5).withColumn("which", F.lit("best"))
-    return worst.unionByName(best).select("which", "worm", "model", r6(F.col("r2"), "r2"))
+    f = kept(kn.fitted_baselines(s, ["worm"]).select("worm", "model", "r2"))  # one fit for both ends
+    return ft.worst_and_best(f, ["worm"]).select("which", "worm", "model", r6(F.col("r2"), "r2"))
+
+
+LINES = f"""WITH {LOG}, sides AS (SELECT *, CASE WHEN counter <= 30 THEN 'start' ELSE 'end' END AS model FROM log),
+fits AS (SELECT worm, model, round(regr_r2(v, counter), 9) AS r2 FROM sides GROUP BY ALL HAVING count(*) > 2)"""
+
+
+def _lines(spark, d):
+    """Given fits: a least squares line for the first thirty samples of each worm, and one for the rest."""
+    from .views import log
+
+    s = log(spark, d).withColumn("model", F.when(F.col("counter") <= 30, "start").otherwise("end"))
+    return s.groupBy("worm", "model").agg(F.round(F.regr_r2("v", "counter"), 9).alias("r2"), F.count("*").alias("n")).where("n > 2").drop("n")
+
+
+@query(
+    f"""{LINES}, ranked AS (SELECT *, row_number() OVER (ORDER BY r2, worm, model) AS lo, row_number() OVER (ORDER BY r2 DESC, worm, model) AS hi FROM fits)
+SELECT 'worst' AS which, worm, model, r2 FROM ranked WHERE lo <= 5 UNION ALL SELECT 'best', worm, model, r2 FROM ranked WHERE hi <= 5"""
+)
+def fits_ranked(spark, d):
+    """The five worst and the five best of given fits."""
+    return ft.worst_and_best(_lines(spark, d), ["worm", "model"]).select("which", "worm", "model", "r2")
+
+
+@query(f"{LINES} SELECT model, round(avg(r2), 6) + 0 AS mean_r2, round(median(r2), 6) + 0 AS median_r2, count(*) AS n, count(CASE WHEN r2 < 0.02 THEN 1 END) AS n_poor FROM fits GROUP BY model")
+def fits_summary(spark, d):
+    """Quality of given fits."""
+    return ft.fit_quality(_lines(spark, d), poor=0.02).select("model", r6(F.col("mean_r2"), "mean_r2"), r6(F.col("median_r2"), "median_r2"), "n", "n_poor")
 
 
 @query()
