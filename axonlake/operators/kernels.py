@@ -13,53 +13,11 @@ from pyspark.sql.window import Window as W
 
 from .fits import MODELS, fit_f0, fit_quality, fitted_baselines  # noqa: F401  these were here first
 from .objects import imputed_positions  # noqa: F401
+from .warping import dtw_distances, dtw_many, trial_pairs  # noqa: F401
 
 # ---------------------------------------------------------------- time warping
 
 
-def dtw_many(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Warping distances of row pairs of x (p, n) and y (p, m): absolute costs, no band. One step of the table for all pairs at once."""
-    p, n = x.shape
-    m = y.shape[1]
-    row = np.full((p, m + 1), np.inf)
-    row[:, 0] = 0.0
-    for i in range(n):
-        cost = np.abs(y - x[:, i : i + 1])
-        new = np.full((p, m + 1), np.inf)
-        for j in range(1, m + 1):
-            new[:, j] = cost[:, j - 1] + np.minimum(np.minimum(row[:, j], row[:, j - 1]), new[:, j - 1])
-        row = new
-    return row[:, m]
-
-
-def _dtw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        xs, ys = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-        out = np.full(b.num_rows, np.nan)
-        lengths = pd.DataFrame({"n": xs.value_lengths().to_numpy(zero_copy_only=False), "m": ys.value_lengths().to_numpy(zero_copy_only=False)})
-        for (n, m), rows in lengths.groupby(["n", "m"]).indices.items():
-            if not n or not m:
-                out[rows] = 0.0 if n == m else np.inf
-                continue
-            at = pa.array(rows)
-            out[rows] = dtw_many(xs.take(at).flatten().to_numpy().reshape(-1, int(n)), ys.take(at).flatten().to_numpy().reshape(-1, int(m)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], [*b.schema.names[:-2], "dist"])
-
-
-def trial_pairs(trials: DataFrame, keys: list[str], item: str, column: str) -> DataFrame:
-    """Pairs i < j of a group's trials, with both arrays."""
-    a = trials.select(*keys, F.col(item).alias("i"), F.col(column).alias("x"))
-    b = trials.select(*keys, F.col(item).alias("j"), F.col(column).alias("y"))
-    return a.join(b, keys).where("i < j").select(*keys, "i", "j", "x", "y")
-
-
-def dtw_distances(trials: DataFrame, keys: list[str], item: str = "trial", column: str = "dff") -> DataFrame:
-    """A16 over J12: (keys, i, j, dist)."""
-    pairs = trial_pairs(trials, keys, item, column)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields[:-2]) + ", dist double"
-    return pairs.mapInArrow(_dtw, schema)
-
-
 def dtw_in_sql(x, y):
     """A16 as nested higher-order functions: exact, slower; kept to cross-check."""
     start = F.transform(F.concat(F.array(F.lit(0.0)), F.transform(y, lambda _: F.lit(float("inf")))), lambda v: v)

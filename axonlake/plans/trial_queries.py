@@ -14,6 +14,7 @@ from axonlake.operators.objects import kept
 from axonlake.operators import recordings as rc
 from axonlake.operators import responses as rs
 from axonlake.operators import trials as tr
+from axonlake.operators import warping as wp
 
 from .views import LOG, LONG, PEAKS, RUNS, TRIALS, long, peaks, query, r6, table, trials
 
@@ -410,7 +411,18 @@ def _edges(spark, d):
     return kn.dtw_distances(trials(spark, d), GROUP)
 
 
-@query()
+#: The warping table row by row, for all pairs of a group; and the clusters of density 2 as what near pairs connect.
+DTW = f"""WITH RECURSIVE {TRIALS}, p AS (SELECT a.neuron, a.stimulus, a.trial AS i, b.trial AS j, a.dff AS x, b.dff AS y FROM trials a JOIN trials b ON a.neuron = b.neuron AND a.stimulus = b.stimulus AND a.trial < b.trial),
+steps AS (SELECT i, j, 0 AS n, [0.0::DOUBLE] || list_transform(y, lambda v: 'inf'::DOUBLE) AS r FROM p
+UNION ALL SELECT i, j, n + 1, list_reduce(list_zip(y, r[2:], r[:-2]), lambda done, q: list_append(done, abs(x[n + 1] - q[1]) + least(q[2], q[3], done[-1])), ['inf'::DOUBLE]) FROM steps JOIN p USING (i, j) WHERE n < len(x)),
+e AS (SELECT neuron, stimulus, i, j, r[-1] AS dist FROM steps JOIN p USING (i, j) WHERE n = len(x))"""
+LABELS = f"""{DTW}, near AS (SELECT i, j FROM e WHERE dist <= 4.5 UNION ALL SELECT j, i FROM e WHERE dist <= 4.5),
+reach AS (SELECT i AS item, i AS r FROM near UNION SELECT reach.item, near.j FROM reach JOIN near ON reach.r = near.i),
+clusters AS (SELECT item, min(r) AS c FROM reach GROUP BY item),
+ranked AS (SELECT t.trial AS item, dense_rank() OVER (PARTITION BY neuron, stimulus ORDER BY c) - 1 AS label FROM trials t JOIN clusters ON item = t.trial)"""
+
+
+@query(f"{DTW} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e")
 def dtw_pairs(spark, d):
     return _edges(spark, d).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
 
@@ -439,10 +451,21 @@ def dbscan_noise(spark, d):
     return kn.density_noise(_l1(spark, d), items, GROUP, 7.5, 3)
 
 
-@query()
+@query(f"{DTW} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e WHERE dist <= 4.5")
+def dtw_near_pairs(spark, d):
+    """A16 under a radius."""
+    return wp.near_pairs(trials(spark, d), GROUP, 4.5).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
+
+
+def _labels(spark, d):
+    t = trials(spark, d)
+    return t, kn.cluster_trials(wp.near_pairs(t, GROUP, 4.5), t.select(*GROUP, F.col("trial").alias("item")), GROUP, eps=4.5)
+
+
+@query(f"{LABELS} SELECT neuron, stimulus, trial AS item, CAST(coalesce(label, -1) AS INT) AS label, label IS NULL AS is_noise FROM trials LEFT JOIN ranked ON item = trial")
 def dbscan_labels(spark, d):
-    items = trials(spark, d).select(*GROUP, F.col("trial").alias("item"))
-    return kn.cluster_trials(_edges(spark, d), items, GROUP, eps=3.5)
+    """Clusters of each neuron's trials of a stimulus, by warping distance."""
+    return _labels(spark, d)[1]
 
 
 @query(
@@ -453,12 +476,18 @@ def k_distance(spark, d):
     return kn.k_distance(_l1(spark, d), GROUP, 2).select(*GROUP, "i", r6(F.col("k_dist"), "k_dist"), "place")
 
 
-@query()
+@query(f"{LABELS} SELECT neuron, stimulus, trial FROM trials WHERE trial IN (SELECT item FROM ranked)")
 def noise_removed(spark, d):
     """Trials left after those that density clustering calls noise are taken out."""
-    t = trials(spark, d)
-    found = kn.cluster_trials(_edges(spark, d), t.select(*GROUP, F.col("trial").alias("item")), GROUP, eps=3.5)
-    return rs.without(t.select(*GROUP, "trial"), found.where("is_noise").select(F.col("item").alias("trial")), ["trial"])
+    clean, _ = wp.noise_split(*_labels(spark, d), GROUP)
+    return clean.select(*GROUP, "trial")
+
+
+@query(f"{LABELS} SELECT neuron, stimulus, worm, segment_index, trial, round(dff[1], 6) + 0 AS first_value FROM trials WHERE trial NOT IN (SELECT item FROM ranked)")
+def noise_trials(spark, d):
+    """The trials that were taken out, with their keys."""
+    _, removed = wp.noise_split(*_labels(spark, d), GROUP)
+    return removed.select(*GROUP, "worm", "segment_index", "trial", r6(F.element_at("dff", 1), "first_value"))
 
 
 @query()
