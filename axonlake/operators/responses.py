@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .gram import covariances, cross_correlation_peaks  # noqa: F401  these were here first
+
 #: Neurons whose left and right sides differ in function: never merged as a pair.
 KEPT_APART = ("ASEL", "ASER")
 
@@ -145,31 +147,6 @@ def identified(trials: DataFrame) -> DataFrame:
     return trials.where(~F.col("neuron").rlike("^[0-9]+$"))
 
 
-def covariances(long: DataFrame, unit: str, at: list[str], v: str = "v") -> DataFrame:
-    """Sample covariance of each pair of units over the places at; both triangles, the diagonal too."""
-    a = long.select(F.col(unit).alias("a"), *at, F.col(v).alias("_x"))
-    b = long.select(F.col(unit).alias("b"), *at, F.col(v).alias("_y"))
-    half = a.join(b, at).where("a <= b").groupBy("a", "b").agg(F.covar_samp("_x", "_y").alias("cov"), F.corr("_x", "_y").alias("corr"))
-    return half.unionByName(half.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov", "corr"))
-
-
-def cross_correlation_peaks(long: DataFrame, unit: str, keys: list[str], max_lag: int = 10, t: str = "t", v: str = "v") -> DataFrame:
-    """For each pair of units the lag of largest correlation in size, the smaller lag on ties.
-
-    Traces are centred on their mean and divided by max(mean, 1). The sum over times is a join on t shifted by
-    the lag; only a <= b is computed, the other half has the lag's sign turned.
-    """
-    by = W.partitionBy(*keys, unit)
-    mean = F.avg(v).over(by)
-    s = long.select(*keys, F.col(unit).alias("a"), t, ((F.col(v) - mean) / F.greatest(mean, F.lit(1.0))).alias("x"))
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    b = s.select(*keys, F.col("a").alias("b"), t, F.col("x").alias("y"), lags).withColumn(t, F.col(t) + F.col("lag"))
-    sums = s.join(b, [*keys, t]).where("a <= b").groupBy(*keys, "a", "b", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    # Rounded first, so that sums equal but for their order tie.
-    best = sums.groupBy(*keys, "a", "b").agg(F.max(F.struct(F.round(F.abs("c"), 9).alias("_size"), (-F.col("lag")).alias("_lag"), F.col("c"))).alias("m"))
-    return best.select(*keys, "a", "b", F.col("m.c").alias("corr"), (-F.col("m._lag")).alias("lag"))
-
-
 def marginals(tensor: DataFrame, v: str = "v") -> DataFrame:
     """The time, stimulus and joint marginals of neuron x stimulus x time, each free of the others' means."""
     n, st, nt = W.partitionBy("neuron"), W.partitionBy("neuron", "stimulus"), W.partitionBy("neuron", "t")
