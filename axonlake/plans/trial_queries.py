@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from axonlake.operators import demixing as dm
 from axonlake.operators import fits as ft
 from axonlake.operators import intervals as iv
 from axonlake.operators import kernels as kn
@@ -564,20 +565,36 @@ def pca_top_weights(spark, d):
     return spark.createDataFrame([(int(i), round(float(v[i, 0]), 6)) for i in top], "t int, weight double")
 
 
+def _marginals(spark, d):
+    return rs.marginals(_tensor(spark, d))
+
+
 @query()
 def dpca_components(spark, d):
-    """Share of each marginal's variance that its first demixed components rebuild from the data."""
-    m = rs.marginals(_tensor(spark, d)).withColumn("x", F.col("m_t") + F.col("m_s") + F.col("m_st")).toPandas()  # neurons x stimuli x times: dimensions, not rows
-    names = sorted(m["neuron"].unique())
-    wide = {c: m.pivot_table(index="neuron", columns=["stimulus", "t"], values=c).loc[names].to_numpy() for c in ("x", "m_t", "m_s", "m_st")}
-    out = []
-    for c in ("m_t", "m_s", "m_st"):
-        for k in range(1, 4):
-            dec, enc = kn.demixed_components(wide[c], wide["x"], k)
-            rest = wide[c] - enc @ (dec.T @ wide["x"])
-            total = (wide[c] ** 2).sum()
-            out.append((c, k, round(float(1 - (rest**2).sum() / total), 6) if total else 0.0))
-    return spark.createDataFrame(out, "marginal string, components int, explained double")
+    """Share of all variance that each demixed component explains."""
+    found = dm.demixed(_marginals(spark, d), 3)
+    rows = [(m, k, round(float(v), 6)) for m in dm.MARGINALS for k, v in enumerate(found.explained[m])]
+    return spark.createDataFrame(rows, "marginal string, component int, explained double")
+
+
+@query()
+def dpca_projections(spark, d):
+    """Each condition's projections on the demixed components."""
+    return dm.demixed(_marginals(spark, d), 3).projections.select("marginal", "component", "stimulus", "t", r6(F.col("z"), "z"))
+
+
+@query(
+    f"""WITH {DENSE}, m AS (SELECT avg(v) OVER nt - avg(v) OVER n AS m_t, avg(v) OVER ns - avg(v) OVER n AS m_s, v - avg(v) OVER nt - avg(v) OVER ns + avg(v) OVER n AS m_st
+FROM tensor WINDOW n AS (PARTITION BY neuron), ns AS (PARTITION BY neuron, stimulus), nt AS (PARTITION BY neuron, t)),
+s AS (SELECT sum(m_t ** 2) AS m_t, sum(m_s ** 2) AS m_s, sum(m_st ** 2) AS m_st, sum((m_t + m_s + m_st) ** 2) AS total FROM m)
+SELECT 'm_t' AS marginal, round(m_t / total, 6) AS share FROM s UNION ALL SELECT 'm_s', round(m_s / total, 6) FROM s UNION ALL SELECT 'm_st', round(m_st / total, 6) FROM s"""
+)
+def dpca_variance(spark, d):
+    """Share of all variance that lies in each marginal."""
+    m = _marginals(spark, d)
+    total = F.sum((F.col("m_t") + F.col("m_s") + F.col("m_st")) ** 2)
+    s = m.agg(F.array(*[F.struct(F.lit(c).alias("marginal"), (F.sum(F.col(c) ** 2) / total).alias("share")) for c in dm.MARGINALS]).alias("s"))
+    return s.select(F.explode("s").alias("s")).select("s.marginal", r6(F.col("s.share"), "share"))
 
 
 @query()
