@@ -1,6 +1,7 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Groups are equal texts, ordered by a 128-bit hash of the text. The smallest shard capacity for which a greedy
+Groups are equal texts, ordered by a 128-bit hash of the text; groups that are larger than a fair part of what the larger ones leave come after all
+others and have a shard each, so that none parts the others into stretches of uneven size. The smallest shard capacity for which a greedy
 walk over the ordered group sizes needs at most n shards is found by binary search. The search runs on the driver
 over a bounded histogram of key ranges: a walk that may stop anywhere in a range bounds the capacity from below,
 one that stops between ranges bounds it from above, and only ranges in which a walk between both bounds can stop
@@ -179,12 +180,30 @@ def _split(groups: DataFrame, split: list[Atom], bits: int) -> list[Atom]:
     return out
 
 
-def shard_of(cuts: list[tuple[int, int]]) -> Column:
-    """Shard of a row by comparison of its key with the cuts: no join."""
+def heavy_groups(groups: DataFrame, shards: int) -> list[tuple[int, int]]:
+    """Keys of the groups that get a shard to themselves, fewer than shards, largest first: a group is one if it has more than the fair part of what the larger ones leave."""
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    out = []
+    for r in groups.orderBy(F.desc("size"), "k1", "k2").limit(shards - 1).collect():
+        if r["size"] * (shards - len(out)) <= total:
+            break
+        total -= r["size"]
+        out.append((r["k1"], r["k2"]))
+    return out
+
+
+def _is(key: tuple[int, int]) -> Column:
+    return (F.col("k1") == key[0]) & (F.col("k2") == key[1])
+
+
+def shard_of(cuts: list[tuple[int, int]], heavy: list[tuple[int, int]], shards: int) -> Column:
+    """Shard of a row by comparison of its key with the cuts and the heavy groups' keys, which have the last shards: no join."""
     out = F.lit(0)
     for k1, k2 in cuts:
         past = F.col("k1") >= k1 if k2 is None else (F.col("k1") > k1) | ((F.col("k1") == k1) & (F.col("k2") >= k2))
         out = out + past.cast("int")
+    for k, key in enumerate(heavy):
+        out = F.when(_is(key), F.lit(shards - len(heavy) + k)).otherwise(out)
     return out.cast("int")
 
 
@@ -192,7 +211,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     """Puts every row into a shard so that the largest shard's bytes are as few as contiguous groups allow.
 
     Returns the id, size, text_crc32, shard and slot (0, 1, ... in each shard). Rows of equal text share a
-    shard, so one of more than its part of all bytes sets the capacity; the other shards stay near equal. A null text has no bytes:
+    shard; groups of more than their part of all bytes have the last shards for themselves, and the other shards stay near equal. A null text has no bytes:
     size 1, crc 0, and is a group of its own beside that of empty texts. Repeated rows each get a slot of their own; an empty table
     gives no rows; other columns are ignored. Ties: equal hashes of 126 bits count as equal texts; rows of equal text and id are
     numbered in any order. Slots count the rows of a shard within the tasks that read the narrow table, and then over tasks, so no
@@ -209,10 +228,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     rows = kept(narrow, "shard-rows", cell="cell")
     groups = saved(rows.groupBy("k1", "k2").agg(F.sum("size").alias("size")), "shard-groups")
     try:
-        cuts = minimax_cuts(groups, shards)
+        heavy = heavy_groups(groups, shards)
+        rest = groups
+        for key in heavy:
+            rest = rest.where(~_is(key))
+        cuts = minimax_cuts(rest, shards - len(heavy))
     finally:
         drop(groups)
-    placed = rows.withColumn("shard", shard_of(cuts))
+    placed = rows.withColumn("shard", shard_of(cuts, heavy, shards))
     earlier = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("shard", "cell").count()  # a row for each task and shard
     before = counts.select("shard", "cell", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))

@@ -259,6 +259,20 @@ def test_shards(spark, monkeypatch, leaf):
     assert most == smallest_capacity(order, 16)
 
 
+@pytest.mark.parametrize("heavy", [(), (20_000,), (9_000, 14_000, 8_000)])
+def test_shards_are_near_equal_beside_heavy_texts(spark, heavy):
+    """Heavy groups, wherever their keys lie, have a shard each; the others are within a tenth of each other."""
+    texts = F.concat(F.repeat(F.lit("ordinary "), (F.col("id") % 11 + 3).cast("int")), F.col("id").cast("string"))
+    at = 0
+    for k, n in enumerate(heavy):
+        texts = F.when((F.col("id") >= at) & (F.col("id") < at + n), F.lit(f"copy {k} of a text " * 5)).otherwise(texts)
+        at += n
+    got = op4.shard_by_bytes(spark.range(50_000).select(F.col("id").alias("doc_id"), texts.alias("text"))).groupBy("shard").agg(F.sum("size").alias("s"), F.countDistinct("text_crc32").alias("n")).collect()
+    alone = [r["shard"] for r in got if r["n"] == 1]
+    others = [r["s"] for r in got if r["n"] > 1]
+    assert sorted(alone) == list(range(16 - len(heavy), 16)) and len(others) == 16 - len(heavy) and min(others) > 0.9 * max(others)
+
+
 def test_shards_of_nothing(spark):
     assert op4.shard_by_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
