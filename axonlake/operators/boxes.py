@@ -30,6 +30,41 @@ def voxels(found: DataFrame) -> DataFrame:
     return rows.groupBy("t", "x", "y", "z").agg(F.max("neuron").alias("label"))
 
 
+def label_runs(found: DataFrame) -> DataFrame:
+    """A28 without its voxels: (t, z, y, x_from, x_to, label), the runs [x_from, x_to) of one label on each line; where boxes overlap the later neuron wins.
+
+    A sweep over the edges of the boxes on a line: between two neighbouring edges the same boxes cover all voxels. Rows grow with the lines and edges of boxes, not
+    with their widths. Empty boxes and repeated rows change nothing; an empty table gives none.
+    """
+    rows = found.where("x_hi > x_lo AND y_hi > y_lo AND z_hi > z_lo").distinct()
+    for c in "zy":
+        rows = rows.withColumn(c, F.explode(F.sequence(F.col(f"{c}_lo"), F.col(f"{c}_hi") - 1)))
+    lines = rows.groupBy("t", "z", "y").agg(F.collect_list(F.struct(F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"), "neuron")).alias("b"))
+    lines = lines.withColumn("e", F.array_sort(F.array_distinct(F.concat(F.col("b.lo"), F.col("b.hi")))))
+
+    def between(i):
+        lo, hi = F.get("e", i), F.get("e", i + 1)
+        top = F.array_max(F.transform(F.filter("b", lambda x: (x["lo"] <= lo) & (x["hi"] >= hi)), lambda x: x["neuron"]))
+        return F.struct(lo.alias("x_from"), hi.alias("x_to"), top.alias("label"))
+
+    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("e") - 2), between), lambda s: s["label"].isNotNull())
+
+    def joined(done, s):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["x_from"].alias("x_from"), s["x_to"].alias("x_to"), s["label"].alias("label"))
+        goes_on = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["x_to"] == s["x_from"]) & (F.try_element_at(done, F.lit(-1))["label"] == s["label"])
+        return F.when(goes_on, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    cut = lines.select("t", "z", "y", parts.alias("p"))
+    whole = cut.select("t", "z", "y", F.aggregate("p", F.slice("p", 1, 0), joined).alias("r"))
+    return whole.select("t", "z", "y", F.explode("r").alias("r")).select("t", "z", "y", "r.*")
+
+
+def runs_expanded(runs: DataFrame) -> DataFrame:
+    """The voxels (t, x, y, z, label) of label_runs()."""
+    return runs.select("t", F.explode(F.sequence(F.col("x_from"), F.col("x_to") - 1)).alias("x"), "y", "z", "label")
+
+
 def thresholded(v, low: float):
     """Background to zero."""
     return F.when(v < low, F.lit(0)).otherwise(v)

@@ -97,27 +97,56 @@ def k_distance(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def linkage(d: np.ndarray, method: str) -> np.ndarray:
-    """Agglomeration of a distance matrix: rows (a, b, height, size) as usual; 'average' or 'ward'. Ties go to the smallest pair."""
+    """Agglomeration of a distance matrix: rows (a, b, height, size) as usual, by height; 'average' or 'ward'.
+
+    Chains of nearest neighbours: from any cluster on to its nearest, until two are nearest to each other; these are merged, whatever else there is,
+    as under both methods no merger brings a third cluster nearer. Each cluster is looked at a few times, so time goes with the square of the rows.
+    Of equal distances the way back goes first, then the smallest row; mergers of equal height are in the order in which chains find them.
+    """
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    names, sizes, out = list(range(n)), [1] * n, []
-    for step in range(n - 1):
-        at = int(np.argmin(d))
-        i, j = sorted(divmod(at, len(d)))
-        h, si, sj = d[i, j], sizes[i], sizes[j]
+    sizes, there = np.ones(n), np.ones(n, bool)
+    chain: list[int] = []
+    found = []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(there)))
+        while True:
+            a = chain[-1]
+            b = int(np.argmin(d[a]))
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        del chain[-2:]
+        h, sa, sb = d[a, b], sizes[a], sizes[b]
         if method == "average":
-            row = (si * d[i] + sj * d[j]) / (si + sj)
+            row = (sa * d[a] + sb * d[b]) / (sa + sb)
         else:
-            s = np.array(sizes)
-            row = np.sqrt(np.maximum(((si + s) * d[i] ** 2 + (sj + s) * d[j] ** 2 - s * h**2) / (si + sj + s), 0))
-        a, b = sorted((names[i], names[j]))
-        out.append((a, b, h, si + sj))
-        row[[i, j]] = np.inf
-        d[i], d[:, i] = row, row
-        d = np.delete(np.delete(d, j, 0), j, 1)
-        names[i], sizes[i] = n + step, si + sj
-        del names[j], sizes[j]
+            with np.errstate(invalid="ignore"):
+                row = np.sqrt(np.maximum(((sa + sizes) * d[a] ** 2 + (sb + sizes) * d[b] ** 2 - sizes * h**2) / (sa + sb + sizes), 0))
+        found.append((h, a, b))
+        there[b] = False
+        row[~there] = np.inf
+        row[a] = np.inf
+        d[a], d[:, a] = row, row
+        d[b], d[:, b] = np.inf, np.inf
+        sizes[a] = sa + sb
+    # Named in order of height; a and b stand for the clusters that hold them then.
+    parent, count, out = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), []
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for step, (h, a, b) in enumerate(sorted(found, key=lambda x: x[0])):
+        p, q = sorted((top(a), top(b)))
+        parent[p] = parent[q] = n + step
+        count[n + step] = count[p] + count[q]
+        out.append((p, q, h, count[n + step]))
     return np.array(out).reshape(-1, 4)
 
 

@@ -232,6 +232,16 @@ def box_voxels(spark, d):
     return bx.voxels(bx.bounds(_boxes(spark, d), (48, 36, 10)))
 
 
+@query(
+    f"""WITH {BOUNDS}, a AS (SELECT *, unnest(range(x_lo, x_hi)) AS x FROM bounds), b AS (SELECT *, unnest(range(y_lo, y_hi)) AS y FROM a), c AS (SELECT *, unnest(range(z_lo, z_hi)) AS z FROM b),
+v AS (SELECT t, x, y, z, max(neuron) AS label FROM c GROUP BY t, x, y, z), m AS (SELECT *, CASE WHEN lag(x) OVER w = x - 1 AND lag(label) OVER w = label THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY t, z, y ORDER BY x)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY t, z, y ORDER BY x) AS g FROM m) SELECT t, z, y, min(x) AS x_from, max(x) + 1 AS x_to, label FROM g GROUP BY t, z, y, g, label"""
+)
+def box_runs(spark, d):
+    """A28 as runs of one label on each line."""
+    return bx.label_runs(bx.bounds(_boxes(spark, d), (48, 36, 10)))
+
+
 GAPS = BOXES + """, means AS (SELECT t, neuron, avg(x) AS x, avg(y) AS y, avg(z) AS z, avg(w) AS w FROM boxes GROUP BY t, neuron),
 b AS (SELECT * FROM means WHERE (7 * t + 3 * neuron) % 9 <> 0 AND neuron <> 3), g AS (SELECT t, neuron FROM means EXCEPT SELECT t, neuron FROM b)"""
 
