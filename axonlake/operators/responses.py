@@ -137,6 +137,11 @@ def only(trials: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
     return trials.join(listed.select(*keys).distinct(), keys, "left_semi")
 
 
+def rekeyed(trials: DataFrame, column: str = "dff") -> DataFrame:
+    """(neuron, stimulus, trials), the trials of a neuron and stimulus as structs, ordered by worm, segment, then date; repeated trials each stay."""
+    return trials.groupBy("neuron", "stimulus").agg(F.array_sort(F.collect_list(F.struct("worm", "segment_index", "date", column))).alias("trials"))
+
+
 def trial_id() -> Column:
     """N15."""
     return F.concat_ws("_", "worm", F.col("segment_index").cast("string"), "date")

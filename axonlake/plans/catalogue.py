@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import job_queries, log_queries, name_queries, trial_queries  # noqa: F401  they register themselves
+from . import job_queries, log_queries, name_queries, source_queries, trial_queries  # noqa: F401  they register themselves
 from .views import QUERIES, SQL
 
 

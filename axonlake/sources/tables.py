@@ -78,6 +78,18 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select(F.regexp_replace("key", r"[\[\]\s]", "").alias("bits"), "state_name")
 
 
+def write_config(states: DataFrame, path: str, slices: int = 20) -> None:
+    """(bits, state_name) as a JSON configuration that read_config() reads; of repeated bits the last name counts, as in any JSON object.
+
+    A state map is small by nature: it is one object, so one row.
+    """
+    once = states.groupBy("bits").agg(F.max("state_name").alias("name"))
+    key = F.concat(F.lit("["), F.array_join(F.split("bits", r"\s*,\s*"), ", "), F.lit("]"))
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("name").alias("value")))))
+    whole = once.agg(F.to_json(F.struct(F.lit(slices).alias("slice_number"), pairs.alias("state_mapping"))).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
+
+
 def unknown_filled(log: DataFrame, states: DataFrame) -> DataFrame:
     """Names of a log's states, Unknown where the map has none."""
     j = log.withColumn("bits", F.concat_ws(",", F.transform("state", lambda b: b.cast("string")))).join(states, "bits", "left")
@@ -141,7 +153,7 @@ def conversion_manifest(folders: DataFrame, volumes: DataFrame) -> DataFrame:
 
 
 def array_summaries(files: DataFrame, schema: str = "path string, shape array<int>, lowest double, highest double, mean double") -> DataFrame:
-    """Shape and range of .npy files (path, content), decoded on the executors."""
+    """Shape and range of .npy files, or of thresholded_arrays(), from (path, content), decoded on the executors."""
 
     def decode(batches):
         import io
@@ -153,6 +165,7 @@ def array_summaries(files: DataFrame, schema: str = "path string, shape array<in
             rows = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = np.load(io.BytesIO(content), allow_pickle=False)
+                x = x["image"] if isinstance(x, np.lib.npyio.NpzFile) else x
                 rows.append((path, list(x.shape), *((float(x.min()), float(x.max()), float(x.mean())) if x.size else (None,) * 3)))
             kinds = (pa.string(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "shape", "lowest", "highest", "mean"])
@@ -160,6 +173,30 @@ def array_summaries(files: DataFrame, schema: str = "path string, shape array<in
     return files.select("path", "content").mapInArrow(decode, schema)
 
 
+def encoded_arrays(arrays: DataFrame, column: str, shape: tuple[int, ...], dtype: str = "float32") -> DataFrame:
+    """(path, content) of .npy files from path and an array column of prod(shape) numbers, row by row; other lengths and nulls have no content."""
+
+    def encode(batches):
+        import io
+
+        import numpy as np
+        import pyarrow as pa
+
+        size = int(np.prod(shape))
+        for b in batches:
+            out = []
+            for values in b.column(1).to_pylist():
+                if values is None or len(values) != size:
+                    out.append(None)
+                    continue
+                to = io.BytesIO()
+                np.save(to, np.array(values, dtype).reshape(shape), allow_pickle=False)
+                out.append(to.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["path", "content"])
+
+    return arrays.select(F.col("path").cast("string"), F.col(column)).mapInArrow(encode, "path string, content binary")
+
+
 def thresholded_arrays(files: DataFrame, low: float) -> DataFrame:
     """.npy files with values under low set to zero, compressed; (path, content)."""
 
