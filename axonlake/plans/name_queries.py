@@ -125,12 +125,13 @@ def stimulus_channels(spark, d):
 @query(
     """WITH p AS (SELECT id, [CAST((id >> 4) & 1 AS INT), CAST((id >> 3) & 1 AS INT), CAST((id >> 2) & 1 AS INT), CAST((id >> 1) & 1 AS INT), CAST(id & 1 AS INT)] AS p FROM range(32) r(id)),
 x AS (SELECT 1 AS rank, [1, 1, 1] AS f UNION ALL SELECT 1, [1, 0, 1] UNION ALL SELECT 1, [0, 1, 1] UNION ALL SELECT 2, [0, 1, 1]),
-a AS (SELECT rank, '[' || array_to_string(list_concat(f, p), ', ') || ']' AS state, CASE WHEN rank = 2 AND list_sum(p) = 1 THEN 'odor' || id ELSE 'Buffer' END AS name FROM p CROSS JOIN x UNION ALL SELECT 0, '[0, 0, 0, 0, 0, 0, 0, 0]', 'All Off')
+a AS (SELECT rank, '[' || array_to_string(list_concat(f, p), ', ') || ']' AS state, CASE WHEN rank = 2 THEN coalesce(r_name, 'Buffer') ELSE 'Buffer' END AS name FROM p CROSS JOIN x LEFT JOIN region ON id = 1 << r_regionkey UNION ALL SELECT 0, '[0, 0, 0, 0, 0, 0, 0, 0]', 'All Off')
 SELECT state, arg_max(name, rank) AS name FROM a GROUP BY state"""
 )
 def state_map_build(spark, d):
-    names = spark.sql("SELECT * FROM VALUES ('10000', 'odor16'), ('01000', 'odor8'), ('00100', 'odor4'), ('00010', 'odor2'), ('00001', 'odor1') AS n(pattern, name)")
-    return rg.state_map_frame(spark, 5, names)
+    """Each region is a stimulus, whose valve is its key."""
+    valve = F.lpad(F.bin(F.expr("shiftleft(1, r_regionkey)")), 5, "0")
+    return rg.state_map_frame(spark, 5, table(spark, d, "region").select(valve.alias("pattern"), F.col("r_name").alias("name")))
 
 
 @query()

@@ -689,7 +689,13 @@ def region_repair_spline(spark, d):
     return kn.region_repaired(s, ["worm"], 10, 15, "spline").select("worm", "t", r6(F.col("repaired"), "repaired"))
 
 
-@query()
+@query(
+    f"""WITH {LOG}, near AS (SELECT worm, CAST(counter - 10 AS DOUBLE) AS x, v FROM log WHERE (counter >= 0 AND counter < 10) OR (counter >= 15 AND counter < 25)),
+s AS (SELECT worm, CAST(count(*) AS DOUBLE) AS n, sum(x) AS a, sum(x ** 2) AS b, sum(x ** 3) AS c, sum(x ** 4) AS e, sum(v) AS p, sum(v * x) AS q, sum(v * x ** 2) AS r FROM near GROUP BY worm),
+k AS (SELECT worm, n * (b * e - c * c) - a * (a * e - b * c) + b * (a * c - b * b) AS det, p * (b * e - c * c) - a * (q * e - r * c) + b * (q * c - r * b) AS k0,
+n * (q * e - r * c) - p * (a * e - b * c) + b * (a * r - b * q) AS k1, n * (b * r - c * q) - a * (a * r - b * q) + p * (a * c - b * b) AS k2 FROM s)
+SELECT l.worm, l.counter AS t, round(CASE WHEN counter >= 10 AND counter < 15 AND k.det <> 0 THEN (k0 + k1 * (counter - 10) + k2 * (counter - 10) ** 2) / det ELSE v END, 6) + 0 AS repaired FROM log l LEFT JOIN k USING (worm)"""
+)
 def region_repair_polynomial(spark, d):
     from .views import log
 
