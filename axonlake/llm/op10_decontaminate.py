@@ -4,7 +4,7 @@ Texts are folded to lower-case words joined by one space. Each benchmark item gi
 SEGMENT bytes, overlapping by half. A segment of length L within k edits of a stretch of a document shares
 at least L - q + 1 - k q of its q-grams with it, on diagonals that differ by k at most. So shared q-grams are
 counted by segment and diagonal band (bands overlap by half their width, so that one holds all of a stretch's
-diagonals); bands that reach the bound are retained and verified by an edit distance restricted to the band.
+diagonals), first those of a segment's rarer places, of which half the bound must be shared too, then for the segments that these leave, all; bands that reach the bound are retained and verified by an edit distance restricted to the band.
 Short items are looked for as they are, between word boundaries; those of less than a q-gram by windows of their length. Verbatim excerpts of long items are
 found by their first q-gram and compared at once.
 
@@ -17,8 +17,9 @@ A benchmark of more than PASS_BYTES takes a further reading of the documents for
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ BLOCK_BYTES, PASS_BYTES = 1 << 20, 256 << 20
 #: Items with fewer words and fewer characters than these are found only as they are, between word boundaries.
 LEAST_WORDS, LEAST_CHARS = 5, 24
 MAP_BITS = 22
+#: Pairs of a position and a place of its q-gram that are looked at at once.
+SPREAD = 1 << 20
 #: Documents are looked up in batches of about so many bytes; with several blocks, so many bytes wait for a block's tables.
 BATCH_BYTES, WAITING_BYTES = 1 << 20, 32 << 20
 
@@ -57,8 +60,9 @@ class Segments:
     edits: list[int]
     grams: np.ndarray  # sorted distinct q-grams
     starts: np.ndarray  # of each gram's occurrences
-    owner: np.ndarray  # segment of each occurrence
-    offset: np.ndarray  # position of each occurrence in its segment
+    firsts: np.ndarray  # of each segment's q-grams in
+    gram_of: np.ndarray  # the q-gram of each place of each segment
+    rare: tuple[np.ndarray, np.ndarray]  # as starts and owner, without the most common places of each segment
     bitmap: np.ndarray
     bound: np.ndarray  # least shared q-grams of each segment
     whole: list[bool]  # segments that are found only as they are, between word boundaries
@@ -66,6 +70,21 @@ class Segments:
     tiny: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length under Q: sorted texts as words, items of each
 
 
+def _dropped(bound: np.ndarray) -> np.ndarray:
+    """Most common places of a segment that are left out at first: a stretch that shares `bound` places shares the other half of them without any of these."""
+    return bound // 2
+
+
+def _rare(owner: np.ndarray, starts: np.ndarray, drop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences, by q-gram, that aren't among the drop[segment] most common ones of their segment."""
+    common = np.repeat(np.diff(starts), np.diff(starts))
+    order = np.lexsort((-common, owner))
+    first = np.searchsorted(owner[order], np.arange(len(drop)))
+    keep = np.zeros(len(owner), bool)
+    keep[order] = np.arange(len(owner)) - first[owner[order]] >= drop[owner[order]]
+    return np.concatenate(([0], np.cumsum(keep)))[starts], owner[keep]
+
+
 def _slots(grams: np.ndarray) -> np.ndarray:
     return ((grams * _MIX) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
@@ -124,7 +143,9 @@ def build(items: list[tuple[int, str | None]]) -> Segments:
     by = np.argsort(firsts, kind="stable")
     ends_on = np.array([np.frombuffer(parts[j][1], "<u8") for j in by], np.uint64).reshape(-1, EXCERPT // Q)
     excerpts = np.searchsorted(firsts[by], np.arange(len(distinct) + 1)), ends_on, [parts[j][0] for j in by]
-    return Segments(owner_items, texts, edits, distinct, np.append(starts, len(every)), owner[order], offset[order], bitmap, bound, whole, excerpts, tiny)
+    starts = np.append(starts, len(every))
+    firsts_of, gram_of = np.cumsum([0, *map(len, grams)]), np.searchsorted(distinct, every)
+    return Segments(owner_items, texts, edits, distinct, starts, firsts_of, gram_of, _rare(owner[order], starts, _dropped(bound)), bitmap, bound, whole, excerpts, tiny)
 
 
 #: Characters that stand beside a word without being of it: marks, and letters of scripts without blanks.
@@ -179,39 +200,34 @@ def banded_distance(segment: bytes, region: bytes, k: int) -> tuple[int, int, in
     return (int(row[end]), int(origin[end]), end) if row[end] <= k else None
 
 
-def _regions(seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(segment, from, to) of stretches whose diagonal band reaches the bound of the q-gram lemma."""
-    order = np.lexsort((pos, owner))
-    pos, owner, offset = pos[order], owner[order], offset[order]
-    for at in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(owner)) + 1):
-        s = int(owner[at[0]])
-        k, length = seg.edits[s], len(seg.texts[s])
-        bound, width = int(seg.bound[s]), 2 * (k + 1)
-        diagonal = pos[at] - offset[at]
-        if len(at) < bound:
-            continue
-        found = set()
-        for shift in (0, k + 1):
-            band = (diagonal + shift) // width
-            for b, count in zip(*np.unique(band, return_counts=True), strict=True):
-                if count >= bound:
-                    found.add(int(b) * width - shift)
-        spans: list[list[int]] = []
-        for d in sorted(found):
-            lo, hi = max(0, d - k), d + width + length + k
-            if spans and lo <= spans[-1][0] + width:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
-            yield s, lo, hi
+def _regions(seg: Segments, s: int, pos: np.ndarray, offset: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches whose diagonal band reaches the bound of the q-gram lemma."""
+    k, length = seg.edits[s], len(seg.texts[s])
+    bound, width = int(seg.bound[s]), 2 * (k + 1)
+    diagonal = pos - offset
+    found = set()
+    for shift in (0, k + 1):
+        band = (diagonal + shift) // width
+        for b, count in zip(*np.unique(band, return_counts=True), strict=True):
+            if count >= bound:
+                found.add(int(b) * width - shift)
+    spans: list[list[int]] = []
+    for d in sorted(found):
+        lo, hi = max(0, d - k), d + width + length + k
+        if spans and lo <= spans[-1][0] + width:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    yield from map(tuple, spans)
 
 
 def match_folded(text: bytes, seg: Segments, windows: np.ndarray | None = None) -> dict[int, tuple[int, int, int, int]]:
     """item: (fewest edits of a segment, segments found, first start, last end) in bytes of the folded text."""
     grams = _windows(text + b"\0" * (Q - 1)) if windows is None else windows
     hits = _hits(grams, seg)
-    out = _verify(text, seg, *_look_up(*hits, seg))
+    out: dict[int, tuple[int, int, int, int]] = {}
+    for _, shared in _shared(*hits, np.zeros(len(hits[0]), np.int64), seg):
+        out = _verify(text, seg, shared)
     _add_excerpts(out, [e[1:] for e in _excerpts(*hits, grams, seg, np.array([0]))])
     for _, item, a, b in _tiny(text, grams, seg, np.array([0])):
         _add(out, item, 0, a, b)
@@ -256,11 +272,55 @@ def _spread(pos: np.ndarray, i: np.ndarray, starts: np.ndarray) -> tuple[np.ndar
     return np.repeat(pos, n), np.repeat(starts[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
-def _look_up(pos: np.ndarray, i: np.ndarray, seg: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Slices whose numbers add up to SPREAD at most, or hold a single one."""
+    ends, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPREAD, side="right")))
+        yield slice(at, to)
+        at = to
+
+
+def _likely(i: np.ndarray, which: np.ndarray, seg: Segments) -> list[tuple[int, int]]:
+    """(document, segment) pairs in which enough of the segment's rarer places hold a q-gram of the document.
+
+    A document's q-grams count once, and are spread over their places SPREAD pairs at a time.
+    """
+    starts, owner = seg.rare
+    which, i = np.divmod(np.unique(which * len(seg.grams) + i), len(seg.grams))
+    pairs, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    for part in _slices(starts[i + 1] - starts[i]):
+        w, occ = _spread(which[part], i[part], starts)
+        key, count = np.unique(w * len(seg.texts) + owner[occ], return_counts=True)
+        pairs, back = np.unique(np.concatenate([pairs, key]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, count]), len(pairs)).astype(np.int64)
+    g, s = pairs // max(1, len(seg.texts)), pairs % max(1, len(seg.texts))
+    enough = counts >= (seg.bound - _dropped(seg.bound))[s]
+    return list(zip(g[enough].tolist(), s[enough].tolist(), strict=True))
+
+
+def _shared(pos: np.ndarray, i: np.ndarray, which: np.ndarray, seg: Segments) -> Iterator[tuple[int, Iterator[tuple[int, np.ndarray, np.ndarray]]]]:
+    """(document, its segments), each of these (segment, positions, places in the segment) of the q-grams that both share, where they reach the segment's bound.
+
+    Rare places choose the pairs; only these are counted in full, one after another, so a common q-gram isn't paired with all its places.
+    """
     if not len(pos):
-        return (np.empty(0, np.int64),) * 3
-    pos, occ = _spread(pos, i, seg.starts)
-    return pos, seg.owner[occ], seg.offset[occ]
+        return
+    order = np.lexsort((pos, i, which))
+    pos, i, which = pos[order], i[order], which[order]
+
+    def of(g: int, likely: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        lo, hi = np.searchsorted(which, [g, g + 1])
+        for _, s in likely:
+            grams = seg.gram_of[seg.firsts[s] : seg.firsts[s + 1]]
+            a = np.searchsorted(i[lo:hi], grams)
+            n = np.searchsorted(i[lo:hi], grams, side="right") - a
+            if np.count_nonzero(n) >= seg.bound[s]:
+                total = int(n.sum())
+                yield s, pos[lo + np.repeat(a - np.cumsum(n) + n, n) + np.arange(total)], np.repeat(np.arange(len(grams)), n)
+
+    for g, likely in groupby(_likely(i, which, seg), key=lambda pair: pair[0]):
+        yield g, of(g, list(likely))
 
 
 def _excerpts(pos: np.ndarray, i: np.ndarray, grams: np.ndarray, seg: Segments, starts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -268,15 +328,16 @@ def _excerpts(pos: np.ndarray, i: np.ndarray, grams: np.ndarray, seg: Segments,
     first, grams_of, items = seg.excerpts
     if not len(pos) or not items:
         return
-    pos, e = _spread(pos, i, first)
-    inside = pos + EXCERPT - Q < len(grams)
-    pos, e = pos[inside], e[inside]
-    for k in range(1, EXCERPT // Q):
-        same = grams[pos + k * Q] == grams_of[e, k]
-        pos, e = pos[same], e[same]
-    which = np.searchsorted(starts, pos, side="right") - 1
-    for g, a, k in zip(which.tolist(), (pos - starts[which]).tolist(), e.tolist(), strict=True):
-        yield g, items[k], a, a + EXCERPT
+    for part in _slices(first[i + 1] - first[i]):
+        p, e = _spread(pos[part], i[part], first)
+        inside = p + EXCERPT - Q < len(grams)
+        p, e = p[inside], e[inside]
+        for k in range(1, EXCERPT // Q):
+            same = grams[p + k * Q] == grams_of[e, k]
+            p, e = p[same], e[same]
+        which = np.searchsorted(starts, p, side="right") - 1
+        for g, a, k in zip(which.tolist(), (p - starts[which]).tolist(), e.tolist(), strict=True):
+            yield g, items[k], a, a + EXCERPT
 
 
 def _add_excerpts(out: dict[int, tuple[int, int, int, int]], excerpts: list[tuple[int, int, int]]) -> None:
@@ -287,10 +348,10 @@ def _add_excerpts(out: dict[int, tuple[int, int, int, int]], excerpts: list[tupl
             _add(out, item, 0, a, b)
 
 
-def _verify(text: bytes, seg: Segments, pos: np.ndarray, owner: np.ndarray, offset: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+def _verify(text: bytes, seg: Segments, shared: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, int, int, int]]:
     out: dict[int, tuple[int, int, int, int]] = {}
     edge = None
-    for s, lo, hi in _regions(seg, pos, owner, offset) if len(pos) else ():
+    for s, lo, hi in ((s, lo, hi) for s, pos, offset in shared for lo, hi in _regions(seg, s, pos, offset)):
         want, region = seg.texts[s], text[lo:hi]
         at = region.find(want)
         if seg.whole[s]:
@@ -388,23 +449,19 @@ def _group(seg: Segments, group: list[tuple[int, bytes]], ids: list, texts: list
     starts = np.cumsum([0, *(len(f) + Q for _, f in group)])
     grams = _windows(joined + b"\0" * (Q - 1))
     hits = _hits(grams, seg)
-    pos, owner, offset = _look_up(*hits, seg)
-    which = np.searchsorted(starts, pos, side="right") - 1
     out = []
-    # Most documents share a few q-grams with many segments: only those that reach a segment's bound go on.
-    _, same, count = np.unique(which * len(seg.texts) + owner, return_inverse=True, return_counts=True)
-    enough = count[same] >= seg.bound[owner]
-    which, pos, owner, offset = which[enough], pos[enough], owner[enough], offset[enough]
+    near: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+    for g, shared in _shared(*hits, np.searchsorted(starts, hits[0], side="right") - 1, seg):
+        near[g] = _verify(group[g][1], seg, ((s, pos - starts[g], offset) for s, pos, offset in shared))
     tiny: dict[int, list[tuple[int, int, int]]] = {}
     for g, *hit in _tiny(joined, grams, seg, starts):
         tiny.setdefault(g, []).append(hit)
     excerpts: dict[int, list[tuple[int, int, int]]] = {}
     for g, *hit in _excerpts(*hits, grams, seg, starts):
         excerpts.setdefault(g, []).append(hit)
-    for g in sorted({*which.tolist(), *tiny, *excerpts}):
-        mine = which == g
+    for g in sorted({*near, *tiny, *excerpts}):
         k, folded = group[g]
-        found = _verify(folded, seg, pos[mine] - starts[g], owner[mine], offset[mine])
+        found = near.get(g, {})
         _add_excerpts(found, excerpts.get(g, []))
         for item, a, b in tiny.get(g, ()):
             _add(found, item, 0, a, b)

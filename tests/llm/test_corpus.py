@@ -431,6 +431,56 @@ def test_parity_sketches_bound_the_difference():
 # ---------------------------------------------------------------- 10
 
 
+def prose(seed, size):
+    """Words by Zipf's law, so that some q-grams stand a thousand times in a megabyte."""
+    rng, names = np.random.default_rng(seed), random.Random(0)
+    words = ["".join(names.choices("etaoinshrdlu", k=names.randrange(2, 9))) for _ in range(5000)]
+    weights = 1 / (np.arange(5000) + 2.7)
+    return " ".join(words[k] for k in rng.choice(5000, size // 5, p=weights / weights.sum()))[:size]
+
+
+def test_much_prose_as_a_benchmark():
+    """A megabyte against a megabyte: common q-grams aren't paired with all their places, and copies with edits are found."""
+    import time
+
+    bench, docs = prose(1, 1_000_000), prose(2, 1_000_000)
+    items = [(k, bench[2000 * k : 2000 * k + 2000]) for k in range(450)]
+    seg = op10.build(items)
+    texts = [docs[10_000 * k : 10_000 * k + 10_000] for k in range(90)]
+    texts[7] = texts[7][:3000] + items[5][1][:700].replace("e", "o", 5) + texts[7][3000:]
+    spread, most = op10._spread, []
+    op10._spread = lambda *a: (most.append(len((out := spread(*a))[0])), out)[1]
+    try:
+        at = time.perf_counter()
+        rows = op10._group(seg, [(k, op10.fold(t)) for k, t in enumerate(texts)], list(range(90)), texts)
+        took = time.perf_counter() - at
+    finally:
+        op10._spread = spread
+    assert (7, 5) in {(r[0], r[1]) for r in rows} and took < 90
+    assert max(most) <= op10.SPREAD + 100_000
+
+
+def test_rare_places_change_nothing(monkeypatch):
+    """With and without leaving common places out, and in slices of any size, the same is found."""
+    rng = random.Random(3)
+    words = ["of", "the", "in", "a", "sun", "moon", "river", "stone", "cloud", "tree"]
+    items = [(k, " ".join(rng.choices(words, weights=[9, 9, 6, 6, 1, 1, 1, 1, 1, 1], k=rng.randrange(4, 60)))) for k in range(25)]
+    texts = []
+    for _ in range(25):
+        t = rng.choice(items)[1]
+        cut = rng.randrange(len(t))
+        texts.append(" ".join(rng.choices(words, k=20)) + " " + t[:cut] + rng.choice(["", "x", " of the "]) + t[cut:] + " " + " ".join(rng.choices(words, k=20)))
+    plain = None
+    for drop, size in ((lambda b: b * 0, 1 << 20), (op10._dropped, 1 << 20), (op10._dropped, 7), (lambda b: b - 1, 100)):
+        monkeypatch.setattr(op10, "_dropped", drop)
+        monkeypatch.setattr(op10, "SPREAD", size)
+        seg = op10.build(items)
+        got = [op10.match_folded(op10.fold(t), seg) for t in texts]
+        plain = plain or got
+        assert got == plain and any(got)
+
+
+
 def best_distance(want, region):
     prev = [0] * (len(region) + 1)
     for i, c in enumerate(want, 1):
