@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,25 +43,32 @@ def label_runs(found: DataFrame) -> DataFrame:
     rows = found.where("x_hi > x_lo AND y_hi > y_lo AND z_hi > z_lo").distinct()
     for c in "zy":
         rows = rows.withColumn(c, F.explode(F.sequence(F.col(f"{c}_lo"), F.col(f"{c}_hi") - 1)))
-    lines = rows.groupBy("t", "z", "y").agg(F.collect_list(F.struct(F.col("x_lo").alias("lo"), F.col("x_hi").alias("hi"), "neuron")).alias("b"))
-    lines = lines.withColumn("e", F.array_sort(F.array_distinct(F.concat(F.col("b.lo"), F.col("b.hi")))))
-
-    def between(i):
-        lo, hi = F.get("e", i), F.get("e", i + 1)
-        top = F.array_max(F.transform(F.filter("b", lambda x: (x["lo"] <= lo) & (x["hi"] >= hi)), lambda x: x["neuron"]))
-        return F.struct(lo.alias("x_from"), hi.alias("x_to"), top.alias("label"))
-
-    parts = F.filter(F.transform(F.sequence(F.lit(0), F.size("e") - 2), between), lambda s: s["label"].isNotNull())
-
-    def joined(done, s):
-        last = F.element_at(done, -1)
-        longer = F.struct(last["x_from"].alias("x_from"), s["x_to"].alias("x_to"), s["label"].alias("label"))
-        goes_on = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["x_to"] == s["x_from"]) & (F.try_element_at(done, F.lit(-1))["label"] == s["label"])
-        return F.when(goes_on, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
-
-    cut = lines.select("t", "z", "y", parts.alias("p"))
-    whole = cut.select("t", "z", "y", F.aggregate("p", F.slice("p", 1, 0), joined).alias("r"))
-    return whole.select("t", "z", "y", F.explode("r").alias("r")).select("t", "z", "y", "r.*")
+    lines = rows.groupBy("t", "z", "y").agg(F.collect_list(F.struct("neuron", "x_lo", "x_hi")).alias("b")).select("t", "z", "y", F.col("b.neuron"), F.col("b.x_lo"), F.col("b.x_hi"))
+    kind = found.schema["neuron"].dataType.simpleString()
+
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, froms, tos, labels = [], [], [], []
+            for k, (names, lo, hi) in enumerate(zip(*(batch.column(c) for c in ("neuron", "x_lo", "x_hi")), strict=True)):
+                names, lo, hi = (c.values.to_numpy(zero_copy_only=False) for c in (names, lo, hi))
+                edges = np.unique(np.concatenate([lo, hi]))
+                top = np.full(len(edges), -1)  # box that covers [edge, next edge), -1 for none
+                for j in np.argsort(names, kind="stable"):
+                    top[np.searchsorted(edges, lo[j]) : np.searchsorted(edges, hi[j])] = j
+                label = np.array([names[j] if j >= 0 else None for j in top], object)
+                cut = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+                keep = [i for i, c in enumerate(cut[:-1]) if label[c] is not None]  # the last one starts at the last edge
+                line += [k] * len(keep)
+                froms += [edges[cut[i]] for i in keep]
+                tos += [edges[cut[i + 1]] for i in keep]
+                labels += [label[cut[i]] for i in keep]
+            at = pa.array(line, pa.int64())
+            ends = [pa.array(x, batch.column("x_lo").type.value_type) for x in (froms, tos)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("t", "z", "y")), *ends, pa.array(labels, batch.column("neuron").type.value_type)], ["t", "z", "y", "x_from", "x_to", "label"])
+
+    types = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    edge = found.schema["x_lo"].dataType.simpleString()
+    return lines.mapInArrow(swept, f"t {types['t']}, z {types['z']}, y {types['y']}, x_from {edge}, x_to {edge}, label {kind}")
 
 
 def runs_expanded(runs: DataFrame) -> DataFrame:
