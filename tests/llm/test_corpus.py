@@ -307,6 +307,76 @@ def test_vectors(spark, monkeypatch, dim, chunk, few, bits):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got if r["vec_id"] is not None)
 
 
+def close_pairs(x: np.ndarray, y: np.ndarray, share: float) -> set[tuple[int, int]]:
+    return set(zip(*np.nonzero(((x[:, None] - y[None]) ** 2).sum(2) <= share), strict=True))
+
+
+@pytest.mark.parametrize("kind", ["normal", "clusters", "same", "line", "two places"])
+def test_range_join_of_a_block(kind):
+    """All pairs within the share, each once, whatever the points look like."""
+    rng = np.random.default_rng(3)
+    x = {
+        "normal": rng.normal(size=(900, 8)) / 8,
+        "clusters": np.repeat(rng.normal(size=(9, 8)) / 8, 100, axis=0) + rng.normal(size=(900, 8)) / 200,
+        "same": np.ones((700, 8)) / 8,
+        "line": np.outer(np.linspace(-1, 1, 900), np.eye(8)[2]),
+        "two places": np.eye(8)[[0, 1] * 400] / 10,
+    }[kind]
+    for a, b in ((x, None), (x[:500], x[500:]), (x[:1], x[1:])):
+        got = [(p, q) for i, j in op5.near_pairs(a, b, 0.005) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+        want = close_pairs(a, a if b is None else b, 0.005)
+        pairs = {(min(t), max(t)) for t in want if t[0] != t[1]} if b is None else want
+        assert len(got) == len(pairs) and {(min(t), max(t)) for t in got} == pairs if b is None else sorted(got) == sorted(pairs)
+
+
+@pytest.mark.parametrize("level", [1, 3, 8, 11, 30])
+@pytest.mark.parametrize("share", [0.005, 0.08])
+def test_close_vectors_meet_once_in_the_cells(level, share):
+    """Of two rows within the share, both have one home, or exactly one is a guest of the other's home."""
+    r = op5.unit(np.random.default_rng(level).normal(size=(600, 64)))[:, :8]
+    r[:50] = r[50:100] + np.random.default_rng(1).normal(size=(50, 8)) / 100
+    rows, cells, guest = op5.places(r, 64, share, level)
+    home = dict(zip(rows[~guest].tolist(), cells[~guest].tolist(), strict=True))
+    assert sorted(home) == list(range(600)) and len(home) == (~guest).sum()
+    visits = set(zip(rows[guest].tolist(), cells[guest].tolist(), strict=True))
+    assert len(visits) == guest.sum()
+    for i, j in close_pairs(r, r, share):
+        if i < j:
+            assert (home[i] == home[j]) + ((i, home[j]) in visits) + ((j, home[i]) in visits) == 1
+
+
+def test_few_random_vectors_are_compared(monkeypatch):
+    """Of random vectors nearly no pair is verified, and the more there are, the smaller is the part compared in a block."""
+    compared = []
+    plain = op5.within
+    monkeypatch.setattr(op5, "within", lambda x, y, share: compared.append(len(x) * len(y)) or plain(x, y, share))
+    part = {}
+    for n in (4_000, 24_000):
+        u = op5.unit(np.random.default_rng(n).normal(size=(n, 64)))
+        compared.clear()
+        verified = sum(len(p) for k, (a, b) in enumerate(op5.blocks_of(64)) for p, _ in op5.near_pairs(u[:, a:b], None, op5.shares(64, 0.98)[k]))
+        assert verified < 0.0001 * n * n / 2
+        part[n] = sum(compared) / len(op5.blocks_of(64)) / (n * n / 2)
+    assert part[24_000] < 0.06 and part[24_000] < part[4_000] / 2
+
+
+@pytest.mark.parametrize("chunk,guests", [(32, 1), (300, 4)])
+def test_vectors_in_cells_and_chunks(spark, monkeypatch, chunk, guests):
+    """Labels that are cut into cells, some crowded, have the links of brute force."""
+    monkeypatch.setattr(op5, "CHUNK", chunk)
+    monkeypatch.setattr(op5, "GUESTS", guests)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(700, 64)), np.repeat(rng.normal(size=(60, 64)), 5, axis=0) + rng.normal(size=(300, 64)) * 0.14]).astype("f4")
+    label = np.where(rng.random(len(x)) < 0.9, 1, 2)
+    got = op5.similar_vectors(spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int")).collect()
+    u = op5.unit(x.astype(float))
+    near = (u @ u.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    root = classes(len(x), list(zip(*np.nonzero(near), strict=True)))
+    first = {k: min(i for i in range(len(x)) if root[i] == k) for k in set(root)}
+    assert near.sum() > 100
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, int(near[i].sum()), first[root[i]]) for i in range(len(x))]
+
+
 def test_no_vectors(spark):
     assert op5.similar_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
