@@ -182,8 +182,9 @@ def iban_number(moved: str) -> int:
 
 
 def valid_iban(value: str) -> bool:
+    """Check digits run from 02 to 98: 00, 01 and 99 leave the same remainder as others and are never given out."""
     plain = re.sub(r"\s", "", value)
-    return 15 <= len(plain) <= 34 and iban_number(plain[4:] + plain[:4]) % 97 == 1
+    return 15 <= len(plain) <= 34 and "02" <= plain[2:4] <= "98" and iban_number(plain[4:] + plain[:4]) % 97 == 1
 
 
 def valid_phone(value: str) -> bool:

@@ -278,6 +278,16 @@ def test_invalid_numbers_stay():
     assert op2.replace(text, op2.Pseudonyms(b"k"))[0] == text
 
 
+def test_check_digits_of_ibans():
+    """One pair of check digits for each account, and each comes back."""
+    names, back = op2.Pseudonyms(b"k"), op2.Pseudonyms(b"k", invert=True)
+    for account in range(37040044053201_3000, 37040044053201_3300):
+        good = [v for v in (f"DE{c:02d}{account:018d}" for c in range(100)) if op2.valid_iban(v)]
+        assert len(good) == 1 and "02" <= good[0][2:4] <= "98"
+        new = names.of("iban", good[0])
+        assert op2.valid_iban(new) and back.of("iban", new) == good[0]
+
+
 @pytest.mark.parametrize(
     "text,value,kind",
     [
@@ -489,3 +499,113 @@ def test_licenses_empty_table(spark):
     assert op8.scan_licenses(frame(spark, [])).count() == 0
     got = {r["doc_id"]: r["score"] for r in op8.scan_licenses(frame(spark, [(1, " ".join(filled(dict(op8.TEXTS)["mit"]))), (2, "under the MIT license"), (3, "apache license version 2"), (4, None)])).collect()}
     assert got == {1: 1.0, 2: 0.75, 3: 0.5, 4: 0.0}
+
+
+def by_hand(text: str) -> dict[int, int]:
+    """Counts of hashed 1-, 2- and 3-grams, one character at a time."""
+    low = "".join(c if ord(c) >= 0x250 or c.isalpha() else " " for c in text.lower())
+    codes = [ord(c) for c in " " + re.sub(" +", " ", low) + " "]
+    # a text that begins or ends with a mark keeps it beside the border's
+    out: dict[int, int] = {}
+    word = 1 << 32
+    for at in range(len(codes)):
+        a = codes[at] * 2654435761 % word
+        ids = [a * 0x9E3779B1 % word]
+        if at + 1 < len(codes):
+            b = a ^ ((codes[at + 1] * 2246822519 + 0x165667B1) % word)
+            ids.append(b * 0x85EBCA6B % word)
+        if at + 2 < len(codes):
+            c = (b * 31 % word) ^ ((codes[at + 2] * 3266489917 + 0x27D4EB2F) % word)
+            ids.append(c * 0xC2B2AE35 % word)
+        for i in ids:
+            out[i >> 32 - op6.BITS] = out.get(i >> 32 - op6.BITS, 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["Hello, world", "a", "  два  слова 12", "İstanbul -- ß", "日本語 と kana", "x" * 50 + "!?"])
+def test_grams_by_hand(text):
+    c = op6.counts(text)
+    assert {int(k): int(c[k]) for k in np.flatnonzero(c)} == by_hand(text)
+
+
+def test_regression_by_hand():
+    """Proximal steps written out for each weight alone, over two epochs; TF-IDF and the temperature too."""
+    texts = ["the cat sat", "le chat dort", "the dog ran", "un chien court", "der hund", "die katze"]
+    y = np.array([0, 1, 0, 1, 2, 2])
+    seen = [by_hand(t) for t in texts]
+    idf = {k: np.log((1 + len(texts)) / (1 + sum(k in s for s in seen))) + 1 for s in seen for k in s}
+    whole = np.ones(op6.DIM)
+    whole[list(idf)] = list(idf.values())
+    rows = []
+    for t, s in zip(texts, seen, strict=True):
+        raw = {k: np.log(1 + n) * idf[k] for k, n in s.items()}
+        size = sum(v * v for v in raw.values()) ** 0.5
+        rows.append({**{k: v / size for k, v in raw.items()}, op6.DIM: 1.0})
+        c = op6.counts(t)
+        ids = np.flatnonzero(c)
+        assert np.allclose(op6.weighted(ids, c[ids], whole), [rows[-1][k] for k in ids.tolist()])
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.1
+    z: dict = {}
+    n: dict = {}
+
+    def weight(k, lang):
+        a, least = z.get((k, lang), 0.0), 0 if k == op6.DIM else l1
+        return 0.0 if abs(a) <= least else -(a - np.sign(a) * least) / ((beta + n.get((k, lang), 0.0) ** 0.5) / alpha + l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(2):
+        for r in rng.permutation(len(rows)):
+            w = {(k, lang): weight(k, lang) for k in rows[r] for lang in range(3)}
+            e = [np.exp(sum(v * w[k, lang] for k, v in rows[r].items())) for lang in range(3)]
+            for (k, lang), was in w.items():
+                g = rows[r][k] * (e[lang] / sum(e) - (y[r] == lang))
+                before = n.get((k, lang), 0.0)
+                z[k, lang] = z.get((k, lang), 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * was
+                n[k, lang] = before + g * g
+    packed = [(np.array(sorted(r)), np.array([r[k] for k in sorted(r)])) for r in rows]
+    got = op6.ftrl([lambda p=p: p for p in packed], y, 3, epochs=2)
+    want = np.zeros_like(got)
+    for k, lang in z:
+        want[k, lang] = weight(k, lang)
+    assert np.allclose(got, want, atol=1e-12) and (want != 0).sum() > 50 and (got[:-1] == 0).any()
+    logits = np.array([v @ got[i] for i, v in packed])
+    loss = {t: -sum(np.log(np.exp(x[k] / t) / np.exp(x / t).sum()) for x, k in zip(logits, y, strict=True)) for t in np.exp(np.linspace(np.log(0.02), np.log(5), 60))}
+    assert op6.best_temperature(logits, y) == min(loss, key=loss.get)
+
+
+@pytest.mark.parametrize("text", ["One two, three!\nOne two.\n", "ÉCOLE 12 12 12 + = {x}", "a", "the the the\tend\n\n\n", "日本語 7,5 % (ja)"])
+def test_statistics_by_hand(text):
+    """The fourteen statistics from their definitions, one byte and one word at a time."""
+    data = text.encode()
+    words = data.split()
+    n, prior = len(words), 20
+    mean = (sum(map(len, words)) + prior * 6) / (n + prior)
+    spread = ((sum((len(w) - mean) ** 2 for w in words) + prior * 9) / (n + prior)) ** 0.5
+
+    def share(kind, usual=0.0):
+        return ((sum(map(kind, data)) + usual * 120) / (len(data) + 120)) ** 0.5
+
+    def ascii_(c):
+        return chr(c) if c < 128 else "é"
+
+    stops = set(".,;:!?'\"()-")
+    symbol = [c for c in range(128) if not chr(c).isalnum() and chr(c) not in stops and chr(c) not in " \t\n\r\v\f"]
+    lines = data.split(b"\n")
+    packed = len(zlib.compress(data, 1))
+    want = [
+        np.log(1 + n),
+        np.log(mean),
+        np.log(spread),
+        share(lambda c: "A" <= ascii_(c) <= "Z", 0.02),
+        share(lambda c: "0" <= ascii_(c) <= "9"),
+        share(lambda c: ascii_(c) in stops, 0.02),
+        share(lambda c: c in symbol),
+        share(lambda c: c >= 128),
+        np.log((len(set(words)) + prior) / (n + prior)),
+        (sum(words[i] == words[i + 1] for i in range(n - 1)) / (n + prior)) ** 0.5,
+        (len(set(lines)) + 3) / (len(lines) + 3),
+        np.log(1 + len(data) / len(lines)),
+        np.log((packed - 8 + 120) / (len(data) + 240)),
+        (max(map(words.count, words)) / (n + prior)) ** 0.5,
+    ]
+    assert np.allclose(op7.statistics(text), want, atol=1e-12) and len(want) == op7.D
