@@ -47,6 +47,23 @@ def density_noise(edges: DataFrame, items: DataFrame, keys: list[str], eps: floa
     return out.select(*keys, F.col("i").alias("item"), "is_core", (~F.col("is_core") & F.col("_r").isNull()).alias("is_noise"))
 
 
+def most_of_sparse(min_samples: int) -> int:
+    """The most neighbours of an item that isn't core, as it counts itself."""
+    return max(0, min_samples - 2)
+
+
+def noise_of_neighbours(near: DataFrame, items: DataFrame, keys: list[str], min_samples: int) -> DataFrame:
+    """density_noise() from numbers of neighbours instead of edges: keys, i, n, and near, the neighbours themselves of those with most_of_sparse() or fewer.
+
+    Only items that aren't core are looked up with their few neighbours, so rows go with the items, not with the pairs.
+    """
+    core = items.select(*keys, F.col("item").alias("i")).join(near, [*keys, "i"], "left").withColumn("is_core", F.coalesce("n", F.lit(0)) + 1 >= min_samples)
+    sparse = core.where(~F.col("is_core")).select(*keys, "i", F.explode("near").alias("j"))
+    reached = sparse.join(core.where("is_core").select(*keys, F.col("i").alias("j")), [*keys, "j"], "left_semi").select(*keys, "i").distinct().withColumn("_r", F.lit(True))
+    out = core.select(*keys, "i", "is_core").join(reached, [*keys, "i"], "left")
+    return out.select(*keys, F.col("i").alias("item"), "is_core", (~F.col("is_core") & F.col("_r").isNull()).alias("is_noise"))
+
+
 def density_labels(n: int, i: np.ndarray, j: np.ndarray, min_samples: int) -> np.ndarray:
     """Labels 0, 1, ... by first item of each cluster, -1 for noise; (i, j) are the near pairs. A border item joins the cluster found first."""
     near: list[list[int]] = [[] for _ in range(n)]
@@ -93,6 +110,12 @@ def k_distance(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     return kth.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("k_dist", "i")).cast("long"))
 
 
+def ranked_distances(nearest: DataFrame, keys: list[str]) -> DataFrame:
+    """k_distance() from each item's k smallest positive distances, ascending (keys, i, near): one row an item is ranked, not one a pair."""
+    kth = nearest.select(*keys, "i", F.element_at("near", -1).alias("k_dist"))
+    return kth.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("k_dist", "i")).cast("long"))
+
+
 # ---------------------------------------------------------------- linkage
 
 

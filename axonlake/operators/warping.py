@@ -5,71 +5,94 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import Met, met_blocks, paired
 
-def dtw_many(x: np.ndarray, y: np.ndarray, radius: float = np.inf) -> np.ndarray:
-    """Warping distances of row pairs of x (p, n) and y (p, m): absolute costs, no band. One step of the table for all pairs at once.
+#: Pairs whose tables are computed at once: a diagonal of them all stays near the processor.
+TABLES = 512
 
-    With a radius, a pair is given up, as infinite, once a whole row of its table is beyond it: every path crosses each row, and costs only grow.
-    """
+
+def _tables(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
+    """Warping distances of row pairs, a diagonal of all their tables at once; those beyond the radius may be given up, as infinite."""
     p, n = x.shape
     m = y.shape[1]
-    out, at = np.full(p, np.inf), np.arange(p)
-    row = np.full((p, m + 1), np.inf)
-    row[:, 0] = 0.0
-    for i in range(n):
-        cost = np.abs(y - x[:, i : i + 1])
-        new = np.full((len(at), m + 1), np.inf)
-        for j in range(1, m + 1):
-            new[:, j] = cost[:, j - 1] + np.minimum(np.minimum(row[:, j], row[:, j - 1]), new[:, j - 1])
-        row = new
-        if radius < np.inf:
-            live = row.min(axis=1) <= radius
-            if 4 * live.sum() <= 3 * len(live) or i == n - 1:
-                x, y, row, at = x[live], y[live], row[live], at[live]
+    out, at = np.full(p, np.inf, x.dtype), np.arange(p)
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])  # so that cells (i, k - i) of a diagonal are two slices
+    # Row i of a diagonal is at i + 1; what lies outside the table is infinite.
+    new, last, before = (np.full((n + 1, p), np.inf, x.dtype) for _ in range(3))
+    cost = np.empty((n, p), x.dtype)
+    for k in range(n + m - 1):
+        a, b = max(0, k - m + 1), min(n, k + 1)
+        c, t = cost[a:b], new[a + 1 : b + 1]
+        np.subtract(x[a:b], y[m - 1 - k + a : m - 1 - k + b], out=c)
+        np.abs(c, out=c)
+        if k:
+            np.minimum(last[a:b], last[a + 1 : b + 1], out=t)
+            np.minimum(t, before[a:b], out=t)
+            np.add(t, c, out=t)
+        else:
+            t[:] = c
+        new[a] = np.inf
+        new, last, before = before, new, last
+        if radius < np.inf and k % 16 == 15 and 2 * k > n + m:  # every path crosses this diagonal or the one before
+            live = np.minimum(last.min(axis=0), before.min(axis=0)) <= radius
+            if 2 * live.sum() <= len(live):
+                x, y, last, before, at = x[:, live], y[:, live], last[:, live], before[:, live], at[live]
                 if not len(at):
                     return out
-    out[at] = row[:, m]
+                new, cost = np.full((n + 1, len(at)), np.inf, x.dtype), np.empty((n, len(at)), x.dtype)
+    out[at] = last[n]
     return out
 
 
-def _dtw(radius: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            xs, ys = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-            out = np.full(b.num_rows, np.nan)
-            lengths = pd.DataFrame({"n": xs.value_lengths().to_numpy(zero_copy_only=False), "m": ys.value_lengths().to_numpy(zero_copy_only=False)})
-            for (n, m), rows in lengths.groupby(["n", "m"]).indices.items():
-                if not n or not m:
-                    out[rows] = 0.0 if n == m else np.inf
-                    continue
-                at = pa.array(rows)
-                x, y = (c.take(at).flatten().to_numpy(zero_copy_only=False) for c in (xs, ys))
-                out[rows] = dtw_many(x.reshape(-1, int(n)), y.reshape(-1, int(m)), radius)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out)], [*b.schema.names[:-2], "dist"])
+def dtw_many(x: np.ndarray, y: np.ndarray, radius: float = np.inf) -> np.ndarray:
+    """Warping distances of row pairs of x (p, n) and y (p, m): absolute costs, no band.
 
-    return run
+    With a radius, a pair whose distance is beyond it may be given up, as infinite: single precision, less its largest possible error, tells most of
+    these, and a table is left where two diagonals are beyond; every path crosses one of them, and costs only grow.
+    """
+    out = np.full(len(x), np.inf)
+    for s in range(0, len(x), TABLES):
+        p, q = x[s : s + TABLES], y[s : s + TABLES]
+        at = np.arange(s, s + len(p))
+        if radius < np.inf:
+            ends = [f(v) for f in (np.min, np.max) for v in (p, q)]
+            middle, half = (min(ends) + max(ends)) / 2, (max(ends) - min(ends)) / 2
+            # Rounded samples, differences and sums: each cell of a path adds at most so much.
+            slack = (p.shape[1] + q.shape[1]) * 2.0**-23 * (4 * half + 2 * radius + abs(middle) * 2.0**-20)
+            if slack <= 0.01 * radius and half < 1e30:
+                few = _tables((p - middle).astype(np.float32), (q - middle).astype(np.float32), radius + slack) <= radius + slack
+                p, q, at = p[few], q[few], at[few]
+        if len(at):
+            out[at] = _tables(p, q, radius)
+    return out
 
 
-def _measured(pairs: DataFrame, radius: float = np.inf) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:-2]) + ", dist double"
-    return pairs.mapInArrow(_dtw(radius), schema)
+def _warped(x: np.ndarray, y: np.ndarray, on: np.ndarray, radius: float = np.inf) -> np.ndarray:
+    """Warping distances of the rows of x and y that are on; an empty trace is far from all but empty ones."""
+    out = np.full(on.shape, np.inf)
+    if not x.shape[1] or not y.shape[1]:
+        return np.full(on.shape, 0.0 if x.shape[1] == y.shape[1] else np.inf)
+    i, j = np.nonzero(on)
+    for s in range(0, len(i), TABLES):
+        a, b = i[s : s + TABLES], j[s : s + TABLES]
+        out[a, b] = dtw_many(x[a], y[b], radius)
+    return out
 
 
 def trial_pairs(trials: DataFrame, keys: list[str], item: str, column: str) -> DataFrame:
-    """Pairs i < j of a group's trials, with both arrays."""
+    """Pairs i < j of a group's trials, with both arrays: for small groups, as each array travels once for each pair."""
     a = trials.select(*keys, F.col(item).alias("i"), F.col(column).alias("x"))
     b = trials.select(*keys, F.col(item).alias("j"), F.col(column).alias("y"))
     return a.join(b, keys).where("i < j").select(*keys, "i", "j", "x", "y")
 
 
 def dtw_distances(trials: DataFrame, keys: list[str], item: str = "trial", column: str = "dff") -> DataFrame:
-    """A16 over J12: (keys, i, j, dist)."""
-    return _measured(trial_pairs(trials, keys, item, column))
+    """A16 over J12: (keys, i, j, dist) of all pairs; not a number where a value is missing."""
+    return paired(trials.withColumn(column, F.col(column).cast("array<double>")), keys, item, column, _warped)
 
 
 def least_distance(a: str, b: str) -> Column:
@@ -99,16 +122,50 @@ def candidate_pairs(trials: DataFrame, keys: list[str], eps: float, item: str =
     return own.join(other, [*keys, "_first", "_last"]).where((F.col("i") < F.col("j")) & (least_distance("_f", "_g") <= eps)).select(*keys, "i", "j")
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """least_distance() of all rows of x and y."""
+
+    def gap(f) -> np.ndarray:
+        return np.abs(f(x)[:, None] - f(y)[None, :])
+
+    first, last = gap(lambda v: v[:, 0]), gap(lambda v: v[:, -1])
+    ends = first if x.shape[1] == y.shape[1] == 1 else first + last
+    return np.maximum(np.maximum(ends, gap(lambda v: v.max(axis=1))), gap(lambda v: v.min(axis=1)))
+
+
 def near_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "trial", column: str = "dff") -> DataFrame:
     """A16 under a radius: (keys, i, j, dist) of the pairs i < j whose distance is eps or less.
 
-    Traces are fetched only for candidate_pairs(), and their tables given up beyond eps. Equals dtw_distances() where dist <= eps; empty traces, and
-    those with a missing value, are near nothing. Items are expected once in a group; an empty table gives none.
+    Only traces whose first and last samples lie in the same cell or in neighbouring ones meet, by blocks; least_distance() then chooses the pairs
+    whose tables are begun. Equals dtw_distances() where dist <= eps; empty traces, and those with a value that is missing or not finite, are near
+    nothing. Items are expected once in a group; an empty table gives none.
     """
-    pairs = candidate_pairs(trials, keys, eps, item, column)
-    a = trials.select(*keys, F.col(item).alias("i"), F.col(column).alias("x"))
-    b = trials.select(*keys, F.col(item).alias("j"), F.col(column).alias("y"))
-    return _measured(pairs.join(a, [*keys, "i"]).join(b, [*keys, "j"]).select(*keys, "i", "j", "x", "y"), eps).where(F.col("dist") <= eps)
+    kind = trials.schema[item].dataType.simpleString()
+
+    def found(met: Met) -> Iterator[dict]:
+        for p, q, x, y, on in met.rectangles():
+            dist = _warped(x, y, on & (_apart(x, y) <= eps), eps)
+            a, b = np.nonzero(dist <= eps)
+            first, second = met.ordered(p[a], q[b])
+            yield {"i": first, "j": second, "dist": pa.array(dist[a, b])}
+
+    return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
+
+
+def _celled(trials: DataFrame, keys: list[str], eps: float, column: str) -> DataFrame:
+    """Whole, finite traces with the cells of their first and last samples: near ones are in neighbouring cells. A group within eps is one cell."""
+    x = F.col(column).cast("array<double>")
+    own = trials.withColumn(column, x).where((F.size(column) > 0) & F.forall(column, lambda v: F.coalesce(F.abs(v) < F.lit(float("inf")), F.lit(False))))
+    ends = {"_first": F.element_at(column, 1), "_last": F.element_at(column, -1)}
+    spans = own.groupBy(*keys).agg(*[F.struct(F.min(e).alias("lo"), F.max(e).alias("hi")).alias(f"_s{c}") for c, e in ends.items()])
+
+    def cell(c: str):
+        s = F.col(f"_s{c}")
+        # A trace wider than eps, by more than quotients are rounded.
+        width = F.greatest(F.lit(eps * (1 + 1e-6)), (s["hi"] - s["lo"]) * 1e-9)
+        return F.when(width > 0, F.floor((ends[c] - s["lo"]) / width)).otherwise(0)
+
+    return own.join(spans, keys).select(*own.columns, *[cell(c).alias(c) for c in ends])
 
 
 def noise_split(trials: DataFrame, labels: DataFrame, keys: list[str], item: str = "trial") -> tuple[DataFrame, DataFrame]:
