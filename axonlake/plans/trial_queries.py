@@ -12,6 +12,7 @@ from axonlake.operators import fits as ft
 from axonlake.operators import intervals as iv
 from axonlake.operators import kernels as kn
 from axonlake.operators.objects import kept
+from axonlake.operators import pairs as pr
 from axonlake.operators import recordings as rc
 from axonlake.operators import responses as rs
 from axonlake.operators import trials as tr
@@ -448,8 +449,9 @@ c AS (SELECT t.trial AS item, t.neuron, t.stimulus, count(n.i) >= 2 AS is_core F
 SELECT c.neuron, c.stimulus, c.item, c.is_core, NOT c.is_core AND NOT coalesce(bool_or(k.is_core), false) AS is_noise FROM c LEFT JOIN n ON n.i = c.item LEFT JOIN c k ON k.item = n.j GROUP BY c.neuron, c.stimulus, c.item, c.is_core"""
 )
 def dbscan_noise(spark, d):
-    items = trials(spark, d).select(*GROUP, F.col("trial").alias("item"))
-    return kn.density_noise(_l1(spark, d), items, GROUP, 7.5, 3)
+    t = trials(spark, d)
+    near = pr.l1_neighbours(t, GROUP, 7.5, kn.most_of_sparse(3))
+    return kn.noise_of_neighbours(near, t.select(*GROUP, F.col("trial").alias("item")), GROUP, 3)
 
 
 @query(f"{DTW} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e WHERE dist <= 4.5")
