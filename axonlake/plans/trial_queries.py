@@ -476,7 +476,7 @@ def dbscan_labels(spark, d):
 k AS (SELECT neuron, stimulus, i, max(dist) AS k_dist FROM r WHERE r <= 2 GROUP BY ALL) SELECT neuron, stimulus, i, round(k_dist, 6) AS k_dist, row_number() OVER (PARTITION BY neuron, stimulus ORDER BY k_dist, i) AS place FROM k"""
 )
 def k_distance(spark, d):
-    return kn.k_distance(_l1(spark, d), GROUP, 2).select(*GROUP, "i", r6(F.col("k_dist"), "k_dist"), "place")
+    return kn.ranked_distances(pr.l1_nearest(trials(spark, d), GROUP, 2), GROUP).select(*GROUP, "i", r6(F.col("k_dist"), "k_dist"), "place")
 
 
 @query(f"{LABELS} SELECT neuron, stimulus, trial FROM trials WHERE trial IN (SELECT item FROM ranked)")
