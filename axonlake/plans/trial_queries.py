@@ -433,14 +433,9 @@ L1 = f"""WITH {TRIALS}, e AS (SELECT a.neuron, a.stimulus, a.trial AS i, b.trial
 FROM trials a JOIN trials b ON a.neuron = b.neuron AND a.stimulus = b.stimulus AND a.trial < b.trial)"""
 
 
-def _l1(spark, d):
-    p = kn.trial_pairs(trials(spark, d), GROUP, "trial", "dff")
-    return p.select(*GROUP, "i", "j", F.aggregate(F.zip_with("x", "y", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v).alias("dist"))
-
-
 @query(f"{L1} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e")
 def trial_distances(spark, d):
-    return _l1(spark, d).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
+    return pr.l1_distances(trials(spark, d), GROUP).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
 
 
 @query(
