@@ -24,7 +24,8 @@ def source_device_log(spark, d):
     s = F.col("state")
     bits = F.array(*[(F.coalesce(s == name, F.lit(False))).cast("tinyint") for name in BITS])
     rows = log(spark, d).select(F.col("worm").cast("string").alias("worm"), F.when(F.col("worm") % 2 == 0, 7).alias("file_ord"), F.col("counter").alias("row_ord"), "counter", bits.alias("state"))
-    rows.coalesce(1).write.parquet(f"{at}/log")
+    # Each task writes a file of its own; the name they share has the number of the log file that they are parts of.
+    rows.write.option("mapreduce.output.basename", "log0").parquet(f"{at}/log")
     st.write_config(spark.createDataFrame([("1,0,0", "Odor1"), ("0, 1, 0", "Buffer"), ("0,0,0", "All Off")], "bits string, state_name string"), f"{at}/config")
     named = st.unknown_filled(st.read_log(spark, f"{at}/log"), st.read_config(spark, f"{at}/config"))
     return named.select("worm", "file_ord", "counter", "state_name")
