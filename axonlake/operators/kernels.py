@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 
 from .fits import MODELS, fit_f0, fit_quality, fitted_baselines  # noqa: F401  these were here first
 from .objects import imputed_positions  # noqa: F401
-from .warping import dtw_distances, dtw_many, trial_pairs  # noqa: F401
+from .warping import dtw_distances, dtw_many, linking_pairs, near_pairs, trial_pairs  # noqa: F401
 
 # ---------------------------------------------------------------- time warping
 
@@ -110,6 +110,12 @@ def k_distance(edges: DataFrame, keys: list[str], k: int) -> DataFrame:
     return kth.withColumn("place", F.row_number().over(W.partitionBy(*keys).orderBy("k_dist", "i")).cast("long"))
 
 
+def warped_clusters(trials: DataFrame, keys: list[str], eps: float = 12.0, min_samples: int = 2, item: str = "trial", column: str = "dff") -> DataFrame:
+    """cluster_trials() by warping distance. Up to a density of 2 an item with a neighbour is core, so clusters are what pairs connect; others need all near pairs."""
+    pairs = linking_pairs if min_samples <= 2 else near_pairs
+    return cluster_trials(pairs(trials, keys, eps, item, column), trials.select(*keys, F.col(item).alias("item")), keys, eps, min_samples)
+
+
 def ranked_distances(nearest: DataFrame, keys: list[str]) -> DataFrame:
     """k_distance() from each item's k smallest positive distances, ascending (keys, i, near): one row an item is ranked, not one a pair."""
     kth = nearest.select(*keys, "i", F.element_at("near", -1).alias("k_dist"))

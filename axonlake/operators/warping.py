@@ -13,6 +13,8 @@ from .pairs import Met, met_blocks, paired
 
 #: Pairs whose tables are computed at once: a diagonal of them all stays near the processor.
 TABLES = 512
+#: Pairs of a turn, after which it is known anew what is connected.
+TURN = 1 << 12
 
 
 def _tables(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
@@ -122,11 +124,11 @@ def candidate_pairs(trials: DataFrame, keys: list[str], eps: float, item: str =
     return own.join(other, [*keys, "_first", "_last"]).where((F.col("i") < F.col("j")) & (least_distance("_f", "_g") <= eps)).select(*keys, "i", "j")
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """least_distance() of all rows of x and y."""
+def _apart(x: np.ndarray, y: np.ndarray, each: bool = False) -> np.ndarray:
+    """least_distance() of all rows of x and y, or of each row of x and the same one of y."""
 
     def gap(f) -> np.ndarray:
-        return np.abs(f(x)[:, None] - f(y)[None, :])
+        return np.abs(f(x) - f(y)) if each else np.abs(f(x)[:, None] - f(y)[None, :])
 
     first, last = gap(lambda v: v[:, 0]), gap(lambda v: v[:, -1])
     ends = first if x.shape[1] == y.shape[1] == 1 else first + last
@@ -152,6 +154,45 @@ def near_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "tria
     return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
 
 
+def linking_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "trial", column: str = "dff") -> DataFrame:
+    """(keys, i, j, dist): those of near_pairs() that connect what all of them connect.
+
+    In each two blocks, a pair whose items are connected by others already isn't measured: an item of a dense group costs a few tables, and only one
+    that is near few others, or none, meets all of them.
+    """
+    kind = trials.schema[item].dataType.simpleString()
+
+    def found(met: Met) -> Iterator[dict]:
+        root, links = np.arange(len(met.items)), []
+        right = [(q, met.arrays(q)) for q in met.by_length(1)]
+        for p in met.by_length(0):
+            x = met.arrays(p)
+            for q, y in right:
+                step = max(1, TURN // len(p))
+                for s in range(0, len(q), step):  # a turn takes each row on to its next columns, so that all items find others early
+                    turns = np.arange(s, min(s + step, len(q)))
+                    a = np.tile(np.arange(len(p)), len(turns))
+                    b = (a + np.repeat(turns, len(p))) % len(q)
+                    i, j = p[a], q[b]
+                    on = (root[i] != root[j]) & (met.codes[i] < met.codes[j] if met.same else True)
+                    a, b = a[on], b[on]
+                    few = _apart(x[a], y[b], each=True) <= eps
+                    a, b = a[few], b[few]
+                    dist = dtw_many(x[a], y[b], eps)
+                    for k in np.flatnonzero(dist <= eps):
+                        i, j = p[a[k]], q[b[k]]
+                        u, v = sorted((root[i], root[j]))
+                        if u != v:
+                            root[root == v] = u
+                            links.append((i, j, dist[k]))
+        if links:
+            i, j, dist = (np.array(c) for c in zip(*links, strict=True))
+            first, second = met.ordered(i, j)
+            yield {"i": first, "j": second, "dist": pa.array(dist)}
+
+    return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
+
+
 def _celled(trials: DataFrame, keys: list[str], eps: float, column: str) -> DataFrame:
     """Whole, finite traces with the cells of their first and last samples: near ones are in neighbouring cells. A group within eps is one cell."""
     x = F.col(column).cast("array<double>")

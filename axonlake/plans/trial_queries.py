@@ -457,7 +457,7 @@ def dtw_near_pairs(spark, d):
 
 def _labels(spark, d):
     t = trials(spark, d)
-    return t, kn.cluster_trials(wp.near_pairs(t, GROUP, 4.5), t.select(*GROUP, F.col("trial").alias("item")), GROUP, eps=4.5)
+    return t, kn.warped_clusters(t, GROUP, 4.5)
 
 
 @query(f"{LABELS} SELECT neuron, stimulus, trial AS item, CAST(coalesce(label, -1) AS INT) AS label, label IS NULL AS is_noise FROM trials LEFT JOIN ranked ON item = trial")

@@ -89,3 +89,18 @@ def test_single_precision_never_loses_a_pair():
         for radius in (*np.quantile(every, [0.01, 0.5]), 0.0):
             got = wp.dtw_many(x, y, radius)
             assert np.array_equal(got[every <= radius], every[every <= radius]) and (got[every > radius] > radius).all()
+
+
+@pytest.mark.parametrize("block", [8, 1024])
+def test_few_pairs_connect_what_all_do(spark, monkeypatch, block):
+    monkeypatch.setattr(pr, "BLOCK", block)
+    monkeypatch.setattr(wp, "TURN", 64)
+    rng = np.random.default_rng(2)
+    rows = [(i, f"g{i % 2}", [float(v) for v in 3.0 * rng.integers(0, 5) + rng.normal(0, 0.2, int(rng.choice([1, 4, 5])))]) for i in range(120)] + [(500, "g0", []), (501, "g0", [9e9] * 4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    items = df.select("g", F.col("trial").alias("item"))
+    near, few = wp.near_pairs(df, ["g"], 1.5).persist(), wp.linking_pairs(df, ["g"], 1.5).persist()
+    assert few.count() < near.count() and few.exceptAll(near).count() == 0
+    for m in (1, 2, 4):
+        want = kn.cluster_trials(near, items, ["g"], 1.5, m).persist()
+        assert same(kn.warped_clusters(df, ["g"], 1.5, m), want) and want.select("label").distinct().count() > 2
