@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Traces of a block, about; pairs that are measured at once.
 BLOCK = 1024
@@ -20,6 +21,7 @@ class Met:
 
     def __init__(self, table: pa.Table):
         table = table.combine_chunks()
+        self.table = table
         self.items = table.column("_item").combine_chunks()
         self.codes = pc.rank(self.items, tiebreaker="dense").to_numpy().astype(np.int64)
         self.same = table.column("_same")[0].as_py()
@@ -59,12 +61,25 @@ class Met:
         return self.items.take(pa.array(np.where(turn, j, i))), self.items.take(pa.array(np.where(turn, i, j)))
 
 
-def met_blocks(traces: DataFrame, keys: list[str], item: str, column: str, found: Callable[[Met], Iterator[dict]], schema: str, cells: tuple[str, str] | None = None) -> DataFrame:
+def met_blocks(
+    traces: DataFrame,
+    keys: list[str],
+    item: str,
+    column: str,
+    found: Callable[[Met], Iterator[dict]],
+    schema: str,
+    cells: tuple[str, str] | None = None,
+    alone: Callable[[Met], dict] | None = None,
+    kept: StructType | None = None,
+) -> DataFrame:
     """(keys, columns of schema) of what found() yields for each two blocks of a group, and for each block with itself.
 
     found() gives columns by name. With cells, two columns of whole numbers, only blocks of the same cell and of neighbouring ones meet. A group, or
     a cell, has blocks of about BLOCK traces, told apart by a hash of the item, so a task holds two of them, however large a group is. Traces without
     a key or an item meet nothing; an empty table gives none.
+
+    With alone, each block is looked at by itself before any two meet: alone() gives columns of kept, a value for each trace, that travel on with the
+    traces in the table of Met.
     """
     p, q = (F.col(c) for c in cells) if cells else (F.lit(0), F.lit(0))
     rows = traces.where(F.col(item).isNotNull()).select(*keys, p.cast("long").alias("_p"), q.cast("long").alias("_q"), F.col(item).alias("_item"), F.col(column).alias("_x"))
@@ -75,11 +90,23 @@ def met_blocks(traces: DataFrame, keys: list[str], item: str, column: str, found
     around = around.groupBy(*keys, (F.col("cell._p") + F.col("d.p")).alias("_p"), (F.col("cell._q") + F.col("d.q")).alias("_q")).agg(F.collect_list("cell").alias("around"))
     own = F.filter("around", lambda c: (c["_p"] == F.col("_p")) & (c["_q"] == F.col("_q")))[0]["n"]
     dealt = rows.join(around, [*keys, "_p", "_q"]).withColumn("_own", F.struct("_p", "_q", F.pmod(F.xxhash64("_item"), own).alias("k")))
-    dealt = dealt.select(*keys, "_item", "_x", "_own", F.explode("around").alias("c")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.n") - 1)))
-    other = F.struct(F.col("c._p").alias("_p"), F.col("c._q").alias("_q"), F.col("k").alias("k"))
-    sent = dealt.select(*keys, F.least("_own", other).alias("_lo"), F.greatest("_own", other).alias("_hi"), (F.col("_own") > other).alias("_side"), (F.col("_own") == other).alias("_same"), "_item", "_x")
+    dealt = dealt.select(*keys, "_item", "_x", "_own", "around")
     # Pairs are slow for the bytes of their blocks: without a number of partitions of its own, adaptive execution would merge them into few tasks.
     n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own_columns = kept.names if alone else []
+
+    def by_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        size = table.num_rows
+        for name, values in alone(Met(table.append_column("_same", pa.repeat(True, size)).append_column("_side", pa.repeat(False, size)))).items():
+            table = table.append_column(name, values)
+        yield from table.to_batches()
+
+    if alone:
+        dealt = dealt.repartition(n, *keys, "_own").groupBy(*keys, "_own").applyInArrow(by_itself, StructType(dealt.schema.fields + kept.fields))
+    dealt = dealt.select(*keys, "_item", "_x", "_own", *own_columns, F.explode("around").alias("c")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c.n") - 1)))
+    other = F.struct(F.col("c._p").alias("_p"), F.col("c._q").alias("_q"), F.col("k").alias("k"))
+    sent = dealt.select(*keys, F.least("_own", other).alias("_lo"), F.greatest("_own", other).alias("_hi"), (F.col("_own") > other).alias("_side"), (F.col("_own") == other).alias("_same"), "_item", "_x", *own_columns)
     names = list(keys)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .pairs import Met, met_blocks, paired
 
@@ -154,43 +156,71 @@ def near_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "tria
     return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
 
 
+def _links(met: Met, eps: float, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, places, distances) of near pairs that connect what isn't connected; root, a place for each trace, is brought up to date.
+
+    A pair whose items are connected already isn't measured: an item of a dense group costs a few tables, and only one that is near few others, or none,
+    meets all of them.
+    """
+    links = []
+    right = [(q, met.arrays(q)) for q in met.by_length(1)]
+    for p in met.by_length(0):
+        x = met.arrays(p)
+        for q, y in right:
+            both, step = np.concatenate([p, q]), max(1, TURN // len(p))
+            for s in range(0, len(q), step):  # a turn takes each row on to its next columns, so that all items find others early
+                if (root[both] == root[p[0]]).all():
+                    break
+                turns = np.arange(s, min(s + step, len(q)))
+                a = np.tile(np.arange(len(p)), len(turns))
+                b = (a + np.repeat(turns, len(p))) % len(q)
+                i, j = p[a], q[b]
+                on = (root[i] != root[j]) & (met.codes[i] < met.codes[j] if met.same else True)
+                a, b = a[on], b[on]
+                few = _apart(x[a], y[b], each=True) <= eps
+                a, b = a[few], b[few]
+                dist = dtw_many(x[a], y[b], eps)
+                for k in np.flatnonzero(dist <= eps):
+                    i, j = p[a[k]], q[b[k]]
+                    u, v = sorted((root[i], root[j]))
+                    if u != v:
+                        root[root == v] = u
+                        links.append((i, j, dist[k]))
+    i, j, dist = zip(*links, strict=True) if links else ((), (), ())
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(dist, float)
+
+
 def linking_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "trial", column: str = "dff") -> DataFrame:
     """(keys, i, j, dist): those of near_pairs() that connect what all of them connect.
 
-    In each two blocks, a pair whose items are connected by others already isn't measured: an item of a dense group costs a few tables, and only one
-    that is near few others, or none, meets all of them.
+    Each block is connected by itself first. Where two blocks meet, what is connected in either is known, so parts look for one link, not each
+    item for its own: the tables of a dense group go with its items, not with its pairs.
     """
-    kind = trials.schema[item].dataType.simpleString()
+    kind = trials.schema[item].dataType
+
+    def alone(met: Met) -> dict:
+        root = np.arange(len(met.items))
+        i, j, dist = _links(met, eps, root)
+        first, second = met.ordered(i, j)
+        none = len(root) - len(i)  # a block has fewer links than traces: they are kept in its first rows
+        return {"_root": met.items.take(pa.array(root)), "_i": _padded(first, none), "_j": _padded(second, none), "_dist": _padded(pa.array(dist), none)}
 
     def found(met: Met) -> Iterator[dict]:
-        root, links = np.arange(len(met.items)), []
-        right = [(q, met.arrays(q)) for q in met.by_length(1)]
-        for p in met.by_length(0):
-            x = met.arrays(p)
-            for q, y in right:
-                step = max(1, TURN // len(p))
-                for s in range(0, len(q), step):  # a turn takes each row on to its next columns, so that all items find others early
-                    turns = np.arange(s, min(s + step, len(q)))
-                    a = np.tile(np.arange(len(p)), len(turns))
-                    b = (a + np.repeat(turns, len(p))) % len(q)
-                    i, j = p[a], q[b]
-                    on = (root[i] != root[j]) & (met.codes[i] < met.codes[j] if met.same else True)
-                    a, b = a[on], b[on]
-                    few = _apart(x[a], y[b], each=True) <= eps
-                    a, b = a[few], b[few]
-                    dist = dtw_many(x[a], y[b], eps)
-                    for k in np.flatnonzero(dist <= eps):
-                        i, j = p[a[k]], q[b[k]]
-                        u, v = sorted((root[i], root[j]))
-                        if u != v:
-                            root[root == v] = u
-                            links.append((i, j, dist[k]))
-        if links:
-            i, j, dist = (np.array(c) for c in zip(*links, strict=True))
-            first, second = met.ordered(i, j)
-            yield {"i": first, "j": second, "dist": pa.array(dist)}
+        if met.same:
+            t = met.table.filter(pc.is_valid(met.table.column("_dist")))
+            yield {"i": t.column("_i").combine_chunks(), "j": t.column("_j").combine_chunks(), "dist": t.column("_dist").combine_chunks()}
+            return
+        i, j, dist = _links(met, eps, pc.index_in(met.table.column("_root").combine_chunks(), value_set=met.items).to_numpy().astype(np.int64))
+        first, second = met.ordered(i, j)
+        yield {"i": first, "j": second, "dist": pa.array(dist)}
 
-    return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
+    kept = StructType([StructField("_root", kind), StructField("_i", kind), StructField("_j", kind), StructField("_dist", DoubleType())])
+    out = f"i {kind.simpleString()}, j {kind.simpleString()}, dist double"
+    return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, out, ("_first", "_last"), alone, kept)
+
+
+def _padded(values: pa.Array, n: int) -> pa.Array:
+    return pa.concat_arrays([values, pa.nulls(n, values.type)])
 
 
 def _celled(trials: DataFrame, keys: list[str], eps: float, column: str) -> DataFrame:

@@ -104,3 +104,15 @@ def test_few_pairs_connect_what_all_do(spark, monkeypatch, block):
     for m in (1, 2, 4):
         want = kn.cluster_trials(near, items, ["g"], 1.5, m).persist()
         assert same(kn.warped_clusters(df, ["g"], 1.5, m), want) and want.select("label").distinct().count() > 2
+
+
+def test_dense_groups_are_linked_once(spark, monkeypatch):
+    """Blocks that are connected by themselves look for one link where they meet, not one for each trace again."""
+    monkeypatch.setattr(pr, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, "g0", [float(v) for v in rng.normal(0, 0.1, 6)]) for i in range(400)] + [(900, "g0", [3.0] * 6), (901, "g0", [3.1] * 6), (902, "g0", [9.0] * 6)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = wp.linking_pairs(df, ["g"], 2.0)
+    assert few.count() < 500 and few.exceptAll(wp.near_pairs(df, ["g"], 2.0)).count() == 0
+    labels = {r["item"]: r["label"] for r in kn.warped_clusters(df, ["g"], 2.0).collect()}
+    assert labels == {**dict.fromkeys(range(400), 0), 900: 1, 901: 1, 902: -1}
