@@ -116,3 +116,15 @@ def test_dense_groups_are_linked_once(spark, monkeypatch):
     assert few.count() < 500 and few.exceptAll(wp.near_pairs(df, ["g"], 2.0)).count() == 0
     labels = {r["item"]: r["label"] for r in kn.warped_clusters(df, ["g"], 2.0).collect()}
     assert labels == {**dict.fromkeys(range(400), 0), 900: 1, 901: 1, 902: -1}
+
+
+def test_noise_is_told_across_blocks(spark, monkeypatch):
+    """A trial that is alone in its own block, and near one of another, isn't taken out; what is near none is, in groups of one block too."""
+    monkeypatch.setattr(pr, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, "g0", [float(v) for v in 10.0 * (i % 30) + rng.normal(0, 0.05, 5)]) for i in range(60)] + [(100 + i, "g0", [-50.0 * (i + 1)] * 5) for i in range(9)]
+    rows += [(200, "g1", [0.0] * 5), (201, "g1", [0.1] * 5), (202, "g1", [5.0] * 5), (300, "g2", [0.0] * 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    clean, removed = wp.noise_split(df, kn.warped_clusters(df, ["g"], 1.5), ["g"])
+    assert sorted(r["trial"] for r in removed.collect()) == [*range(100, 109), 202, 300]
+    assert sorted(r["trial"] for r in clean.collect()) == [*range(60), 200, 201]
