@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Traces of a block, about; pairs that are measured at once.
+#: Traces of a block, about, and of one whose pairs are slow to measure; pairs that are measured at once.
 BLOCK = 1024
+SMALL = 256
 SLICE = 1 << 15
 
 
@@ -71,6 +72,7 @@ def met_blocks(
     cells: tuple[str, str] | None = None,
     alone: Callable[[Met], dict] | None = None,
     kept: StructType | None = None,
+    slow: bool = False,
 ) -> DataFrame:
     """(keys, columns of schema) of what found() yields for each two blocks of a group, and for each block with itself.
 
@@ -79,12 +81,13 @@ def met_blocks(
     a key or an item meet nothing; an empty table gives none.
 
     With alone, each block is looked at by itself before any two meet: alone() gives columns of kept, a value for each trace, that travel on with the
-    traces in the table of Met.
+    traces in the table of Met. Where all pairs are slow to measure, blocks are small and partitions twice as many: no task has many pairs more than
+    others.
     """
     p, q = (F.col(c) for c in cells) if cells else (F.lit(0), F.lit(0))
     rows = traces.where(F.col(item).isNotNull()).select(*keys, p.cast("long").alias("_p"), q.cast("long").alias("_q"), F.col(item).alias("_item"), F.col(column).alias("_x"))
     near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)] if cells else [(0, 0)]
-    sizes = rows.groupBy(*keys, "_p", "_q").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    sizes = rows.groupBy(*keys, "_p", "_q").agg(F.ceil(F.count("*") / (min(BLOCK, SMALL) if slow else BLOCK)).alias("n"))
     shifts = F.array(*[F.struct(F.lit(a).alias("p"), F.lit(b).alias("q")) for a, b in near])
     around = sizes.select(*keys, F.explode(shifts).alias("d"), F.struct("_p", "_q", "n").alias("cell"))
     around = around.groupBy(*keys, (F.col("cell._p") + F.col("d.p")).alias("_p"), (F.col("cell._q") + F.col("d.q")).alias("_q")).agg(F.collect_list("cell").alias("around"))
@@ -92,7 +95,7 @@ def met_blocks(
     dealt = rows.join(around, [*keys, "_p", "_q"]).withColumn("_own", F.struct("_p", "_q", F.pmod(F.xxhash64("_item"), own).alias("k")))
     dealt = dealt.select(*keys, "_item", "_x", "_own", "around")
     # Pairs are slow for the bytes of their blocks: without a number of partitions of its own, adaptive execution would merge them into few tasks.
-    n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (2 if slow else 1)
     own_columns = kept.names if alone else []
 
     def by_itself(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,8 +128,8 @@ def _item_type(traces: DataFrame, item: str) -> str:
     return traces.schema[item].dataType.simpleString()
 
 
-def paired(traces: DataFrame, keys: list[str], item: str, column: str, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], holes: bool = False) -> DataFrame:
-    """(keys, i, j, dist) of all pairs i < j of a group. With holes, the distance of a trace that misses a value, or of two lengths, is null."""
+def paired(traces: DataFrame, keys: list[str], item: str, column: str, measure: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], holes: bool = False, slow: bool = False) -> DataFrame:
+    """(keys, i, j, dist) of all pairs i < j of a group. With holes, the distance of a trace that misses a value, or of two lengths, is null. slow: as in met_blocks()."""
     kind = _item_type(traces, item)
 
     def found(met: Met) -> Iterator[dict]:
@@ -139,7 +142,7 @@ def paired(traces: DataFrame, keys: list[str], item: str, column: str, measure:
             first, second = met.ordered(i, j)
             yield {"i": first, "j": second, "dist": pa.array(dist, mask=none if holes else None)}
 
-    return met_blocks(traces, keys, item, column, found, f"i {kind}, j {kind}, dist double")
+    return met_blocks(traces, keys, item, column, found, f"i {kind}, j {kind}, dist double", slow=slow)
 
 
 # ---------------------------------------------------------------- sums of absolute differences

@@ -19,36 +19,92 @@ TABLES = 512
 TURN = 1 << 12
 
 
-def _tables(x: np.ndarray, y: np.ndarray, radius: float) -> np.ndarray:
-    """Warping distances of row pairs, a diagonal of all their tables at once; those beyond the radius may be given up, as infinite."""
-    p, n = x.shape
-    m = y.shape[1]
-    out, at = np.full(p, np.inf, x.dtype), np.arange(p)
-    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])  # so that cells (i, k - i) of a diagonal are two slices
-    # Row i of a diagonal is at i + 1; what lies outside the table is infinite.
-    new, last, before = (np.full((n + 1, p), np.inf, x.dtype) for _ in range(3))
-    cost = np.empty((n, p), x.dtype)
-    for k in range(n + m - 1):
-        a, b = max(0, k - m + 1), min(n, k + 1)
-        c, t = cost[a:b], new[a + 1 : b + 1]
-        np.subtract(x[a:b], y[m - 1 - k + a : m - 1 - k + b], out=c)
-        np.abs(c, out=c)
-        if k:
-            np.minimum(last[a:b], last[a + 1 : b + 1], out=t)
-            np.minimum(t, before[a:b], out=t)
-            np.add(t, c, out=t)
-        else:
-            t[:] = c
-        new[a] = np.inf
-        new, last, before = before, new, last
-        if radius < np.inf and k % 16 == 15 and 2 * k > n + m:  # every path crosses this diagonal or the one before
-            live = np.minimum(last.min(axis=0), before.min(axis=0)) <= radius
-            if 2 * live.sum() <= len(live):
-                x, y, last, before, at = x[:, live], y[:, live], last[:, live], before[:, live], at[live]
-                if not len(at):
+class _Tables:
+    """Warping tables of w pairs of n and m samples, a diagonal of them all at a time; each diagonal takes the place of the last but one.
+
+    Cell (i, k - i) of diagonal k is at i - k // 2 of its row, where cell (i - 1, k - i - 1) of diagonal k - 2 was. What nothing was written to lies
+    outside the table and is infinite. All slices are made once, and serve for any number of pairs.
+    """
+
+    def __init__(self, n: int, m: int, w: int, kind: type):
+        self.kind, self.w, middle = kind, w, m // 2 + 2
+        self.x, self.y = np.empty((n, w), kind), np.empty((m, w), kind)  # y from its end, so that cells of a diagonal are two slices
+        self.rows, cost = np.empty((2, n + m + 4, w), kind), np.empty((min(n, m), w), kind)
+        self.start, self.steps = self.rows[0, middle], []
+        for k in range(n + m - 1):
+            a, b = max(0, k - m + 1), min(n, k + 1)
+            at, was, last = middle - k // 2, middle - (k - 1) // 2, self.rows[1 - k % 2]
+            self.steps.append((self.x[a:b], self.y[m - 1 - k + a : m - 1 - k + b], cost[: b - a], self.rows[k % 2, a + at : b + at], last[a + was : b + was], last[a + was - 1 : b + was - 1]))
+
+    def distances(self, radius: float = np.inf, done: int = 0) -> np.ndarray:
+        """Of the pairs in x and y; those beyond the radius may be given up, as infinite. done: diagonals that are there already."""
+        if not done:
+            self.rows.fill(np.inf)
+            self.start.fill(0)
+        whole = len(self.steps)
+        stops = [k for k in range(16, whole, 16) if k > done and 2 * k > whole + 3] if radius < np.inf else []
+        for a, b in zip([done, *stops], [*stops, whole], strict=True):
+            for x, y, cost, new, one, two in self.steps[a:b]:
+                np.subtract(x, y, cost)
+                np.abs(cost, cost)
+                np.minimum(new, one, new)
+                np.minimum(new, two, new)
+                np.add(new, cost, new)
+            if b < whole:  # every path crosses this diagonal or the one before
+                live = np.minimum(self.steps[b - 1][3].min(axis=0), self.steps[b - 2][3].min(axis=0)) <= radius
+                if 2 * live.sum() <= self.w:
+                    out = np.full(self.w, np.inf, self.kind)
+                    if live.any():
+                        left = _Tables(len(self.x), len(self.y), int(live.sum()), self.kind)
+                        left.x[:], left.y[:], left.rows[:] = self.x[:, live], self.y[:, live], self.rows[:, :, live]
+                        out[live] = left.distances(radius, b)
                     return out
-                new, cost = np.full((n + 1, len(at)), np.inf, x.dtype), np.empty((n, len(at)), x.dtype)
-    out[at] = last[n]
+        return self.steps[-1][3][0]
+
+
+def _measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, radius: float = np.inf, kind: type = float) -> np.ndarray:
+    """Warping distances of rows i of x and rows j of y, TABLES at once; those beyond the radius may be given up, as infinite."""
+    out = np.empty(len(i), kind)
+    x, y = np.ascontiguousarray(x.T, kind), np.ascontiguousarray(y.T[::-1], kind)
+    t = None
+    for s in range(0, len(i), TABLES):
+        a, b = i[s : s + TABLES], j[s : s + TABLES]
+        if t is None or t.w != len(a):
+            t = _Tables(len(x), len(y), len(a), kind)
+        np.take(x, a, axis=1, out=t.x, mode="clip")
+        np.take(y, b, axis=1, out=t.y, mode="clip")
+        out[s : s + TABLES] = t.distances(radius)
+    return out
+
+
+def _single(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, radius: float) -> tuple[np.ndarray, float] | None:
+    """Distances in single precision, and by how much those up to the radius may be off; None where that is much."""
+    ends = [f(v) for f in (np.min, np.max) for v in (x, y)]
+    middle, half = (min(ends) + max(ends)) / 2, (max(ends) - min(ends)) / 2
+    # Rounded samples, differences and sums: each cell of a path adds at most so much.
+    slack = (x.shape[1] + y.shape[1]) * 2.0**-23 * (4 * half + 2 * radius + abs(middle) * 2.0**-20)
+    if slack <= 0.01 * radius and half < 1e30:
+        return _measured(x - middle, y - middle, i, j, radius + slack, np.float32), slack
+    return None
+
+
+def _within(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, radius: float) -> np.ndarray:
+    """_measured(), where single precision doesn't tell that a distance is beyond the radius; else infinite."""
+    got = _single(x, y, i, j, radius) if len(i) and radius < np.inf else None
+    if not got:
+        return _measured(x, y, i, j, radius)
+    out, few = np.full(len(i), np.inf), np.flatnonzero(got[0] <= radius + got[1])
+    out[few] = _measured(x, y, i[few], j[few], radius)
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, radius: float) -> np.ndarray:
+    """Whether distances are within the radius: only those that single precision doesn't tell are measured in double."""
+    got = _single(x, y, i, j, radius) if len(i) else None
+    if not got:
+        return _measured(x, y, i, j, radius) <= radius
+    out, open_ = got[0] <= radius - got[1], np.flatnonzero(np.abs(got[0] - radius) <= got[1])
+    out[open_] = _measured(x, y, i[open_], j[open_], radius) <= radius
     return out
 
 
@@ -58,21 +114,8 @@ def dtw_many(x: np.ndarray, y: np.ndarray, radius: float = np.inf) -> np.ndarray
     With a radius, a pair whose distance is beyond it may be given up, as infinite: single precision, less its largest possible error, tells most of
     these, and a table is left where two diagonals are beyond; every path crosses one of them, and costs only grow.
     """
-    out = np.full(len(x), np.inf)
-    for s in range(0, len(x), TABLES):
-        p, q = x[s : s + TABLES], y[s : s + TABLES]
-        at = np.arange(s, s + len(p))
-        if radius < np.inf:
-            ends = [f(v) for f in (np.min, np.max) for v in (p, q)]
-            middle, half = (min(ends) + max(ends)) / 2, (max(ends) - min(ends)) / 2
-            # Rounded samples, differences and sums: each cell of a path adds at most so much.
-            slack = (p.shape[1] + q.shape[1]) * 2.0**-23 * (4 * half + 2 * radius + abs(middle) * 2.0**-20)
-            if slack <= 0.01 * radius and half < 1e30:
-                few = _tables((p - middle).astype(np.float32), (q - middle).astype(np.float32), radius + slack) <= radius + slack
-                p, q, at = p[few], q[few], at[few]
-        if len(at):
-            out[at] = _tables(p, q, radius)
-    return out
+    every = np.arange(len(x))
+    return _within(x, y, every, every, radius)
 
 
 def _warped(x: np.ndarray, y: np.ndarray, on: np.ndarray, radius: float = np.inf) -> np.ndarray:
@@ -81,9 +124,7 @@ def _warped(x: np.ndarray, y: np.ndarray, on: np.ndarray, radius: float = np.inf
     if not x.shape[1] or not y.shape[1]:
         return np.full(on.shape, 0.0 if x.shape[1] == y.shape[1] else np.inf)
     i, j = np.nonzero(on)
-    for s in range(0, len(i), TABLES):
-        a, b = i[s : s + TABLES], j[s : s + TABLES]
-        out[a, b] = dtw_many(x[a], y[b], radius)
+    out[i, j] = _within(x, y, i, j, radius)
     return out
 
 
@@ -96,7 +137,7 @@ def trial_pairs(trials: DataFrame, keys: list[str], item: str, column: str) -> D
 
 def dtw_distances(trials: DataFrame, keys: list[str], item: str = "trial", column: str = "dff") -> DataFrame:
     """A16 over J12: (keys, i, j, dist) of all pairs; not a number where a value is missing."""
-    return paired(trials.withColumn(column, F.col(column).cast("array<double>")), keys, item, column, _warped)
+    return paired(trials.withColumn(column, F.col(column).cast("array<double>")), keys, item, column, _warped, slow=True)
 
 
 def least_distance(a: str, b: str) -> Column:

@@ -128,3 +128,21 @@ def test_noise_is_told_across_blocks(spark, monkeypatch):
     clean, removed = wp.noise_split(df, kn.warped_clusters(df, ["g"], 1.5), ["g"])
     assert sorted(r["trial"] for r in removed.collect()) == [*range(100, 109), 202, 300]
     assert sorted(r["trial"] for r in clean.collect()) == [*range(60), 200, 201]
+
+
+def test_slow_pairs_of_one_group_are_dealt_out(spark):
+    """All warping distances of one group go to several tasks, none of which holds all its traces; other pairs need not."""
+    df = spark.createDataFrame([(i, "g", [float(i % 9), 0.0]) for i in range(600)], SCHEMA)
+    got = wp.dtw_distances(df, ["g"]).select("i", "j", F.spark_partition_id().alias("task")).groupBy("task").agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == 600 * 599 // 2 and len(got) > 1 and max(r["n"] for r in got) < 0.8 * 600 * 599 // 2
+
+
+def test_tables_serve_again(monkeypatch):
+    """Tables that pairs before were measured in, the last ones fewer; no cell of theirs is taken over."""
+    monkeypatch.setattr(wp, "TABLES", 7)
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 1), (1, 6), (6, 1), (5, 9), (9, 5), (40, 33)):
+        x, y = rng.normal(size=(25, n)), rng.normal(size=(25, m))
+        x[3, 0], y[9, -1] = np.nan, np.inf
+        one = [wp.dtw_many(a[None], b[None])[0] for a, b in zip(x, y, strict=True)]
+        assert np.array_equal(wp.dtw_many(x, y), one, equal_nan=True) and np.isnan(one[3]) and np.isinf(one[9])
