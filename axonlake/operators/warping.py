@@ -15,8 +15,8 @@ from .pairs import Met, met_blocks, paired
 
 #: Pairs whose tables are computed at once: a diagonal of them all stays near the processor.
 TABLES = 512
-#: Pairs of a turn, after which it is known anew what is connected.
-TURN = 1 << 12
+#: Pairs of a turn, about, after which it is known anew what is connected.
+TURN = 1 << 11
 
 
 class _Tables:
@@ -118,13 +118,23 @@ def dtw_many(x: np.ndarray, y: np.ndarray, radius: float = np.inf) -> np.ndarray
     return _within(x, y, every, every, radius)
 
 
+def _first(x: np.ndarray) -> np.ndarray:
+    """For each row the first one that is equal to it."""
+    seen: dict[bytes, int] = {}
+    return np.array([seen.setdefault(v.tobytes(), i) for i, v in enumerate(x)], np.int64)
+
+
 def _warped(x: np.ndarray, y: np.ndarray, on: np.ndarray, radius: float = np.inf) -> np.ndarray:
-    """Warping distances of the rows of x and y that are on; an empty trace is far from all but empty ones."""
+    """Warping distances of the rows of x and y that are on, copies measured once; an empty trace is far from all but empty ones."""
     out = np.full(on.shape, np.inf)
     if not x.shape[1] or not y.shape[1]:
         return np.full(on.shape, 0.0 if x.shape[1] == y.shape[1] else np.inf)
     i, j = np.nonzero(on)
-    out[i, j] = _within(x, y, i, j, radius)
+    every, at = _first(x)[i] * len(y) + _first(y)[j], np.zeros(on.size, np.int64)
+    at[every] = 1
+    once = np.flatnonzero(at)
+    at[once] = np.arange(len(once))
+    out[i, j] = _within(x, y, *np.divmod(once, len(y)), radius)[at[every]]
     return out
 
 
@@ -197,38 +207,93 @@ def near_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "tria
     return met_blocks(_celled(trials, keys, eps, column), keys, item, column, found, f"i {kind}, j {kind}, dist double", ("_first", "_last"))
 
 
-def _links(met: Met, eps: float, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, places, distances) of near pairs that connect what isn't connected; root, a place for each trace, is brought up to date.
+def _likely(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x the rows of y, those that differ least sample by sample first: an order to look in, no more."""
+    n = min(x.shape[1], y.shape[1])
+    with np.errstate(all="ignore"):
+        x, y = x[:, :n].astype(np.float32), y[:, :n].astype(np.float32)
+        return np.argsort((y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), axis=1)
+
+
+class _Looking:
+    """Places p that look for near ones among places q, the likeliest first. What a row has passed is measured or connected, and stays so."""
+
+    def __init__(self, p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.p, self.q, self.order, self.at = p, q, _likely(x, y), np.zeros(len(p), np.int64)
 
-    A pair whose items are connected already isn't measured: an item of a dense group costs a few tables, and only one that is near few others, or none,
-    meets all of them.
+    def turn(self, root: np.ndarray, main: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Rows and columns of the next pairs of those that aren't in the main part, without what is connected; None if all have looked."""
+        rows = np.flatnonzero((root[self.p] != main) & (self.at < len(self.q)))
+        if not len(rows):
+            return None
+        step = -(-TURN // len(rows))
+        a, next_ = np.repeat(rows, step), (self.at[rows, None] + np.arange(step)).ravel()
+        self.at[rows] += step
+        a, next_ = a[next_ < len(self.q)], next_[next_ < len(self.q)]
+        b = self.order[a, next_]
+        on = root[self.p[a]] != root[self.q[b]]
+        return a[on], b[on]
+
+
+def _joined(p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray, codes: np.ndarray, eps: float, root: np.ndarray) -> list[tuple[int, int]]:
+    """Near pairs of places p and q that connect what isn't connected; root is brought up to date.
+
+    Two parts are told apart once one of them has looked whole, so the largest one doesn't look. A pair whose items are connected already isn't
+    measured: an item of a dense group costs a few tables, and only one that is near few others, or none, meets all of them.
     """
-    links = []
-    right = [(q, met.arrays(q)) for q in met.by_length(1)]
-    for p in met.by_length(0):
-        x = met.arrays(p)
-        for q, y in right:
-            both, step = np.concatenate([p, q]), max(1, TURN // len(p))
-            for s in range(0, len(q), step):  # a turn takes each row on to its next columns, so that all items find others early
-                if (root[both] == root[p[0]]).all():
-                    break
-                turns = np.arange(s, min(s + step, len(q)))
-                a = np.tile(np.arange(len(p)), len(turns))
-                b = (a + np.repeat(turns, len(p))) % len(q)
-                i, j = p[a], q[b]
-                on = (root[i] != root[j]) & (met.codes[i] < met.codes[j] if met.same else True)
-                a, b = a[on], b[on]
-                few = _apart(x[a], y[b], each=True) <= eps
-                a, b = a[few], b[few]
-                dist = dtw_many(x[a], y[b], eps)
-                for k in np.flatnonzero(dist <= eps):
-                    i, j = p[a[k]], q[b[k]]
-                    u, v = sorted((root[i], root[j]))
-                    if u != v:
-                        root[root == v] = u
-                        links.append((i, j, dist[k]))
-    i, j, dist = zip(*links, strict=True) if links else ((), (), ())
-    return np.array(i, np.int64), np.array(j, np.int64), np.array(dist, float)
+    links, same = [], p is q
+    done = np.zeros((len(p), len(q)), bool)
+    ways = [_Looking(p, q, x, y)] if same else [_Looking(p, q, x, y), _Looking(q, p, y, x)]
+    both = p if same else np.concatenate([p, q])
+    while True:
+        parts, sizes = np.unique(root[both], return_counts=True)
+        turns = [w.turn(root, parts[sizes.argmax()]) for w in ways]
+        if all(t is None for t in turns):
+            return links
+        looked = [t if k == 0 else t[::-1] for k, t in enumerate(turns) if t]
+        a, b = (np.concatenate(v) for v in zip(*looked, strict=True))
+        a, b = np.divmod(np.unique((np.minimum(a, b) if same else a) * len(q) + (np.maximum(a, b) if same else b)), len(q))  # two may look for each other
+        a, b = a[~done[a, b]], b[~done[a, b]]
+        done[a, b] = True
+        few = (codes[p[a]] != codes[q[b]]) & (_apart(x[a], y[b], each=True) <= eps)
+        a, b = a[few], b[few]
+        near = _near(x, y, a, b, eps)
+        for i, j in zip(p[a[near]], q[b[near]], strict=True):
+            u, v = sorted((root[i], root[j]))
+            if u != v:
+                root[root == v] = u
+                links.append((i, j))
+
+
+def _links(met: Met, eps: float, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, places, distances) of near pairs that connect what isn't connected; root, a place for each trace, is brought up to date."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def once(side: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and traces by length, one of equal ones; in a block by itself these are linked."""
+        out = []
+        for p in met.by_length(side):
+            x = met.arrays(p)
+            first = _first(x)
+            some = first == np.arange(len(p))
+            i, j = p[first[~some]], p[~some]
+            if met.same and eps >= 0:
+                on = met.codes[i] != met.codes[j]
+                i, j = i[on], j[on]
+                root[j] = root[i]
+                found.append((i, j, np.zeros(len(i))))
+            out.append((p[some], x[some]) if eps >= 0 else (p, x))
+        return out
+
+    left = once(0)
+    right = left if met.same else once(1)
+    for k, (p, x) in enumerate(left):
+        for q, y in right[k:] if met.same else right:
+            if links := _joined(p, q, x, y, met.codes, eps, root):
+                i, j = np.array(links, np.int64).T
+                found.append((i, j, _measured(x, y, np.searchsorted(p, i), np.searchsorted(q, j))))
+    i, j, dist = (np.concatenate(v) for v in zip(*found, strict=True))
+    return i, j, dist
 
 
 def linking_pairs(trials: DataFrame, keys: list[str], eps: float, item: str = "trial", column: str = "dff") -> DataFrame:

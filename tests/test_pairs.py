@@ -146,3 +146,47 @@ def test_tables_serve_again(monkeypatch):
         x[3, 0], y[9, -1] = np.nan, np.inf
         one = [wp.dtw_many(a[None], b[None])[0] for a, b in zip(x, y, strict=True)]
         assert np.array_equal(wp.dtw_many(x, y), one, equal_nan=True) and np.isnan(one[3]) and np.isinf(one[9])
+
+
+def block(x, seed=0):
+    n = len(x)
+    return pr.Met(pa.table({"_item": np.random.default_rng(seed).permutation(n), "_x": pa.array(list(x)), "_same": [True] * n, "_side": [False] * n}))
+
+
+def test_likely_pairs_are_looked_at_first(monkeypatch):
+    """Of traces that are near few others, connecting looks at a small part of the pairs, and connects what all near pairs do."""
+    rng = np.random.default_rng(8)
+    x = 0.1 * rng.permutation(400)[:, None] + 0.02 * rng.normal(size=(400, 8))
+    x[x[:, 0] > 30] += 5.0
+    looked, apart = [], wp._apart
+    monkeypatch.setattr(wp, "_apart", lambda a, b, each=False: looked.append(len(a)) or apart(a, b, each))
+    i, j = np.triu_indices(400, 1)
+    every = wp.dtw_many(x[i], x[j])
+    root, want = np.arange(400), np.arange(400)
+    a, b, dist = wp._links(block(x), 1.2, root)
+    for u, v in zip(i[every <= 1.2], j[every <= 1.2], strict=True):
+        want[want == max(want[u], want[v])] = min(want[u], want[v])
+    assert len(set(want)) > 1 and np.array_equal(root, want) and len(a) == 400 - len(set(want)) and (dist <= 1.2).all()
+    assert np.array_equal(dist, wp.dtw_many(x[a], x[b]))
+    assert sum(looked) < 0.5 * len(i)
+
+
+def test_items_that_come_twice_are_no_pair():
+    x = np.zeros((2, 3))
+    met = pr.Met(pa.table({"_item": [7, 7], "_x": pa.array(list(x)), "_same": [True] * 2, "_side": [False] * 2}))
+    assert len(wp._links(met, 1.0, np.arange(2))[0]) == 0
+
+
+def test_copies_are_measured_once(monkeypatch):
+    """Parts that are far from each other meet by one of their equal traces; distances of copies are those of the first."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6, 5))[rng.integers(0, 6, 300)]
+    looked, measured = [], wp._measured
+    monkeypatch.setattr(wp, "_measured", lambda x, y, i, *more: looked.append(len(i)) or measured(x, y, i, *more))
+    root = np.arange(300)
+    a, b, dist = wp._links(block(x), 1e-3, root)
+    assert len(a) == 294 and len(set(root)) == 6 and not dist.any() and (x[a] == x[b]).all() and sum(looked) <= 2 * 15
+    looked.clear()
+    on = rng.random((300, 300)) < 0.5
+    got = wp._warped(x, x, on)
+    assert sum(looked) <= 36 and np.isinf(got[~on]).all() and np.array_equal(got[on], measured(x, x, *np.nonzero(on)))
