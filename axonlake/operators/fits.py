@@ -27,13 +27,18 @@ def _g(tau: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -np.expm1(np.minimum(-b * tau, 600.0)) / b
 
 
-def _h(tau: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Divided difference of _g over two rates: it turns into a parabola as both go to zero, into the derivative as they meet."""
-    low = -(tau**2) / 2 + (b + c) * tau**3 / 6 - (b * b + b * c + c * c) * tau**4 / 24
-    mid, far = (b + c) / 2, np.abs(b - c) > 1e-4 * (b + c)
-    slope = (tau * np.exp(np.minimum(-mid * tau, 600.0)) - _g(tau, mid)) / mid
-    apart = (_g(tau, b) - _g(tau, c)) / np.where(far, b - c, 1.0)
-    return np.where(np.maximum(b, c) < 1e-3, low, np.where(far, apart, slope))
+def _h(tau: np.ndarray, b: np.ndarray, c: np.ndarray, g_b: np.ndarray | None = None, g_c: np.ndarray | None = None) -> np.ndarray:
+    """Divided difference of _g over two rates: it turns into a parabola as both go to zero, into the derivative as they meet. g_b, g_c: _g at the rates, if known."""
+    far, few = (np.abs(b - c) > 1e-4 * (b + c))[:, 0], (np.maximum(b, c) < 1e-3)[:, 0]
+    out = ((_g(tau, b) if g_b is None else g_b) - (_g(tau, c) if g_c is None else g_c)) / np.where(far[:, None], b - c, 1.0)
+    meet = np.flatnonzero(~far & ~few)
+    if len(meet):
+        t, mid = tau[meet], (b[meet] + c[meet]) / 2
+        out[meet] = (t * np.exp(np.minimum(-mid * t, 600.0)) - _g(t, mid)) / mid
+    if few.any():
+        t, b, c = tau[few], b[few], c[few]
+        out[few] = -(t**2) / 2 + (b + c) * t**3 / 6 - (b * b + b * c + c * c) * t**4 / 24
+    return out
 
 
 def basis(tau: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -42,12 +47,28 @@ def basis(tau: np.ndarray, logs: np.ndarray) -> np.ndarray:
     if not logs.shape[1]:
         return np.stack([one, tau], axis=2)
     b = np.exp(logs)[:, :, None]
-    return np.stack([one, _g(tau, b[:, 0])] + ([_h(tau, b[:, 0], b[:, 1])] if logs.shape[1] == 2 else []), axis=2)
+    g = _g(tau, b[:, 0])
+    return np.stack([one, g] + ([_h(tau, b[:, 0], b[:, 1], g)] if logs.shape[1] == 2 else []), axis=2)
+
+
+def _slopes(tau: np.ndarray, logs: np.ndarray, phi: np.ndarray, beta: np.ndarray, d: float) -> np.ndarray:
+    """(series, samples, rates): what a fit changes by with each log rate, from basis() a step d to either side; only the functions that a rate moves are worked out anew."""
+    b, up, down = (np.exp(x)[:, :, None] for x in (logs, logs + d, logs - d))
+    g_up, g_down = _g(tau, up[:, 0]), _g(tau, down[:, 0])
+    moved = np.zeros((logs.shape[1], *phi.shape))
+    moved[0, :, :, 1] = g_up - g_down
+    if logs.shape[1] == 2:
+        own, other = phi[:, :, 1], _g(tau, b[:, 1])
+        moved[0, :, :, 2] = _h(tau, up[:, 0], b[:, 1], g_up, other) - _h(tau, down[:, 0], b[:, 1], g_down, other)
+        moved[1, :, :, 2] = _h(tau, b[:, 0], up[:, 1], own) - _h(tau, b[:, 0], down[:, 1], own)
+    return np.stack([((m / (2 * d)) @ beta[:, :, None])[:, :, 0] for m in moved], axis=2)
 
 
-def _loss(y: np.ndarray, phi: np.ndarray, beta: np.ndarray, on: np.ndarray) -> np.ndarray:
+def _loss(y: np.ndarray, phi: np.ndarray, beta: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Soft L1 loss of each series, what is left of its samples, and the roots that both this and the weights are made of."""
     r = (y - (phi @ beta[:, :, None])[:, :, 0]) * on
-    return (2 * r * r / (np.sqrt(1 + r * r) + 1)).sum(axis=1)
+    root = np.sqrt(1 + r * r)
+    return (2 * r * r / (root + 1)).sum(axis=1), r, root
 
 
 def _solved(h: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -63,24 +84,25 @@ def _linear(y: np.ndarray, phi: np.ndarray, on: np.ndarray, beta: np.ndarray | N
         p = phi * on[:, :, None]
         beta = _solved(p.transpose(0, 2, 1) @ p, p.transpose(0, 2, 1) @ y[:, :, None])[:, :, 0]
     beta = beta.copy()
-    loss = _loss(y, phi, beta, on)
-    left = np.arange(len(y))
+    loss, r, root = _loss(y, phi, beta, on)
+    left, f, m, yy = np.arange(len(y)), phi, on, y
     for _ in range(INNER_STEPS):
-        f, m, yy, was, b = phi[left], on[left], y[left], loss[left], beta[left]
-        r = (yy - (f @ b[:, :, None])[:, :, 0]) * m
-        q = m / np.sqrt(1 + r * r)
+        was, b = loss[left], beta[left]
+        q = m / root
         g = f.transpose(0, 2, 1) @ (q * r)[:, :, None]
         new = b + _solved((f * (q**3)[:, :, None]).transpose(0, 2, 1) @ f, g)[:, :, 0]
-        got = _loss(yy, f, new, m)
+        got, r, root = _loss(yy, f, new, m)
         bad = ~(got < was)
         if bad.any():
             new[bad] = b[bad] + _solved((f[bad] * q[bad, :, None]).transpose(0, 2, 1) @ f[bad], g[bad])[:, :, 0]
-            got[bad] = _loss(yy[bad], f[bad], new[bad], m[bad])
+            got[bad], r[bad], root[bad] = _loss(yy[bad], f[bad], new[bad], m[bad])
         down = got < was
         beta[left[down]], loss[left[down]] = new[down], got[down]
-        left = left[down & (was - got > INNER_GAIN * was)]
+        on_ = down & (was - got > INNER_GAIN * was)
+        left = left[on_]
         if not len(left):
             break
+        f, m, yy, r, root = f[on_], m[on_], yy[on_], r[on_], root[on_]
     return beta, loss
 
 
@@ -88,22 +110,17 @@ def _fit(tau: np.ndarray, y: np.ndarray, on: np.ndarray, logs: np.ndarray, most:
     """(log rates, linear parameters) of least soft L1 loss: a damped Gauss-Newton step over the rates alone, with the linear parameters projected out."""
     m = logs.shape[1]
     logs = np.clip(logs, least[:, None], most[:, None])
-    beta, loss = _linear(y, basis(tau, logs), on, None)
+    phi = basis(tau, logs)
+    beta, loss = _linear(y, phi, on, None)
     if not m:
         return logs, beta
     damp, left, d = np.full(len(y), 0.1), np.arange(len(y)), 1e-4
     for _ in range(STEPS):
-        t, yy, o, p, b, was = tau[left], y[left], on[left], logs[left], beta[left], loss[left]
-        phi = basis(t, p)
+        t, yy, o, p, b, was = tau[left], y[left], on[left], logs[left], beta[left], loss[left]  # phi is the basis at p
         r = (yy - (phi @ b[:, :, None])[:, :, 0]) * o
         q = o / np.sqrt(1 + r * r)
         w = (q**3)[:, :, None]
-        cols = []
-        for k in range(m):
-            e = np.zeros(m)
-            e[k] = d
-            cols.append((((basis(t, p + e) - basis(t, p - e)) / (2 * d)) @ b[:, :, None])[:, :, 0])
-        jac = np.stack(cols, axis=2)
+        jac = _slopes(t, p, phi, b, d)
         jac = jac - phi @ _solved((phi * w).transpose(0, 2, 1) @ phi, (phi * w).transpose(0, 2, 1) @ jac)
         h = (jac * w).transpose(0, 2, 1) @ jac
         g = jac.transpose(0, 2, 1) @ (q * r)[:, :, None]
@@ -111,15 +128,19 @@ def _fit(tau: np.ndarray, y: np.ndarray, on: np.ndarray, logs: np.ndarray, most:
         h = h + damp[left][:, None, None] * np.eye(m) * np.maximum(diag, 1e-12 * (1 + diag.max(axis=1, keepdims=True)))[:, None, :]
         step = np.clip(np.linalg.solve(h, g)[:, :, 0], -LONGEST, LONGEST)
         new = np.clip(p + step, least[left, None], most[left, None])
-        beta_new, got = _linear(yy, basis(t, new), o, b)
+        phi_new = basis(t, new)
+        beta_new, got = _linear(yy, phi_new, o, b)
         down = got < was
+        phi[down] = phi_new[down]
         at = left[down]
         logs[at], beta[at], loss[at] = new[down], beta_new[down], got[down]
         damp[left] = np.where(down, np.maximum(damp[left] / 5, 1e-12), damp[left] * 4)
         small = np.where(down, was - got <= GAIN * np.maximum(was, 1e-10), damp[left] > 1e10)
-        left = left[~small & ~(np.abs(new - p).max(axis=1) < 1e-12)]
+        on_ = ~small & ~(np.abs(new - p).max(axis=1) < 1e-12)
+        left = left[on_]
         if not len(left):
             break
+        phi = phi[on_]
     return logs, beta
 
 
@@ -229,10 +250,12 @@ def fitted_baselines(samples: DataFrame, keys: list[str], t: str = "t", v: str =
 
     Samples are ordered by time, then value; a missing value is no sample. A table without rows gives none.
     """
-    # Fits are slow for their bytes: without a number of partitions of its own, adaptive execution would merge them into few tasks.
+    # Fits are slow for their bytes: adaptive execution would merge whole series into few tasks, also where they were dealt out before they were
+    # gathered, as a key that is constant is no key to it. A quarter of the partitions, as fits of many series at once are cheaper.
     n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(n, max(16, n // 4))
     one = F.struct(F.col(t).cast("long").alias("t"), F.col(v).cast("double").alias("v"), (F.coalesce(F.col(used), F.lit(False)) if used else F.lit(True)).alias("u"))
-    rows = samples.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("s")).select(*keys, F.col("s.t").alias("t"), F.col("s.v").alias("v"), F.col("s.u").alias("u"))
+    rows = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("s")).select(*keys, F.col("s.t").alias("t"), F.col("s.v").alias("v"), F.col("s.u").alias("u")).repartition(n, *keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema.fields) + ", model string, r2 double, params array<double>, t array<long>, v array<double>, f0 array<double>"
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

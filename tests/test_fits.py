@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from axonlake.operators import fits as ft
 
@@ -139,3 +140,22 @@ def test_table_of_odd_rows(spark):
     assert (got["a", 2]["model"], got["a", 2]["f0"]) == ("constant", [0.0] * 3) and got["b", 1]["f0"] == [5.0]
     assert got["b", 2]["t"] == [2, 4] and got["b", 2]["f0"] == [0.0, 0.0] and len(got) == 5
     assert ft.fitted_baselines(df.limit(0), ["part"]).collect() == []
+
+
+def test_series_are_dealt_out_under_a_constant_key(spark):
+    """Few bytes, a constant among the keys: the fits still go to all tasks alike, not to the one that their bytes would fill."""
+    df = spark.range(40 * 12).select((F.col("id") % 40).alias("worm"), F.lit("n").alias("neuron"), F.floor(F.col("id") / 40).alias("t"), F.rand(1).alias("v"))
+    got = ft.fitted_baselines(df, ["worm", "neuron"]).select("worm", F.spark_partition_id().alias("task")).collect()
+    assert len({r["worm"] for r in got}) == len(got) == 40 and len({r["task"] for r in got}) > 2
+
+
+def test_slopes_are_those_of_the_basis():
+    """What a rate doesn't move is left out, and the rest is what differences of whole bases give, bit for bit; rates near zero, near each other and apart."""
+    rng = np.random.default_rng(7)
+    tau = np.sort(rng.random((60, 30)), axis=1)
+    for m in (1, 2):
+        logs = rng.uniform(-12, 3, (60, m))
+        logs[20:40] = logs[20:40, :1] + 1e-5 * rng.normal(size=(20, m))
+        phi, beta, d = ft.basis(tau, logs), rng.normal(size=(60, m + 1)), 1e-4
+        want = [(((ft.basis(tau, logs + e) - ft.basis(tau, logs - e)) / (2 * d)) @ beta[:, :, None])[:, :, 0] for e in d * np.eye(m)]
+        assert np.array_equal(ft._slopes(tau, logs, phi, beta, d), np.stack(want, axis=2))
