@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Traces of a block, about, and of one whose pairs are slow to measure; pairs that are measured at once.
+#: Traces of a block, about, and of one whose pairs are slow to measure; pairs that are measured at once; rows of a batch that leaves a task.
 BLOCK = 1024
 SMALL = 256
 SLICE = 1 << 15
+ROWS = 1 << 13
+#: Equal traces that go to one block together, about, where pairs are slow to measure.
+COPIES = 16
 
 
 class Met:
@@ -44,13 +47,13 @@ class Met:
         own = self.sides[side]
         return [own[self.lengths[own] == n] for n in np.unique(self.lengths[own])]
 
-    def rectangles(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, places, arrays, arrays, which of the pairs to take): each two items of the blocks once."""
+    def rectangles(self, most: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, places, arrays, arrays, which of the pairs to take): each two items of the blocks once, most pairs at once."""
         right = [(q, self.arrays(q)) for q in self.by_length(1)]
         for p in self.by_length(0):
             x = self.arrays(p)
             for q, y in right:
-                step = max(1, SLICE // len(q))
+                step = max(1, most // len(q))
                 for s in range(0, len(p), step):
                     a, b = self.codes[p[s : s + step], None], self.codes[q][None, :]
                     on = a < b if self.same else a != b
@@ -82,7 +85,7 @@ def met_blocks(
 
     With alone, each block is looked at by itself before any two meet: alone() gives columns of kept, a value for each trace, that travel on with the
     traces in the table of Met. Where all pairs are slow to measure, blocks are small and partitions twice as many: no task has many pairs more than
-    others.
+    others; and a block is told by a hash of the trace, so that equal ones meet others together. More than COPIES equal ones go to several blocks.
     """
     p, q = (F.col(c) for c in cells) if cells else (F.lit(0), F.lit(0))
     rows = traces.where(F.col(item).isNotNull()).select(*keys, p.cast("long").alias("_p"), q.cast("long").alias("_q"), F.col(item).alias("_item"), F.col(column).alias("_x"))
@@ -92,7 +95,14 @@ def met_blocks(
     around = sizes.select(*keys, F.explode(shifts).alias("d"), F.struct("_p", "_q", "n").alias("cell"))
     around = around.groupBy(*keys, (F.col("cell._p") + F.col("d.p")).alias("_p"), (F.col("cell._q") + F.col("d.q")).alias("_q")).agg(F.collect_list("cell").alias("around"))
     own = F.filter("around", lambda c: (c["_p"] == F.col("_p")) & (c["_q"] == F.col("_q")))[0]["n"]
-    dealt = rows.join(around, [*keys, "_p", "_q"]).withColumn("_own", F.struct("_p", "_q", F.pmod(F.xxhash64("_item"), own).alias("k")))
+    block = F.xxhash64("_item")
+    if slow:
+        rows = rows.withColumn("_h", F.xxhash64("_x"))
+        shared = [*keys, "_p", "_q", "_h"]
+        many = rows.groupBy(*shared).agg(F.ceil(F.count("*") / COPIES).alias("_parts")).where("_parts > 1")
+        rows = rows.join(many, shared, "left")
+        block = F.xxhash64("_h", F.pmod(block, F.coalesce("_parts", F.lit(1))))
+    dealt = rows.join(around, [*keys, "_p", "_q"]).withColumn("_own", F.struct("_p", "_q", F.pmod(block, own).alias("k")))
     dealt = dealt.select(*keys, "_item", "_x", "_own", "around")
     # Pairs are slow for the bytes of their blocks: without a number of partitions of its own, adaptive execution would merge them into few tasks.
     n = int(traces.sparkSession.conf.get("spark.sql.shuffle.partitions")) * (2 if slow else 1)
@@ -117,8 +127,9 @@ def met_blocks(
         key = [table.column(k)[0] for k in names]
         for got in found(Met(table)):
             size = len(next(iter(got.values())))
-            if size:
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(k, size) for k in key), *got.values()], [*names, *got])
+            whole = pa.RecordBatch.from_arrays([*(pa.repeat(k, size) for k in key), *got.values()], [*names, *got])
+            for s in range(0, size, ROWS):
+                yield whole.slice(s, ROWS)
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in traces.select(*keys).schema.fields)
     return sent.repartition(n, *keys, "_lo", "_hi").groupBy(*keys, "_lo", "_hi").applyInArrow(meet, f"{out}, {schema}")
@@ -133,7 +144,7 @@ def paired(traces: DataFrame, keys: list[str], item: str, column: str, measure:
     kind = _item_type(traces, item)
 
     def found(met: Met) -> Iterator[dict]:
-        for p, q, x, y, on in met.rectangles():
+        for p, q, x, y, on in met.rectangles(4 * SLICE if slow else SLICE):  # copies are measured once of those at once
             dist = measure(x, y, on)[on]
             a, b = np.nonzero(on)
             i, j = p[a], q[b]

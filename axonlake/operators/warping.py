@@ -17,6 +17,16 @@ from .pairs import Met, met_blocks, paired
 TABLES = 512
 #: Pairs of a turn, about, after which it is known anew what is connected.
 TURN = 1 << 11
+#: Bytes of a line of the processor's caches.
+LINE = 64
+
+
+def _empty(shape: tuple[int, ...], kind: type) -> np.ndarray:
+    """An array that begins with a line of the cache: no vector register is loaded from two lines, or stored to two."""
+    size = int(np.prod(shape)) * np.dtype(kind).itemsize
+    room = np.empty(size + LINE, np.uint8)
+    start = -room.ctypes.data % LINE
+    return room[start : start + size].view(kind).reshape(shape)
 
 
 class _Tables:
@@ -28,8 +38,8 @@ class _Tables:
 
     def __init__(self, n: int, m: int, w: int, kind: type):
         self.kind, self.w, middle = kind, w, m // 2 + 2
-        self.x, self.y = np.empty((n, w), kind), np.empty((m, w), kind)  # y from its end, so that cells of a diagonal are two slices
-        self.rows, cost = np.empty((2, n + m + 4, w), kind), np.empty((min(n, m), w), kind)
+        self.x, self.y = _empty((n, w), kind), _empty((m, w), kind)  # y from its end, so that cells of a diagonal are two slices
+        self.rows, cost = _empty((2, n + m + 4, w), kind), _empty((min(n, m), w), kind)
         self.start, self.steps = self.rows[0, middle], []
         for k in range(n + m - 1):
             a, b = max(0, k - m + 1), min(n, k + 1)
@@ -43,13 +53,14 @@ class _Tables:
             self.start.fill(0)
         whole = len(self.steps)
         stops = [k for k in range(16, whole, 16) if k > done and 2 * k > whole + 3] if radius < np.inf else []
+        subtract, size, least, add = np.subtract, np.abs, np.minimum, np.add
         for a, b in zip([done, *stops], [*stops, whole], strict=True):
             for x, y, cost, new, one, two in self.steps[a:b]:
-                np.subtract(x, y, cost)
-                np.abs(cost, cost)
-                np.minimum(new, one, new)
-                np.minimum(new, two, new)
-                np.add(new, cost, new)
+                subtract(x, y, cost)
+                size(cost, cost)
+                least(new, one, new)
+                least(new, two, new)
+                add(new, cost, new)
             if b < whole:  # every path crosses this diagonal or the one before
                 live = np.minimum(self.steps[b - 1][3].min(axis=0), self.steps[b - 2][3].min(axis=0)) <= radius
                 if 2 * live.sum() <= self.w:

@@ -18,7 +18,7 @@ from axonlake.operators import responses as rs
 from axonlake.operators import trials as tr
 from axonlake.operators import warping as wp
 
-from .views import LOG, LONG, PEAKS, RUNS, TRIALS, long, peaks, query, r6, table, trials
+from .views import LOG, LONG, PEAKS, RUNS, TRIALS, long, peaks, query, r6, r6_pairs, table, trials
 
 GROUP = ["neuron", "stimulus"]
 
@@ -426,7 +426,7 @@ ranked AS (SELECT t.trial AS item, dense_rank() OVER (PARTITION BY neuron, stimu
 
 @query(f"{DTW} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e")
 def dtw_pairs(spark, d):
-    return _edges(spark, d).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
+    return _edges(spark, d).select(*GROUP, "i", "j", r6_pairs(F.col("dist"), "dist"))
 
 
 L1 = f"""WITH {TRIALS}, e AS (SELECT a.neuron, a.stimulus, a.trial AS i, b.trial AS j, list_sum(list_transform(list_zip(a.dff, b.dff), lambda p: abs(p[1] - p[2]))) AS dist
@@ -435,7 +435,7 @@ FROM trials a JOIN trials b ON a.neuron = b.neuron AND a.stimulus = b.stimulus A
 
 @query(f"{L1} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e")
 def trial_distances(spark, d):
-    return pr.l1_distances(trials(spark, d), GROUP).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
+    return pr.l1_distances(trials(spark, d), GROUP).select(*GROUP, "i", "j", r6_pairs(F.col("dist"), "dist"))
 
 
 @query(
@@ -452,7 +452,7 @@ def dbscan_noise(spark, d):
 @query(f"{DTW} SELECT neuron, stimulus, i, j, round(dist, 6) AS dist FROM e WHERE dist <= 4.5")
 def dtw_near_pairs(spark, d):
     """A16 under a radius."""
-    return wp.near_pairs(trials(spark, d), GROUP, 4.5).select(*GROUP, "i", "j", r6(F.col("dist"), "dist"))
+    return wp.near_pairs(trials(spark, d), GROUP, 4.5).select(*GROUP, "i", "j", r6_pairs(F.col("dist"), "dist"))
 
 
 def _labels(spark, d):

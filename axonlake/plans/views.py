@@ -104,3 +104,11 @@ peaks AS (SELECT neuron, stimulus, avg(coalesce(CASE WHEN abs(hi) > abs(lo) THEN
 def r6(c, name: str):
     """Rounded, so that sums in another order compare equal; negative zero counts as zero."""
     return (F.round(c, 6) + F.lit(0.0)).alias(name)
+
+
+def r6_pairs(c, name: str):
+    """r6() of a column with a row for each pair. Rounding goes through a decimal number, which only what is large or near a half needs."""
+    scaled = c * F.lit(1e6)
+    below = F.floor(scaled)
+    plain = (F.abs(c) < 1e6) & (F.abs(scaled - below - 0.5) > 1e-3)  # beyond what the product is rounded by
+    return F.when(plain, F.floor(scaled + 0.5) / F.lit(1e6)).otherwise(F.round(c, 6) + F.lit(0.0)).alias(name)

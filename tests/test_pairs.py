@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from axonlake.operators import kernels as kn
 from axonlake.operators import pairs as pr
 from axonlake.operators import warping as wp
+from axonlake.plans import views
 
 SCHEMA = "trial long, g string, dff array<double>"
 
@@ -190,3 +191,40 @@ def test_copies_are_measured_once(monkeypatch):
     on = rng.random((300, 300)) < 0.5
     got = wp._warped(x, x, on)
     assert sum(looked) <= 36 and np.isinf(got[~on]).all() and np.array_equal(got[on], measured(x, x, *np.nonzero(on)))
+
+
+def test_equal_traces_meet_others_together(spark, monkeypatch):
+    """Where pairs are slow to measure, a few equal traces are in one block, and measured once for each block that they meet; many are in several blocks."""
+    monkeypatch.setattr(pr, "SMALL", 48)
+    rows = [(i, "g", [float(i % 40), 1.0]) for i in range(240)] + [(1000 + i, "g", [-1.0, -1.0]) for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+
+    def found(met):
+        if met.same:
+            own = {tuple(v) for v in met.x.to_pylist()}
+            yield {"n": pa.array([len(met.items)]), "own": pa.array([len(own - {(-1.0, -1.0)})]), "many": pa.array([sum(v[0] < 0 for v in met.x.to_pylist())])}
+
+    blocks = pr.met_blocks(df, ["g"], "trial", "dff", found, "n long, own long, many long", slow=True).collect()
+    assert sum(r["n"] for r in blocks) == 640 and sum(r["own"] for r in blocks) == 40
+    assert len(blocks) > 5 and max(r["many"] for r in blocks) < 200
+    x = {i: v for i, _, v in rows}
+    got = wp.dtw_distances(df, ["g"]).collect()
+    assert len({(r["i"], r["j"]) for r in got}) == len(got) == 640 * 639 // 2 and all(r["i"] < r["j"] for r in got)
+    i, j = (np.array([x[r[c]] for r in got]) for c in ("i", "j"))
+    assert np.array_equal([r["dist"] for r in got], wp.dtw_many(i, j))
+
+
+def test_tables_begin_with_a_line_of_the_cache():
+    for n, m, w in ((64, 64, 512), (5, 9, 512), (7, 3, 31)):
+        t = wp._Tables(n, m, w, float)
+        assert all(v.ctypes.data % wp.LINE == 0 and v.flags.c_contiguous for v in (t.x, t.y, t.rows, t.steps[0][2]))
+        assert (t.x.shape, t.y.shape) == ((n, w), (m, w))
+
+
+def test_pairs_are_rounded_as_other_columns(spark):
+    rng = np.random.default_rng(10)
+    values = [*rng.normal(size=2000), *(rng.integers(-(10**7), 10**7, 2000) / 2e6), *(rng.integers(0, 10**9, 500) * 1e-7), *(rng.normal(size=200) * 1e9)]
+    values += [0.0, -0.0, -1e-9, 5e-7, 4.9999999e-7, 999999.9999995, 1e6, -1e6, 1e300, float("inf"), -float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    got = df.select(views.r6(F.col("v"), "a"), views.r6_pairs(F.col("v"), "b")).collect()
+    assert [repr(r["a"]) for r in got] == [repr(r["b"]) for r in got]
